@@ -153,7 +153,12 @@ def clean_name(col: str | Column) -> Column:
 
 def strip_html(col: str | Column) -> Column:
     """H2: drop tags, decode the common named entities, non-breaking space -> space, trim."""
-    c = F.regexp_replace(_c(col), r"<[^>]*>", "")
+    return decode_entities(F.regexp_replace(_c(col), r"<[^>]*>", ""))
+
+
+def decode_entities(col: str | Column) -> Column:
+    """Decode &nbsp; &lt; &gt; &quot; &#39; &amp; (in that order), non-breaking space -> space, trim."""
+    c = _c(col)
     c = F.replace(c, F.lit("&nbsp;"), F.lit(" "))
     c = F.replace(c, F.lit("\u00a0"), F.lit(" "))
     for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -22,7 +23,7 @@ def width_bins(df: DataFrame, col: str, width: float = 60.0, out: str = "dose_bi
     mx = column_extremes(df, [col])[col][1]
     if mx is None or mx <= 0:
         return df.withColumn(out, F.lit(f"0-{int(width) - 1}")).withColumn(out + "_start", F.lit(0.0))
-    n_edges = -(-(mx + width) // width)  # len(arange(0, mx + w, w))
+    n_edges = math.ceil((mx + width) / width)  # len(arange(0, mx + w, w))
     last_edge = float((n_edges - 1) * width)
     x = F.col(col).cast("double")
     start = F.when((x >= 0) & (x < F.lit(last_edge)), F.floor(x / F.lit(float(width))) * F.lit(float(width)))

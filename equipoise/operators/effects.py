@@ -73,7 +73,7 @@ def wls(df: DataFrame, y: str, x: str, weight: str) -> DataFrame:
     f = _wls_from_sums(sums)
     return f.selectExpr(
         "stack(2, 'Intercept', a, se_a, '" + x + "', b, se_b) AS (term, coef, se)", "r2", "n"
-    ).select("term", "coef", "se", (F.col("coef") / F.col("se")).alias("t_stat"),
+    ).select("term", "coef", "se", F.try_divide(F.col("coef"), F.col("se")).alias("t_stat"),
              F.col("r2").alias("r_squared"), "n")
 
 

@@ -3,7 +3,7 @@
 For every treated score ``s`` the k nearest controls within the caliper are
 among the k first controls above ``s`` (order: score asc, id asc) and the k
 first controls at or below ``s`` (order: score desc, id asc).  Both lists come
-from a global rank of the controls (``cumulative_sum``): a treated score's
+from one global rank of the controls (``cumulative_sum``): a treated score's
 position among the controls tells which control ranks to fetch, and the fetch is
 an equi-join on rank.  Cost is O(n log n + k * distinct treated scores).
 
@@ -20,30 +20,37 @@ from pyspark.sql import functions as F
 from equipoise.operators.ranking import cumulative_sum
 
 
-def _first_k(controls: DataFrame, probes: DataFrame, k: int, above: bool) -> DataFrame:
-    """For each probe score, the first k controls strictly above it (``above``) or at/below it.
+def _neighbours(controls: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """For each probe score the first k controls above it and the first k at or below it.
 
     ``controls``: (control_id, ps_control); ``probes``: (ps_treated) distinct.
+    Side 0 orders controls by (score asc, id asc) and places a probe after
+    controls of equal score ("above" excludes equal scores); side 1 negates the
+    score so that the order is (score desc, id asc) and places a probe before
+    controls of equal score ("at or below" includes them).  One distributed
+    ranking over both sides gives each control its rank and each probe its
+    position; the k ranks after a probe's position are fetched by an equi-join.
     Returns (ps_treated, control_id, ps_control).
     """
-    sign = 1.0 if above else -1.0
-    # At equal key: above -> controls sort before the probe (equal scores are not "above");
-    # below (negated key) -> the probe sorts before controls, so equal scores count as "at or below".
-    ctrl_tie, probe_tie = (0, 1) if above else (1, 0)
-    c = controls.select(
-        (F.col("ps_control") * sign).alias("_key"), F.lit(ctrl_tie).alias("_tie"),
-        F.col("control_id").alias("_id"), F.col("ps_control"), F.lit(1).alias("_is_ctrl"))
-    p = probes.select(
-        (F.col("ps_treated") * sign).alias("_key"), F.lit(probe_tie).alias("_tie"),
-        F.lit(None).cast(controls.schema["control_id"].dataType).alias("_id"),
-        F.lit(None).cast("double").alias("ps_control"), F.lit(0).alias("_is_ctrl"))
-    ranked = cumulative_sum(c.unionByName(p), "_is_ctrl", ["_key", "_tie", "_id"], out="_rank")
-
-    ctrl_by_rank = ranked.where("_is_ctrl = 1").select("_rank", F.col("_id").alias("control_id"), "ps_control")
+    id_type = controls.schema["control_id"].dataType
+    parts = []
+    for side, sign, ctrl_tie, probe_tie in ((0, 1.0, 0, 1), (1, -1.0, 1, 0)):
+        parts.append(controls.select(
+            F.lit(side).alias("_side"), (F.col("ps_control") * sign).alias("_key"), F.lit(ctrl_tie).alias("_tie"),
+            F.col("control_id").alias("_id"), F.col("ps_control"), F.lit(1).alias("_is_ctrl")))
+        parts.append(probes.select(
+            F.lit(side).alias("_side"), (F.col("ps_treated") * sign).alias("_key"), F.lit(probe_tie).alias("_tie"),
+            F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("double").alias("ps_control"),
+            F.lit(0).alias("_is_ctrl")))
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    ranked = cumulative_sum(both, "_is_ctrl", ["_key", "_tie", "_id"], partition_by=["_side"], out="_rank",
+                            groups_bound=2)
+    ctrl_by_rank = ranked.where("_is_ctrl = 1").select("_side", "_rank", F.col("_id").alias("control_id"),
+                                                       "ps_control")
     wanted = ranked.where("_is_ctrl = 0").select(
-        (F.col("_key") * sign).alias("ps_treated"),
+        "_side", F.when(F.col("_side") == 0, F.col("_key")).otherwise(-F.col("_key")).alias("ps_treated"),
         F.explode(F.sequence(F.col("_rank"), F.col("_rank") + (k - 1))).alias("_rank"))
-    return wanted.join(ctrl_by_rank, "_rank").drop("_rank")
+    return wanted.join(ctrl_by_rank, ["_side", "_rank"]).drop("_side", "_rank")
 
 
 def match_nearest(df: DataFrame, score: str, treatment: str, id_col: str,
@@ -63,7 +70,7 @@ def match_nearest(df: DataFrame, score: str, treatment: str, id_col: str,
         F.col(id_col).alias("control_id"), F.col(score).cast("double").alias("ps_control"))
     probes = treated.select("ps_treated").distinct()
 
-    cand = _first_k(controls, probes, ratio, above=True).unionByName(_first_k(controls, probes, ratio, above=False))
+    cand = _neighbours(controls, probes, ratio)
     cand = cand.withColumn("distance", F.abs(F.col("ps_control") - F.col("ps_treated")))
     cand = cand.where(F.col("distance") <= F.lit(float(caliper)))
     # at most 2 * ratio candidates per treated score: a bounded window

@@ -65,8 +65,8 @@ def auc(df: DataFrame, score_col: str, label: str) -> DataFrame:
         F.count(F.when(y == 1, F.lit(1))).alias("_pos"), F.count(F.when(y == 0, F.lit(1))).alias("_neg"))
     ranked = cumulative_sum(per, "_neg", ["_s"], out="_below")
     return ranked.agg(
-        (F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0))
-         / (F.sum("_pos") * F.sum("_neg"))).alias("auc"),
+        F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)),
+                     (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))
 
 

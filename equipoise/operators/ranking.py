@@ -35,11 +35,14 @@ def cumulative_sum(
     out: str = "cum",
     inclusive: bool = False,
     num_partitions: int | None = None,
+    groups_bound: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = sum of ``value`` over the rows before (``inclusive``: up to) each row.
 
     Rows are ordered by ``order_by`` inside each ``partition_by`` group.  The
     order should be total (unique) for a deterministic result among ties.
+    ``groups_bound`` (a known upper bound on the number of groups) proves the
+    size of the offsets table, so it is broadcast without counting it first.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -58,8 +61,13 @@ def cumulative_sum(
     w_loc = Window.partitionBy(_PID, *partition_by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
     local = ranged.withColumn(_LOC, F.coalesce(F.sum(_LOC).over(w_loc), F.lit(0)))
 
-    # offsets has one row per (range partition, group present in it): <= n + #groups rows
-    joined = join_small(local, offsets, [_PID, *partition_by])
+    # offsets has one row per (range partition, group present in it): <= n + #groups - 1 rows
+    bound = None
+    if not partition_by:
+        bound = n
+    elif groups_bound is not None:
+        bound = n + groups_bound - 1
+    joined = join_small(local, offsets, [_PID, *partition_by], known_rows=bound)
     return joined.withColumn(out, F.col(_LOC) + F.col(_OFF)).drop(_PID, _LOC, _OFF)
 
 

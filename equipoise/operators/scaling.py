@@ -29,19 +29,32 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_NORMALIZED"
     ``zero_range`` decides a constant column (Q16): ``"null"`` (unguarded form,
     which gives NaN in pandas) or ``"zero"`` (guarded social indices).
     """
+    return minmax_scale_spec(df, {c: (c + suffix, zero_range) for c in cols})
+
+
+def minmax_scale_spec(df: DataFrame, spec: dict) -> DataFrame:
+    """D5 for many columns in ONE aggregate: ``spec`` maps column -> (target, zero_range mode).
+
+    Modes for a constant column: ``"null"`` -> NULL (pandas NaN), ``"zero"`` -> 0 on
+    every row (the guarded social indices), ``"sklearn"`` -> 0 where the value is
+    present (``MinMaxScaler`` treats a zero range as 1).
+    """
+    cols = list(spec)
     ext = column_extremes(df, cols)
     out = []
     for c in cols:
+        target, mode = spec[c]
         mn, mx = ext[c]
-        target = c + suffix
         if mn is None or mx is None:
-            out.append(F.lit(None).cast("double").alias(target))
+            e = F.lit(None).cast("double")
         elif mx - mn == 0:
-            out.append((F.when(F.col(c).isNotNull(), F.lit(0.0)) if zero_range == "zero"
-                        else F.lit(None).cast("double")).alias(target))
+            e = {"zero": F.lit(0.0), "sklearn": F.when(F.col(c).isNotNull(), F.lit(0.0))}.get(
+                mode, F.lit(None).cast("double"))
         else:
-            out.append(((F.col(c) - F.lit(float(mn))) / F.lit(float(mx - mn))).alias(target))
-    return df.select("*", *out)
+            e = (F.col(c) - F.lit(float(mn))) / F.lit(float(mx - mn))
+        out.append(e.alias(target))
+    keep = [c for c in df.columns if c not in {t for t, _ in spec.values()}]
+    return df.select(*keep, *out)
 
 
 def standardize(df: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
