@@ -26,14 +26,15 @@ def row_mean(cols: Sequence) -> Column:
     return F.try_divide(row_sum(cols), F.nullif(non_null_count(cols), F.lit(0)).cast("double"))
 
 
-def weighted_mean(weights: Mapping) -> Column:
+def weighted_mean(weights) -> Column:
     """sum(w * x) / sum(w) over the parts that are not NULL (weights renormalised).
 
-    A row where no part is present gives NULL.  ``weights`` maps column -> weight.
+    A row where no part is present gives NULL.  ``weights`` maps column -> weight,
+    or is a sequence of (column or Column expression, weight) pairs.
     """
-    num = sum((F.coalesce(_c(c) * F.lit(float(w)), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    den = sum((F.when(_c(c).isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0)) for c, w in weights.items()),
-              F.lit(0.0))
+    pairs = list(weights.items()) if isinstance(weights, Mapping) else list(weights)
+    num = sum((F.coalesce(_c(c) * F.lit(float(w)), F.lit(0.0)) for c, w in pairs), F.lit(0.0))
+    den = sum((F.when(_c(c).isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0)) for c, w in pairs), F.lit(0.0))
     return F.when(den > 0, num / den)
 
 

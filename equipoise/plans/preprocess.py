@@ -80,7 +80,7 @@ def _social(df):
     mapped = {c: R.recode(c, m) for c, m in S.SOCIAL_MAPS.items() if c in df.columns}
     new = {}
     for name, weights in S.SOCIAL_INDEX_WEIGHTS.items():
-        present = {mapped[c]: w for c, w in weights.items() if c in mapped}
+        present = [(mapped[c], w) for c, w in weights.items() if c in mapped]
         new[f"{name.upper()}_INDEX"] = W.weighted_mean(present) if present else F.lit(None).cast("double")
     return df.withColumns(new)
 
