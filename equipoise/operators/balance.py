@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def balance(df: DataFrame, covariates: Sequence[str], treatment: str, pooled: bool = False) -> DataFrame:
-    """Per covariate treated mean, control mean and SMD.
+def balance(df: DataFrame, covariates: Sequence[str], treatment: str, pooled: bool = False,
+            by: Sequence[str] = ()) -> DataFrame:
+    """Per covariate treated mean, control mean and SMD (per group of ``by`` when given).
 
     SMD = (mean_T - mean_C) / sd_T with the sample sd (n - 1) of the treated arm
     (Q11; ``pooled`` uses sqrt((sd_T^2 + sd_C^2) / 2)); 0 when that sd is not > 0.
@@ -25,12 +26,12 @@ def balance(df: DataFrame, covariates: Sequence[str], treatment: str, pooled: bo
         x = F.col(v).cast("double")
         aggs += [F.avg(F.when(t, x)).alias(f"tm{i}"), F.avg(F.when(c, x)).alias(f"cm{i}"),
                  F.stddev_samp(F.when(t, x)).alias(f"ts{i}"), F.stddev_samp(F.when(c, x)).alias(f"cs{i}")]
-    wide = df.agg(*aggs)
+    wide = df.groupBy(*by).agg(*aggs)
     parts = ", ".join(f"'{v}', tm{i}, cm{i}, ts{i}, cs{i}" for i, v in enumerate(covariates))
-    long = wide.selectExpr(f"stack({len(covariates)}, {parts}) AS (variable, treated_mean, control_mean, ts, cs)")
+    long = wide.selectExpr(*by, f"stack({len(covariates)}, {parts}) AS (variable, treated_mean, control_mean, ts, cs)")
     sd = F.sqrt((F.col("ts") ** 2 + F.col("cs") ** 2) / 2) if pooled else F.col("ts")
     smd = F.when(sd > 0, (F.col("treated_mean") - F.col("control_mean")) / sd).otherwise(F.lit(0.0))
-    return long.select("variable", "treated_mean", "control_mean", smd.alias("smd"))
+    return long.select(*by, "variable", "treated_mean", "control_mean", smd.alias("smd"))
 
 
 def balance_summary(bal: DataFrame, threshold: float = 0.1) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equipoise.operators.joins import hot_key_join
 from equipoise.operators.ranking import row_index
 from equipoise.session import BROADCAST_ROW_LIMIT, join_small
 
@@ -52,14 +54,19 @@ def complete_cases(df: DataFrame, subset: Sequence[str] | None = None) -> DataFr
     return df.where(cond)
 
 
-def category_mapping(df: DataFrame, col: str) -> DataFrame:
-    """B15 mapping table (code, value): code = rank of the sorted distinct non-NULL values.
+def category_mapping(df: DataFrame, cols) -> DataFrame:
+    """B15 mapping table (variable, value, code): code = rank of the sorted distinct non-NULL values.
 
-    Distinct values are de-duplicated map-side and ranked by a distributed sort,
-    so even a high-cardinality column never funnels through one task.
+    All columns of one type are unpivoted and ranked together: distinct values
+    are de-duplicated map-side and numbered by ONE distributed sort partitioned
+    by variable, so even a high-cardinality column never funnels through one task.
+    Values keep their own type (numbers sort as numbers).
     """
-    distinct = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    return row_index(distinct, ["value"], out="code").select("code", "value")
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    parts = ", ".join(f"'{c}', `{c}`" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {parts}) AS (variable, value)").where(F.col("value").isNotNull())
+    return row_index(long.distinct(), ["value"], partition_by=["variable"], out="code").select(
+        "variable", "value", F.col("code").cast("int").alias("code"))
 
 
 def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "", keep_mapping: bool = False):
@@ -69,17 +76,23 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "", keep_ma
     as the reference does.  Returns the coded frame, and with ``keep_mapping``
     also a long mapping table (variable, code, value) for decoding (C8).
     """
+    by_type: dict[str, list[str]] = {}
+    for c in cols:
+        by_type.setdefault(df.schema[c].dataType.simpleString(), []).append(c)
     out = df
     maps = []
-    for c in cols:
-        m = category_mapping(df, c)
-        n = m.count()
-        coded = m.select(F.col("value").alias(c), F.col("code").cast("int").alias(f"_code_{c}"))
-        out = join_small(out, coded, c, "left", known_rows=n if n <= BROADCAST_ROW_LIMIT else None)
-        target = c + suffix
-        out = out.withColumn(target, F.col(f"_code_{c}")).drop(f"_code_{c}")
-        maps.append(m.select(F.lit(c).alias("variable"), F.col("code").cast("int").alias("code"),
-                             F.col("value").cast("string").alias("value")))
+    for group in by_type.values():
+        m = category_mapping(df, group).persist(StorageLevel.MEMORY_AND_DISK)
+        sizes = {r.variable: r.n for r in m.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
+        for c in group:
+            lookup = m.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("code").alias(f"_code_{c}"))
+            n = sizes.get(c, 0)
+            if n <= BROADCAST_ROW_LIMIT:
+                out = join_small(out, lookup, c, "left", known_rows=n)
+            else:  # many categories: shuffle join, with a broadcast branch for categories holding many rows
+                out = hot_key_join(out, lookup, [c], "left")
+            out = out.withColumn(c + suffix, F.col(f"_code_{c}")).drop(f"_code_{c}")
+        maps.append(m.select("variable", "code", F.col("value").cast("string").alias("value")))
     if keep_mapping:
         mapping = maps[0]
         for m in maps[1:]:

@@ -8,8 +8,10 @@ position among the controls tells which control ranks to fetch, and the fetch is
 an equi-join on rank.  Cost is O(n log n + k * distinct treated scores).
 
 Treated rows are first reduced to distinct scores (map-side aggregated), so a
-score shared by many treated rows is matched once; the final join back to the
-treated rows is an equi-join on the score, split by AQE when one score is hot.
+score shared by many treated rows is matched once; the joins on rank and back
+to the treated rows on the score send hot keys through a broadcast branch
+(``hot_key_join``), so one score holding a third of the rows does not land in
+one task.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from equipoise.operators.joins import DEFAULT_SHARE, hot_key_join
 from equipoise.operators.ranking import cumulative_sum
 
 
-def _neighbours(controls: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+def _neighbours(controls: DataFrame, probes: DataFrame, k: int, hot_share: float = DEFAULT_SHARE,
+                hot_min_rows: int = 10_000) -> DataFrame:
     """For each probe score the first k controls above it and the first k at or below it.
 
     ``controls``: (control_id, ps_control); ``probes``: (ps_treated) distinct.
@@ -50,19 +54,24 @@ def _neighbours(controls: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     wanted = ranked.where("_is_ctrl = 0").select(
         "_side", F.when(F.col("_side") == 0, F.col("_key")).otherwise(-F.col("_key")).alias("ps_treated"),
         F.explode(F.sequence(F.col("_rank"), F.col("_rank") + (k - 1))).alias("_rank"))
-    return wanted.join(ctrl_by_rank, ["_side", "_rank"]).drop("_side", "_rank")
+    # many probes can ask for the same rank (dense treated scores between sparse controls): hot-key safe
+    return hot_key_join(wanted, ctrl_by_rank, ["_side", "_rank"], "inner", hot_share, hot_min_rows) \
+        .drop("_side", "_rank")
 
 
-def match_nearest(df: DataFrame, score: str, treatment: str, id_col: str,
-                  caliper: float = 0.05, ratio: int = 1) -> DataFrame:
-    """Each treated row takes its ``ratio`` nearest controls with ``|diff| <= caliper``.
+def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
+               hot_share: float = DEFAULT_SHARE, hot_min_rows: int = 10_000) -> DataFrame:
+    """C5/C6 for several (caliper, ratio) settings in ONE pass; adds ``setting`` (index into ``settings``).
 
-    Matching is with replacement; ties go to the smaller (distance, control id);
-    treated rows without a control inside the caliper are dropped.  Returns
-    (treated_id, control_id, ps_treated, ps_control, distance).
+    Candidates are fetched once for the largest ratio; each setting then keeps
+    the candidates within its caliper and its ``ratio`` nearest by
+    (distance, control id).  Matching is with replacement; treated rows without
+    a control inside the caliper are dropped.
     """
-    if ratio < 1:
-        raise ValueError("ratio must be >= 1")
+    settings = [(float(c), int(r)) for c, r in settings]
+    if not settings or min(r for _, r in settings) < 1:
+        raise ValueError("every setting needs ratio >= 1")
+    k = max(r for _, r in settings)
     base = df.where(F.col(score).isNotNull())
     treated = base.where(F.col(treatment) == 1).select(
         F.col(id_col).alias("treated_id"), F.col(score).cast("double").alias("ps_treated"))
@@ -70,14 +79,31 @@ def match_nearest(df: DataFrame, score: str, treatment: str, id_col: str,
         F.col(id_col).alias("control_id"), F.col(score).cast("double").alias("ps_control"))
     probes = treated.select("ps_treated").distinct()
 
-    cand = _neighbours(controls, probes, ratio)
+    cand = _neighbours(controls, probes, k, hot_share, hot_min_rows)
     cand = cand.withColumn("distance", F.abs(F.col("ps_control") - F.col("ps_treated")))
-    cand = cand.where(F.col("distance") <= F.lit(float(caliper)))
-    # at most 2 * ratio candidates per treated score: a bounded window
-    w = Window.partitionBy("ps_treated").orderBy("distance", "control_id")
-    best = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= ratio).drop("_rn")
-    return treated.join(best, "ps_treated").select(
-        "treated_id", "control_id", "ps_treated", "ps_control", "distance")
+    cand = cand.where(F.col("distance") <= F.lit(max(c for c, _ in settings)))
+    grid = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(c).alias("_cal"), F.lit(r).alias("_ratio"))
+                     for i, (c, r) in enumerate(settings)])
+    cand = cand.withColumn("_s", F.explode(grid)).select("*", "_s.*").drop("_s")
+    cand = cand.where(F.col("distance") <= F.col("_cal"))
+    # at most 2 * k candidates per (setting, treated score): a bounded window
+    w = Window.partitionBy("setting", "ps_treated").orderBy("distance", "control_id")
+    best = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_ratio")) \
+        .drop("_rn", "_cal", "_ratio")
+    # back to every treated row of that score; a score shared by many treated rows is a hot key
+    return hot_key_join(treated, best, ["ps_treated"], "inner", hot_share, hot_min_rows).select(
+        "setting", "treated_id", "control_id", "ps_treated", "ps_control", "distance")
+
+
+def match_nearest(df: DataFrame, score: str, treatment: str, id_col: str,
+                  caliper: float = 0.05, ratio: int = 1) -> DataFrame:
+    """Each treated row takes its ``ratio`` nearest controls with ``|diff| <= caliper``.
+
+    Matching is with replacement; ties go to the smaller (distance, control id);
+    treated rows without a control inside the caliper are dropped.  Returns
+    (treated_id, control_id, ps_treated, ps_control, distance).
+    """
+    return match_grid(df, score, treatment, id_col, [(caliper, ratio)]).drop("setting")
 
 
 def match_optimal(df: DataFrame, score: str, treatment: str, id_col: str,
@@ -99,9 +125,13 @@ def matched_cohort(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
 
 
 def matched_sides(df: DataFrame, pairs: DataFrame, id_col: str, treatment: str) -> DataFrame:
-    """Spec-test variant (03a): treated rows among matched treated ids, controls among matched control ids."""
-    t_ids = pairs.select(F.col("treated_id").alias(id_col)).distinct()
-    c_ids = pairs.select(F.col("control_id").alias(id_col)).distinct()
-    t = df.where(F.col(treatment) == 1).join(t_ids, id_col, "left_semi")
-    c = df.where(F.col(treatment) == 0).join(c_ids, id_col, "left_semi")
-    return t.unionByName(c)
+    """Spec-test variant (03a): treated rows among matched treated ids, controls among matched control ids.
+
+    With a ``setting`` column in ``pairs`` the result holds each setting's sides (rows tagged by setting).
+    """
+    by = ["setting"] if "setting" in pairs.columns else []
+    ids = (pairs.select(*by, F.col("treated_id").alias(id_col), F.lit(1).alias("_arm"))
+           .unionByName(pairs.select(*by, F.col("control_id").alias(id_col), F.lit(0).alias("_arm"))).distinct())
+    # ids are unique per (setting, id, arm) and ``df`` has one row per id: no hot key on either side
+    out = df.join(ids, id_col).where(F.col(treatment) == F.col("_arm")).drop("_arm")
+    return out

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from equipoise.operators import balance as B
 from equipoise.operators import propensity as P
-from equipoise.operators.matching import match_nearest, matched_sides
+from equipoise.operators.matching import match_grid, matched_sides
 from equipoise.operators.scaling import standardize
 from equipoise.plans import survey_config as S
 from equipoise.plans.matching import prepare
@@ -26,25 +26,37 @@ RESULT_SCHEMA = ("spec_name string, caliper double, ratio int, algorithm string,
                  "treatment_effect double")
 
 
-def evaluate_setting(scored: DataFrame, spec_name: str, confounders: Sequence[str], score_col: str, id_col: str,
-                     treatment: str, outcome: str, caliper: float, ratio: int, auc: float | None,
-                     algorithm: str = "nearest", arm_counts: tuple | None = None):
-    """Match, then balance and effect on the matched sides; None when nothing matched (Q19)."""
-    pairs = match_nearest(scored, score_col, treatment, id_col, caliper, ratio).persist(StorageLevel.MEMORY_AND_DISK)
-    n_matches = pairs.count()
-    if n_matches == 0:
+def evaluate_settings(scored: DataFrame, spec_name: str, confounders: Sequence[str], score_col: str, id_col: str,
+                      treatment: str, outcome: str, grid: Sequence[tuple], auc: float | None,
+                      algorithm: str = "nearest", arm_counts: tuple | None = None) -> list[tuple]:
+    """All (caliper, ratio) settings of one specification from ONE matching pass.
+
+    Per setting: number of pairs, mean |SMD| and outcome difference on the
+    matched sides (treated with a match, controls used by a match), each as a
+    grouped aggregate over the setting; a setting without any pair gives no
+    row (Q19).  Only the per-setting scalars reach the driver.
+    """
+    pairs = match_grid(scored, score_col, treatment, id_col, grid).persist(StorageLevel.MEMORY_AND_DISK)
+    n_matches = {r.setting: r.n for r in pairs.groupBy("setting").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not n_matches:
         pairs.unpersist()
-        return None
+        return []
     sides = matched_sides(scored, pairs, id_col, treatment)
-    smd = B.balance_summary(B.balance(sides, confounders, treatment)).first()["mean_abs_smd"]
+    bal = B.balance(sides, confounders, treatment, by=["setting"])
+    smd = {r.setting: r.m for r in bal.groupBy("setting").agg(F.avg(F.abs("smd")).alias("m")).collect()}
     t = F.col(treatment) == 1
-    eff = sides.agg((F.avg(F.when(t, F.col(outcome))) - F.avg(F.when(~t, F.col(outcome)))).alias("e")).first()["e"]
+    eff = {r.setting: r.e for r in sides.groupBy("setting").agg(
+        (F.avg(F.when(t, F.col(outcome))) - F.avg(F.when(~t, F.col(outcome)))).alias("e")).collect()}
     if arm_counts is None:
         row = scored.agg(F.count(F.when(t, 1)).alias("nt"), F.count(F.when(~t, 1)).alias("nc")).first()
         arm_counts = (row["nt"], row["nc"])
     pairs.unpersist()
-    return (spec_name, float(caliper), int(ratio), algorithm, len(confounders), int(arm_counts[0]),
-            int(arm_counts[1]), int(n_matches), None if auc is None else float(auc), smd, eff)
+    rows = []
+    for i, (caliper, ratio) in enumerate(grid):
+        if n_matches.get(i):
+            rows.append((spec_name, float(caliper), int(ratio), algorithm, len(confounders), int(arm_counts[0]),
+                         int(arm_counts[1]), int(n_matches[i]), None if auc is None else float(auc), smd[i], eff[i]))
+    return rows
 
 
 def spec_comparison_with_scores(spark: SparkSession, scored: DataFrame, specs: dict, confounders: Sequence[str],
@@ -56,11 +68,8 @@ def spec_comparison_with_scores(spark: SparkSession, scored: DataFrame, specs: d
     counts = scored.agg(F.count(F.when(t, 1)).alias("nt"), F.count(F.when(~t, 1)).alias("nc")).first()
     for name, score_col in specs.items():
         auc = P.auc_value(scored, score_col, treatment)
-        for caliper, ratio in grid:
-            r = evaluate_setting(scored, name, confounders, score_col, id_col, treatment, outcome, caliper, ratio,
-                                 auc, arm_counts=(counts["nt"], counts["nc"]))
-            if r is not None:
-                rows.append(r)
+        rows += evaluate_settings(scored, name, confounders, score_col, id_col, treatment, outcome, grid, auc,
+                                  arm_counts=(counts["nt"], counts["nc"]))
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
@@ -83,11 +92,8 @@ def spec_grid(df: DataFrame, specs: dict, id_col: str, treatment: str, outcome:
             analysis.unpersist()
             continue
         scored = scored.drop(*feats).persist(StorageLevel.MEMORY_AND_DISK)
-        for caliper, ratio in grid:
-            r = evaluate_setting(scored, name, confounders, "propensity_score", id_col, treatment, outcome,
-                                 caliper, ratio, auc)
-            if r is not None:
-                rows.append(r)
+        rows += evaluate_settings(scored, name, confounders, "propensity_score", id_col, treatment, outcome,
+                                  grid, auc)
         scored.unpersist()
         analysis.unpersist()
     return spark.createDataFrame(rows, RESULT_SCHEMA)

@@ -69,3 +69,30 @@ def test_cohort_and_sides(spark):
     assert cohort == [1, 2, 3]  # control 3 reused but kept once (Q12)
     sides = sorted(r.id for r in matched_sides(df, pairs, "id", "treated").collect())
     assert sides == [1, 2, 3]
+
+
+def test_grid_settings_match_brute_force_with_hot_keys(spark):
+    """Several settings in one pass; thresholds low enough that the hot-key branch is taken."""
+    from equipoise.operators.matching import match_grid
+
+    rnd = random.Random(11)
+    rows = [(i, 1 if i % 3 else 0, 0.4 if i % 4 == 0 else round(rnd.random(), 2)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, treated int, ps double")
+    grid = [(0.05, 1), (0.1, 1), (0.1, 2), (0.15, 1)]
+    got = match_grid(df, "ps", "treated", "id", grid, hot_share=0.01, hot_min_rows=5).collect()
+    for i, (cal, k) in enumerate(grid):
+        mine = {(r.treated_id, r.control_id, r.ps_treated, r.ps_control, r.distance) for r in got if r.setting == i}
+        assert mine == brute(rows, cal, k)
+
+
+def test_hot_key_join_equals_plain_join(spark):
+    from equipoise.operators.joins import hot_key_join, hot_keys
+
+    big = spark.createDataFrame([(i % 50 if i % 3 else 7, i) for i in range(3000)], "k int, v int")
+    small = spark.createDataFrame([(k, f"s{k}") for k in range(0, 60, 2)] + [(None, "n")], "k int, s string")
+    assert hot_keys(big, ["k"], share=0.1, min_rows=10) == [(7,)]
+    for how in ("inner", "left"):
+        a = sorted(map(tuple, hot_key_join(big, small, ["k"], how, share=0.1, min_rows=10).collect()),
+                   key=repr)
+        b = sorted(map(tuple, big.join(small, ["k"], how).collect()), key=repr)
+        assert a == b
