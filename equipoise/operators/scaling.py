@@ -32,15 +32,16 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_NORMALIZED"
     return minmax_scale_spec(df, {c: (c + suffix, zero_range) for c in cols})
 
 
-def minmax_scale_spec(df: DataFrame, spec: dict) -> DataFrame:
+def minmax_scale_spec(df: DataFrame, spec: dict, extremes: dict | None = None) -> DataFrame:
     """D5 for many columns in ONE aggregate: ``spec`` maps column -> (target, zero_range mode).
 
     Modes for a constant column: ``"null"`` -> NULL (pandas NaN), ``"zero"`` -> 0 on
     every row (the guarded social indices), ``"sklearn"`` -> 0 where the value is
-    present (``MinMaxScaler`` treats a zero range as 1).
+    present (``MinMaxScaler`` treats a zero range as 1).  ``extremes`` (column ->
+    (min, max)) skips the aggregate, e.g. to scale a stream like a reference batch.
     """
     cols = list(spec)
-    ext = column_extremes(df, cols)
+    ext = extremes if extremes is not None else column_extremes(df, cols)
     out = []
     for c in cols:
         target, mode = spec[c]

@@ -26,13 +26,15 @@ from equipoise.operators.scaling import minmax_scale, standardize
 from equipoise.plans import fixtures as fx
 from equipoise.plans import specs as SP
 from equipoise.plans.matching import MatchingAnalysis
-from equipoise.plans.preprocess import CODED_SCALE5, CODED_WEIGHTS, CODED_YESNO, coded_preprocess
+from equipoise.plans.preprocess import (
+    CODED_RAW, CODED_SCALE5, CODED_WEIGHTS, CODED_YESNO, coded_preprocess, coded_recodes)
 from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID
 from equipoise.plans.weighting import WeightingAnalysis, dose_measures
 from equipoise.session import ensure_checkpoint_dir, join_small, scratch_path
 from equipoise.sources import codebook as CB
 from equipoise.sources.io import read_table, write_result
 from equipoise.sources.report import spec_report_lines
+from equipoise.streaming.recode_stream import preprocess_stream
 
 COVS = ["acctbal", "n_orders", "dose", "ps_tied"]
 CALIPER = 0.05
@@ -453,6 +455,13 @@ def q_trend_line(spark, d):
                   ["x", "y_hat"])
 
 
+def q_stream_preprocess(spark, d):
+    """Structured Streaming: the orders file as a stream -> coded shape -> stateless recodes -> sink."""
+    src = f"{d.rstrip('/')}/orders*.parquet"  # a file stream watches a folder or glob
+    out = preprocess_stream(spark, src, fx.ORDERS_SCHEMA, lambda s: coded_recodes(fx.coded_from_orders(s)))
+    return _round(out.drop(*CODED_RAW), ["severity", "combo_index"])
+
+
 def q_preprocess_pipeline(spark, d):
     out = coded_preprocess(fx.coded(spark, d))
     return _round(out, ["severity", "severity_normalized", "score_total_normalized", "combo_index",

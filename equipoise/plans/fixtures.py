@@ -51,7 +51,16 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey-style integer codes with special values and NULLs, one row per order."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return coded_from_orders(table(spark, sf_dir, "orders"))
+
+
+ORDERS_SCHEMA = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                 "o_orderdate timestamp, o_orderpriority string")
+
+
+def coded_from_orders(orders: DataFrame) -> DataFrame:
+    """The ``coded`` shape from an orders frame (batch or stream: a stateless projection)."""
+    o = orders.select("o_orderkey", "o_custkey")
     k = F.col("o_orderkey")
     cu = F.col("o_custkey")
     return o.select(

@@ -550,4 +550,9 @@ pp AS (SELECT id, yesno_score, scale5_score, freq_weekly, duration_min, days30_m
   round({_minmax('severity', 'null')}, 6) AS severity_normalized
 FROM pp""")
     S["subgroup_filter"] = q(_subgroup_sql(), "SELECT * FROM effects WHERE subgroup = 'Region'")
+    S["stream_preprocess"] = S["preprocess_pipeline"].replace(f"""round(combo_index, 6) AS combo_index,
+  round({_minmax('score_total', 'sklearn')}, 6) AS score_total_normalized,
+  round({_minmax('combo_index', 'zero')}, 6) AS combo_index_normalized,
+  round({_minmax('severity', 'null')}, 6) AS severity_normalized
+FROM pp""", "round(combo_index, 6) AS combo_index\nFROM pp")
     return S

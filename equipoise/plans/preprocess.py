@@ -133,8 +133,14 @@ CODED_SCALE5 = {1: 0, 2: 0.25, 3: 0.5, 4: 0.75, 5: 1, 7: None, 9: None}
 CODED_WEIGHTS = {"yesno_score": 0.4, "scale5_score": 0.6}
 
 
-def coded_preprocess(coded: DataFrame) -> DataFrame:
-    """J13 on the ``coded`` fixture: every recode kind once, two indices, one scaling aggregate."""
+CODED_SCALE = {"score_total": ("score_total_normalized", "sklearn"),
+               "combo_index": ("combo_index_normalized", "zero"),
+               "severity": ("severity_normalized", "null")}
+CODED_RAW = ["yesno", "scale5", "freq", "duration", "days30", "weight", "part_a", "part_b", "text_num"]
+
+
+def coded_recodes(coded: DataFrame) -> DataFrame:
+    """The stateless part of J13 on ``coded`` (row-wise recodes and indices; runs on streams too)."""
     df = coded.withColumns({
         "yesno_score": R.recode("yesno", CODED_YESNO),
         "scale5_score": R.recode("scale5", CODED_SCALE5),
@@ -150,10 +156,15 @@ def coded_preprocess(coded: DataFrame) -> DataFrame:
         "severity": W.row_mean([W.frequency_part("freq", 4.3, 30), W.scaled_part("scale5", 1, 76, 15),
                                 W.scaled_part("days30", 1, 76, 30), W.scaled_part("weight", 1, 76, 15)]),
     })
-    df = df.withColumns({"score_total": W.row_sum(["yesno_score", "scale5_score"]),
-                         "combo_index": W.weighted_mean(CODED_WEIGHTS)})
-    df = minmax_scale_spec(df, {"score_total": ("score_total_normalized", "sklearn"),
-                                "combo_index": ("combo_index_normalized", "zero"),
-                                "severity": ("severity_normalized", "null")})
-    return drop_available(df, ["yesno", "scale5", "freq", "duration", "days30", "weight", "part_a", "part_b",
-                               "text_num"])
+    return df.withColumns({"score_total": W.row_sum(["yesno_score", "scale5_score"]),
+                           "combo_index": W.weighted_mean(CODED_WEIGHTS)})
+
+
+def coded_preprocess(coded: DataFrame, extremes: dict | None = None) -> DataFrame:
+    """J13 on the ``coded`` fixture: every recode kind once, two indices, one scaling aggregate.
+
+    ``extremes`` (column -> (min, max)) fixes the scaling instead of measuring it,
+    e.g. for a stream scaled like a reference batch.
+    """
+    df = minmax_scale_spec(coded_recodes(coded), CODED_SCALE, extremes)
+    return drop_available(df, CODED_RAW)
