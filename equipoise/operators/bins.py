@@ -65,8 +65,8 @@ def histogram(df: DataFrame, col: str, bins: int, group: str | None = None) -> D
     (group?, bin, bin_lo, bin_hi, count).
     """
     data = df.where(F.col(col).isNotNull())
-    if group is None:  # one global group: the stats side is proven to be one row
-        data = data.withColumn("_g", F.lit(0))
+    if group is None:  # one global group: use a per-row constant that Catalyst cannot fold into a cross join
+        data = data.withColumn("_g", F.when(F.col(col).isNotNull(), F.lit(0)))
     keys = [group or "_g"]
     stats = data.groupBy(*keys).agg(F.min(col).cast("double").alias("_mn"), F.max(col).cast("double").alias("_mx"))
     # numpy widens a zero range by 0.5 on both sides

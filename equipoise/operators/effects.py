@@ -143,15 +143,17 @@ def weighted_bin_stats(df: DataFrame, bin_col: str, y: str, weight: str, n_bins:
 
 
 def trend_line(model: DataFrame, xmin: float, xmax: float, x_term: str, points: int = 100) -> DataFrame:
-    """Fitted line a + b*x on ``points`` evenly spaced x (np.linspace), from a ``wls`` result."""
+    """Fitted line a + b*x on ``points`` evenly spaced x (np.linspace), from a ``wls`` result.
+
+    The two coefficients are scalars (read once, like a fitted model's parameters); the
+    grid is ``spark.range(points)``.
+    """
     spark = model.sparkSession
     coef = model.groupBy().agg(F.max(F.when(F.col("term") == "Intercept", F.col("coef"))).alias("a"),
-                               F.max(F.when(F.col("term") == x_term, F.col("coef"))).alias("b"))
+                               F.max(F.when(F.col("term") == x_term, F.col("coef"))).alias("b")).first()
+    a = F.lit(coef["a"]).cast("double")
+    b = F.lit(coef["b"]).cast("double")
     step = (xmax - xmin) / (points - 1)
-    grid = spark.range(points).select(
-        F.col("id").alias("point"),
-        F.when(F.col("id") == points - 1, F.lit(float(xmax))).otherwise(F.col("id") * F.lit(step) + F.lit(float(xmin)))
-        .alias("x"))
-    # coef is one row (a global aggregate): broadcast with a proven bound
-    return join_small(grid.withColumn("_k", F.lit(0)), coef.withColumn("_k", F.lit(0)), "_k", known_rows=1) \
-        .select("point", "x", (F.col("a") + F.col("b") * F.col("x")).alias("y_hat"))
+    x = F.when(F.col("id") == points - 1, F.lit(float(xmax))).otherwise(F.col("id") * F.lit(step) + F.lit(float(xmin)))
+    return spark.range(points).select(F.col("id").alias("point"), x.alias("x")).withColumn(
+        "y_hat", a + b * F.col("x"))
