@@ -46,11 +46,29 @@ def _key_filter(keys: Sequence[str], values: list):
     return cond
 
 
+def hot_keys_from_counts(counts: DataFrame, keys: Sequence[str], count_col: str, share: float = DEFAULT_SHARE,
+                         min_rows: int = 10_000, total: int | None = None) -> list:
+    """``hot_keys`` from an already aggregated (key, count) frame -- e.g. one the caller has cached.
+
+    ``total`` (the sum of the counts, when the caller knows it) skips one job.
+    """
+    if total is None:
+        total = counts.agg(F.sum(count_col)).first()[0] or 0
+    cut = max(int(share * total), min_rows)
+    if total <= cut:
+        return []
+    return [tuple(r[k] for k in keys) for r in counts.where(F.col(count_col) > cut).select(*keys).collect()]
+
+
 def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
-                 share: float = DEFAULT_SHARE, min_rows: int = 10_000) -> DataFrame:
-    """Join ``big`` to ``small`` on ``keys``; rows of hot keys use a broadcast join of their small-side rows."""
+                 share: float = DEFAULT_SHARE, min_rows: int = 10_000, hot: list | None = None) -> DataFrame:
+    """Join ``big`` to ``small`` on ``keys``; rows of hot keys use a broadcast join of their small-side rows.
+
+    ``hot`` passes hot keys the caller already knows (skips counting ``big``).
+    """
     keys = list(keys)
-    hot = hot_keys(big, keys, share, min_rows)
+    if hot is None:
+        hot = hot_keys(big, keys, share, min_rows)
     if not hot:
         return big.join(small, keys, how)
     is_hot = _key_filter(keys, hot)

@@ -16,15 +16,16 @@ one task.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from equipoise.operators.joins import DEFAULT_SHARE, hot_key_join
+from equipoise.operators.joins import DEFAULT_SHARE, hot_key_join, hot_keys_from_counts
 from equipoise.operators.ranking import cumulative_sum
 
 
 def _neighbours(controls: DataFrame, probes: DataFrame, k: int, hot_share: float = DEFAULT_SHARE,
-                hot_min_rows: int = 10_000) -> DataFrame:
+                hot_min_rows: int = 10_000, n_probes: int | None = None) -> DataFrame:
     """For each probe score the first k controls above it and the first k at or below it.
 
     ``controls``: (control_id, ps_control); ``probes``: (ps_treated) distinct.
@@ -51,12 +52,17 @@ def _neighbours(controls: DataFrame, probes: DataFrame, k: int, hot_share: float
                             groups_bound=2)
     ctrl_by_rank = ranked.where("_is_ctrl = 1").select("_side", "_rank", F.col("_id").alias("control_id"),
                                                        "ps_control")
-    wanted = ranked.where("_is_ctrl = 0").select(
+    positions = ranked.where("_is_ctrl = 0")
+    wanted = positions.select(
         "_side", F.when(F.col("_side") == 0, F.col("_key")).otherwise(-F.col("_key")).alias("ps_treated"),
         F.explode(F.sequence(F.col("_rank"), F.col("_rank") + (k - 1))).alias("_rank"))
-    # many probes can ask for the same rank (dense treated scores between sparse controls): hot-key safe
-    return hot_key_join(wanted, ctrl_by_rank, ["_side", "_rank"], "inner", hot_share, hot_min_rows) \
-        .drop("_side", "_rank")
+    # many probes can ask for the same rank (dense treated scores between sparse controls): a hot
+    # position makes its k ranks hot; positions come from the checkpointed ranking, so counting is cheap
+    pos_counts = positions.groupBy("_side", "_rank").agg(F.count(F.lit(1)).alias("_n"))
+    total = None if n_probes is None else 2 * n_probes  # every probe has one position per side
+    hot_pos = hot_keys_from_counts(pos_counts, ["_side", "_rank"], "_n", hot_share, hot_min_rows, total)
+    hot = sorted({(side, pos + j) for side, pos in hot_pos for j in range(k)})
+    return hot_key_join(wanted, ctrl_by_rank, ["_side", "_rank"], "inner", hot=hot).drop("_side", "_rank")
 
 
 def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
@@ -72,14 +78,22 @@ def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
     if not settings or min(r for _, r in settings) < 1:
         raise ValueError("every setting needs ratio >= 1")
     k = max(r for _, r in settings)
-    base = df.where(F.col(score).isNotNull())
-    treated = base.where(F.col(treatment) == 1).select(
-        F.col(id_col).alias("treated_id"), F.col(score).cast("double").alias("ps_treated"))
-    controls = base.where(F.col(treatment) == 0).select(
-        F.col(id_col).alias("control_id"), F.col(score).cast("double").alias("ps_control"))
-    probes = treated.select("ps_treated").distinct()
-
-    cand = _neighbours(controls, probes, k, hot_share, hot_min_rows)
+    # the narrow (id, arm, score) projection is read by the range sample, the ranking checkpoint and the
+    # final join: persist it once instead of re-running the input pipeline for each (it recomputes
+    # deterministically if an executor is lost)
+    base = df.where(F.col(score).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(treatment).alias("_t"), F.col(score).cast("double").alias("_ps")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    treated = base.where(F.col("_t") == 1).select(F.col("_id").alias("treated_id"), F.col("_ps").alias("ps_treated"))
+    controls = base.where(F.col("_t") == 0).select(F.col("_id").alias("control_id"),
+                                                   F.col("_ps").alias("ps_control"))
+    # distinct treated scores with their multiplicity (map-side combined); cached, it is filled by the
+    # ranking's checkpoint job and then answers the hot-score question without another pass
+    score_counts = treated.groupBy("ps_treated").agg(F.count(F.lit(1)).alias("_n")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    probes = score_counts.select("ps_treated")
+
+    cand = _neighbours(controls, probes, k, hot_share, hot_min_rows, n_probes=score_counts.count())
     cand = cand.withColumn("distance", F.abs(F.col("ps_control") - F.col("ps_treated")))
     cand = cand.where(F.col("distance") <= F.lit(max(c for c, _ in settings)))
     grid = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(c).alias("_cal"), F.lit(r).alias("_ratio"))
@@ -91,7 +105,8 @@ def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
     best = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_ratio")) \
         .drop("_rn", "_cal", "_ratio")
     # back to every treated row of that score; a score shared by many treated rows is a hot key
-    return hot_key_join(treated, best, ["ps_treated"], "inner", hot_share, hot_min_rows).select(
+    hot = hot_keys_from_counts(score_counts, ["ps_treated"], "_n", hot_share, hot_min_rows)
+    return hot_key_join(treated, best, ["ps_treated"], "inner", hot=hot).select(
         "setting", "treated_id", "control_id", "ps_treated", "ps_control", "distance")
 
 

@@ -31,10 +31,25 @@ def get_session(master: str | None = None, app: str = "equipoise", shuffle_parti
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
+    tune_session(spark)
     return spark
 
 
+def tune_session(spark: SparkSession) -> None:
+    """Runtime settings the engine relies on; call once per session (idempotent).
+
+    * shared checkpoint folder (see ``ensure_checkpoint_dir``);
+    * HotSpot does not JIT-compile methods above 8000 bytes of bytecode, so a
+      whole-stage method that large runs interpreted -- many times slower for the
+      wide recode projections.  Unless the user chose a value, such stages fall
+      back to per-expression codegen (``spark.sql.codegen.hugeMethodLimit=8000``,
+      as Spark's configuration docs advise for HotSpot).
+    """
+    ensure_checkpoint_dir(spark)
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder named by ``spark.checkpoint.dir``; set a scratch one only when unset.
 
