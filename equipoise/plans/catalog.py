@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from equipoise.functions import recode as R
 from equipoise.functions import rowwise as W
+from equipoise.functions.text import strip_html_full
 from equipoise.operators import balance as B
 from equipoise.operators import effects as E
 from equipoise.operators import propensity as P
@@ -433,6 +434,19 @@ def q_strip_html(spark, d):
     return blocks.select("page_id", "block_no", R.strip_html("block").alias("text"))
 
 
+def q_footer_text(spark, d):
+    """H2 with the full entity table (Arrow pandas UDF) over every page's footer."""
+    p = fx.pages(spark, d)
+    footer = F.regexp_extract(F.col("html"), r"(?s)<footer>(.*?)</footer>", 1)
+    return p.select("page_id", strip_html_full(footer).alias("footer"))
+
+
+def q_wls_dose_pvalues(spark, d):
+    """D10 with p-values from Spark ML's normal-equation WLS (Student-t needs no SQL form)."""
+    return _round(E.wls_pvalues(_weighted(spark, d), "y", "dose", "ipw_weight"),
+                  ["coef", "se", "t_stat", "p_value"])
+
+
 def q_standardize(spark, d):
     z = standardize(fx.units(spark, d).select("id", "acctbal", "n_orders", "dose"),
                     ["acctbal", "n_orders", "dose"], suffix="_z")
@@ -537,6 +551,6 @@ QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.starts
 
 # model fits and the fitted-score grid have no SQL form: they get the weaker rows-only check
 NON_SQL = {"ps_random_forest", "ps_logistic", "ps_best_model", "feature_importance", "spec_grid", "ipw_pipeline",
-           "matching_pipeline"}
+           "matching_pipeline", "wls_dose_pvalues"}
 
 __all__ = ["QUERIES", "NON_SQL", "entry_query"]

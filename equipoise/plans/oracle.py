@@ -550,6 +550,13 @@ pp AS (SELECT id, yesno_score, scale5_score, freq_weekly, duration_min, days30_m
   round({_minmax('severity', 'null')}, 6) AS severity_normalized
 FROM pp""")
     S["subgroup_filter"] = q(_subgroup_sql(), "SELECT * FROM effects WHERE subgroup = 'Region'")
+    # footer text: tags removed, entities decoded (the ones html.unescape meets in these pages), trimmed
+    dec = "regexp_replace(f, '<[^>]*?>', '', 'g')"
+    for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
+                    ("&#39;", "''"), ("&amp;", "&")):
+        dec = f"replace({dec}, '{ent}', '{ch}')"
+    S["footer_text"] = q("ft AS (SELECT page_id, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS f FROM pages)",
+                         f"SELECT page_id, trim({dec}) AS footer FROM ft")
     S["stream_preprocess"] = S["preprocess_pipeline"].replace(f"""round(combo_index, 6) AS combo_index,
   round({_minmax('score_total', 'sklearn')}, 6) AS score_total_normalized,
   round({_minmax('combo_index', 'zero')}, 6) AS combo_index_normalized,

@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.functions.recode import decode_entities, strip_html
+from equipoise.functions.recode import strip_html
+from equipoise.functions.text import strip_html_full, unescape_strip
 
 LINK_PATTERN = r'<a href="([^"]*)">([^<]*)</a>'
 LIST_ITEM_PATTERN = r"(?s)<li>(.*?)</li>"
@@ -59,12 +60,15 @@ def nested_entries(pages: DataFrame, block_pattern: str = LIST_ITEM_PATTERN, row
 
 
 def survey_metadata(pages: DataFrame) -> DataFrame:
-    """A6 + A7 + C1 on a survey codebook: variables (name, label, section) left-joined to their value labels."""
+    """A6 + A7 + C1 on a survey codebook: variables (name, label, section) left-joined to their value labels.
+
+    Text is cleaned like the reference: tags dropped, every HTML entity decoded, whitespace stripped.
+    """
     variables = extract_groups(pages, "html", VARIABLE_PATTERN, ["Label", "Section Name", "SAS Variable Name"])
-    variables = variables.select(*[decode_entities(c).alias(c) for c in ("SAS Variable Name", "Label", "Section Name")])
+    variables = variables.select(*[unescape_strip(c).alias(c) for c in ("SAS Variable Name", "Label", "Section Name")])
     blocks = extract_groups(pages, "html", BLOCK_PATTERN, ["var", "block"], keep=[])
     values = extract_groups(blocks, "block", VALUE_ROW_PATTERN, ["Value", "Value Label"], keep=["var"])
-    values = values.select(F.trim("var").alias("SAS Variable Name"), strip_html("Value").alias("Value"),
-                           strip_html("Value Label").alias("Value Label"))
+    values = values.select(F.trim("var").alias("SAS Variable Name"), strip_html_full("Value").alias("Value"),
+                           strip_html_full("Value Label").alias("Value Label"))
     values = values.where((F.length("Value") > 0) & (F.length("Value Label") > 0)).dropDuplicates()
     return variables.join(values, "SAS Variable Name", "left")
