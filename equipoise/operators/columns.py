@@ -37,7 +37,10 @@ def filter_isin(df: DataFrame, col: str, values) -> DataFrame:
     """
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias(col)).distinct()
-        return join_small(df, keys, col, "left_semi")
+        n = keys.count()
+        if n <= BROADCAST_ROW_LIMIT:
+            return join_small(df, keys, col, "left_semi", known_rows=n)
+        return hot_key_join(df, keys, [col], "left_semi")  # long list: shuffle, hot values broadcast
     return df.where(F.col(col).isin(list(values)))
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from equipoise.operators.joins import DEFAULT_SHARE, hot_key_join, hot_keys_from_counts
 from equipoise.operators.ranking import cumulative_sum
+from equipoise.session import reliable_checkpoint
 
 
 def _neighbours(controls: DataFrame, probes: DataFrame, k: int, hot_share: float = DEFAULT_SHARE,
@@ -79,11 +80,10 @@ def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
         raise ValueError("every setting needs ratio >= 1")
     k = max(r for _, r in settings)
     # the narrow (id, arm, score) projection is read by the range sample, the ranking checkpoint and the
-    # final join: persist it once instead of re-running the input pipeline for each (it recomputes
-    # deterministically if an executor is lost)
-    base = df.where(F.col(score).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(treatment).alias("_t"), F.col(score).cast("double").alias("_ps")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # final join: write it once to the shared checkpoint folder -- the input pipeline runs once, every
+    # later plan starts from this small table, and lineage is cut for lost executors
+    base = reliable_checkpoint(df.where(F.col(score).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(treatment).alias("_t"), F.col(score).cast("double").alias("_ps")))
     treated = base.where(F.col("_t") == 1).select(F.col("_id").alias("treated_id"), F.col("_ps").alias("ps_treated"))
     controls = base.where(F.col("_t") == 0).select(F.col("_id").alias("control_id"),
                                                    F.col("_ps").alias("ps_control"))
@@ -93,7 +93,8 @@ def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
         .persist(StorageLevel.MEMORY_AND_DISK)
     probes = score_counts.select("ps_treated")
 
-    cand = _neighbours(controls, probes, k, hot_share, hot_min_rows, n_probes=score_counts.count())
+    sizes = score_counts.agg(F.count(F.lit(1)).alias("probes"), F.sum("_n").alias("treated")).first()
+    cand = _neighbours(controls, probes, k, hot_share, hot_min_rows, n_probes=sizes["probes"])
     cand = cand.withColumn("distance", F.abs(F.col("ps_control") - F.col("ps_treated")))
     cand = cand.where(F.col("distance") <= F.lit(max(c for c, _ in settings)))
     grid = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(c).alias("_cal"), F.lit(r).alias("_ratio"))
@@ -105,7 +106,7 @@ def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
     best = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_ratio")) \
         .drop("_rn", "_cal", "_ratio")
     # back to every treated row of that score; a score shared by many treated rows is a hot key
-    hot = hot_keys_from_counts(score_counts, ["ps_treated"], "_n", hot_share, hot_min_rows)
+    hot = hot_keys_from_counts(score_counts, ["ps_treated"], "_n", hot_share, hot_min_rows, sizes["treated"] or 0)
     return hot_key_join(treated, best, ["ps_treated"], "inner", hot=hot).select(
         "setting", "treated_id", "control_id", "ps_treated", "ps_control", "distance")
 

@@ -27,6 +27,7 @@ def get_session(master: str | None = None, app: str = "equipoise", shuffle_parti
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("EQUIPOISE_DRIVER_MEMORY", "8g"))
     )
     spark = builder.getOrCreate()
