@@ -476,7 +476,7 @@ def q_stream_preprocess(spark, d):
     return _round(out.drop(*CODED_RAW), ["severity", "combo_index"])
 
 
-def q_preprocess_pipeline(spark, d):
+def q_preprocess_recodes(spark, d):
     out = coded_preprocess(fx.coded(spark, d))
     return _round(out, ["severity", "severity_normalized", "score_total_normalized", "combo_index",
                         "combo_index_normalized"])
@@ -531,26 +531,26 @@ def q_spec_grid(spark, d):
     return SP.spec_grid(coded, specs, "id", "treated", "outcome", ["segment", "nation", "region"])
 
 
-def q_ipw_pipeline(spark, d):
+def q_ipw_analysis(spark, d):
     wa = WeightingAnalysis(fx.units(spark, d), "id", "treated", "y", "dose", UNIT_CONFOUNDERS, UNIT_CATEGORICAL,
                            SUBGROUPS).prepare()
     return wa.dose_response()
 
 
-def q_matching_pipeline(spark, d):
+def q_matching_analysis(spark, d):
     m = _unit_analysis(spark, d).run()
     return m.effect()
 
 
 def entry_query(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: fitted forest scores -> caliper matching -> matched-cohort effect table."""
-    return q_matching_pipeline(spark, d)
+    return q_matching_analysis(spark, d)
 
 
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 
 # model fits and the fitted-score grid have no SQL form: they get the weaker rows-only check
-NON_SQL = {"ps_random_forest", "ps_logistic", "ps_best_model", "feature_importance", "spec_grid", "ipw_pipeline",
-           "matching_pipeline", "wls_dose_pvalues"}
+NON_SQL = {"ps_random_forest", "ps_logistic", "ps_best_model", "feature_importance", "spec_grid", "ipw_analysis",
+           "matching_analysis", "wls_dose_pvalues"}
 
 __all__ = ["QUERIES", "NON_SQL", "entry_query"]

@@ -531,7 +531,7 @@ ab AS (SELECT max(CASE WHEN term = 'Intercept' THEN coef END) AS a, max(CASE WHE
 ex AS (SELECT min(dose) AS mn, max(dose) AS mx FROM w),
 pts AS (SELECT g.i AS point, CASE WHEN g.i = 99 THEN ex.mx ELSE g.i * ((ex.mx - ex.mn) / 99) + ex.mn END AS x
         FROM range(100) g(i), ex)""", "SELECT point, round(x, 6) AS x, round(a + b * x, 6) AS y_hat FROM pts, ab")
-    S["preprocess_pipeline"] = q(coded_recoded_cte() + f""",
+    S["preprocess_recodes"] = q(coded_recoded_cte() + f""",
 pp AS (SELECT id, yesno_score, scale5_score, freq_weekly, duration_min, days30_mapped,
               CASE WHEN days30 BETWEEN 1 AND 30 THEN CAST(days30 AS DOUBLE) ELSE {D(0)} END / {D(30)} AS days30_or_zero,
               CASE WHEN weight IN (7777, 9999) THEN NULL ELSE weight END AS weight_clean,
@@ -557,7 +557,7 @@ FROM pp""")
         dec = f"replace({dec}, '{ent}', '{ch}')"
     S["footer_text"] = q("ft AS (SELECT page_id, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS f FROM pages)",
                          f"SELECT page_id, trim({dec}) AS footer FROM ft")
-    S["stream_preprocess"] = S["preprocess_pipeline"].replace(f"""round(combo_index, 6) AS combo_index,
+    S["stream_preprocess"] = S["preprocess_recodes"].replace(f"""round(combo_index, 6) AS combo_index,
   round({_minmax('score_total', 'sklearn')}, 6) AS score_total_normalized,
   round({_minmax('combo_index', 'zero')}, 6) AS combo_index_normalized,
   round({_minmax('severity', 'null')}, 6) AS severity_normalized

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["match_nearest", "match_knn", "balance_after", "treatment_effect", "preprocess_pipeline", "auc",
+SAMPLE = ["match_nearest", "match_knn", "balance_after", "treatment_effect", "preprocess_recodes", "auc",
           "describe", "dose_response_bins", "subgroup_effects", "codebook_values", "category_codes", "row_id"]
 
 
