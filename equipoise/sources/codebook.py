@@ -27,8 +27,17 @@ BLOCK_PATTERN = (r"(?s)Label:&nbsp;.+?<br>.*?SAS&nbsp;Variable&nbsp;Name:&nbsp;(
 VALUE_ROW_PATTERN = r"(?s)<tr>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>"
 
 
+STANDARD_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
+
+
 def read_pages(spark, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A2: raw page files -> (path, html) decoded with ``encoding`` (one row per file)."""
+    """A2: raw page files -> (path, html) decoded with ``encoding`` (one row per file).
+
+    Spark 4 decodes only the standard charsets unless ``spark.sql.legacy.javaCharsets``
+    is on; it is switched on for others (e.g. windows-1252, as the codebook uses).
+    """
+    if encoding.upper() not in STANDARD_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     raw = spark.read.format("binaryFile").load(path)
     return raw.select(F.col("path"), F.decode(F.col("content"), encoding).alias("html"))
 
