@@ -42,11 +42,20 @@ def evaluate_settings(scored: DataFrame, spec_name: str, confounders: Sequence[s
         pairs.unpersist()
         return []
     sides = matched_sides(scored, pairs, id_col, treatment)
-    bal = B.balance(sides, confounders, treatment, by=["setting"])
-    smd = {r.setting: r.m for r in bal.groupBy("setting").agg(F.avg(F.abs("smd")).alias("m")).collect()}
+    # one grouped aggregate per setting gives the covariates' balance and, as one more measured column,
+    # the outcome means whose difference is the effect (rows: settings x (covariates + 1), bounded)
+    measured = list(confounders) + ([outcome] if outcome not in confounders else [])
+    rows_bal = B.balance(sides, measured, treatment, by=["setting"]).collect()
+    smd, eff, seen = {}, {}, {}
+    for r in rows_bal:
+        if r.variable == outcome:
+            eff[r.setting] = None if r.treated_mean is None or r.control_mean is None else \
+                r.treated_mean - r.control_mean
+        if r.variable in confounders:
+            smd[r.setting] = smd.get(r.setting, 0.0) + abs(r.smd)
+            seen[r.setting] = seen.get(r.setting, 0) + 1
+    smd = {k: v / seen[k] for k, v in smd.items()}
     t = F.col(treatment) == 1
-    eff = {r.setting: r.e for r in sides.groupBy("setting").agg(
-        (F.avg(F.when(t, F.col(outcome))) - F.avg(F.when(~t, F.col(outcome)))).alias("e")).collect()}
     if arm_counts is None:
         row = scored.agg(F.count(F.when(t, 1)).alias("nt"), F.count(F.when(~t, 1)).alias("nc")).first()
         arm_counts = (row["nt"], row["nc"])
