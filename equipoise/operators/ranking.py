@@ -45,12 +45,17 @@ def cumulative_sum(
     size of the offsets table, so it is broadcast without counting it first.
     """
     spark = df.sparkSession
+    # without an explicit count AQE sizes the range partitions by data volume (it only merges
+    # neighbouring ranges, so order across partitions holds); either way n bounds their number
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _as_cols(order_by)
     value_col = F.col(value) if isinstance(value, str) else value
     keys = [*(F.col(c) for c in partition_by), *order_cols]
 
-    ranged = df.withColumn(_LOC, value_col).repartitionByRange(n, *keys).withColumn(_PID, F.spark_partition_id())
+    with_value = df.withColumn(_LOC, value_col)
+    ranged = with_value.repartitionByRange(num_partitions, *keys) if num_partitions else \
+        with_value.repartitionByRange(*keys)
+    ranged = ranged.withColumn(_PID, F.spark_partition_id())
     ranged = reliable_checkpoint(ranged)
 
     totals = ranged.groupBy(_PID, *partition_by).agg(F.sum(_LOC).alias(_TOT))
