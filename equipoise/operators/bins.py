@@ -12,15 +12,17 @@ from equipoise.operators.scaling import column_extremes
 from equipoise.session import join_small
 
 
-def width_bins(df: DataFrame, col: str, width: float = 60.0, out: str = "dose_bin") -> DataFrame:
+def width_bins(df: DataFrame, col: str, width: float = 60.0, out: str = "dose_bin",
+               max_value: float | None = None) -> DataFrame:
     """Left-closed bins of fixed ``width`` from 0 up to the column maximum.
 
     Edges are 0, w, 2w, ... below max + w (so a maximum that is a multiple of
     ``w`` falls outside every bin, Q9); labels are ``'lo-hi'`` with hi = lo + w - 1
     in one-decimal float text.  When the maximum is not > 0 every row is
     labelled ``'0-59'`` as in the reference.  Adds ``out`` and ``out + '_start'``.
+    ``max_value`` passes a maximum the caller has already measured.
     """
-    mx = column_extremes(df, [col])[col][1]
+    mx = max_value if max_value is not None else column_extremes(df, [col])[col][1]
     if mx is None or mx <= 0:
         return df.withColumn(out, F.lit(f"0-{int(width) - 1}")).withColumn(out + "_start", F.lit(0.0))
     n_edges = math.ceil((mx + width) / width)  # len(arange(0, mx + w, w))

@@ -84,9 +84,9 @@ class WeightingAnalysis:
 
     def dose_response(self, width: float = S.DOSE_BIN_WIDTH) -> DataFrame:
         """B18 + D9: weighted mean outcome per dose bin."""
-        binned = width_bins(self.analysis, self.dose, width, out="dose_bin")
-        mx = column_extremes(self.analysis, [self.dose])[self.dose][1] or 0
-        self.n_bins = int(mx // width) + 2
+        mx = column_extremes(self.analysis, [self.dose])[self.dose][1]
+        binned = width_bins(self.analysis, self.dose, width, out="dose_bin", max_value=mx)
+        self.n_bins = int((mx or 0) // width) + 2
         return E.weighted_bin_stats(binned, "dose_bin", self.outcome, "ipw_weight", n_bins=self.n_bins,
                                     extra_keys=["dose_bin_start"])
 
