@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.operators.scaling import column_extremes
-from equipoise.session import join_small
+from equipoise.operators.joins import join_bounded
 
 
 def width_bins(df: DataFrame, col: str, width: float = 60.0, out: str = "dose_bin",
@@ -82,7 +82,7 @@ def histogram(df: DataFrame, col: str, bins: int, group: str | None = None) -> D
         return F.when(i >= bins, F.col("_mx")).otherwise(i * F.col("_step") + F.col("_mn"))
 
     x = F.col(col).cast("double")
-    j = join_small(data.select(*keys, x.alias("_x")), stats, keys, "inner", known_rows=1 if group is None else None)
+    j = join_bounded(data.select(*keys, x.alias("_x")), stats, keys, "inner", known_rows=1 if group is None else None)
     idx = F.floor((F.col("_x") - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * F.lit(bins)).cast("int")
     idx = F.least(idx, F.lit(bins - 1))
     j = j.withColumn("_i", idx)

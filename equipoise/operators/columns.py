@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.operators.joins import hot_key_join
+from equipoise.operators.joins import hot_key_join, join_bounded
 from equipoise.operators.ranking import row_index
 from equipoise.session import BROADCAST_ROW_LIMIT, join_small
 
@@ -109,7 +109,7 @@ def decode_categories(df: DataFrame, mapping: DataFrame, cols: Sequence[str], su
     out = df
     for c in cols:
         m = mapping.where(F.col("variable") == c).select(F.col("code").alias(c), F.col("value").alias(c + suffix))
-        out = join_small(out, m, c, "left")
+        out = join_bounded(out, m, [c], "left")
     return out
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.session import join_small
+from equipoise.operators.joins import join_bounded
 
 Z95 = 1.96
 
@@ -134,7 +134,7 @@ def weighted_bin_stats(df: DataFrame, bin_col: str, y: str, weight: str, n_bins:
                                     F.count(F.lit(1)).alias("count"))
     first = first.where(F.col("_W") != 0).withColumn("mean", F.col("_Sy") / F.col("_W"))
     means = first.select(*keys, "mean")
-    dev = join_small(data, means, keys, "inner", known_rows=n_bins) \
+    dev = join_bounded(data, means, keys, "inner", known_rows=n_bins) \
         .groupBy(*keys).agg(F.sum(F.col("_w") * (F.col("_y") - F.col("mean")) ** 2).alias("_S2"))
     res = first.join(dev, keys).withColumn("se", F.sqrt(F.col("_S2") / F.col("_W") / F.col("count")))
     return res.select(*keys, "mean", "se", F.col("count").cast("long").alias("count"),

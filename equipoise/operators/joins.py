@@ -79,3 +79,13 @@ def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     cold = F.coalesce(~is_hot, F.lit(True))  # a NULL key is never hot (kept by outer joins)
     cold_part = big.where(cold).join(small.where(cold), keys, how)
     return hot_part.unionByName(cold_part)
+
+
+def join_bounded(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner",
+                 known_rows: int | None = None) -> DataFrame:
+    """Broadcast ``small`` under a proven row bound; beyond it a shuffle join with hot keys split out."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = known_rows if known_rows is not None else small.count()
+    if rows <= BROADCAST_ROW_LIMIT:
+        return big.join(F.broadcast(small), keys, how)
+    return hot_key_join(big, small, keys, how)
