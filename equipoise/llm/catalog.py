@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from equipoise.llm import exact_dedup
+from equipoise.llm import bpe, exact_dedup, language_id, mixing, toxicity, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_language_id": language_id.op5_language_id,
+    "op7_bpe": bpe.op7_bpe,
+    "op9_url_filter": url_filter.op9_url_filter,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op9_url_filter": url_filter.SQL,
 }

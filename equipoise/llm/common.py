@@ -37,5 +37,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def fold(doc_id: Column, k: int) -> Column:
-    """crc32 of the id as text, modulo ``k``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % k
+    """crc32 of the id as text (NULL: the empty text), modulo ``k``."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
