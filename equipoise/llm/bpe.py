@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equipoise.llm.common import table
+from equipoise.llm.common import ship_package, table
 
 #: FIXED VALUE: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,10 +52,13 @@ class BytePairCoder:
         vocab, merges = model["model"]["vocab"], model["model"]["merges"]
         symbols = byte_symbols()
         self.byte_id = [vocab[s] for s in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # a pair of ids as one number -> the rank of its merge; the rank -> the merged id
+        self.ranks: dict[int, int] = {}
+        self.merged: list[int] = []
         for rank, pair in enumerate(merges):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.ranks[vocab[left] << 32 | vocab[right]] = rank
+            self.merged.append(vocab[left + right])
         as_byte = {s: b for b, s in enumerate(symbols)}
         self.strings = {i: bytes(as_byte[c] for c in s) for s, i in vocab.items() if all(c in as_byte for c in s)}
         self.added = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
@@ -70,26 +73,30 @@ class BytePairCoder:
         ids = [self.byte_id[b] for b in piece.encode("utf-8", "replace")]
         if len(ids) < 2:
             return tuple(ids)
-        n, get = len(ids), self.merges.get
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        queue = []
-        for i in range(n - 1):
-            if (m := get((ids[i], ids[i + 1]))) is not None:
-                queue.append((m[0], i, ids[i], ids[i + 1], m[1]))
+        n, get = len(ids), self.ranks.get
+        # an entry is rank and place in one number
+        queue = [r << 32 | i for i in range(n - 1) if (r := get(ids[i] << 32 | ids[i + 1])) is not None]
+        if not queue:
+            return tuple(ids)
         heapq.heapify(queue)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        merged, pop, push = self.merged, heapq.heappop, heapq.heappush
         while queue:
-            _, i, left, right, joined = heapq.heappop(queue)
+            entry = pop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            if j < 0 or ids[i] < 0 or get(ids[i] << 32 | ids[j]) != rank:
                 continue  # stale: one of the two has been merged meanwhile
+            joined = merged[rank]
             ids[i], ids[j] = joined, -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if (m := get((joined, ids[k]))) is not None:
-                    heapq.heappush(queue, (m[0], i, joined, ids[k], m[1]))
-            if (h := before[i]) >= 0 and (m := get((ids[h], joined))) is not None:
-                heapq.heappush(queue, (m[0], h, ids[h], joined, m[1]))
+                if (r := get(joined << 32 | ids[k])) is not None:
+                    push(queue, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := get(ids[h] << 32 | joined)) is not None:
+                push(queue, r << 32 | h)
         return tuple(x for x in ids if x >= 0)
 
     def encode(self, text: str) -> array:
@@ -107,16 +114,19 @@ class BytePairCoder:
 
 
 class _Pieces(dict):
-    """Ids of the pieces merged so far."""
+    """Ids of the pieces merged lately: when it is full it becomes the ``older`` one, whose pieces are taken over on use."""
 
     def __init__(self, coder: BytePairCoder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.older = coder, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.coder.merge(piece)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.coder.merge(piece)
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
+            if len(self) >= CACHED // 2:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -137,6 +147,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     ``path`` is the tokenizer's JSON file, as the driver sees it.
     """
+    ship_package(docs.sparkSession)
     with open(path, encoding="utf-8") as f:
         content = f.read()
 

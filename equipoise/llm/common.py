@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import equipoise
 from equipoise.session import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -16,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Spark hand this package to the Python workers, once a SparkContext.
+
+    The archive is only built beside the driver; executors fetch it from Spark.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_equipoise_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(equipoise.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="equipoise-package-"), "equipoise-package")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(home), os.path.basename(home)))
+    context._equipoise_shipped = True
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z lower-cased and every other character as it is.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm.common import fold, table
+from equipoise.llm.common import fold, ship_package, table
 from equipoise.llm.words import text_bytes
 
 DIMENSIONS, LENGTHS, GROUP = 4096, (2, 4), 512
@@ -99,6 +99,7 @@ def cluster(vectors: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.
 
 def learn(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """The model from labelled ``rows`` (text, lang)."""
+    ship_package(rows.sparkSession)
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     n, df = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
@@ -132,6 +133,8 @@ def learn(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
 def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score (the cosine) and rejected; only ``text`` is looked at."""
 
+    ship_package(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def nearest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = np.array([*model["names"], UNKNOWN], dtype=object)
