@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from equipoise.llm import bpe, exact_dedup, language_id, mixing, toxicity, url_filter
+from equipoise.llm import bpe, exact_dedup, language_id, mixing, ngram_join, suffix_tree, toxicity, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_suffix_tree": suffix_tree.op3_suffix_tree,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
     "op7_bpe": bpe.op7_bpe,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_mixing": mixing.op10_mixing,
 }

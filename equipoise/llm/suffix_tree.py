@@ -25,23 +25,24 @@ there is nothing to learn from, N and V are 0 and the unknown symbol has all of
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from equipoise.llm.cells import cell_totals
 from equipoise.llm.common import fold, materialize, ship_package, table
 from equipoise.llm.words import mix64, words_of
 
 DEPTH = 2
 WORD_SHARE, STRING_SHARE, LEAST = 2.5e-7, 1e-6, 4
-CELLS, CELL_BLOCK = 1 << 22, 1 << 16
+CELLS = 1 << 22
 CHUNK, ROWS = 2_000_000, 65_536
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -73,7 +74,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     """Symbols and bounds of some rows at a time: about CHUNK words by their bytes."""
     for batch in batches:
         texts = batch.column(0)
-        sizes = pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) // 6 + 1
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False) // 6 + 1
         group = np.cumsum(sizes) // CHUNK
         for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(group)) + 1):
             if len(rows):
@@ -97,43 +98,13 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def cell_totals(texts: DataFrame) -> np.ndarray:
-    """(DEPTH x CELLS) how many strings of each length fall into each cell.
-
-    Each task sends its counts in compressed blocks; a block's are added up one after the other.
-    """
-
-    def count(batches):
-        cells = np.zeros((DEPTH, CELLS), np.uint32)
-        for symbol, bounds in _chunks(batches):
-            before, place = contexts(symbol, bounds)
-            for k in range(1, DEPTH + 1):
-                inside = place >= k
-                cells[k - 1] += np.bincount(string_hash(before[k][inside], symbol[inside]) & np.uint64(CELLS - 1),
-                                            minlength=CELLS).astype(np.uint32)
-        for k in range(DEPTH):
-            for b in range(CELLS // CELL_BLOCK):
-                part = cells[k, b * CELL_BLOCK:(b + 1) * CELL_BLOCK]
-                if part.any():  # byte planes: the high ones are mostly 0
-                    planes = part.view(np.uint8).reshape(-1, 4).T.tobytes()
-                    yield pa.record_batch({"k": pa.array([k], pa.int32()), "block": pa.array([b], pa.int32()),
-                                           "cells": pa.array([zlib.compress(planes, 1)], pa.binary())})
-
-    def add(batches):
-        sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for k, b, cells in zip(*(c.to_pylist() for c in batch.columns)):
-                part = np.frombuffer(zlib.decompress(cells), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0]
-                sums[k, b] = sums.get((k, b), 0) + part.astype(np.int64)
-        for (k, b), total in sums.items():
-            yield pa.record_batch({"k": pa.array([k], pa.int32()), "block": pa.array([b], pa.int32()),
-                                   "cells": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "k int, block int, cells binary"
-    out = np.zeros((DEPTH, CELLS), np.int64)
-    for row in texts.mapInArrow(count, schema).repartition("k", "block").mapInArrow(add, schema).toLocalIterator():
-        out[row["k"], row["block"] * CELL_BLOCK:(row["block"] + 1) * CELL_BLOCK] = np.frombuffer(row["cells"], np.int64)
-    return out
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length less 2, hashes) of the strings of 2 to DEPTH + 1 symbols."""
+    for symbol, bounds in _chunks(batches):
+        before, place = contexts(symbol, bounds)
+        for k in range(1, DEPTH + 1):
+            inside = place >= k
+            yield k - 1, string_hash(before[k][inside], symbol[inside])
 
 
 def count_strings(texts: DataFrame, heavy_cells: np.ndarray, least: int) -> pd.DataFrame:
@@ -185,7 +156,7 @@ def learn(texts: DataFrame) -> dict:
     order = np.argsort(hashes)
     model |= {"heavy": hashes[order], "heavy_n": heavy["n"].to_numpy()[order]}
     least = max(LEAST, int(np.ceil(STRING_SHARE * N)))
-    strings = count_strings(texts, cell_totals(texts) >= least, least)
+    strings = count_strings(texts, cell_totals(texts, _strings, DEPTH, CELLS) >= least, least)
     model["tree"] = grow(strings, model)
     return model
 
