@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from equipoise.llm import bpe, exact_dedup, language_id, mixing, ngram_join, suffix_tree, toxicity, url_filter
+from equipoise.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, suffix_tree, toxicity, url_filter, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_suffix_tree": suffix_tree.op3_suffix_tree,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_language_id": language_id.op5_language_id,
+    "op6_maxscore": maxscore.op6_maxscore,
     "op7_bpe": bpe.op7_bpe,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
@@ -16,6 +18,8 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_warc": warc.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_maxscore": maxscore.SQL,
     "op9_url_filter": url_filter.SQL,
 }

@@ -43,7 +43,7 @@ from equipoise.llm.words import mix64, words_of
 DEPTH = 2
 WORD_SHARE, STRING_SHARE, LEAST = 2.5e-7, 1e-6, 4
 CELLS = 1 << 22
-CHUNK, ROWS = 2_000_000, 65_536
+CHUNK, ROWS = 700_000, 65_536
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 END = np.uint64(0x1F83D9ABFB41BD6B)
