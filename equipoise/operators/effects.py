@@ -1,7 +1,7 @@
 """Effect estimators.
 
-Regressions with one predictor are closed forms over weighted sums, so each is
-one map-side-combined aggregate (per group for subgroup effects) -- no model
+Regressions with one predictor are closed forms over centred weighted sums, so each is
+two map-side-combined aggregates (one, per group, for subgroup effects) -- no model
 object, no collect of rows.
 """
 
@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equipoise.functions.recode import finite_or_null
 from equipoise.operators.joins import join_bounded
 
 Z95 = 1.96
@@ -38,39 +39,45 @@ def ipw_weights(df: DataFrame, score: str, treatment: str, out: str = "ipw_weigh
     """ATE weight T/ps + (1-T)/(1-ps); rows with a missing or infinite weight are dropped."""
     ps = F.col(score).cast("double")
     w = F.when(F.col(treatment) == 1, F.try_divide(F.lit(1.0), ps)).otherwise(F.try_divide(F.lit(1.0), 1 - ps))
-    return df.withColumn(out, w).where(F.col(out).isNotNull() & ~F.isnan(out))
+    return df.withColumn(out, finite_or_null(w)).where(F.col(out).isNotNull())
 
 
-def _wls_sums(y: Column, x: Column, w: Column) -> list[Column]:
-    return [F.sum(w).alias("W"), F.sum(w * x).alias("Sx"), F.sum(w * y).alias("Sy"),
-            F.sum(w * x * x).alias("Sxx"), F.sum(w * x * y).alias("Sxy"), F.sum(w * y * y).alias("Syy"),
-            F.count(F.lit(1)).alias("n")]
-
-
-def _wls_from_sums(frame: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    cxx = F.col("Sxx") - F.col("Sx") * F.col("Sx") / F.col("W")
-    cxy = F.col("Sxy") - F.col("Sx") * F.col("Sy") / F.col("W")
-    cyy = F.col("Syy") - F.col("Sy") * F.col("Sy") / F.col("W")
-    f = frame.select(*keys, "W", "n", (F.col("Sx") / F.col("W")).alias("xm"), (F.col("Sy") / F.col("W")).alias("ym"),
-                     cxx.alias("cxx"), cxy.alias("cxy"), cyy.alias("cyy"))
-    f = f.withColumn("b", F.try_divide(F.col("cxy"), F.col("cxx")))
-    f = f.withColumn("a", F.col("ym") - F.col("b") * F.col("xm"))
-    f = f.withColumn("rss", F.col("cyy") - F.col("b") * F.col("cxy"))
-    f = f.withColumn("s2", F.try_divide(F.col("rss"), (F.col("n") - 2).cast("double")))
-    f = f.withColumn("se_b", F.sqrt(F.try_divide(F.col("s2"), F.col("cxx"))))
-    f = f.withColumn("se_a", F.sqrt(F.col("s2") * (1 / F.col("W") + F.col("xm") * F.col("xm") / F.col("cxx"))))
-    return f.withColumn("r2", 1 - F.try_divide(F.col("rss"), F.col("cyy")))
+#: a predictor whose spread is below this share of its largest value counts as constant
+_ZERO_SPREAD = 4e-16
 
 
 def wls(df: DataFrame, y: str, x: str, weight: str) -> DataFrame:
     """Weighted least squares ``y ~ 1 + x``: per term coefficient, SE, t; model R^2 and n.
 
     Matches statsmodels' WLS (residual scale RSS_w / (n - 2), weighted centred
-    TSS for R^2).  p-values need a Student-t CDF: see ``wls_pvalues``.
+    TSS for R^2).  Two aggregates: the weighted means first, then the sums of the
+    centred values, so that a large offset of x or y costs no precision.  A
+    constant x, or weights that add up to 0, give NULL.  p-values need a
+    Student-t CDF: see ``wls_pvalues``.
     """
-    sums = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(weight).isNotNull()).agg(
-        *_wls_sums(F.col(y).cast("double"), F.col(x).cast("double"), F.col(weight).cast("double")))
-    f = _wls_from_sums(sums)
+    data = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(weight).isNotNull()).select(
+        F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"), F.col(weight).cast("double").alias("_w"))
+    # the means are two scalars of one row; centring by nearby values is exact enough whatever their last digits
+    m = data.agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("xm"),
+                 F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("ym"),
+                 F.max(F.abs("_x")).alias("largest")).first()
+    xm, ym = (F.lit(m[k]).cast("double") for k in ("xm", "ym"))
+    dx, dy, w = F.col("_x") - xm, F.col("_y") - ym, F.col("_w")
+    f = data.agg(F.sum(w).alias("W"), F.sum(w * dx).alias("dx"), F.sum(w * dy).alias("dy"), F.sum(w * dx * dx).alias("cxx"),
+                 F.sum(w * dx * dy).alias("cxy"), F.sum(w * dy * dy).alias("cyy"), F.count(F.lit(1)).alias("n"))
+    # what rounding left of the means is taken out again
+    f = f.withColumns({"cxx": F.col("cxx") - F.try_divide(F.col("dx") * F.col("dx"), F.col("W")),
+                       "cxy": F.col("cxy") - F.try_divide(F.col("dx") * F.col("dy"), F.col("W")),
+                       "cyy": F.col("cyy") - F.try_divide(F.col("dy") * F.col("dy"), F.col("W"))})
+    spread = F.lit(_ZERO_SPREAD * float(m["largest"] or 0.0))
+    f = f.withColumn("cxx", F.when(F.col("cxx") > F.col("W") * spread * spread, F.col("cxx")))
+    f = f.withColumn("b", F.try_divide(F.col("cxy"), F.col("cxx")))
+    f = f.withColumn("a", ym - F.col("b") * xm)
+    f = f.withColumn("rss", F.greatest(F.col("cyy") - F.col("b") * F.col("cxy"), F.col("b") * 0.0))
+    f = f.withColumn("s2", F.try_divide(F.col("rss"), F.when(F.col("n") > 2, (F.col("n") - 2).cast("double"))))
+    f = f.withColumns({"se_b": F.sqrt(F.try_divide(F.col("s2"), F.col("cxx"))),
+                       "se_a": F.sqrt(F.col("s2") * (F.try_divide(F.lit(1.0), F.col("W")) + F.try_divide(xm * xm, F.col("cxx")))),
+                       "r2": 1 - F.try_divide(F.col("rss"), F.col("cyy"))})
     return f.selectExpr(
         "stack(2, 'Intercept', a, se_a, '" + x + "', b, se_b) AS (term, coef, se)", "r2", "n"
     ).select("term", "coef", "se", F.try_divide(F.col("coef"), F.col("se")).alias("t_stat"),

@@ -194,12 +194,11 @@ bins_ci AS (SELECT *, mean - 1.96 * se AS ci_lower, mean + 1.96 * se AS ci_upper
 
 
 def wls_sql(src, y, x, w, term):
-    return f"""s AS (SELECT sum({w}) AS W, sum({w} * {x}) AS Sx, sum({w} * {y}) AS Sy, sum({w} * {x} * {x}) AS Sxx,
-             sum({w} * {x} * {y}) AS Sxy, sum({w} * {y} * {y}) AS Syy, count(*) AS n
-      FROM (SELECT CAST({y} AS DOUBLE) AS {y}, CAST({x} AS DOUBLE) AS {x}, CAST({w} AS DOUBLE) AS {w} FROM {src}
-            WHERE {y} IS NOT NULL AND {x} IS NOT NULL AND {w} IS NOT NULL) z),
-f AS (SELECT W, n, Sx / W AS xm, Sy / W AS ym, Sxx - Sx * Sx / W AS cxx, Sxy - Sx * Sy / W AS cxy,
-             Syy - Sy * Sy / W AS cyy FROM s),
+    return f"""z AS (SELECT CAST({y} AS DOUBLE) AS y_, CAST({x} AS DOUBLE) AS x_, CAST({w} AS DOUBLE) AS w_ FROM {src}
+      WHERE {y} IS NOT NULL AND {x} IS NOT NULL AND {w} IS NOT NULL),
+s AS (SELECT sum(w_ * x_) / sum(w_) AS xm, sum(w_ * y_) / sum(w_) AS ym FROM z),
+f AS (SELECT sum(w_) AS W, count(*) AS n, any_value(xm) AS xm, any_value(ym) AS ym, sum(w_ * (x_ - xm) * (x_ - xm)) AS cxx,
+             sum(w_ * (x_ - xm) * (y_ - ym)) AS cxy, sum(w_ * (y_ - ym) * (y_ - ym)) AS cyy FROM z, s),
 g AS (SELECT *, cxy / NULLIF(cxx, 0) AS b FROM f),
 h AS (SELECT *, ym - b * xm AS a, cyy - b * cxy AS rss FROM g),
 k AS (SELECT *, rss / NULLIF(CAST(n - 2 AS DOUBLE), 0) AS s2 FROM h),
@@ -524,6 +523,10 @@ ORDER BY abs(smd) DESC, variable LIMIT 10""")
          CASE WHEN u.treated = 1 THEN {D(1)} / NULLIF(s.ps, 0) ELSE {D(1)} / NULLIF(1 - s.ps, 0) END AS ipw_weight
   FROM units u LEFT JOIN (SELECT id, ps FROM scored WHERE dose > 0) s ON u.id = s.id) x
 WHERE ipw_weight IS NOT NULL AND NOT isnan(ipw_weight)""")
+    S["wls_offset"] = q(weighted_cte() + ",\noff AS (SELECT *, dose + CAST(100000000 AS DOUBLE) AS dose_far FROM w),\n"
+                        + wls_sql("off", "y", "dose_far", "ipw_weight", "dose_far"),
+                        "SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(r2, 6) AS r_squared, n "
+                        "FROM terms WHERE term = 'dose_far'")
     S["ipw_effect"] = q(weighted_cte() + ",\n" + wls_sql("w", "y", "treated", "ipw_weight", "treated"), WLS_FINAL)
     S["trend_line"] = q(weighted_cte() + ",\n" + wls_sql("w", "y", "dose", "ipw_weight", "dose") + """,
 ab AS (SELECT max(CASE WHEN term = 'Intercept' THEN coef END) AS a, max(CASE WHEN term = 'dose' THEN coef END) AS b

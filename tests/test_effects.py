@@ -119,3 +119,17 @@ def test_ipw_weights_drop_infinite(spark):
     df = spark.createDataFrame([(1, 1, 0.0), (2, 0, 1.0), (3, 1, 0.25), (4, 0, None)], "id int, t int, ps double")
     got = {r.id: r.ipw_weight for r in E.ipw_weights(df, "ps", "t").collect()}
     assert got == {3: 4.0}
+
+
+def test_wls_offset_constant_and_zero_weights(spark):
+    r = np.random.default_rng(0).random(500)
+    df = spark.createDataFrame(pd.DataFrame({"far": 1e8 + r, "y": 2 * r + 1, "w": 1.0, "same": 0.1, "none": 0.0}))
+    far = {x.term: x for x in E.wls(df, "y", "far", "w").collect()}["far"]
+    assert abs(far.coef - 2) < 1e-6 and far.r_squared > 0.999999
+    for x, w in (("same", "w"), ("far", "none")):
+        assert {r.coef for r in E.wls(df, "y", x, w).collect()} == {None}
+
+
+def test_ipw_weights_drop_infinite(spark):
+    df = spark.createDataFrame([(1, 1e-310), (1, 0.5), (0, 1.0), (0, None)], "t int, ps double")
+    assert [r.ipw_weight for r in E.ipw_weights(df, "ps", "t").collect()] == [2.0]
