@@ -65,10 +65,10 @@ def flag_index(cols: Sequence[str | Column], code=1, denominator: int | None = N
 
 
 def any_positive(cols: Sequence[str | Column]) -> Column:
-    """1 when any column is > 0; missing values count as not positive (Q1)."""
+    """1 when any column is > 0; missing values and NaN count as not positive (Q1)."""
     cond = F.lit(False)
     for c in cols:
-        cond = cond | F.coalesce(_c(c) > 0, F.lit(False))
+        cond = cond | F.coalesce((_c(c) > 0) & ~F.isnan(_c(c).cast("double")), F.lit(False))
     return F.when(cond, F.lit(1)).otherwise(F.lit(0))
 
 

@@ -12,13 +12,19 @@ def _c(col):
     return F.col(col) if isinstance(col, str) else col
 
 
+def _present(col) -> Column:
+    """The value as double; NaN counts as missing (Q1)."""
+    x = _c(col).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def row_sum(cols: Sequence) -> Column:
     """Sum skipping NULLs; a row with every part NULL sums to 0 (Q6)."""
-    return sum((F.coalesce(_c(c).cast("double"), F.lit(0.0)) for c in cols), F.lit(0.0))
+    return sum((F.coalesce(_present(c), F.lit(0.0)) for c in cols), F.lit(0.0))
 
 
 def non_null_count(cols: Sequence) -> Column:
-    return sum((F.when(_c(c).isNotNull(), F.lit(1)).otherwise(F.lit(0)) for c in cols), F.lit(0))
+    return sum((F.when(_present(c).isNotNull(), F.lit(1)).otherwise(F.lit(0)) for c in cols), F.lit(0))
 
 
 def row_mean(cols: Sequence) -> Column:
@@ -33,8 +39,8 @@ def weighted_mean(weights) -> Column:
     or is a sequence of (column or Column expression, weight) pairs.
     """
     pairs = list(weights.items()) if isinstance(weights, Mapping) else list(weights)
-    num = sum((F.coalesce(_c(c) * F.lit(float(w)), F.lit(0.0)) for c, w in pairs), F.lit(0.0))
-    den = sum((F.when(_c(c).isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0)) for c, w in pairs), F.lit(0.0))
+    num = sum((F.coalesce(_present(c) * F.lit(float(w)), F.lit(0.0)) for c, w in pairs), F.lit(0.0))
+    den = sum((F.when(_present(c).isNotNull(), F.lit(float(w))).otherwise(F.lit(0.0)) for c, w in pairs), F.lit(0.0))
     return F.when(den > 0, num / den)
 
 

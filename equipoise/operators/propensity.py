@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,9 +86,11 @@ def feature_importance(model, features: Sequence[str], spark=None) -> DataFrame:
 
 def best_model(df: DataFrame, features: Sequence[str], treatment: str, rf_params: dict | None = None,
                out: str = "propensity_score"):
-    """Fit logistic and forest models, keep the one with the greatest AUC (failed fits skipped).
+    """Fit logistic and forest models, keep the one with the greatest AUC.
 
-    Returns (scored DataFrame, model name, auc).
+    A model that can't be fitted to these data is skipped; any other failure, as a lost
+    executor, is raised, for it must not decide which model is kept.  Returns
+    (scored DataFrame, model name, auc); ValueError if no model is left.
     """
     candidates = {
         "logistic": lambda: fit_logistic(df, features, treatment),
@@ -97,10 +100,12 @@ def best_model(df: DataFrame, features: Sequence[str], treatment: str, rf_params
     for name, fit in candidates.items():
         try:
             model = fit()
-        except Exception:  # noqa: BLE001 -- a failed fit is skipped, as in the reference
+        except IllegalArgumentException:
             continue
         scored = score(model, df, features, out)
         value = auc_value(scored, out, treatment)
         if value is not None and value > best[2]:
             best = (scored, name, value)
+    if best[0] is None:
+        raise ValueError("no propensity model could be fitted and ranked")
     return best

@@ -17,7 +17,8 @@ def column_extremes(df: DataFrame, cols: Sequence[str]) -> dict:
     """min/max of each column from one aggregate (NULL-skipping)."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.min(c).alias(f"mn{i}"), F.max(c).alias(f"mx{i}")]
+        value = F.when(~F.isnan(F.col(c).cast("double")), F.col(c))  # NaN would be the largest value
+        aggs += [F.min(value).alias(f"mn{i}"), F.max(value).alias(f"mx{i}")]
     row = df.agg(*aggs).first()
     return {c: (row[f"mn{i}"], row[f"mx{i}"]) for i, c in enumerate(cols)}
 

@@ -22,12 +22,13 @@ from equipoise.operators.columns import available, category_codes, complete_case
 from equipoise.operators.matching import match_nearest, matched_cohort
 from equipoise.operators.scaling import standardize
 from equipoise.plans import survey_config as S
-from equipoise.sources.io import with_row_id, write_result
+from equipoise.sources.io import clean_values, with_row_id, write_result
 
 
 def define_survey_variables(df: DataFrame, id_col: str = "_SEQNO") -> DataFrame:
     """B6 + B7 (+ A5): exercise treatment flag, mental-health outcome flag, a row id when missing."""
-    if id_col not in df.columns:  # position in the file order, numbered 0..n-1
+    df = clean_values(df)
+    if id_col not in df.columns:  # unique ids 0..n-1; the order is that of Spark's splits, not of the files
         df = with_row_id(df.withColumn("_pos", F.monotonically_increasing_id()), id_col, ["_pos"]).drop("_pos")
     return df.withColumns({
         "_EXERCISE_BINARY": any_positive(S.TREATMENT_PARTS),
@@ -39,7 +40,7 @@ def prepare(df: DataFrame, id_col: str, treatment: str, outcome: str | None, con
             categorical: Sequence[str] = ()) -> DataFrame:
     """B4 -> B15 -> B16 -> B4: complete cases, categorical codes (computed on the filtered rows), numeric."""
     cols = [id_col, treatment] + ([outcome] if outcome else []) + list(confounders)
-    base = complete_cases(df.select(*cols))
+    base = complete_cases(clean_values(df.select(*cols)))
     cats = [c for c in categorical if c in confounders]
     coded = category_codes(base, cats) if cats else base
     coded = coded.withColumns({c: F.col(c).try_cast("double") for c in confounders})

@@ -18,6 +18,7 @@ from equipoise.functions import rowwise as W
 from equipoise.operators.columns import available, drop_available
 from equipoise.operators.scaling import minmax_scale_spec
 from equipoise.plans import survey_config as S
+from equipoise.sources.io import clean_values
 
 
 def clean_section_names(metadata: DataFrame, col: str = "Section Name", out: str = "Section Name Clean") -> DataFrame:
@@ -114,7 +115,7 @@ SURVEY_STEPS = [_ace, _alcohol, _demographics, _disability, _geography, _health,
 
 def survey_preprocess(raw: DataFrame) -> DataFrame:
     """The reference's 12 recode groups in order, one aggregate for all scaled indices, raw columns dropped."""
-    df = raw.select(*available(raw, S.TARGET_VARIABLES))
+    df = clean_values(raw.select(*available(raw, S.TARGET_VARIABLES)))
     df = reduce(lambda acc, step: step(acc), SURVEY_STEPS, df)
     scale = {"ACE_TOTAL": ("ACE_NORMALIZED", "sklearn"),
              "ALCOHOL_SEVERITY": ("ALCOHOL_SEVERITY_NORMALIZED", "sklearn"),
@@ -123,7 +124,8 @@ def survey_preprocess(raw: DataFrame) -> DataFrame:
     for name in S.SOCIAL_INDEX_WEIGHTS:
         scale[f"{name.upper()}_INDEX"] = (f"{name.upper()}_INDEX_NORMALIZED", "zero")
     df = minmax_scale_spec(df, scale)
-    return drop_available(df, S.DROP_COLUMNS)
+    # blank labels are missing from here on, whether or not the result goes through a file
+    return clean_values(drop_available(df, S.DROP_COLUMNS))
 
 
 # ---- the same building blocks configured for the ``coded`` fixture --------------------

@@ -88,7 +88,8 @@ def spec_grid(df: DataFrame, specs: dict, id_col: str, treatment: str, outcome:
     spark = df.sparkSession
     rows = []
     for name, confounders in specs.items():
-        confounders = [c for c in confounders if c in df.columns]
+        if missing := [c for c in confounders if c not in df.columns]:
+            raise ValueError(f"specification {name!r} names confounders that the table lacks: {missing}")
         analysis = prepare(df, id_col, treatment, outcome, confounders, categorical).persist(
             StorageLevel.MEMORY_AND_DISK)
         if analysis.isEmpty():
@@ -97,9 +98,6 @@ def spec_grid(df: DataFrame, specs: dict, id_col: str, treatment: str, outcome:
         std = standardize(analysis, confounders, suffix="_z")
         feats = [c + "_z" for c in confounders]
         scored, _model, auc = P.best_model(std, feats, treatment, rf_params=rf_params or S.RF_MAIN)
-        if scored is None:
-            analysis.unpersist()
-            continue
         scored = scored.drop(*feats).persist(StorageLevel.MEMORY_AND_DISK)
         rows += evaluate_settings(scored, name, confounders, "propensity_score", id_col, treatment, outcome,
                                   grid, auc)
@@ -108,6 +106,12 @@ def spec_grid(df: DataFrame, specs: dict, id_col: str, treatment: str, outcome:
     return spark.createDataFrame(rows, RESULT_SCHEMA)
 
 
+def with_config_label(results: DataFrame) -> DataFrame:
+    """L4: ``label`` = spec and matching setting, as the series of a comparison chart are named."""
+    setting = F.format_string("caliper=%s, ratio=%d", F.col("caliper").cast("string"), F.col("ratio"))
+    return results.withColumn("label", F.concat_ws(" + ", "spec_name", setting))
+
+
 def best_spec(comparison: DataFrame) -> DataFrame:
     """The setting with the least mean |SMD| (ties: spec name, caliper, ratio)."""
     return comparison.orderBy("avg_abs_std_diff", "spec_name", "caliper", "ratio").limit(1)

@@ -16,6 +16,7 @@ from equipoise.operators.bins import equal_width_bins, width_bins
 from equipoise.operators.columns import available, category_codes, complete_cases, decode_categories
 from equipoise.operators.scaling import column_extremes, standardize
 from equipoise.plans import survey_config as S
+from equipoise.sources.io import clean_values, write_result
 
 
 def dose_measures(df: DataFrame, weekly: Sequence[str], minutes: Sequence[str], cap: float = 7.0,
@@ -42,7 +43,7 @@ class WeightingAnalysis:
     def __init__(self, df: DataFrame, id_col: str, treatment: str, outcome: str, dose: str,
                  confounders: Sequence[str], categorical: Sequence[str] = (), subgroups: dict | None = None,
                  required: Sequence[str] = ()):
-        self.df = df
+        self.df = clean_values(df)
         self.id_col, self.treatment, self.outcome, self.dose = id_col, treatment, outcome, dose
         self.confounders = available(df, confounders)
         self.categorical = [c for c in categorical if c in self.confounders]
@@ -75,6 +76,9 @@ class WeightingAnalysis:
         base = complete_cases(weighted, needed)
         if self.categorical:
             base, self.mapping = category_codes(base, self.categorical, keep_mapping=True)
+        # B16 and the second B4: text that isn't a number leaves its row out
+        numeric = [c for c in dict.fromkeys([*self.confounders, self.outcome, self.dose])]
+        base = complete_cases(base.withColumns({c: F.col(c).try_cast("double") for c in numeric}), numeric)
         self.analysis = base.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
@@ -120,6 +124,20 @@ class WeightingAnalysis:
         return E.subgroup_effects(frame, self.outcome, self.treatment, "ipw_weight", groups, min_size)
 
 
+    def save(self, base_path: str, fmt: str = "csv") -> None:
+        """A4: the analysis rows, dose response, dose model, effect and subgroup effects as result tables."""
+        write_result(self.analysis, f"{base_path}/weighted_analysis", fmt)
+        write_result(self.dose_response(), f"{base_path}/dose_response", fmt)
+        write_result(self.dose_model(), f"{base_path}/dose_model", fmt)
+        write_result(self.effect(), f"{base_path}/ipw_effect", fmt)
+        write_result(self.subgroup_effects(), f"{base_path}/subgroup_effects", fmt)
+
+    def close(self) -> None:
+        """Release the rows that ``prepare`` keeps."""
+        if self.analysis is not None:
+            self.analysis.unpersist()
+
+
 def survey_weighting(processed: DataFrame, id_col: str = "_SEQNO") -> WeightingAnalysis:
     """The reference's weighting setup on a processed survey table."""
     df = dose_measures(processed, S.TREATMENT_PARTS, ["EXERHMM1_MIN", "EXERHMM2_MIN"])

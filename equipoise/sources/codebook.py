@@ -77,7 +77,7 @@ def survey_metadata(pages: DataFrame) -> DataFrame:
     variables = variables.select(*[unescape_strip(c).alias(c) for c in ("SAS Variable Name", "Label", "Section Name")])
     blocks = extract_groups(pages, "html", BLOCK_PATTERN, ["var", "block"], keep=[])
     values = extract_groups(blocks, "block", VALUE_ROW_PATTERN, ["Value", "Value Label"], keep=["var"])
-    values = values.select(F.trim("var").alias("SAS Variable Name"), strip_html_full("Value").alias("Value"),
+    values = values.select(F.regexp_replace("var", r"(?U)^\s+|\s+$", "").alias("SAS Variable Name"), strip_html_full("Value").alias("Value"),
                            strip_html_full("Value Label").alias("Value Label"))
     values = values.where((F.length("Value") > 0) & (F.length("Value Label") > 0)).dropDuplicates()
     return variables.join(values, "SAS Variable Name", "left")

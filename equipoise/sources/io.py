@@ -6,27 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from equipoise.functions.recode import blank_as_null, nan_as_null
 from equipoise.operators.ranking import row_index
 
 
+def clean_values(df: DataFrame) -> DataFrame:
+    """Q1/Q3 at a stage border: NaN and blank text become NULL, as a pass through a delimited file makes them.
+
+    One projection over the float and string columns; the others, and the column order, stay.
+    """
+    kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+    new = {c: nan_as_null(F.col(f"`{c}`")) for c, k in kinds.items() if k in ("double", "float")}
+    new |= {c: blank_as_null(F.col(f"`{c}`")) for c, k in kinds.items() if k == "string"}
+    return df.withColumns(new) if new else df
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None,
-               columns=None) -> DataFrame:
-    """A1/A3: read a delimited file (header row; blank -> NULL) or any Spark source.
+               columns=None, encoding: str | None = None, fallback_encoding: str | None = None) -> DataFrame:
+    """A1/A3: read a delimited file (header row) or any Spark source; blank text and NaN become NULL.
 
     Give ``schema`` in production: inference costs an extra pass over the data.
     ``columns`` prunes to the wanted columns that exist (B1), pushed into the scan.
+    ``encoding`` is the character set of a delimited file, Spark's default (UTF-8) unless given.  With
+    ``fallback_encoding`` rows that aren't valid in the first one are found by their replacement
+    characters, in one pass, and the file is then read in the second.
     """
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
+        if fallback_encoding and not _decodes(spark, path, encoding or "UTF-8"):
+            encoding = fallback_encoding
+        if encoding:
+            reader = reader.option("encoding", encoding)
         df = reader.option("header", True).option("inferSchema", schema is None).csv(path)
     else:
         df = reader.format(fmt).load(path)
     if columns is not None:
         have = set(df.columns)
         df = df.select(*[c for c in columns if c in have])
-    return df
+    return clean_values(df)
+
+
+def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
+    """Whether no line of the text at ``path`` has a replacement character when read as ``encoding``."""
+    lines = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", schema="line string")
+    return lines.where(F.col("line").contains("\ufffd")).isEmpty()
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
