@@ -44,7 +44,7 @@ def cell_totals(rows: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], It
 
     schema = "kind int, block int, totals binary"
     out = np.zeros((kinds, cells), np.int64)
-    for row in rows.mapInArrow(count, schema).repartition("kind", "block").mapInArrow(add, schema).toLocalIterator():
+    for row in rows.mapInArrow(count, schema).repartition("kind", "block").mapInArrow(add, schema).collect():
         out[row["kind"], row["block"]:row["block"] + min(CELL_BLOCK, cells)] = np.frombuffer(row["totals"], np.int64)
     return out
 
