@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.operators.joins import hot_key_join, join_bounded
 from equipoise.operators.ranking import row_index
-from equipoise.session import BROADCAST_ROW_LIMIT, join_small
+from equipoise.session import BROADCAST_ROW_LIMIT, join_small, reliable_checkpoint
 
 
 def available(df: DataFrame, wanted: Iterable[str]) -> list[str]:
@@ -85,7 +84,7 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "", keep_ma
     out = df
     maps = []
     for group in by_type.values():
-        m = category_mapping(df, group).persist(StorageLevel.MEMORY_AND_DISK)
+        m = reliable_checkpoint(category_mapping(df, group))
         sizes = {r.variable: r.n for r in m.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
         for c in group:
             lookup = m.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("code").alias(f"_code_{c}"))

@@ -16,7 +16,6 @@ one task.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,8 +48,9 @@ def _neighbours(controls: DataFrame, probes: DataFrame, k: int, hot_share: float
             F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("double").alias("ps_control"),
             F.lit(0).alias("_is_ctrl")))
     both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    ranked = cumulative_sum(both, "_is_ctrl", ["_key", "_tie", "_id"], partition_by=["_side"], out="_rank",
-                            groups_bound=2)
+    # several steps below read the ranking: it is made once
+    ranked = reliable_checkpoint(cumulative_sum(both, "_is_ctrl", ["_key", "_tie", "_id"], partition_by=["_side"],
+                                                out="_rank", groups_bound=2))
     ctrl_by_rank = ranked.where("_is_ctrl = 1").select("_side", "_rank", F.col("_id").alias("control_id"),
                                                        "ps_control")
     positions = ranked.where("_is_ctrl = 0")
@@ -87,10 +87,9 @@ def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
     treated = base.where(F.col("_t") == 1).select(F.col("_id").alias("treated_id"), F.col("_ps").alias("ps_treated"))
     controls = base.where(F.col("_t") == 0).select(F.col("_id").alias("control_id"),
                                                    F.col("_ps").alias("ps_control"))
-    # distinct treated scores with their multiplicity (map-side combined); cached, it is filled by the
-    # ranking's checkpoint job and then answers the hot-score question without another pass
-    score_counts = treated.groupBy("ps_treated").agg(F.count(F.lit(1)).alias("_n")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+    # distinct treated scores with their multiplicity (map-side combined), written once: the ranking and the
+    # hot-score question both read it
+    score_counts = reliable_checkpoint(treated.groupBy("ps_treated").agg(F.count(F.lit(1)).alias("_n")))
     probes = score_counts.select("ps_treated")
 
     sizes = score_counts.agg(F.count(F.lit(1)).alias("probes"), F.sum("_n").alias("treated")).first()
@@ -129,9 +128,8 @@ def match_optimal(df: DataFrame, score: str, treatment: str, id_col: str,
 
 
 def matched_ids(pairs: DataFrame) -> DataFrame:
-    """G1: distinct ids of both sides of all pairs (map-side de-duplicated before the shuffle)."""
-    return (pairs.select(F.col("treated_id").alias("_mid"))
-            .unionByName(pairs.select(F.col("control_id").alias("_mid"))).distinct())
+    """G1: distinct ids of both sides of all pairs, in one pass (map-side de-duplicated before the shuffle)."""
+    return pairs.select(F.explode(F.array("treated_id", "control_id")).alias("_mid")).distinct()
 
 
 def matched_cohort(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
@@ -146,8 +144,9 @@ def matched_sides(df: DataFrame, pairs: DataFrame, id_col: str, treatment: str)
     With a ``setting`` column in ``pairs`` the result holds each setting's sides (rows tagged by setting).
     """
     by = ["setting"] if "setting" in pairs.columns else []
-    ids = (pairs.select(*by, F.col("treated_id").alias(id_col), F.lit(1).alias("_arm"))
-           .unionByName(pairs.select(*by, F.col("control_id").alias(id_col), F.lit(0).alias("_arm"))).distinct())
+    sides = F.array(F.struct(F.col("treated_id").alias(id_col), F.lit(1).alias("_arm")),
+                    F.struct(F.col("control_id").alias(id_col), F.lit(0).alias("_arm")))
+    ids = pairs.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*").distinct()
     # ids are unique per (setting, id, arm) and ``df`` has one row per id: no hot key on either side
     out = df.join(ids, id_col).where(F.col(treatment) == F.col("_arm")).drop("_arm")
     return out

@@ -1,11 +1,14 @@
-"""Global running sums and row numbers without a single-partition window.
+"""Global running sums and row numbers without a single-partition window, in one shuffle of the data.
 
 Spark's ``row_number().over(Window.orderBy(...))`` without ``partitionBy`` moves
-every row to one task.  ``cumulative_sum`` instead range-partitions on the full
-sort key (so even one hot leading key is split across partitions), pins that
-partitioning with a reliable checkpoint, computes per-partition totals (a table
-with at most #partitions + #groups rows), turns them into offsets, and adds the
-offset to a window that runs inside each range partition.
+every row to one task.  ``cumulative_sum`` instead cuts the order into buckets: the
+bounds are full sort keys taken from a sorted sample, so even one hot leading key is
+split, and a row's bucket is a deterministic expression of its key.  The rows are
+shuffled once, by bucket, for a window inside each; the buckets' totals (at most
+buckets + groups rows) are a map-side combined aggregate of their own and become the
+offsets.  A task that runs again computes the same buckets, so nothing has to be
+checkpointed.  The input is read three times (sample, totals, window): pass a table
+that is cheap to read.
 """
 
 from __future__ import annotations
@@ -17,16 +20,50 @@ from pyspark.sql import functions as F
 
 from equipoise.session import join_small, reliable_checkpoint
 
-_PID = "_eq_pid"
+_BUCKET = "_eq_bucket"
 _TOT = "_eq_tot"
 _OFF = "_eq_off"
 _LOC = "_eq_loc"
+#: Buckets at most: their bounds are part of the plan.
+MAX_BUCKETS = 256
+#: Sampled rows a bucket; rows a bucket at least.
+SAMPLED, LEAST_ROWS = 24, 20_000
 
 
 def _as_cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _bounds(df: DataFrame, keys: Sequence[Column], buckets: int | None) -> list:
+    """Sort keys that cut ``df`` into about equal buckets, in order (at most MAX_BUCKETS - 1 of them)."""
+    rows = df.count()
+    wanted = buckets or min(MAX_BUCKETS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                            rows // LEAST_ROWS + 1)
+    if wanted <= 1 or rows <= 1:
+        return []
+    named = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    share = min(1.0, 2.0 * wanted * SAMPLED / rows)
+    # the sample is bounded by 2 * MAX_BUCKETS * SAMPLED keys and sorted by Spark's own order
+    sample = named.sample(False, share, 7).orderBy(*named.columns).limit(8 * wanted * SAMPLED).collect()
+    picked = [sample[len(sample) * i // wanted] for i in range(1, wanted)] if sample else []
+    return list(dict.fromkeys(tuple(r) for r in picked))
+
+
+def _bucket(df: DataFrame, keys: Sequence[Column], bounds: list) -> Column:
+    """How many of the sorted ``bounds`` are at or before a row's key, by a tree of comparisons."""
+    types = [f.dataType for f in df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).schema.fields]
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+
+    def between(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        bound = F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(bounds[middle], types))])
+        return F.when(key >= bound, between(middle + 1, high)).otherwise(between(low, middle))
+
+    return between(0, len(bounds))
+
+
 def cumulative_sum(
     df: DataFrame,
     value: str | Column,
@@ -41,39 +78,32 @@ def cumulative_sum(
 
     Rows are ordered by ``order_by`` inside each ``partition_by`` group.  The
     order should be total (unique) for a deterministic result among ties.
-    ``groups_bound`` (a known upper bound on the number of groups) proves the
-    size of the offsets table, so it is broadcast without counting it first.
+    ``num_partitions`` sets the number of buckets.  ``groups_bound`` (a known upper
+    bound on the number of groups) proves the size of the offsets table, so it is
+    broadcast without counting it first.
     """
-    spark = df.sparkSession
-    # without an explicit count AQE sizes the range partitions by data volume (it only merges
-    # neighbouring ranges, so order across partitions holds); either way n bounds their number
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = _as_cols(order_by)
     value_col = F.col(value) if isinstance(value, str) else value
     keys = [*(F.col(c) for c in partition_by), *order_cols]
+    bounds = _bounds(df, keys, num_partitions)
+    placed = df.withColumns({_LOC: value_col, _BUCKET: _bucket(df, keys, bounds)})
 
-    with_value = df.withColumn(_LOC, value_col)
-    ranged = with_value.repartitionByRange(num_partitions, *keys) if num_partitions else \
-        with_value.repartitionByRange(*keys)
-    ranged = ranged.withColumn(_PID, F.spark_partition_id())
-    ranged = reliable_checkpoint(ranged)
-
-    totals = ranged.groupBy(_PID, *partition_by).agg(F.sum(_LOC).alias(_TOT))
-    w_off = Window.partitionBy(*partition_by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *partition_by, F.coalesce(F.sum(_TOT).over(w_off), F.lit(0)).alias(_OFF))
+    totals = placed.groupBy(_BUCKET, *partition_by).agg(F.sum(_LOC).alias(_TOT))
+    # one row per (bucket, group present in it): <= buckets + groups - 1 rows
+    w_off = Window.partitionBy(*partition_by).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_BUCKET, *partition_by, F.coalesce(F.sum(_TOT).over(w_off), F.lit(0)).alias(_OFF))
 
     end = Window.currentRow if inclusive else -1
-    w_loc = Window.partitionBy(_PID, *partition_by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
-    local = ranged.withColumn(_LOC, F.coalesce(F.sum(_LOC).over(w_loc), F.lit(0)))
+    w_loc = Window.partitionBy(_BUCKET, *partition_by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, end)
+    local = placed.withColumn(_LOC, F.coalesce(F.sum(_LOC).over(w_loc), F.lit(0)))
 
-    # offsets has one row per (range partition, group present in it): <= n + #groups - 1 rows
     bound = None
     if not partition_by:
-        bound = n
+        bound = len(bounds) + 1
     elif groups_bound is not None:
-        bound = n + groups_bound - 1
-    joined = join_small(local, offsets, [_PID, *partition_by], known_rows=bound)
-    return joined.withColumn(out, F.col(_LOC) + F.col(_OFF)).drop(_PID, _LOC, _OFF)
+        bound = len(bounds) + groups_bound
+    joined = join_small(local, offsets, [_BUCKET, *partition_by], known_rows=bound)
+    return joined.withColumn(out, F.col(_LOC) + F.col(_OFF)).drop(_BUCKET, _LOC, _OFF)
 
 
 def row_index(df: DataFrame, order_by: Sequence[str | Column], partition_by: Sequence[str] = (),
@@ -82,25 +112,39 @@ def row_index(df: DataFrame, order_by: Sequence[str | Column], partition_by: Seq
     return cumulative_sum(df, F.lit(1).cast("long"), order_by, partition_by, out=out, num_partitions=num_partitions)
 
 
+def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, value, n): how often each value of each numeric column occurs, written once.
+
+    Counting before anything is sorted makes a value that holds most rows one row.
+    """
+    return reliable_checkpoint(_long_values(df, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/numpy default) for many columns at once.
 
-    Returns one row per (variable, prob) with ``value``.  Works by a distributed
-    sort (``row_index`` within variable) and picking the two neighbouring order
-    statistics; nothing is collected per group.
+    Returns one row per (variable, prob) with ``value``.
+    """
+    return quantiles_of(value_table(df, columns), probs, len(columns))
+
+
+def quantiles_of(values: DataFrame, probs: Sequence[float], variables: int) -> DataFrame:
+    """Quantiles from a ``value_table`` of so many ``variables``: its counts are summed up in value order, and a
+    position is in the value whose range of positions holds it.  Nothing is collected per group.
     """
-    long = _long_values(df, columns)
-    counts = long.groupBy("variable").agg(F.count("*").alias("_n"))
+    totals = values.groupBy("variable").agg(F.sum("n").alias("_n"))
     targets = (
-        counts.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+        totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
         .withColumn("_lo", F.floor("_h").cast("long"))
         .withColumn("_hi", F.ceil("_h").cast("long"))
         .withColumn("_t", F.col("_h") - F.col("_lo"))
     )
-    ranked = row_index(long, ["value"], partition_by=["variable"], out="_pos")
+    placed = cumulative_sum(values, "n", ["value"], partition_by=["variable"], out="_before", groups_bound=variables)
     need = targets.select("variable", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos")).distinct()
-    picked = ranked.join(need, ["variable", "_pos"], "left_semi")
+    # at most two positions a quantile and variable
+    wanted = join_small(placed, need, "variable", known_rows=2 * len(probs) * variables)
+    picked = wanted.where((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("n")))
     lo = picked.select("variable", F.col("_pos").alias("_lo"), F.col("value").alias("_vlo"))
     hi = picked.select("variable", F.col("_pos").alias("_hi"), F.col("value").alias("_vhi"))
     res = targets.join(lo, ["variable", "_lo"]).join(hi, ["variable", "_hi"])
@@ -117,17 +161,19 @@ def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, std (n-1), min, exact quartiles, max per column, one row per column."""
-    long = _long_values(df, columns)
-    stats = long.groupBy("variable").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    q = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
-    wide = q.groupBy("variable").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
+    """Count, mean, std (n-1), min, exact quartiles, max per column, one row per column.
+
+    The input is read once, into the table of its values; all figures come from that.
+    """
+    values = value_table(df, columns)
+    first = values.groupBy("variable").agg(
+        F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    spread = join_small(values, first.select("variable", "mean"), "variable", known_rows=len(columns)).groupBy("variable").agg(
+        F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2).alias("_s"))
+    stats = first.join(spread, "variable").withColumn(
+        "std", F.sqrt(F.try_divide(F.col("_s"), F.when(F.col("count") > 1, (F.col("count") - 1).cast("double")))))
+    wide = quantiles_of(values, [0.25, 0.5, 0.75], len(columns)).groupBy("variable").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
     wide = wide.toDF("variable", "q25", "q50", "q75")
     return stats.join(wide, "variable", "left").select(
         "variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max")

@@ -33,7 +33,7 @@ from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID
 from equipoise.plans.weighting import WeightingAnalysis, dose_measures
 from equipoise.session import ensure_checkpoint_dir, join_small, scratch_path
 from equipoise.sources import codebook as CB
-from equipoise.sources.io import read_table, write_result
+from equipoise.sources.io import clean_values, read_table, write_result
 from equipoise.sources.report import spec_report_lines
 from equipoise.streaming.recode_stream import preprocess_stream
 
@@ -99,6 +99,26 @@ def q_sink_roundtrip(spark, d):
     return read_table(spark, path, "csv", schema=UNITS_SCHEMA)
 
 
+def q_nan_ingest(spark, d):
+    """Q1: NaN in an input counts as missing in flags, sums, means and scaling."""
+    u = fx.units(spark, d).select("id", "n_orders", F.when(F.col("id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("dose")).alias("dose"))
+    u = clean_values(u).withColumns({"flag": R.any_positive(["dose"]), "total": W.row_sum(["dose", "n_orders"]),
+                                     "average": W.row_mean(["dose", "n_orders"])})
+    return _round(minmax_scale(u, ["dose"]), ["average", "dose_NORMALIZED"])
+
+
+def q_blank_border(spark, d):
+    """Q3: rows with a blank label leave a cohort alike whether the table is handed on in memory or as a file."""
+    c = fx.coded(spark, d)
+    label = F.when(F.col("scale5") == 3, F.lit("")).otherwise(F.concat(F.lit("level "), F.col("scale5").cast("string")))
+    c = c.select("id", label.alias("label"))
+    path = scratch_path(spark, "border")
+    write_result(c, path, "csv")
+    memory = complete_cases(clean_values(c)).withColumn("route", F.lit("memory"))
+    file = complete_cases(read_table(spark, path, "csv", schema="id long, label string")).withColumn("route", F.lit("file"))
+    return memory.unionByName(file)
+
+
 def q_row_id(spark, d):
     return row_index(fx.coded(spark, d).select("id", "yesno"), ["id"], out="row_id")
 

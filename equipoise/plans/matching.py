@@ -2,15 +2,15 @@
 
 load -> define variables -> prepare (complete cases, category codes) -> score ->
 balance before -> match -> matched cohort -> balance after -> effect -> save.
-Intermediate frames that several steps reuse (``analysis``, ``scored``) are
-persisted; results stay DataFrames.
+Intermediate frames that several steps reuse (``analysis``, ``scored``, ``pairs``,
+``matched``) are written once to the shared checkpoint folder, so no cache has to be
+released and a lost executor loses nothing; results stay DataFrames.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,7 @@ from equipoise.operators.columns import available, category_codes, complete_case
 from equipoise.operators.matching import match_nearest, matched_cohort
 from equipoise.operators.scaling import standardize
 from equipoise.plans import survey_config as S
+from equipoise.session import reliable_checkpoint
 from equipoise.sources.io import clean_values, with_row_id, write_result
 
 
@@ -29,7 +30,7 @@ def define_survey_variables(df: DataFrame, id_col: str = "_SEQNO") -> DataFrame:
     """B6 + B7 (+ A5): exercise treatment flag, mental-health outcome flag, a row id when missing."""
     df = clean_values(df)
     if id_col not in df.columns:  # unique ids 0..n-1; the order is that of Spark's splits, not of the files
-        df = with_row_id(df.withColumn("_pos", F.monotonically_increasing_id()), id_col, ["_pos"]).drop("_pos")
+        df = with_row_id(reliable_checkpoint(df.withColumn("_pos", F.monotonically_increasing_id())), id_col, ["_pos"]).drop("_pos")
     return df.withColumns({
         "_EXERCISE_BINARY": any_positive(S.TREATMENT_PARTS),
         "_MENTAL_HEALTH_BINARY": threshold_flag(S.OUTCOME_SOURCE, S.OUTCOME_THRESHOLD),
@@ -61,8 +62,8 @@ class MatchingAnalysis:
         self.score_col = "propensity_score"
 
     def prepare(self) -> "MatchingAnalysis":
-        self.analysis = prepare(self.df, self.id_col, self.treatment, self.outcome, self.confounders,
-                                self.categorical).persist(StorageLevel.MEMORY_AND_DISK)
+        self.analysis = reliable_checkpoint(prepare(self.df, self.id_col, self.treatment, self.outcome, self.confounders,
+                                                    self.categorical))
         return self
 
     def use_scores(self, score_col: str) -> "MatchingAnalysis":
@@ -82,8 +83,7 @@ class MatchingAnalysis:
             self.model = P.fit_logistic(std, feats, self.treatment)
         else:
             self.model = P.fit_random_forest(std, feats, self.treatment, **(rf_params or S.RF_MAIN))
-        self.scored = P.score(self.model, std, feats, self.score_col).drop(*feats).persist(
-            StorageLevel.MEMORY_AND_DISK)
+        self.scored = reliable_checkpoint(P.score(self.model, std, feats, self.score_col).drop(*feats))
         return self
 
     def auc(self) -> DataFrame:
@@ -96,8 +96,9 @@ class MatchingAnalysis:
         return B.balance(self.scored, self.confounders, self.treatment)
 
     def match(self, caliper: float = S.MAIN_CALIPER, ratio: int = S.MAIN_RATIO) -> "MatchingAnalysis":
-        self.pairs = match_nearest(self.scored, self.score_col, self.treatment, self.id_col, caliper, ratio)
-        self.matched = matched_cohort(self.scored, self.pairs, self.id_col)
+        self.pairs = reliable_checkpoint(
+            match_nearest(self.scored, self.score_col, self.treatment, self.id_col, caliper, ratio))
+        self.matched = reliable_checkpoint(matched_cohort(self.scored, self.pairs, self.id_col))
         return self
 
     def balance_after(self) -> DataFrame:
@@ -125,8 +126,3 @@ class MatchingAnalysis:
         else:
             self.fit_scores(model)
         return self.match(caliper, ratio)
-
-    def close(self) -> None:
-        for frame in (self.analysis, self.scored):
-            if frame is not None:
-                frame.unpersist()

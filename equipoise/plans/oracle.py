@@ -523,6 +523,13 @@ ORDER BY abs(smd) DESC, variable LIMIT 10""")
          CASE WHEN u.treated = 1 THEN {D(1)} / NULLIF(s.ps, 0) ELSE {D(1)} / NULLIF(1 - s.ps, 0) END AS ipw_weight
   FROM units u LEFT JOIN (SELECT id, ps FROM scored WHERE dose > 0) s ON u.id = s.id) x
 WHERE ipw_weight IS NOT NULL AND NOT isnan(ipw_weight)""")
+    S["nan_ingest"] = q("""u AS (SELECT id, n_orders, CASE WHEN id % 7 = 0 THEN NULL ELSE dose END AS dose FROM units),
+m AS (SELECT min(dose) AS mn, max(dose) AS mx FROM u)""", """SELECT id, n_orders, dose,
+       CASE WHEN dose > 0 THEN 1 ELSE 0 END AS flag, coalesce(dose, 0) + n_orders AS total,
+       round((coalesce(dose, 0) + n_orders) / CASE WHEN dose IS NULL THEN 1 ELSE 2 END, 6) AS average,
+       round((dose - mn) / (mx - mn), 6) AS "dose_NORMALIZED" FROM u, m""")
+    S["blank_border"] = q("""c AS (SELECT id, 'level ' || CAST(scale5 AS VARCHAR) AS label FROM coded WHERE scale5 <> 3)""",
+                          "SELECT id, label, 'memory' AS route FROM c UNION ALL SELECT id, label, 'file' AS route FROM c")
     S["wls_offset"] = q(weighted_cte() + ",\noff AS (SELECT *, dose + CAST(100000000 AS DOUBLE) AS dose_far FROM w),\n"
                         + wls_sql("off", "y", "dose_far", "ipw_weight", "dose_far"),
                         "SELECT term, round(coef, 4) AS coef, round(se, 4) AS se, round(r2, 6) AS r_squared, n "

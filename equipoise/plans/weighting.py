@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from equipoise.operators.bins import equal_width_bins, width_bins
 from equipoise.operators.columns import available, category_codes, complete_cases, decode_categories
 from equipoise.operators.scaling import column_extremes, standardize
 from equipoise.plans import survey_config as S
+from equipoise.session import reliable_checkpoint
 from equipoise.sources.io import clean_values, write_result
 
 
@@ -79,7 +79,7 @@ class WeightingAnalysis:
         # B16 and the second B4: text that isn't a number leaves its row out
         numeric = [c for c in dict.fromkeys([*self.confounders, self.outcome, self.dose])]
         base = complete_cases(base.withColumns({c: F.col(c).try_cast("double") for c in numeric}), numeric)
-        self.analysis = base.persist(StorageLevel.MEMORY_AND_DISK)
+        self.analysis = reliable_checkpoint(base)
         return self
 
     def dose_model(self) -> DataFrame:
@@ -132,11 +132,6 @@ class WeightingAnalysis:
         write_result(self.effect(), f"{base_path}/ipw_effect", fmt)
         write_result(self.subgroup_effects(), f"{base_path}/subgroup_effects", fmt)
 
-    def close(self) -> None:
-        """Release the rows that ``prepare`` keeps."""
-        if self.analysis is not None:
-            self.analysis.unpersist()
-
 
 def survey_weighting(processed: DataFrame, id_col: str = "_SEQNO") -> WeightingAnalysis:
     """The reference's weighting setup on a processed survey table."""

@@ -33,7 +33,6 @@ def test_matching_results_written_and_read_back(spark):
     assert {r.metric for r in back.collect()} == {"Treated Outcome", "Control Outcome", "Treatment Effect", "SE",
                                                   "CI Lower", "CI Upper"}
     assert read_table(spark, f"{out}/matching_pairs", "csv").count() == m.pairs.count()
-    m.close()
 
 
 def test_row_id_only_when_missing(spark):

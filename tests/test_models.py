@@ -64,7 +64,6 @@ def test_matching_analysis_end_to_end(spark):
     assert eff["CI Lower"] < eff["Treatment Effect"] < eff["CI Upper"]
     sizes = {(r.stage, r.treated): r.n for r in m.sample_sizes().collect()}
     assert sizes[("before", 1)] >= sizes[("after", 1)]
-    m.close()
 
 
 def test_spec_grid_rows_and_best(spark):

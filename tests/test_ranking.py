@@ -2,8 +2,10 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from equipoise.operators.ranking import cumulative_sum, describe, exact_quantiles, row_index
+from equipoise.operators.ranking import (
+    _bounds, _bucket, cumulative_sum, describe, exact_quantiles, row_index, value_table)
 
 
 def test_cumulative_sum_matches_pandas(spark):
@@ -40,3 +42,33 @@ def test_describe_matches_pandas(spark):
         for ours, theirs in (("mean", "mean"), ("std", "std"), ("min", "min"), ("q25", "25%"), ("q50", "50%"),
                              ("q75", "75%"), ("max", "max")):
             assert abs(d[c][ours] - ref[c][theirs]) < 1e-12
+
+
+def test_ranking_shuffles_the_data_once_and_splits_a_common_value(spark):
+    df = spark.range(0, 120_000, numPartitions=4).selectExpr(
+        "id", "IF(id % 10 < 9, 0.0, id * 1.0) AS v", "repeat('x', 20) AS payload")
+    ranked = cumulative_sum(df, F.lit(1), ["v", "id"], out="c", num_partitions=8)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    heavy = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "payload" in line]
+    assert plan.count("rangepartitioning") == 0 and len(heavy) <= 1
+    sizes = [r["count"] for r in ranked.groupBy((F.col("c") / 15_000).cast("int").alias("b")).count().collect()]
+    assert sum(sizes) == 120_000
+    bounds = _bounds(df, [F.col("v"), F.col("id")], 8)
+    per = [r["count"] for r in df.groupBy(_bucket(df, [F.col("v"), F.col("id")], bounds).alias("b")).count().collect()]
+    assert len(per) == 8 and max(per) < 2 * 120_000 / 8
+
+
+def test_describe_counts_equal_values_first(spark):
+    df = spark.range(0, 50_000).selectExpr("IF(id % 10 < 9, 0.0, id * 1.0) AS v")
+    values = value_table(df, ["v"])
+    assert values.count() == 5_001
+    row = describe(df, ["v"]).first()
+    assert (row["count"], row["q25"], row["q50"], row["q75"], row["max"]) == (50_000, 0.0, 0.0, 0.0, 49_999.0)
+
+
+def test_no_cache_is_left_behind(spark):
+    from equipoise.operators.matching import match_nearest, matched_cohort
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    df = spark.range(0, 500).selectExpr("id", "CAST(id % 3 = 0 AS INT) AS t", "id / 500 AS ps")
+    assert matched_cohort(df, match_nearest(df, "ps", "t", "id"), "id").count() > 0
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

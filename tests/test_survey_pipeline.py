@@ -70,7 +70,6 @@ def test_matching_analysis_on_survey(spark, processed):
     assert eff["CI Lower"] < eff["Treatment Effect"] < eff["CI Upper"]
     imp = m.feature_importance().collect()
     assert len(imp) == 25 and imp[0].importance >= imp[-1].importance
-    m.close()
 
 
 def test_weighting_analysis_on_survey(spark, processed):
