@@ -28,8 +28,9 @@ from equipoise.plans import fixtures as fx
 from equipoise.plans import specs as SP
 from equipoise.plans.matching import MatchingAnalysis
 from equipoise.plans.preprocess import (
-    CODED_RAW, CODED_SCALE5, CODED_WEIGHTS, CODED_YESNO, coded_preprocess, coded_recodes)
-from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID
+    CODED_RAW, CODED_SCALE5, CODED_WEIGHTS, CODED_YESNO, coded_preprocess, coded_recodes, survey_preprocess)
+from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID, TARGET_VARIABLES
+from equipoise.plans.survey_oracle import survey_rows
 from equipoise.plans.weighting import WeightingAnalysis, dose_measures
 from equipoise.session import ensure_checkpoint_dir, join_small, scratch_path
 from equipoise.sources import codebook as CB
@@ -509,6 +510,12 @@ def q_preprocess_recodes(spark, d):
                         "combo_index_normalized"])
 
 
+def q_preprocess_pipeline(spark, d):
+    """The survey's 12 recode groups over all its columns, on a stand-in of its codes."""
+    out = survey_preprocess(survey_rows(fx.table(spark, d, "orders"), TARGET_VARIABLES))
+    return _round(out, [f.name for f in out.schema.fields if f.dataType.typeName() == "double"])
+
+
 def q_subgroup_filter(spark, d):
     return q_subgroup_effects(spark, d).where(F.col("subgroup") == "Region")
 

@@ -6,7 +6,8 @@ engine itself avoids; the other oracles restate each operator's definition.
 
 from __future__ import annotations
 
-from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID
+from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID, TARGET_VARIABLES
+from equipoise.plans.survey_oracle import preprocess_sql
 
 FIXTURES = """
 o_agg AS (
@@ -523,6 +524,7 @@ ORDER BY abs(smd) DESC, variable LIMIT 10""")
          CASE WHEN u.treated = 1 THEN {D(1)} / NULLIF(s.ps, 0) ELSE {D(1)} / NULLIF(1 - s.ps, 0) END AS ipw_weight
   FROM units u LEFT JOIN (SELECT id, ps FROM scored WHERE dose > 0) s ON u.id = s.id) x
 WHERE ipw_weight IS NOT NULL AND NOT isnan(ipw_weight)""")
+    S["preprocess_pipeline"] = q(*preprocess_sql(TARGET_VARIABLES))
     S["nan_ingest"] = q("""u AS (SELECT id, n_orders, CASE WHEN id % 7 = 0 THEN NULL ELSE dose END AS dose FROM units),
 m AS (SELECT min(dose) AS mn, max(dose) AS mx FROM u)""", """SELECT id, n_orders, dose,
        CASE WHEN dose > 0 THEN 1 ELSE 0 END AS flag, coalesce(dose, 0) + n_orders AS total,
