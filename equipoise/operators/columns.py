@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from equipoise.operators.joins import hot_key_join, join_bounded
 from equipoise.operators.ranking import row_index
-from equipoise.session import BROADCAST_ROW_LIMIT, join_small, reliable_checkpoint
+from equipoise.session import fits_broadcast, reliable_checkpoint
 
 
 def available(df: DataFrame, wanted: Iterable[str]) -> list[str]:
@@ -36,9 +36,8 @@ def filter_isin(df: DataFrame, col: str, values) -> DataFrame:
     """
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias(col)).distinct()
-        n = keys.count()
-        if n <= BROADCAST_ROW_LIMIT:
-            return join_small(df, keys, col, "left_semi", known_rows=n)
+        if fits_broadcast(keys):
+            return df.join(F.broadcast(keys), col, "left_semi")
         return hot_key_join(df, keys, [col], "left_semi")  # long list: shuffle, hot values broadcast
     return df.where(F.col(col).isin(list(values)))
 
@@ -85,12 +84,10 @@ def category_codes(df: DataFrame, cols: Sequence[str], suffix: str = "", keep_ma
     maps = []
     for group in by_type.values():
         m = reliable_checkpoint(category_mapping(df, group))
-        sizes = {r.variable: r.n for r in m.groupBy("variable").agg(F.count(F.lit(1)).alias("n")).collect()}
         for c in group:
             lookup = m.where(F.col("variable") == c).select(F.col("value").alias(c), F.col("code").alias(f"_code_{c}"))
-            n = sizes.get(c, 0)
-            if n <= BROADCAST_ROW_LIMIT:
-                out = join_small(out, lookup, c, "left", known_rows=n)
+            if fits_broadcast(lookup):
+                out = out.join(F.broadcast(lookup), c, "left")
             else:  # many categories: shuffle join, with a broadcast branch for categories holding many rows
                 out = hot_key_join(out, lookup, [c], "left")
             out = out.withColumn(c + suffix, F.col(f"_code_{c}")).drop(f"_code_{c}")

@@ -3,7 +3,8 @@
 ``hot_key_join`` counts the big side per key (map-side combined), takes the
 keys above ``share`` of its rows -- there are at most ``1 / share`` of them, so
 the list is bounded by construction -- and joins those rows against a
-broadcast of the matching small-side rows (size-checked), while every other
+broadcast of the matching small-side rows (size-checked; beyond the limit both
+sides of the hot keys are salted), while every other
 key goes through the ordinary shuffle join.  The hot rows are thereby spread
 over all tasks of the big side instead of landing in one reducer.
 """
@@ -15,8 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equipoise.session import BROADCAST_ROW_LIMIT
+from equipoise.session import fits_broadcast
 
+SALTS = 32  # tasks over which a hot key's rows are dealt when its other side is too large to broadcast
 DEFAULT_SHARE = 0.01  # a key is hot when it holds more than 1% of the big side -> at most 100 hot keys
 
 
@@ -73,9 +75,12 @@ def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
         return big.join(small, keys, how)
     is_hot = _key_filter(keys, hot)
     small_hot = small.where(is_hot)
-    n_small_hot = small_hot.count()
-    hot_part = big.where(is_hot).join(F.broadcast(small_hot) if n_small_hot <= BROADCAST_ROW_LIMIT else small_hot,
-                                      keys, how)
+    if fits_broadcast(small_hot):
+        hot_part = big.where(is_hot).join(F.broadcast(small_hot), keys, how)
+    else:  # too much to broadcast: a hot key's rows are dealt over SALTS keys, its small side is repeated for each
+        salted = big.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(SALTS)))
+        repeated = small_hot.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        hot_part = salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
     cold = F.coalesce(~is_hot, F.lit(True))  # a NULL key is never hot (kept by outer joins)
     cold_part = big.where(cold).join(small.where(cold), keys, how)
     return hot_part.unionByName(cold_part)
@@ -85,7 +90,6 @@ def join_bounded(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
                  known_rows: int | None = None) -> DataFrame:
     """Broadcast ``small`` under a proven row bound; beyond it a shuffle join with hot keys split out."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    rows = known_rows if known_rows is not None else small.count()
-    if rows <= BROADCAST_ROW_LIMIT:
+    if fits_broadcast(small, known_rows=known_rows):
         return big.join(F.broadcast(small), keys, how)
     return hot_key_join(big, small, keys, how)

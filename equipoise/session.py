@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Broadcast a side only when its row count is proven to be at most this many rows.
+# Broadcast a side only when it is proven to have at most so many rows and bytes.
 BROADCAST_ROW_LIMIT = 200_000
+BROADCAST_BYTE_LIMIT = 64 << 20
+_FIXED_WIDTH = {"boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz"}
 
 
 def get_session(master: str | None = None, app: str = "equipoise", shuffle_partitions: int | None = None) -> SparkSession:
@@ -91,14 +93,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/equipoise-{name}-{uuid.uuid4().hex}"
 
 
+def fits_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT, known_rows: int | None = None) -> bool:
+    """Whether ``small`` is proven to be within the row and byte limits of a broadcast.
+
+    Columns of fixed width count 8 bytes a row.  Others are measured in the job that counts the rows, so
+    ``known_rows`` spares that job only where all columns have fixed width.
+    """
+    loose = [f.name for f in small.schema.fields if f.dataType.typeName() not in _FIXED_WIDTH]
+    fixed = 8 * (len(small.columns) - len(loose))
+    if known_rows is not None and (known_rows > limit or not loose):
+        return known_rows <= limit and known_rows * fixed <= BROADCAST_BYTE_LIMIT
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in loose), F.lit(fixed))
+    row = small.agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes")).first()
+    return row["rows"] <= limit and (row["bytes"] or 0) <= BROADCAST_BYTE_LIMIT
+
+
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", limit: int = BROADCAST_ROW_LIMIT,
                known_rows: int | None = None) -> DataFrame:
-    """Join ``small`` to ``big``, broadcasting it only when its row count is checked to be <= ``limit``.
+    """Join ``small`` to ``big``, broadcasting it only when ``fits_broadcast`` proves its size.
 
-    ``known_rows`` skips the count when the caller has already proven the bound.
-    Beyond the limit Spark's shuffle join (with AQE skew splitting) is used.
+    Beyond the limits Spark's shuffle join (with AQE skew splitting) is used.
     """
-    rows = known_rows if known_rows is not None else small.count()
-    if rows <= limit:
+    if fits_broadcast(small, limit, known_rows):
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)
