@@ -8,7 +8,7 @@ independent of summation order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equipoise.functions import recode as R
@@ -156,6 +156,13 @@ def q_filter_semijoin(spark, d):
     return filter_isin(u, "nation", wanted).select("id", "nation", "treated")
 
 
+def q_filter_semijoin_regions(spark, d):
+    """B3 against a table of values that leaves most rows out."""
+    n, r = fx.table(spark, d, "nation"), fx.table(spark, d, "region")
+    asian = n.join(r.where("r_name = 'ASIA'"), n.n_regionkey == r.r_regionkey).select("n_name")
+    return filter_isin(fx.units(spark, d), "nation", asian).select("id", "nation", "treated")
+
+
 def q_complete_cases(spark, d):
     return complete_cases(fx.coded(spark, d), ["yesno", "scale5", "duration"])
 
@@ -222,6 +229,12 @@ def q_category_codes(spark, d):
     return category_codes(complete_cases(u), ["segment", "nation"], suffix="_code")
 
 
+def q_category_codes_missing(spark, d):
+    """B15 with missing categories, which stay missing."""
+    u = fx.units(spark, d).select("id", F.nullif(F.col("segment"), F.lit("BUILDING")).alias("segment"))
+    return category_codes(u, ["segment"], suffix="_code")
+
+
 def q_coerce_numeric(spark, d):
     return fx.coded(spark, d).select("id", "text_num", R.to_number("text_num").alias("text_value"))
 
@@ -282,6 +295,13 @@ def q_join_left_labels(spark, d):
     return p.join(CB.nested_entries(fx.pages(spark, d)), "page_id", "left")
 
 
+def q_join_left_labels_unmatched(spark, d):
+    """C1 where two of three pages have no label rows: they stay, without labels."""
+    p = fx.pages(spark, d).select("page_id", "url")
+    labels = CB.nested_entries(fx.pages(spark, d)).where(F.col("page_id") % 3 == 0)
+    return p.join(labels, "page_id", "left")
+
+
 def _partial_scores(spark, d):
     return _scored(spark, d).where(F.col("dose") > 0).select("id", "ps")
 
@@ -435,6 +455,15 @@ def q_top_covariates(spark, d):
                   ["treated_mean", "control_mean", "smd", "abs_smd"])
 
 
+def q_top_covariates_many(spark, d):
+    """F2 over more than ten covariates, and F1: the position of each in the order."""
+    s = _scored(spark, d).withColumns({f"cov_{k:02d}": F.col("id") % (k + 3) for k in range(14)})
+    top = B.top_imbalanced(B.balance(s, [f"cov_{k:02d}" for k in range(14)], "treated"), 10)
+    # the ten rows in the order in which they come out
+    listed = top.agg(F.collect_list(F.struct("variable", "smd")).alias("rows")).select(F.posexplode("rows").alias("position", "row"))
+    return _round(listed.select("position", "row.variable", "row.smd"), ["smd"])
+
+
 def q_spec_comparison(spark, d):
     res = SP.spec_comparison_with_scores(spark, _scored(spark, d), {"ps": "ps", "ps_tied": "ps_tied"},
                                          ["acctbal", "n_orders", "dose"], "id", "treated", "outcome", SPEC_GRID)
@@ -548,6 +577,37 @@ def q_feature_importance(spark, d):
     return _unit_analysis(spark, d).prepare().fit_scores("random_forest").feature_importance()
 
 
+def q_model_score_shape(spark, d):
+    """Ids, arms and range of the fitted scores of both models (their values have no SQL form)."""
+    m = _unit_analysis(spark, d).prepare()
+    out = None
+    for name in ("logistic", "random_forest"):
+        s = m.fit_scores(name).scored.groupBy("treated").agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("id").alias("id_sum"),
+            F.min(F.col("propensity_score").between(0, 1)).alias("in_range")).withColumn("model", F.lit(name))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def q_feature_importance_shape(spark, d):
+    """The confounders of the forest, that their importances are shares, and that these add up to 1."""
+    f = _unit_analysis(spark, d).prepare().fit_scores("random_forest").feature_importance()
+    total = F.round(F.sum("importance").over(Window.partitionBy()), 6)  # one row a confounder
+    return f.select("confounder", F.col("importance").between(0, 1).alias("is_share"), total.alias("total"))
+
+
+def q_matching_analysis_scored(spark, d):
+    """J11 on supplied scores: the whole analysis against SQL."""
+    m = MatchingAnalysis(_scored(spark, d), "id", "treated", "outcome", ["ps", "acctbal", "n_orders", "dose"])
+    return _round(m.run(score_col="ps").effect(), ["value"])
+
+
+def q_ipw_analysis_scored(spark, d):
+    """J12 on supplied scores: the dose response of the whole analysis against SQL."""
+    w = WeightingAnalysis(_scored(spark, d), "id", "treated", "y", "dose", UNIT_CONFOUNDERS, UNIT_CATEGORICAL, SUBGROUPS)
+    return _round(w.prepare(score_col="ps").dose_response(), ["mean", "se", "ci_lower", "ci_upper"])
+
+
 def q_spec_grid(spark, d):
     u = fx.units(spark, d)
     coded = interaction_terms(category_codes(u, ["segment", "nation"], suffix="_code"),

