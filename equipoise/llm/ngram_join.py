@@ -41,11 +41,14 @@ from equipoise.llm.cells import cell_totals
 from equipoise.llm.common import materialize, ship_package, table
 from equipoise.llm.components import components
 from equipoise.llm.words import mix64, words_of
+from equipoise.session import join_small
 
 WORDS, PERCENT = 5, 80
 CELLS = 1 << 22
 #: A shingle in more sets than this doesn't pair all of them; sets compared at once; text bytes hashed at once.
 BUCKET, BLOCK, STEP = 32, 512, 4 << 20
+#: Tables of ids (at most 40 bytes a row) are broadcast if they are counted and have at most so many rows; else both sides are shuffled.
+SMALL = 500_000
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1) for i in range(64)]
 
@@ -126,9 +129,14 @@ def shared_prefixes(documents: DataFrame) -> DataFrame:
     owner = named.groupBy("set", "n").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("rows"))
     others = materialize(named.select("set", "n", "doc_id").join(owner.filter("rows > 1"), ["set", "n"])
                          .filter("doc_id != owner").select("set", "doc_id").distinct(), "copies")
-    own = named.join(others, ["set", "doc_id"], "left_anti")
+    own = named.join(others, ["set", "doc_id"], "left_anti").select("set", "n", "prefix")
+    # rows that repeat a document and its text
+    repeated = materialize(named.groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+                           .select("set").distinct(), "repeated")
+    if not repeated.isEmpty():
+        own = own.join(repeated, "set", "left_anti").unionByName(own.join(repeated, "set", "left_semi").dropDuplicates(["set"]))
     entries = own.select(F.posexplode("prefix").alias("pos", "shingle"), "set", "n").select(
-        "shingle", "set", (F.col("pos").cast("long") * (1 << 40) + F.col("n")).alias("place")).distinct()
+        "shingle", "set", (F.col("pos").cast("long") * (1 << 40) + F.col("n")).alias("place"))
     counted = entries.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("sets > 1")
     return materialize(counted.select(
         "shingle", "set", (F.col("place") % (1 << 40)).alias("n"), F.shiftright("place", 40).alias("pos"), "sets"), "index")
@@ -181,7 +189,7 @@ def sets_of(docs: DataFrame, documents: DataFrame, wanted: DataFrame, words: int
     """(set, found) of the ``wanted`` sets, their shingles computed again from the texts of one document each."""
     owners = documents.filter("doc_id IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("doc_id"))
     owners = materialize(owners.join(wanted, "set", "left_semi"), "owners")
-    texts = docs.select("doc_id", "text").join(owners, "doc_id")
+    texts = join_small(docs.select("doc_id", "text"), owners, "doc_id", limit=SMALL)
 
     def compute(batches):
         for part in steps(batches, "text"):
@@ -201,7 +209,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     a = sets.select(F.col("set").alias("set_a"), F.col("found").alias("found_a"))
     b = sets.select(F.col("set").alias("set_b"), F.col("found").alias("found_b"))
     both = F.size(F.array_intersect("found_a", "found_b"))
-    return materialize(pairs.join(a, "set_a").join(b, "set_b").filter(
+    return materialize(join_small(a, pairs, "set_a", limit=SMALL).join(b, "set_b").filter(
         100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")), "verified")
 
 
