@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from equipoise.llm.common import fold, ship_package, table
 from equipoise.llm.words import text_bytes
+from equipoise.session import join_small
 
 DIMENSIONS, LENGTHS, GROUP = 4096, (2, 4), 512
 SAMPLE_PER_LANGUAGE, CENTROIDS_PER_LANGUAGE, REJECT_SHARE = 400, 4, 0.005
@@ -106,7 +107,7 @@ def learn(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     chance = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) / 1_000_000
     # each language is thinned to its bound, so that a common one doesn't crowd out a rare one
-    sample = rows.join(sizes, "lang").filter(chance < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
+    sample = join_small(rows, sizes, "lang").filter(chance < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
