@@ -36,7 +36,9 @@ def _ace(df):
 def _alcohol(df):
     parts = [W.frequency_part("ALCDAY4", S.ALCOHOL_WEEKS_PER_MONTH, S.ALCOHOL_FREQ_DIVISOR)]
     parts += [W.scaled_part(c, lo, hi, div) for c, (lo, hi, div) in S.ALCOHOL_PARTS.items()]
-    return df.withColumn("ALCOHOL_SEVERITY", W.row_mean(parts))
+    # parts as columns: the mean names each several times, and inlined they outgrow generated code
+    named = {f"_part_{i}": p for i, p in enumerate(parts)}
+    return df.withColumns(named).withColumn("ALCOHOL_SEVERITY", W.row_mean(list(named))).drop(*named)
 
 
 def _demographics(df):
@@ -79,11 +81,12 @@ def _orientation(df):
 
 def _social(df):
     mapped = {c: R.recode(c, m) for c, m in S.SOCIAL_MAPS.items() if c in df.columns}
+    df = df.withColumns({f"_score_{c}": e for c, e in mapped.items()})
     new = {}
     for name, weights in S.SOCIAL_INDEX_WEIGHTS.items():
-        present = [(mapped[c], w) for c, w in weights.items() if c in mapped]
+        present = [(f"_score_{c}", w) for c, w in weights.items() if c in mapped]
         new[f"{name.upper()}_INDEX"] = W.weighted_mean(present) if present else F.lit(None).cast("double")
-    return df.withColumns(new)
+    return df.withColumns(new).drop(*[f"_score_{c}" for c in mapped])
 
 
 def _access(df):

@@ -34,7 +34,7 @@ def test_survey_pipeline_values(spark):
     assert abs(r1.ALCOHOL_SEVERITY - ((15 / 4.3) / 30 + 3 / 15) / 2) < 1e-15 and r2.ALCOHOL_SEVERITY is None
     # labels, children text, special weights
     assert (r1.SEXVAR, r1.MARITAL, r2.MARITAL) == ("Male", "Married", None)
-    assert (r1.CHILDREN, r2.CHILDREN, r3.CHILDREN) == ("", "3", None)
+    assert (r1.CHILDREN, r2.CHILDREN, r3.CHILDREN) == (None, "3", None)  # 88 is a blank label: missing (Q3)
     assert (r1.WEIGHT2, r2.WEIGHT2, r1.HEIGHT3) == (None, 150.0, 510.0)
     # disability: 1 of 6 flags
     assert (r1.DISABILITY_INDEX, r1.DISABILITY_INDEX_NORMALIZED, r2.DISABILITY_INDEX) == (1, 1 / 6, 0)
