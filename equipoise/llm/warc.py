@@ -245,7 +245,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a revisit's payload is that of the response that it refers to
     first = pages.filter("record_type = 'response'").groupBy(F.col("id").alias("to")).agg(
         F.first("page_id").alias("refers_to"), F.first("bytes").alias("full_bytes"), F.first("digest").alias("full_digest"))
-    return pages.join(first, "to", "left").select(
+    # only revisits are joined: the others refer to nothing and would all meet at the NULL key
+    again = pages.filter(F.col("to").isNotNull()).join(first, "to", "left")
+    whole = again.unionByName(pages.filter(F.col("to").isNull()), allowMissingColumns=True)
+    return whole.select(
         "page_id", F.coalesce("full_bytes", "bytes").alias("payload_bytes"), F.coalesce("full_digest", "digest").alias("payload_digest"),
         "record_type", "refers_to", (F.coalesce("full_digest", "digest") == F.col("stated")).alias("digest_matches"))
 
