@@ -73,9 +73,10 @@ def with_possible_hits(pages: DataFrame, filter_blocks: DataFrame, blocks: int,
     session = pages.sparkSession
     whole = session.range(blocks).join(filter_blocks, F.col("id") == F.col("block"), "left").select(
         "id", F.array(*[F.coalesce(f"word_{i}", F.lit(0).cast("long")) for i in range(WORDS)]).alias("words"))
-    packed = whole.agg(F.array_sort(F.collect_list(F.struct("id", "words"))).alias("rows")).select(
-        F.flatten(F.transform("rows", lambda r: r["words"])).alias("filter")).scalar()
-    sizes = lengths.agg(F.array_sort(F.collect_set("length")).alias("lengths")).scalar()
+    # one row each, written so that the subqueries are scans of it
+    packed = materialize(whole.agg(F.array_sort(F.collect_list(F.struct("id", "words"))).alias("rows")).select(
+        F.flatten(F.transform("rows", lambda r: r["words"])).alias("filter")), "url-filter").scalar()
+    sizes = materialize(lengths.agg(F.array_sort(F.collect_set("length")).alias("lengths")), "url-lengths").scalar()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels) - i + 1)))
