@@ -36,10 +36,15 @@ def chunks(text: Column, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> Colum
     return F.regexp_extract_all(text, F.lit(chunk_pattern(least, most)), F.lit(0))
 
 
-def _collisions(parts: DataFrame) -> DataFrame:
-    """(h, chunk, rank) of the hashes that name more than one chunk; ``parts`` has h and chunk."""
+def _collisions(parts: DataFrame) -> DataFrame | None:
+    """(h, chunk, rank) of the hashes that name more than one chunk, None if there are none; ``parts`` has h and chunk.
+
+    Verification moves each task's distinct chunks once and nothing else; chunks are only looked at again if hashes clash.
+    """
     pairs = parts.distinct()
-    several = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    several = materialize(pairs.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "clashing")
+    if several.isEmpty():
+        return None
     # a hash names few chunks, so a window over the chunks of one hash is small
     return pairs.join(several, "h", "left_semi").withColumn(
         "rank", F.row_number().over(Window.partitionBy("h").orderBy("chunk")))
@@ -51,12 +56,13 @@ def with_recipes(docs: DataFrame, text: str = "text", least: int = MIN_CHUNK, mo
     norm = docs.select("doc_id", lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("norm"))
     cut = norm.select("doc_id", "norm", chunks(F.col("norm"), least, most).alias("cut"))
     dictionary = cut.select(F.explode("cut").alias("chunk")).select(hash_fn(F.col("chunk")).alias("h"), "chunk")
-    clash = materialize(_collisions(dictionary), "chunk-clashes")
+    clash = _collisions(dictionary)
     plain = cut.select("doc_id", F.transform("cut", lambda c: hash_fn(c)).alias("recipe"),
                        F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "cut")
-    if clash.isEmpty():  # the usual case: every hash names one chunk and is its identifier
+    if clash is None:  # the usual case: every hash names one chunk and is its identifier
         return materialize(plain.drop("cut"), "recipes")
     # otherwise an identifier is the hash and the rank of the chunk among those that share it
+    clash = materialize(clash, "chunk-clashes")
     rows = plain.withColumn("row", F.monotonically_increasing_id())
     rows = materialize(rows, "recipes-clashing")
     parts = rows.select("row", F.posexplode("cut").alias("pos", "chunk")).withColumn("h", hash_fn(F.col("chunk")))
