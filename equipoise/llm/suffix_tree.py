@@ -10,14 +10,17 @@ the unknown word.  A text is scored by the longest retained suffix at each place
 
 What is counted, and where it lives:
 * words: all of them, exactly, in a table; it is joined by hash and never collected.  Those with a share of
-  at least ``WORD_SHARE`` (4 million at most) also go to the scoring tasks, which spares most look-ups;
-* longer strings: only those with a share of at least ``STRING_SHARE`` (1 million of each length at most) can be
-  symbols of a node.  A first pass counts all strings into ``CELLS`` cells a length; a second counts exactly those
-  whose cell reaches the share.  A cell's total bounds each of its strings, so none is missed.
+  at least ``WORD_SHARE`` (4 million at most) also go to the tasks, which spares most look-ups;
+* longer strings: all that occur ``LEAST`` times, exactly, in one table a length, whatever the size of the input; the
+  divergence test alone prunes them.  A string is counted only if the two strings that it has one symbol more than
+  may occur so often (a map of cells tells, which never misses one).  The tests of a length are joins with the next
+  shorter strings: with those that are its contexts, and with those that are its suffixes;
+* the tree: tables of contexts and strings.  Its most frequent ``CACHED`` entries also go to the scoring tasks; places
+  that these and a map of the other entries' cells leave open are joined to the tables.
 Words and contexts are named by 64-bit hashes (two words of a billion share one with probability 0.03).
 
-Memory: tasks work on about ``CHUNK`` words at a time (a longer text: on its own words); the driver and the tasks hold the
-tree, bounded by the shares above, not by the input.
+Memory: tasks work on about ``CHUNK`` words at a time (a longer text: on its own words) and count about ``PART`` strings
+at a time; the driver and the tasks hold the frequent words, ``CACHED`` entries and maps of ``CELLS`` cells.
 
 Defined results: NULL and empty texts are an end mark alone.  Repeated rows give repeated rows and count as often.  If
 there is nothing to learn from, N and V are 0 and the unknown symbol has all of the probability.  Extra columns are ignored.
@@ -25,6 +28,7 @@ there is nothing to learn from, N and V are 0 and the unknown symbol has all of
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +40,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equipoise.llm.cells import cell_totals
 from equipoise.llm.common import fold, materialize, ship_package, table
 from equipoise.llm.words import mix64, words_of
 
 DEPTH = 2
-WORD_SHARE, STRING_SHARE, LEAST = 2.5e-7, 1e-6, 4
-CELLS = 1 << 22
-CHUNK, ROWS = 700_000, 65_536
+WORD_SHARE, LEAST = 2.5e-7, 4
+CELLS = 1 << 26
+CHUNK, ROWS, PART, CACHED = 700_000, 65_536, 2_000_000, 1_200_000
 
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 END = np.uint64(0x1F83D9ABFB41BD6B)
@@ -98,45 +101,96 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
-    """(length less 2, hashes) of the strings of 2 to DEPTH + 1 symbols."""
-    for symbol, bounds in _chunks(batches):
-        before, place = contexts(symbol, bounds)
-        for k in range(1, DEPTH + 1):
-            inside = place >= k
-            yield k - 1, string_hash(before[k][inside], symbol[inside])
+def _probes(keys: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two cells of each key: its lowest and its highest bits."""
+    return (keys & np.uint64(cells - 1)).astype(np.int64), (keys >> np.uint64(65 - cells.bit_length())).astype(np.int64)
 
 
-def count_strings(texts: DataFrame, heavy_cells: np.ndarray, least: int) -> pd.DataFrame:
-    """Strings of 2 to DEPTH + 1 symbols that occur ``least`` times.
+def _cells(rows: DataFrame) -> np.ndarray:
+    """Bits of the cells that hold a key of ``rows`` (one column); tasks send their map in compressed blocks."""
+    size = CELLS // 8 // min(32, CELLS // 8)
 
-    k: length of the context; context and symbol; suffix_1 ..: the context's shorter suffixes; whole: the string as a
-    context (0: it is none); n: how often it occurs.
+    def mark(batches):
+        own = np.zeros(CELLS // 8, np.uint8)
+        for batch in batches:
+            for cell in _probes(batch.column(0).to_numpy().view(np.uint64), CELLS):
+                np.bitwise_or.at(own, cell >> 3, (128 >> (cell & 7)).astype(np.uint8))
+        for i, bits in enumerate(own.reshape(-1, size)):
+            if bits.any():
+                yield pa.record_batch({"block": pa.array([i], pa.int32()), "bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        bits = np.zeros(size, np.uint8)
+        for x in table.column("bits"):
+            bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        return pa.table({"block": table.column("block")[:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    schema, out = "block int, bits binary", np.zeros((CELLS // 8 // size, size), np.uint8)
+    for row in rows.mapInArrow(mark, schema).groupBy("block").applyInArrow(add, schema).collect():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for cell in _probes(keys, 8 * len(bits)):
+        out &= (bits[cell >> 3] & (128 >> (cell & 7)).astype(np.uint8)) > 0
+    return out
+
+
+def count_strings(texts: DataFrame, k: int, model: dict, shorter: np.ndarray | None) -> DataFrame:
+    """Strings of ``k`` + 1 symbols that occur ``LEAST`` times; ``shorter``: cells of those of ``k`` symbols that do.
+
+    context and symbol; suffix: the context less its first word; whole: the string as a context (0: it ends the text);
+    name: the string's hash; n: how often it occurs; symbol_n: how often its symbol occurs (-1: see the table of words).
     """
-    packed = np.packbits(heavy_cells, axis=1)
-    shorter = [f"suffix_{j}" for j in range(1, DEPTH)]
+    parts = -(-model["N"] // PART)
+    heavy = {x: model[x] for x in ("heavy", "heavy_n")}
 
     def count(batches):
         for symbol, bounds in _chunks(batches):
             before, place = contexts(symbol, bounds)
-            for k in range(1, DEPTH + 1):
-                name = string_hash(before[k], symbol)
-                cell = (name & np.uint64(CELLS - 1)).astype(np.int64)
-                heavy = np.flatnonzero((place >= k) & ((packed[k - 1][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1).astype(bool))
-                name, at, n = np.unique(name[heavy], return_index=True, return_counts=True)
-                at = heavy[at]
-                # the string is the context of the next place, unless it ends the text
-                after = np.zeros(len(at), np.uint64)
-                if k < DEPTH:
-                    goes_on = symbol[at] != END
-                    after[goes_on] = before[k + 1][at[goes_on] + 1]
-                yield from _rows({"k": np.full(len(name), k, np.int32), "context": before[k][at], "symbol": symbol[at], "whole": after}
-                                 | {c: before[min(j, k)][at] for j, c in enumerate(shorter, 1)} | {"n": n})
-
-    keys = ["k", "context", "symbol", "whole", *shorter]
-    rows = texts.mapInArrow(count, "k int, " + ", ".join(f"{c} long" for c in [*keys[1:], "n"]))
-    found = rows.groupBy(*keys).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    return found.astype({c: "uint64" for c in keys[1:]} | {"n": "float64"})
+            use = place >= k
+            if shorter is not None:
+                frequent = _marked(shorter, string_hash(before[k - 1], symbol))
+                use[1:] &= frequent[:-1]
+                use &= frequent
+            at = np.flatnonzero(use)
+            name, first, n = np.unique(string_hash(before[k][at], symbol[at]), return_index=True, return_counts=True)
+            at = at[first]
+            part = ((name >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            edges = np.searchsorted(part, np.arange(parts + 1))
+            for i in np.flatnonzero(np.diff(edges)):
+                own = slice(edges[i], edges[i + 1])
+                # the words of the strings, the symbol first
+                words = np.stack([symbol[at[own] - j] for j in range(k + 1)])
+                yield pa.record_batch({"part": pa.array([i], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()),
+                                       "n": pa.array([n[own].astype(np.uint32).tobytes()], pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        words = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(k + 1, -1) for x in table.column("words")], axis=1)
+        n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("n")])
+
+        def context(back):
+            out = [np.full(words.shape[1], _ODD[0])]
+            for w in back:
+                out.append(mix64(out[-1] + w * _ODD[1]))
+            return out
+
+        before = context(words[1:])
+        name, first, inverse = np.unique(string_hash(before[k], words[0]), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, n, len(name)).astype(np.int64)
+        often = np.flatnonzero(n >= LEAST)
+        first = first[often]
+        words = words[:, first]
+        symbol = words[0]
+        columns = {"context": before[k][first], "symbol": symbol, "suffix": before[k - 1][first],
+                   "whole": np.where(symbol == END, np.uint64(0), context(words)[k + 1]), "name": name[often]}
+        return pa.table({c: v.view(np.int64) for c, v in columns.items()}
+                        | {"n": n[often], "symbol_n": heavy_counts(heavy, symbol).astype(np.int64)})
+
+    schema = "context long, symbol long, suffix long, whole long, name long, n long, symbol_n long"
+    return materialize(texts.mapInArrow(count, "part int, words binary, n binary").groupBy("part").applyInArrow(add, schema), f"strings-{k}")
 
 
 def learn(texts: DataFrame) -> dict:
@@ -155,9 +209,7 @@ def learn(texts: DataFrame) -> dict:
     hashes = heavy["word"].to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     model |= {"heavy": hashes[order], "heavy_n": heavy["n"].to_numpy()[order]}
-    least = max(LEAST, int(np.ceil(STRING_SHARE * N)))
-    strings = count_strings(texts, cell_totals(texts, _strings, DEPTH, CELLS) >= least, least)
-    model["tree"] = grow(strings, model)
+    model["tree"] = grow(texts, model)
     return model
 
 
@@ -199,49 +251,145 @@ def heavy_counts(model: dict, symbol: np.ndarray) -> np.ndarray:
     return np.where(there, model["heavy_n"][at] if len(model["heavy"]) else -1, -1)
 
 
-def grow(strings: pd.DataFrame, model: dict) -> list[dict]:
-    """The retained nodes of each depth: sorted contexts with the weight of their parent, sorted strings with their log10 probability."""
-    levels: list[dict] = []
-    log_n = np.log(model["N"])
+class Level:
+    """The retained nodes of a depth: tables ``nodes`` (context, c, weight) and ``kept`` (name, n, p), logarithms to base 10.
+
+    Read as a mapping it gives arrays, collected when asked for: contexts sorted, their weights, strings sorted, their p.
+    """
+
+    def __init__(self, nodes: DataFrame, kept: DataFrame):
+        self.nodes, self.kept = nodes, kept
+
+    def arrays(self, least: int = 0) -> dict:
+        """Of the contexts and the strings that occur ``least`` times."""
+        out = {}
+        for rows, key, value, names in ((self.nodes.filter(F.col("c") >= least), "context", "weight", ("contexts", "weight")),
+                                        (self.kept.filter(F.col("n") >= least), "name", "p", ("strings", "p"))):
+            found = rows.select(key, value).toPandas()
+            hashes = found[key].to_numpy().astype(np.int64).view(np.uint64)
+            order = np.argsort(hashes)
+            out |= {names[0]: hashes[order], names[1]: found[value].to_numpy().astype(float)[order]}
+        return out
+
+    def __getitem__(self, key: str) -> np.ndarray:
+        return self.arrays()[key]
+
+
+def grow(texts: DataFrame, model: dict) -> list[Level]:
+    """The retained nodes of each depth, from the strings of each length and the next shorter ones."""
+    levels: list[Level] = []
+    N, d, log_n = model["N"], model["discount"], float(np.log(model["N"]))
+
+    def name_contexts(batches):
+        for batch in batches:
+            word = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.record_batch({"context": mix64(_ODD[0] + word * _ODD[1]).view(np.int64), "c": batch.column(1)})
+
+    # a context occurs as often as its word does, or as the string that it is
+    counts = model["words"].filter(F.col("n") >= LEAST).select("word", "n").mapInArrow(name_contexts, "context long, c long")
+    shorter = states = None
     for k in range(1, DEPTH + 1):
-        rows = strings[strings["k"] == k]
-        if k == 1:  # a context occurs as often as its word does
-            names, counts = mix64(np.full(len(model["heavy"]), _ODD[0]) + model["heavy"] * _ODD[1]), model["heavy_n"]
-        else:  # or as the string that it is
-            as_context = strings[(strings["k"] == k - 1) & (strings["whole"] != 0)]
-            names, counts = as_context["whole"].to_numpy(), as_context["n"].to_numpy()
-        order = np.argsort(names)
-        at, there = lookup(names[order], rows["context"].to_numpy())
-        rows, c = rows[there], counts[order][at[there]].astype(float) if len(order) else np.zeros(0)
-        context, symbol, n = (rows[x].to_numpy() for x in ("context", "symbol", "n"))
-        before = [np.full(len(rows), _ODD[0]), *(rows[f"suffix_{j}"].to_numpy() for j in range(1, k))]
-        met, to_root = walk(levels, before, np.full(len(rows), k), symbol)
-        parent = 10 ** met * np.where(to_root, root(model, np.maximum(heavy_counts(model, symbol), 0)), 1)
+        rows = count_strings(texts, k, model, shorter)
+        # the probability that the longest retained suffix gives the symbol
+        if k == 1:
+            rare = rows.filter("symbol_n < 0").drop("symbol_n").join(
+                model["words"].select(F.col("word").alias("symbol"), F.col("n").alias("symbol_n")), "symbol")
+            given = rows.filter("symbol_n >= 0").unionByName(rare).withColumn("parent", F.log10((F.col("symbol_n") - d) / N))
+        else:
+            given = rows.join(states, ["suffix", "symbol"])
+        c, n, parent = F.col("c").cast("double"), F.col("n").cast("double"), F.pow(F.lit(10.0), "parent")
         p = n / c
-        with np.errstate(divide="ignore"):
-            others = np.where(n < c, (c - n) * (np.log(np.maximum(1 - p, 1e-300)) - np.log(np.maximum(1 - parent, 1e-300))), 0)
-            gain = n * np.log(p / parent) + others
-        own = np.flatnonzero((gain > log_n) & (p > parent))
-        nodes, node = np.unique(context[own], return_inverse=True)
-        together = np.bincount(node, gain[own], len(nodes)) > 0.5 * log_n * np.bincount(node, minlength=len(nodes))
-        own = own[together[node]]
-        nodes, node = np.unique(context[own], return_inverse=True)
-        p = (n[own] - model["discount"]) / c[own]
-        left, parent_left = 1 - np.bincount(node, p, len(nodes)), 1 - np.bincount(node, parent[own], len(nodes))
-        names = string_hash(context[own], symbol[own])
-        order = np.argsort(names)
-        levels.append({"contexts": nodes, "weight": np.log10(np.maximum(left, 1e-12) / np.maximum(parent_left, 1e-9)),
-                       "strings": names[order], "p": np.log10(p[order])})
+        others = F.when(n < c, (c - n) * (F.log(F.greatest(1 - p, F.lit(1e-300))) - F.log(F.greatest(1 - parent, F.lit(1e-300))))).otherwise(0.0)
+        tested = given.join(counts, "context").withColumn("gain", n * F.log(p / parent) + others).withColumn(
+            "own", (F.col("gain") > log_n) & (p > parent))
+        tested = materialize(tested.select("context", "symbol", "whole", "name", "n", "c", "parent", "gain", "own"), f"tested-{k}")
+        nodes = tested.filter("own").groupBy("context").agg(
+            F.first("c").alias("c"), F.sum("gain").alias("gain"), F.count(F.lit(1)).alias("symbols"),
+            F.sum((n - d) / c).alias("taken"), F.sum(parent).alias("parent_taken")).filter(F.col("gain") > 0.5 * log_n * F.col("symbols"))
+        nodes = materialize(nodes.select("context", "c", F.log10(
+            F.greatest(1 - F.col("taken"), F.lit(1e-12)) / F.greatest(1 - F.col("parent_taken"), F.lit(1e-9))).alias("weight")), f"nodes-{k}")
+        placed = tested.join(nodes.select("context", "weight"), "context", "left")
+        kept = F.col("own") & F.col("weight").isNotNull()
+        placed = materialize(placed.filter(F.lit(k < DEPTH) | kept).select(
+            "context", "symbol", "whole", "name", "n", kept.alias("kept"),
+            F.when(kept, F.log10((n - d) / c)).otherwise(F.col("parent") + F.coalesce("weight", F.lit(0.0))).alias("p")), f"placed-{k}")
+        levels.append(Level(nodes, placed.filter("kept").select("name", "n", "p")))
+        if k < DEPTH:
+            states = placed.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("parent"))
+            counts = placed.filter("whole != 0").select(F.col("whole").alias("context"), F.col("n").alias("c"))
+            shorter = _cells(placed.select("name"))
+        # all tables of this depth are written: Spark deletes the shuffle files behind them once the JVM has collected them
+        texts.sparkSession.sparkContext._jvm.java.lang.System.gc()
     return levels
 
 
+def frequent(levels: list[Level]) -> tuple[list[dict], np.ndarray | None]:
+    """Arrays of the most frequent entries of the tree, and the cells of all entries (None: the arrays have all)."""
+    if not levels:
+        return [], None
+    sizes = levels[0].kept.select("n").limit(0)
+    for level in levels:
+        sizes = sizes.unionByName(level.kept.select("n")).unionByName(level.nodes.select(F.col("c").alias("n")))
+    by_size = sizes.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count(F.lit(1)).alias("entries")).toPandas().sort_values("n", ascending=False)
+    fits = by_size["entries"].cumsum().to_numpy() <= CACHED
+    if fits.all():
+        return [level.arrays() for level in levels], None
+    least = int(by_size["n"].to_numpy()[fits].min()) if fits.any() else 1 << 62
+    return [level.arrays(least) for level in levels], _cells(entries(levels).select("key"))
+
+
+def entries(levels: list[Level]) -> DataFrame:
+    """(key, value) of all contexts and strings of the tree."""
+    out = None
+    for level in levels:
+        own = level.nodes.select(F.col("context").alias("key"), F.col("weight").alias("value")).unionByName(
+            level.kept.select(F.col("name").alias("key"), F.col("p").alias("value")))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def settle(levels: list[dict], cells: np.ndarray, before: list[np.ndarray], place: np.ndarray, symbol: np.ndarray):
+    """As ``walk``, where ``levels`` have but the frequent entries of the tree and ``cells`` are those of all.
+
+    Also returns which places remain unsettled, (slot, places, values) of what is known and (slot, places, keys) of what is
+    to be looked up for them.  Slot 2 k - 2 is the context of k words, 2 k - 1 the string after it.
+    """
+    met, to_root, unsettled = np.zeros(len(symbol)), np.ones(len(symbol), bool), np.zeros(len(symbol), bool)
+    known, asked = [], []
+    for k in range(len(levels), 0, -1):
+        at = np.flatnonzero(to_root & (place >= k))
+        at = at[_marked(cells, before[k][at])]
+        step = np.zeros(len(at))
+        use = np.arange(len(at))
+        for slot, names, values in ((2 * k - 2, "contexts", "weight"), (2 * k - 1, "strings", "p")):
+            keys = before[k][at]
+            if names == "strings":
+                keys = string_hash(keys, symbol[at])
+                use = np.flatnonzero(_marked(cells, keys))
+                keys = keys[use]
+            entry, there = lookup(levels[k - 1][names], keys)
+            step[use[there]] = levels[k - 1][values][entry[there]]
+            known.append((slot, at[use[there]], step[use[there]]))
+            asked.append((slot, at[use[~there]], keys[~there]))
+            unsettled[at[use[~there]]] = True
+        met[at] += step
+        to_root[at[use[there]]] = False  # what is shorter than a string that is there isn't asked
+    return met, to_root, unsettled, known, asked
+
+
 def score_texts(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_tokens, n_known, base_score (words alone) and score (the tree) of ``text``."""
     ship_package(docs.sparkSession)
     kept = docs.select(*keep, "text")
     names = kept.columns[:-1]
     N, V = model["N"], model["V"]
-    small = {k: v for k, v in model.items() if k != "words"}
+    levels, cells = frequent(model["tree"])
+    small = {k: v for k, v in model.items() if k not in ("words", "tree")}
+    root_slot = 2 * len(levels)
+
+    def lists(per: np.ndarray, columns: dict) -> pa.Array:
+        whole = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in columns.values()], names=list(columns))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), whole)
 
     def score(batches):
         # numbers the rows of this run of the task; its output is written before it is used
@@ -250,40 +398,73 @@ def score_texts(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
             done = 0
             for symbol, bounds in _chunks(iter([batch.select(["text"])])):
                 before, place = contexts(symbol, bounds)
-                met, to_root = walk(small["tree"], before, place, symbol)
                 n = heavy_counts(small, symbol)
                 base = np.log10((np.maximum(n, 0) + 0.5) / (N + 0.5 * (V + 1)))
                 base[n < 0] = 0
-                full = met + np.where(to_root & (n >= 0), np.log10(root(small, np.maximum(n, 0))), 0)
-                starts = bounds[:-1]
+                at_root = np.log10(root(small, np.maximum(n, 0)))
+                starts, size = bounds[:-1], len(bounds) - 1
+                text = np.repeat(np.arange(size), np.diff(bounds))
                 rare = n < 0
-                per = np.add.reduceat(rare, starts)
-                size = len(starts)
+                extra = []
+                if cells is None:
+                    met, to_root = walk(levels, before, place, symbol)
+                else:
+                    met, to_root, unsettled, known, asked = settle(levels, cells, before, place, symbol)
+                    met[unsettled], to_root[unsettled] = 0, False
+                    at = np.flatnonzero(unsettled)
+                    position = np.cumsum(unsettled) - 1
+                    values = np.full((root_slot + 1, len(at)), np.nan)
+                    for slot, where, value in [*known, (root_slot, at[~rare[at]], at_root[at[~rare[at]]])]:
+                        use = unsettled[where]
+                        values[slot, position[where[use]]] = value[use]
+                    asked.append((root_slot, at[rare[at]], symbol[at[rare[at]]]))
+                    where = np.concatenate([x[1] for x in asked])
+                    order = np.argsort(where, kind="stable")
+                    where = where[order]
+                    extra = [lists(np.bincount(text[where], minlength=size), {
+                        "at": where, "slot": np.repeat([x[0] for x in asked], [len(x[1]) for x in asked])[order].astype(np.int32),
+                        "key": np.concatenate([x[2] for x in asked])[order].view(np.int64)}
+                        | {f"v{i}": values[i][position[where]] for i in range(root_slot + 1)})]
+                full = met + np.where(to_root & ~rare, at_root, 0)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(done, size) for c in names),
                     pa.array(first + np.arange(size)), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(n > 0, starts).astype(np.int64)),
                     pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(full, starts)),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32()), pa.array(symbol[rare].view(np.int64)))],
+                    lists(np.bincount(text[rare], minlength=size), {"word": symbol[rare].view(np.int64), "to_root": to_root[rare]}), *extra],
                     names=[*names, *own])
                 first, done = first + size, done + size
 
-    own = ["row", "n_tokens", "known", "base", "full", "rare"]
+    own = ["row", "n_tokens", "known", "base", "full", "rare"] + ["open"] * (cells is not None)
     schema = kept.drop("text").schema
-    for name, kind in zip(own, [T.LongType()] * 3 + [T.DoubleType()] * 2 + [T.ArrayType(T.LongType())]):
+    places = T.ArrayType(T.StructType.fromDDL("at long, slot int, key long, " + ", ".join(f"v{i} double" for i in range(root_slot + 1))))
+    for name, kind in zip(own, [T.LongType()] * 3 + [T.DoubleType()] * 2 + [T.ArrayType(T.StructType.fromDDL("word long, to_root boolean")), places]):
         schema = schema.add(name, kind)
     scored = materialize(kept.mapInArrow(score, schema), "scored")
     # words that the tasks don't hold: each occurrence is looked up in the table of all words
     c = F.coalesce(F.col("n"), F.lit(0))
     unknown = model["discount"] * V / N if N else 1.0
-    looked_up = (scored.select("row", F.explode("rare").alias("word")).join(model["words"], "word", "left")
+    at_root = F.log10(F.when(c > 0, (c - model["discount"]) / max(N, 1)).otherwise(unknown))
+    looked_up = (scored.select("row", F.inline("rare")).join(model["words"], "word", "left")
                  .groupBy("row").agg(
                      F.sum((c > 0).cast("long")).alias("more_known"),
                      F.sum(F.log10((c + 0.5) / F.lit(N + 0.5 * (V + 1)))).alias("more_base"),
-                     F.sum(F.log10(F.when(c > 0, (c - model["discount"]) / max(N, 1)).otherwise(unknown))).alias("more_full")))
-    return scored.drop("rare").join(looked_up, "row", "left").select(
+                     F.sum(F.when(F.col("to_root"), at_root).otherwise(0.0)).alias("more_full")))
+    joined = scored.drop("rare", "open").join(looked_up, "row", "left")
+    full = F.col("full") + F.coalesce("more_full", F.lit(0.0))
+    if cells is not None:
+        table_of_all = entries(model["tree"]).unionByName(model["words"].select(
+            F.col("word").alias("key"), F.log10((F.col("n") - model["discount"]) / N).alias("value")))
+        opened = scored.select("row", F.inline("open")).join(table_of_all, "key", "left")
+        one = opened.groupBy("row", "at").agg(*[
+            F.max(F.when(F.col("slot") == i, F.col("value")).otherwise(F.col(f"v{i}"))).alias(f"s{i}") for i in range(root_slot + 1)])
+        state = F.coalesce(f"s{root_slot}", F.lit(float(np.log10(unknown))))
+        for k in range(1, len(levels) + 1):
+            state = F.coalesce(F.col(f"s{2 * k - 1}"), state + F.coalesce(f"s{2 * k - 2}", F.lit(0.0)))
+        joined = joined.join(one.groupBy("row").agg(F.sum(state).alias("open_full")), "row", "left")
+        full = full + F.coalesce("open_full", F.lit(0.0))
+    return joined.select(
         *names, "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("full") + F.coalesce("more_full", F.lit(0.0))).alias("score"))
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), full.alias("score"))
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
