@@ -59,7 +59,7 @@ def shingles(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     n = len(w.hashes)
     rolled = np.zeros(max(0, n - words + 1), np.uint64)
     for j in range(words):
-        rolled += w.hashes[j:n - words + 1 + j] * _ODD[j]
+        rolled += w.hashes[j:j + len(rolled)] * _ODD[j]
     rolled = mix64(rolled)
     for lo, hi in zip(w.bounds[:-1], w.bounds[1:]):
         if hi - lo >= words:

@@ -1,6 +1,7 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 
 from equipoise.llm import ngram_join as J
@@ -77,3 +78,11 @@ def test_repeated_ids_are_one_document(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "k l m n o p"), (3, "k l m n o p"), (4, "other words")]
     got = J.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_a_stretch_of_few_words_is_one_shingle(spark, n):
+    text = " ".join("abcd"[:n])
+    assert [len(x) for x in J.shingles(pa.array([text]))] == [1]
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in J.similar_components(docs).collect()] == [(1, 1, 1)]
