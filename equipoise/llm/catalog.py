@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from equipoise.llm import bpe, exact_dedup, language_id, maxscore, mixing, ngram_join, suffix_tree, toxicity, url_filter, warc
+from equipoise.llm import (
+    alignment, bpe, exact_dedup, fill_middle, language_id, maxscore, mixing, ngram_join, packing, suffix_tree, toxicity, url_filter,
+    warc)
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_mixing": mixing.op10_mixing,
+    "op11_packing": packing.op11_packing,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_fill_middle": fill_middle.op13_fill_middle,
 }
 
 SQL = {
@@ -22,4 +27,5 @@ SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op6_maxscore": maxscore.SQL,
     "op9_url_filter": url_filter.SQL,
+    "op13_fill_middle": fill_middle.SQL,
 }

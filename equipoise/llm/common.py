@@ -5,7 +5,11 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from collections.abc import Collection, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,17 +48,38 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it back.
 
     This cuts the lineage: later stages read the files, also after an executor
     has been lost, and several consumers don't repeat the work above.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text (NULL: the empty text), modulo ``k``."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % k
+
+
+def free_name(taken: Collection[str], name: str) -> str:
+    """``name``, with underscores in front until no name in ``taken`` equals it, whatever the case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
+def parts_by_bytes(batches: Iterator[pa.RecordBatch], columns: Collection[str], size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``size`` bytes in ``columns`` together, one row at least."""
+    for batch in batches:
+        total = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            total += pc.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.cumsum(total) // size
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
