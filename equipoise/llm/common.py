@@ -72,6 +72,14 @@ def free_name(taken: Collection[str], name: str) -> str:
     return name
 
 
+def free_names(taken: Collection[str], *names: str) -> list[str]:
+    """``free_name`` of each of ``names``, all different."""
+    out: list[str] = []
+    for name in names:
+        out.append(free_name([*taken, *out], name))
+    return out
+
+
 def parts_by_bytes(batches: Iterator[pa.RecordBatch], columns: Collection[str], size: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``size`` bytes in ``columns`` together, one row at least."""
     for batch in batches:

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equipoise.llm.common import lower_ascii, materialize, table
+from equipoise.llm.common import free_names, lower_ascii, materialize, table
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 
@@ -102,22 +102,21 @@ def drop_copies(docs: DataFrame, **options) -> DataFrame:
     same doc_id and equal text, the one with the smallest columns as JSON stays.
     """
     verdicts = materialize(duplicate_groups(docs, **options), "verdicts")
-    key = [F.col("__id").eqNullSafe(F.col("__loser")), F.col("__sha") == F.col("__loser_sha")]
-    keyed = docs.withColumns({"__id": F.col("doc_id"), "__sha": F.sha2(
+    own_id, sha, loser, loser_sha, one = free_names(docs.columns, "id", "sha", "loser", "loser_sha", "one")
+    key = F.col(own_id).eqNullSafe(F.col(loser)) & (F.col(sha) == F.col(loser_sha))
+    keyed = docs.withColumns({own_id: F.col("doc_id"), sha: F.sha2(
         lower_ascii(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)})
     named = verdicts.groupBy("doc_id", "text_sha256").agg(
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
-    losers = named.filter(~F.col("kept")).select(F.col("doc_id").alias("__loser"), F.col("text_sha256").alias("__loser_sha"))
-    repeated = named.filter("kept AND copies > 1").select(
-        F.col("doc_id").alias("__loser"), F.col("text_sha256").alias("__loser_sha"))
+    losers = named.filter(~F.col("kept")).select(F.col("doc_id").alias(loser), F.col("text_sha256").alias(loser_sha))
+    repeated = named.filter("kept AND copies > 1").select(F.col("doc_id").alias(loser), F.col("text_sha256").alias(loser_sha))
     repeated = materialize(repeated, "repeated")
-    out = keyed.join(losers, key[0] & key[1], "left_anti")
+    out = keyed.join(losers, key, "left_anti")
     if repeated.isEmpty():
         return out.select(*docs.columns)
     row = F.struct(*[F.col(c) for c in docs.columns])
-    once = (out.join(repeated, key[0] & key[1], "left_semi").groupBy("__id", "__sha")
-            .agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*"))
-    return out.join(repeated, key[0] & key[1], "left_anti").select(*docs.columns).unionByName(once)
+    once = out.join(repeated, key, "left_semi").groupBy(own_id, sha).agg(F.min_by(row, F.to_json(row)).alias(one)).select(f"{one}.*")
+    return out.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

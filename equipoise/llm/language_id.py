@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm.common import fold, ship_package, table
+from equipoise.llm.common import fold, free_names, ship_package, table
 from equipoise.llm.words import text_bytes
 from equipoise.session import join_small
 
@@ -151,11 +151,12 @@ def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
                 yield pd.DataFrame({"lang_pred": names[best], "score": top, "rejected": top < model["floors"][best]})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select(*keep, letters.alias("__letters"), nearest(F.coalesce("text", F.lit(""))).alias("__p")).select(
-        *[F.col(c) if isinstance(c, str) else c for c in docs.select(*keep).columns],
-        F.when(F.col("__letters"), F.col("__p.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(F.col("__letters"), F.col("__p.score")).otherwise(0.0).alias("score"),
-        F.when(F.col("__letters"), F.col("__p.rejected")).otherwise(True).alias("rejected"))
+    own = docs.select(*keep).columns
+    has, p = free_names(own, "letters", "predicted")
+    return docs.select(*keep, letters.alias(has), nearest(F.coalesce("text", F.lit(""))).alias(p)).select(
+        *own, F.when(F.col(has), F.col(f"{p}.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col(has), F.col(f"{p}.score")).otherwise(0.0).alias("score"),
+        F.when(F.col(has), F.col(f"{p}.rejected")).otherwise(True).alias("rejected"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

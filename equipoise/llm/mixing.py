@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equipoise.llm.common import WORD, materialize, table
+from equipoise.llm.common import WORD, free_names, materialize, table
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE, MOST = 1.5, 2
@@ -223,18 +223,19 @@ def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
     the one with the smallest columns as JSON is given out as often as all of them are taken.
     """
     documents, _ = mix(docs, seed, **options)
-    drawn = materialize(documents.groupBy("key", "check").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-                        .filter("__copies > 0").withColumnsRenamed({"key": "__key", "check": "__check"}), "mix-drawn")
+    own_key, own_check, copies, rows, one, turn = free_names(docs.columns, "key", "check", "copies", "rows", "one", "turn")
+    drawn = materialize(documents.groupBy(F.col("key").alias(own_key), F.col("check").alias(own_check)).agg(
+        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).filter(F.col(copies) > 0), "mix-drawn")
     key, check = row_keys(seed)
-    keyed = docs.withColumns({"__key": key, "__check": check})
-    single = keyed.join(drawn.filter("__rows = 1"), ["__key", "__check"])
-    repeated = drawn.filter("__rows > 1")
+    keyed = docs.withColumns({own_key: key, own_check: check})
+    single = keyed.join(drawn.filter(F.col(rows) == 1), [own_key, own_check])
+    repeated = drawn.filter(F.col(rows) > 1)
     if not repeated.isEmpty():
         row = F.struct(*[F.col(c) for c in docs.columns])
-        once = keyed.join(repeated, ["__key", "__check"]).groupBy("__key", "__check", "__copies").agg(
-            F.min_by(row, F.to_json(row)).alias("__row"))
-        single = single.drop("__rows").unionByName(once.select("__key", "__check", "__copies", "__row.*"))
-    return single.withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+        once = keyed.join(repeated, [own_key, own_check]).groupBy(own_key, own_check, copies).agg(
+            F.min_by(row, F.to_json(row)).alias(one))
+        single = single.drop(rows).unionByName(once.select(own_key, own_check, copies, f"{one}.*"))
+    return single.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

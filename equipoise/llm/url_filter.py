@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equipoise.llm.common import UPPER, materialize, table
+from equipoise.llm.common import UPPER, free_names, materialize, table
 
 LEAST_BLOCKS, MOST_BLOCKS, ENTRIES_A_BLOCK = 1 << 12, 1 << 18, 16
 WORDS = 4
@@ -65,12 +65,13 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
     return keyed.groupBy("block").agg(*[F.bit_or(f"word_{i}").alias(f"word_{i}") for i in range(WORDS)])
 
 
-def with_possible_hits(pages: DataFrame, filter_blocks: DataFrame, blocks: int, lengths: DataFrame) -> DataFrame:
-    """``pages`` (with host and path) and ``hits``: its look-up keys that the filter lets pass.
+def with_possible_hits(pages: DataFrame, filter_blocks: DataFrame, blocks: int, lengths: DataFrame, hits: str = "hits") -> DataFrame:
+    """``pages`` (with host and path) and ``hits`` (a name that they don't have): the look-up keys that the filter lets pass.
 
     The filter (8 MB at most) and the listed path lengths reach the rows as scalar subqueries.
     """
     session = pages.sparkSession
+    words, listed, tried = free_names([*pages.columns, hits], "filter", "sizes", "keys")
     whole = session.range(blocks).join(filter_blocks, F.col("id") == F.col("block"), "left").select(
         "id", F.array(*[F.coalesce(f"word_{i}", F.lit(0).cast("long")) for i in range(WORDS)]).alias("words"))
     # one row each, written so that the subqueries are scans of it
@@ -80,17 +81,17 @@ def with_possible_hits(pages: DataFrame, filter_blocks: DataFrame, blocks: int,
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels) - i + 1)))
-    prefixes = F.transform(F.filter("__sizes", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    prefixes = F.transform(F.filter(listed, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.when(F.col("host") != "", F.flatten(F.transform(
         suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))).otherwise(F.array().cast("array<string>"))
 
     def passes(key: Column) -> Column:
         base = _block(key, blocks) * WORDS
-        seen = [F.get(F.col("__filter"), base + i).bitwiseAND(bit) != 0 for i, bit in enumerate(_bits(key))]
+        seen = [F.get(F.col(words), base + i).bitwiseAND(bit) != 0 for i, bit in enumerate(_bits(key))]
         return seen[0] & seen[1] & seen[2] & seen[3]
 
-    return (pages.withColumns({"__filter": packed, "__sizes": sizes}).withColumn("__keys", keys)
-            .withColumn("hits", F.array_distinct(F.filter("__keys", passes))).drop("__filter", "__sizes", "__keys"))
+    return (pages.withColumns({words: packed, listed: sizes}).withColumn(tried, keys)
+            .withColumn(hits, F.array_distinct(F.filter(tried, passes))).drop(words, listed, tried))
 
 
 def judge_urls(pages: DataFrame, listing: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
@@ -104,17 +105,18 @@ def judge_urls(pages: DataFrame, listing: DataFrame, default: str = "allow", url
     while blocks < MOST_BLOCKS and blocks * ENTRIES_A_BLOCK < listed.count():
         blocks *= 2
     host, path = host_and_path(F.col(url))
-    own = [F.col(c) for c in pages.columns if c not in ("host", "path", "rule", "verdict", "hits")]
+    own = [F.col(c) for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     parsed = pages.select(*own, host.alias("host"), path.alias("path"))
-    tested = with_possible_hits(parsed, bloom_blocks(listed, blocks), blocks, listed.select("length"))
+    hits, best = free_names(parsed.columns, "hits", "best")
+    tested = with_possible_hits(parsed, bloom_blocks(listed, blocks), blocks, listed.select("length"), hits)
     # the same few lists of possible hits come again and again: each is looked up once
-    distinct = tested.filter(F.size("hits") > 0).select("hits").distinct()
+    distinct = tested.filter(F.size(hits) > 0).select(F.col(hits).alias("hits")).distinct()
     verified = (distinct.select("hits", F.explode("hits").alias("url"))
                 .join(listed.hint("shuffle_hash"), "url")
-                .groupBy("hits").agg(F.max(F.struct(F.length("url").alias("n"), "url", "verdict")).alias("best")))
-    return tested.join(verified, "hits", "left").select(
-        *own, "host", "path", F.col("best.url").alias("rule"),
-        F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+                .groupBy("hits").agg(F.max(F.struct(F.length("url").alias("n"), "url", "verdict")).alias(best)))
+    return tested.join(verified.select(F.col("hits").alias(hits), best), hits, "left").select(
+        *own, "host", "path", F.col(f"{best}.url").alias("rule"),
+        F.coalesce(f"{best}.verdict", F.lit(default)).alias("verdict"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
