@@ -18,8 +18,8 @@
    components; such pairs are never rows of a table.
 6. Components of the links by alternating stars; a component is named by its smallest doc_id.
 
-Memory: a task holds the sets of two blocks (2 * ``BLOCK`` documents) or those of a batch; the driver and tasks hold ``CELLS``
-counts.  Hashes: two shingles of a billion share one with probability 0.03.
+Memory: a task holds the sets of two blocks (``BLOCK`` sets and ``CONTENT`` shingles each) or those of a batch; the driver and
+tasks hold ``CELLS`` counts.  Hashes: two shingles of a billion share one with probability 0.03.
 
 Defined results: texts that are NULL, empty or without a word have no shingles and no links.  Rows that repeat a doc_id are one
 document with several sets.  A NULL doc_id gets a row, but its set is not compared: its component is NULL.
@@ -38,15 +38,17 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equipoise.llm.cells import cell_totals
-from equipoise.llm.common import materialize, ship_package, table
+from equipoise.llm.common import WORD, free_names, materialize, ship_package, table
 from equipoise.llm.components import components
 from equipoise.llm.words import mix64, words_of
+from equipoise.operators.ranking import cumulative_sum
 from equipoise.session import join_small
 
 WORDS, PERCENT = 5, 80
 CELLS = 1 << 22
-#: A shingle in more sets than this doesn't pair all of them; sets compared at once; text bytes hashed at once.
-BUCKET, BLOCK, STEP = 32, 512, 4 << 20
+#: A shingle in more sets than this doesn't pair all of them; sets of a block, and shingles of its sets (but for one
+#: larger set); text bytes hashed at once.
+BUCKET, BLOCK, CONTENT, STEP = 32, 512, 1 << 19, 2 << 20
 #: Tables of ids (at most 40 bytes a row) are broadcast if they are counted and have at most so many rows; else both sides are shuffled.
 SMALL = 500_000
 
@@ -104,14 +106,15 @@ def with_prefixes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
         for part in steps(batches, "text"):
             yield 0, np.concatenate(list(shingles(part.column("text"), words)))
 
-    totals = np.minimum(cell_totals(texts, all_shingles, 1, CELLS)[0], (1 << 20) - 1).astype(np.uint32)
+    # in steps of a 3000th part: the order needs no more, and the tasks get 2 bytes a cell
+    order = (np.log2(cell_totals(texts, all_shingles, 1, CELLS)[0] + 1, dtype=np.float32) * 1024).astype(np.uint16)
 
     def prefixes(batches):
         for part in steps(batches, "text"):
             sizes, names, firsts = [], [], []
             for found in shingles(part.column("text"), words):
                 n = len(found)
-                rank = totals[found & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(44) | found >> np.uint64(20)
+                rank = order[found & np.uint64(CELLS - 1)].astype(np.uint64) << np.uint64(48) | found >> np.uint64(16)
                 firsts.append(found[np.argsort(rank, kind="stable")[:n - (percent * n + 99) // 100 + 1]] if n else found)
                 sizes.append(n)
                 names.append(set_name(found))
@@ -243,9 +246,11 @@ def block_links(groups: DataFrame, comps: DataFrame, sets: DataFrame, percent: i
     """Links (a, b) between sets of the same near group (set, n, near) that are in different components."""
     members = of_component(groups, comps, "set", "comp")
     sizes = members.groupBy("near").agg(F.count_distinct("comp").alias("comps")).filter("comps > 1")
-    line = Window.partitionBy("near").orderBy("comp", "n", "set")  # narrow rows: set, size, component
-    members = materialize(members.join(sizes.select("near"), "near", "left_semi").withColumn(
-        "block", F.floor((F.row_number().over(line) - 1) / BLOCK)), "near-blocks")
+    # a running sum of content cuts the blocks; a group's rows are summed in buckets, so a large group is many tasks
+    members = materialize(members.join(sizes.select("near"), "near", "left_semi"), "near-members")
+    content = F.greatest(F.col("n"), F.lit(CONTENT // BLOCK).cast("long"))
+    lined = cumulative_sum(members, content, ["comp", "n", "set"], partition_by=["near"], out="before")
+    members = materialize(lined.withColumn("block", F.floor(F.col("before") / CONTENT)).drop("before"), "near-blocks")
     blocks = members.groupBy("near", "block").agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.min("comp").alias("first"), F.max("comp").alias("last"))
     left = blocks.select("near", *[F.col(c).alias(f"{c}_l") for c in ("block", "least", "most", "first", "last")])
@@ -310,10 +315,24 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``docs`` less the documents that aren't the smallest doc_id of their component; NULL ids stay."""
-    result = materialize(similar_components(docs, percent, words), "near-verdicts")
-    losers = result.filter("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each component: one of those with its smallest doc_id, the one with the smallest columns as JSON.
+
+    Rows that repeat a doc_id are one document.  A row with a NULL doc_id takes part under a number of its text, behind all
+    usual ids; if its text has no word, it stays.
+    """
+    key, one = free_names(docs.columns, "near_key", "one")
+    behind = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.when(F.col("text").rlike(WORD), behind)))
+    result = materialize(similar_components(keyed.select(F.col(key).alias("doc_id"), "text"), percent, words), "near-verdicts")
+    losers = result.filter("doc_id != component_id").select(F.col("doc_id").alias(key)).distinct()
+    repeated = result.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    repeated = materialize(repeated.select(F.col("doc_id").alias(key)), "near-repeated")
+    kept = keyed.join(losers, key, "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    once = kept.join(repeated, key, "left_semi").groupBy(key).agg(F.min_by(row, F.to_json(row)).alias(one)).select(f"{one}.*")
+    return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(once)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

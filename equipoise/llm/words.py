@@ -3,7 +3,8 @@
 A batch of texts (an Arrow string array) is handled as one byte array: A-Z are lower-cased by a table, words
 are the runs between the six ASCII white-space bytes, and all words are hashed at once by a polynomial over
 random byte values modulo 2**64, taken from prefix sums, and mixed.  Long batches are worked off in stretches
-of some MB that end between words, so memory follows the longest word, not the batch.
+of ``STRETCH`` bytes that end between words: a stretch and its tables of powers take some 50 bytes a byte, so memory
+follows the longest word, not the batch.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-STRETCH = 1 << 22
+STRETCH = 1 << 18
 _rng = np.random.default_rng(20240229)
 _LOWER = np.frombuffer(bytes(range(256)).lower(), dtype=np.uint8)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
