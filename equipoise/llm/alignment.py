@@ -129,12 +129,13 @@ def tokens(docs: DataFrame, pair: Tokenizers, size: int = RANGE) -> DataFrame:
 
     def encode(texts: list[str]) -> dict[str, pa.Array]:
         first, second = pair.load()
-        a = [first.ids(" " + t) if t else [] for t in texts]
-        b = second.ids(texts)
-        good = [b"".join(map(first.strings.__getitem__, x)) == b"".join(map(second.strings.__getitem__, y)) == (" " + t).encode()
-                if t else False for t, x, y in zip(texts, a, b)]
-        return {"good": pa.array(good), "a": pa.array([_ids(x) if g else b"" for x, g in zip(a, good)], pa.binary()),
-                "b": pa.array([_ids(x) if g else b"" for x, g in zip(b, good)], pa.binary())}
+        a, b, good = [], [], []
+        for text, y in zip(texts, second.ids(texts)):
+            raw, x = b" " + text.encode(), first.ids(" " + text)
+            good.append(text != "" and b"".join(map(second.strings.__getitem__, y)) == raw and first.spells(x, raw))
+            a.append(_ids(x) if good[-1] else b"")
+            b.append(_ids(y) if good[-1] else b"")
+        return {"good": pa.array(good, pa.bool_()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, whole = TaskContext.get().partitionId() << 33, pair.load()[1].cut

@@ -53,8 +53,9 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, before = byte_level(path, content), TaskContext.get().partitionId(), 0
+        last = np.array([end], np.uint32)
         for batch in parts_by_bytes(batches, ["text"], STEP):
-            found = [np.array([i for p in safe_parts(t or "") for i in coder.ids(p)] + [end], "<u4")
+            found = [np.concatenate([*map(coder.ids, safe_parts(t or "")), last]).astype("<u4", copy=False)
                      for t in batch.column("text").to_pylist()]
             n = np.array([len(ids) for ids in found], np.int64)
             ends = before + np.cumsum(n)

@@ -70,10 +70,15 @@ class ByteLevel:
             self.library = Tokenizer.from_str(content)
             self.library.encode_special_tokens = not special
 
-    def ids(self, text: str) -> list[int]:
+    def ids(self, text: str) -> np.ndarray:
+        """Ids of a text, unsigned 32-bit."""
         if self.library is not None:
-            return self.library.encode(text, add_special_tokens=False).ids
-        return self.ranks.encode(text, allowed_special=self.allowed, disallowed_special=())
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.ranks.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+
+    def spells(self, ids: np.ndarray, raw: bytes) -> bool:
+        """Whether the ids' strings are ``raw``, of which the ids are; merges of ranks always spell the text they are given."""
+        return self.library is None or b"".join(map(self.strings.__getitem__, ids.tolist())) == raw
 
 
 def byte_level(path: str, content: str, special: bool = True) -> ByteLevel:
