@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from equipoise.operators.moments import moments
+
 
 def balance(df: DataFrame, covariates: Sequence[str], treatment: str, pooled: bool = False,
             by: Sequence[str] = ()) -> DataFrame:
@@ -34,6 +36,24 @@ def balance(df: DataFrame, covariates: Sequence[str], treatment: str, pooled: bo
     return long.select(*by, "variable", "treated_mean", "control_mean", smd.alias("smd"))
 
 
+def weighted_balance(df: DataFrame, covariates: Sequence[str], treatment: str, weight: str) -> DataFrame:
+    """D1 with row weights (as ``reuse_weights`` gives them): weighted means, SMD and each arm's effective sample size.
+
+    The variance is that of reliability weights, S / (W - sum w^2 / W); the effective size is W^2 / sum w^2.  With
+    weights of 1 all of it is ``balance``.  The rows are read once.
+    """
+    values = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(f"`{v}`").cast("double").alias("x")) for v in covariates])
+    long = df.where(F.col(treatment).isin(0, 1)).select(F.col(treatment).alias("arm"), F.col(weight).cast("double").alias("w"),
+                                                        F.inline(values))
+    m = moments(long, "x", "w", "w", ["variable", "arm"])
+    sd = F.sqrt(F.try_divide(F.col("sxx"), F.when(F.col("w") > F.col("my"), F.col("w") - F.col("my"))))
+    arm = [m.groupBy("variable").agg(*[F.first(F.when(F.col("arm") == a, x), ignorenulls=True).alias(f"{n}_{name}")
+                                       for a, n in ((1, "treated"), (0, "control"))
+                                       for name, x in (("mean", F.col("mx")), ("sd", sd), ("ess", F.try_divide("w", "my")))])][0]
+    smd = F.when(F.col("treated_sd") > 0, (F.col("treated_mean") - F.col("control_mean")) / F.col("treated_sd")).otherwise(F.lit(0.0))
+    return arm.select("variable", "treated_mean", "control_mean", smd.alias("smd"), "treated_sd", "control_sd", "treated_ess", "control_ess")
+
+
 def balance_summary(bal: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Mean |SMD|, max |SMD| and the number of covariates with |SMD| > threshold."""
     a = F.abs(F.col("smd"))

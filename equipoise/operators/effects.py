@@ -1,8 +1,7 @@
 """Effect estimators.
 
-Regressions with one predictor are closed forms over centred weighted sums, so each is
-two map-side-combined aggregates (one, per group, for subgroup effects) -- no model
-object, no collect of rows.
+Regressions with one predictor are closed forms over mergeable weighted moments (``moments``),
+so each reads its rows once -- no model object, no collect of rows.
 """
 
 from __future__ import annotations
@@ -13,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.functions.recode import finite_or_null
-from equipoise.operators.joins import join_bounded
+from equipoise.functions.student import t_two_sided
+from equipoise.operators.balance import weighted_balance
+from equipoise.operators.moments import merged_moments, moments, partial_moments
 
 Z95 = 1.96
 
@@ -35,6 +36,17 @@ def treatment_effect(df: DataFrame, outcome: str, treatment: str) -> DataFrame:
         f"'CI Lower', ate - {Z95} * se, 'CI Upper', ate + {Z95} * se) AS (metric, value)")
 
 
+def weighted_treatment_effect(df: DataFrame, outcome: str, treatment: str, weight: str) -> DataFrame:
+    """D3 with row weights: difference in weighted means, SE from the weighted variances over the effective sizes."""
+    b = weighted_balance(df, [outcome], treatment, weight)
+    b = b.withColumn("ate", F.col("treated_mean") - F.col("control_mean")).withColumn(
+        "se", F.sqrt(F.col("treated_sd") ** 2 / F.col("treated_ess") + F.col("control_sd") ** 2 / F.col("control_ess")))
+    return b.selectExpr(
+        "stack(8, 'Treated Outcome', treated_mean, 'Control Outcome', control_mean, 'Treatment Effect', ate, 'SE', se, "
+        f"'CI Lower', ate - {Z95} * se, 'CI Upper', ate + {Z95} * se, 'Treated ESS', treated_ess, 'Control ESS', control_ess) "
+        "AS (metric, value)")
+
+
 def ipw_weights(df: DataFrame, score: str, treatment: str, out: str = "ipw_weight") -> DataFrame:
     """ATE weight T/ps + (1-T)/(1-ps); rows with a missing or infinite weight are dropped."""
     ps = F.col(score).cast("double")
@@ -46,107 +58,67 @@ def ipw_weights(df: DataFrame, score: str, treatment: str, out: str = "ipw_weigh
 _ZERO_SPREAD = 4e-16
 
 
+def _slope(m: DataFrame) -> DataFrame:
+    """Weighted moments (``moments``) with intercept a, slope b, their errors se_a and se_b, r2 and the residuals' degrees of freedom."""
+    spread = F.col("largest") * _ZERO_SPREAD
+    m = m.withColumn("sxx", F.when(F.col("sxx") > F.col("w") * spread * spread, F.col("sxx")))
+    m = m.withColumn("b", F.try_divide(F.col("sxy"), F.col("sxx")))
+    m = m.withColumns({"a": F.col("my") - F.col("b") * F.col("mx"), "dof": (F.col("n") - 2).cast("double"),
+                       "rss": F.greatest(F.col("syy") - F.col("b") * F.col("sxy"), F.col("b") * 0.0)})
+    m = m.withColumn("s2", F.try_divide(F.col("rss"), F.when(F.col("dof") > 0, F.col("dof"))))
+    return m.withColumns({
+        "se_b": F.sqrt(F.try_divide(F.col("s2"), F.col("sxx"))),
+        "se_a": F.sqrt(F.col("s2") * (F.try_divide(F.lit(1.0), F.col("w")) + F.try_divide(F.col("mx") * F.col("mx"), F.col("sxx")))),
+        "r2": 1 - F.try_divide(F.col("rss"), F.col("syy"))})
+
+
 def wls(df: DataFrame, y: str, x: str, weight: str) -> DataFrame:
-    """Weighted least squares ``y ~ 1 + x``: per term coefficient, SE, t; model R^2 and n.
+    """Weighted least squares ``y ~ 1 + x``: per term coefficient, SE, t, two-sided p; model R^2 and n.
 
-    Matches statsmodels' WLS (residual scale RSS_w / (n - 2), weighted centred
-    TSS for R^2).  Two aggregates: the weighted means first, then the sums of the
-    centred values, so that a large offset of x or y costs no precision.  A
-    constant x, or weights that add up to 0, give NULL.  p-values need a
-    Student-t CDF: see ``wls_pvalues``.
+    Matches statsmodels' WLS (residual scale RSS_w / (n - 2), weighted centred TSS for R^2).  The rows are read once, into
+    centred moments, so that a large offset of x or y costs no precision.  A constant x, or weights that add up to 0, give
+    NULL; without rows there is one of NULLs per term.
     """
-    data = df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(weight).isNotNull()).select(
-        F.col(y).cast("double").alias("_y"), F.col(x).cast("double").alias("_x"), F.col(weight).cast("double").alias("_w"))
-    # the means are two scalars of one row; centring by nearby values is exact enough whatever their last digits
-    m = data.agg(F.try_divide(F.sum(F.col("_w") * F.col("_x")), F.sum("_w")).alias("xm"),
-                 F.try_divide(F.sum(F.col("_w") * F.col("_y")), F.sum("_w")).alias("ym"),
-                 F.max(F.abs("_x")).alias("largest")).first()
-    xm, ym = (F.lit(m[k]).cast("double") for k in ("xm", "ym"))
-    dx, dy, w = F.col("_x") - xm, F.col("_y") - ym, F.col("_w")
-    f = data.agg(F.sum(w).alias("W"), F.sum(w * dx).alias("dx"), F.sum(w * dy).alias("dy"), F.sum(w * dx * dx).alias("cxx"),
-                 F.sum(w * dx * dy).alias("cxy"), F.sum(w * dy * dy).alias("cyy"), F.count(F.lit(1)).alias("n"))
-    # what rounding left of the means is taken out again
-    f = f.withColumns({"cxx": F.col("cxx") - F.try_divide(F.col("dx") * F.col("dx"), F.col("W")),
-                       "cxy": F.col("cxy") - F.try_divide(F.col("dx") * F.col("dy"), F.col("W")),
-                       "cyy": F.col("cyy") - F.try_divide(F.col("dy") * F.col("dy"), F.col("W"))})
-    spread = F.lit(_ZERO_SPREAD * float(m["largest"] or 0.0))
-    f = f.withColumn("cxx", F.when(F.col("cxx") > F.col("W") * spread * spread, F.col("cxx")))
-    f = f.withColumn("b", F.try_divide(F.col("cxy"), F.col("cxx")))
-    f = f.withColumn("a", ym - F.col("b") * xm)
-    f = f.withColumn("rss", F.greatest(F.col("cyy") - F.col("b") * F.col("cxy"), F.col("b") * 0.0))
-    f = f.withColumn("s2", F.try_divide(F.col("rss"), F.when(F.col("n") > 2, (F.col("n") - 2).cast("double"))))
-    f = f.withColumns({"se_b": F.sqrt(F.try_divide(F.col("s2"), F.col("cxx"))),
-                       "se_a": F.sqrt(F.col("s2") * (F.try_divide(F.lit(1.0), F.col("W")) + F.try_divide(xm * xm, F.col("cxx")))),
-                       "r2": 1 - F.try_divide(F.col("rss"), F.col("cyy"))})
-    return f.selectExpr(
-        "stack(2, 'Intercept', a, se_a, '" + x + "', b, se_b) AS (term, coef, se)", "r2", "n"
-    ).select("term", "coef", "se", F.try_divide(F.col("coef"), F.col("se")).alias("t_stat"),
-             F.col("r2").alias("r_squared"), "n")
-
-
-def wls_pvalues(df: DataFrame, y: str, x: str, weight: str) -> DataFrame:
-    """D10 with p-values from Spark ML's normal-equation solver (``summary.pValues``)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    data = VectorAssembler(inputCols=[x], outputCol="_features").transform(
-        df.where(F.col(y).isNotNull() & F.col(x).isNotNull() & F.col(weight).isNotNull()))
-    model = LinearRegression(featuresCol="_features", labelCol=y, weightCol=weight, solver="normal",
-                             regParam=0.0, fitIntercept=True).fit(data)
-    s = model.summary
-    rows = [(x, float(model.coefficients[0]), float(s.coefficientStandardErrors[0]), float(s.tValues[0]),
-             float(s.pValues[0])),
-            ("Intercept", float(model.intercept), float(s.coefficientStandardErrors[1]), float(s.tValues[1]),
-             float(s.pValues[1]))]
-    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t_stat double, p_value double")
+    found = moments(df, x, y, weight)
+    one = df.sparkSession.range(1).select(F.lit(0).alias("_one"))
+    m = one.join(found.withColumn("_one", F.lit(0)), "_one", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    terms = _slope(m).selectExpr(f"stack(2, 'Intercept', a, se_a, '{x}', b, se_b) AS (term, coef, se)", "r2", "n", "dof")
+    t = F.try_divide(F.col("coef"), F.col("se"))
+    return terms.select("term", "coef", "se", t.alias("t_stat"), t_two_sided(t, F.col("dof")).alias("p_value"),
+                        F.col("r2").alias("r_squared"), "n")
 
 
 def subgroup_effects(df: DataFrame, y: str, treatment: str, weight: str, subgroups: dict,
                      min_size: int = 50) -> DataFrame:
-    """WLS effect of a binary treatment inside each level of each subgroup column.
+    """WLS effect of a binary treatment inside each level of each subgroup column, with SE, t and two-sided p.
 
-    ``subgroups`` maps a display name -> column.  All subgroup columns are
-    unpivoted to (subgroup, category) and solved in ONE grouped aggregate; with a
-    0/1 predictor the WLS slope is the difference of the arms' weighted means.
-    Levels with fewer than ``min_size`` rows are skipped (B25); a level with one
-    arm only gives a NULL effect (Q17).
+    ``subgroups`` maps a display name -> column.  The rows are read once, into the moments of each cell of all subgroup
+    columns; the levels of each column are merged from the cells, so no row is multiplied.  Levels with fewer than
+    ``min_size`` rows are skipped (B25); a level with one arm only gives a NULL effect (Q17).
     """
-    parts = ", ".join(f"'{name}', CAST(`{col}` AS STRING)" for name, col in subgroups.items())
-    long = df.selectExpr(f"stack({len(subgroups)}, {parts}) AS (subgroup, category)",
-                         f"CAST(`{y}` AS DOUBLE) AS _y", f"`{treatment}` AS _t", f"CAST(`{weight}` AS DOUBLE) AS _w")
-    long = long.where(F.col("category").isNotNull() & F.col("_y").isNotNull() & F.col("_w").isNotNull())
-    t = F.col("_t") == 1
-    c = F.col("_t") == 0
-    g = long.groupBy("subgroup", "category").agg(
-        F.sum(F.when(t, F.col("_w"))).alias("w1"), F.sum(F.when(t, F.col("_w") * F.col("_y"))).alias("s1"),
-        F.sum(F.when(c, F.col("_w"))).alias("w0"), F.sum(F.when(c, F.col("_w") * F.col("_y"))).alias("s0"),
-        F.count(F.lit(1)).alias("sample_size"))
-    g = g.where(F.col("sample_size") >= min_size)
-    effect = F.try_divide(F.col("s1"), F.col("w1")) - F.try_divide(F.col("s0"), F.col("w0"))
-    return g.select("subgroup", "category", effect.alias("effect"), "sample_size")
-
-
-def weighted_bin_stats(df: DataFrame, bin_col: str, y: str, weight: str, n_bins: int | None = None,
-                       extra_keys: Sequence[str] = ()) -> DataFrame:
-    """Per bin weighted mean, SE = sqrt(weighted variance / n), count and 95% interval.
-
-    Two passes like the reference (mean first, then the weighted squared
-    deviations), the per-bin means joined back -- broadcast when the number of
-    bins is known to be small.  Bins with no rows or zero weight are dropped.
+    names, columns = list(subgroups), list(subgroups.values())
+    frame = df.select(*[F.col(f"`{c}`").cast("string").alias(f"g{i}") for i, c in enumerate(columns)],
+                      *[F.col(f"`{c}`").alias(a) for c, a in ((treatment, "_t"), (y, "_y"), (weight, "_w"))])
+    cells = partial_moments(frame, "_t", "_y", "_w", [f"g{i}" for i in range(len(columns))])
+    levels = F.array(*[F.struct(F.lit(n).alias("subgroup"), F.col(f"g{i}").alias("category")) for i, n in enumerate(names)])
+    of_level = cells.withColumn("_level", F.explode(levels)).select("_level.*", "n", "w", "mx", "my", "sxx", "sxy", "syy", "largest")
+    m = merged_moments(of_level.where(F.col("category").isNotNull()), ["subgroup", "category"]).where(F.col("n") >= min_size)
+    t = F.try_divide(F.col("b"), F.col("se_b"))
+    return _slope(m).select("subgroup", "category", F.col("b").alias("effect"), F.col("n").alias("sample_size"),
+                            F.col("se_b").alias("se"), t.alias("t_stat"), t_two_sided(t, F.col("dof")).alias("p_value"))
+
+
+def weighted_bin_stats(df: DataFrame, bin_col: str, y: str, weight: str, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """Per bin weighted mean, SE = sqrt(weighted variance / n), count and 95% interval, from one reading of the rows.
+
+    Rows without a bin, y or weight don't count; bins with no rows or zero weight are dropped.
     """
-    data = df.where(F.col(bin_col).isNotNull()).select(bin_col, *extra_keys, F.col(y).cast("double").alias("_y"),
-                                                       F.col(weight).cast("double").alias("_w"))
     keys = [bin_col, *extra_keys]
-    first = data.groupBy(*keys).agg(F.sum("_w").alias("_W"), F.sum(F.col("_w") * F.col("_y")).alias("_Sy"),
-                                    F.count(F.lit(1)).alias("count"))
-    first = first.where(F.col("_W") != 0).withColumn("mean", F.col("_Sy") / F.col("_W"))
-    means = first.select(*keys, "mean")
-    dev = join_bounded(data, means, keys, "inner", known_rows=n_bins) \
-        .groupBy(*keys).agg(F.sum(F.col("_w") * (F.col("_y") - F.col("mean")) ** 2).alias("_S2"))
-    res = first.join(dev, keys).withColumn("se", F.sqrt(F.col("_S2") / F.col("_W") / F.col("count")))
-    return res.select(*keys, "mean", "se", F.col("count").cast("long").alias("count"),
-                      (F.col("mean") - Z95 * F.col("se")).alias("ci_lower"),
-                      (F.col("mean") + Z95 * F.col("se")).alias("ci_upper"))
+    m = moments(df.where(F.col(bin_col).isNotNull()), y, y, weight, keys).where("w != 0")
+    se = F.sqrt(F.col("syy") / F.col("w") / F.col("n"))
+    return m.select(*keys, F.col("my").alias("mean"), se.alias("se"), F.col("n").alias("count")).select(
+        *keys, "mean", "se", "count", (F.col("mean") - Z95 * F.col("se")).alias("ci_lower"),
+        (F.col("mean") + Z95 * F.col("se")).alias("ci_upper"))
 
 
 def trend_line(model: DataFrame, xmin: float, xmax: float, x_term: str, points: int = 100) -> DataFrame:

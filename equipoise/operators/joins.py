@@ -78,7 +78,8 @@ def hot_key_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str
     if fits_broadcast(small_hot):
         hot_part = big.where(is_hot).join(F.broadcast(small_hot), keys, how)
     else:  # too much to broadcast: a hot key's rows are dealt over SALTS keys, its small side is repeated for each
-        salted = big.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64(*keys, F.monotonically_increasing_id()), F.lit(SALTS)))
+        # by the row's own columns: a task that runs again deals its rows as before
+        salted = big.where(is_hot).withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(SALTS)))
         repeated = small_hot.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         hot_part = salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
     cold = F.coalesce(~is_hot, F.lit(True))  # a NULL key is never hot (kept by outer joins)

@@ -25,89 +25,99 @@ from equipoise.session import reliable_checkpoint
 
 
 def _neighbours(controls: DataFrame, probes: DataFrame, k: int, hot_share: float = DEFAULT_SHARE,
-                hot_min_rows: int = 10_000, n_probes: int | None = None) -> DataFrame:
-    """For each probe score the first k controls above it and the first k at or below it.
+                hot_min_rows: int = 10_000, n_probes: int | None = None, n_specs: int = 1) -> DataFrame:
+    """For each spec's probe scores the first k controls above and the first k at or below, by that spec's scores.
 
-    ``controls``: (control_id, ps_control); ``probes``: (ps_treated) distinct.
+    ``controls``: (_spec, control_id, ps_control); ``probes``: (_spec, ps_treated) distinct.
     Side 0 orders controls by (score asc, id asc) and places a probe after
     controls of equal score ("above" excludes equal scores); side 1 negates the
     score so that the order is (score desc, id asc) and places a probe before
     controls of equal score ("at or below" includes them).  One distributed
-    ranking over both sides gives each control its rank and each probe its
-    position; the k ranks after a probe's position are fetched by an equi-join.
-    Returns (ps_treated, control_id, ps_control).
+    ranking over all specs and both sides gives each control its rank and each probe its
+    position; the k ranks after a probe's position are fetched by one equi-join.
+    Returns (_spec, ps_treated, control_id, ps_control).
     """
     id_type = controls.schema["control_id"].dataType
     parts = []
     for side, sign, ctrl_tie, probe_tie in ((0, 1.0, 0, 1), (1, -1.0, 1, 0)):
         parts.append(controls.select(
-            F.lit(side).alias("_side"), (F.col("ps_control") * sign).alias("_key"), F.lit(ctrl_tie).alias("_tie"),
+            "_spec", F.lit(side).alias("_side"), (F.col("ps_control") * sign).alias("_key"), F.lit(ctrl_tie).alias("_tie"),
             F.col("control_id").alias("_id"), F.col("ps_control"), F.lit(1).alias("_is_ctrl")))
         parts.append(probes.select(
-            F.lit(side).alias("_side"), (F.col("ps_treated") * sign).alias("_key"), F.lit(probe_tie).alias("_tie"),
+            "_spec", F.lit(side).alias("_side"), (F.col("ps_treated") * sign).alias("_key"), F.lit(probe_tie).alias("_tie"),
             F.lit(None).cast(id_type).alias("_id"), F.lit(None).cast("double").alias("ps_control"),
             F.lit(0).alias("_is_ctrl")))
     both = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    place = ["_spec", "_side", "_rank"]
     # several steps below read the ranking: it is made once
-    ranked = reliable_checkpoint(cumulative_sum(both, "_is_ctrl", ["_key", "_tie", "_id"], partition_by=["_side"],
-                                                out="_rank", groups_bound=2))
-    ctrl_by_rank = ranked.where("_is_ctrl = 1").select("_side", "_rank", F.col("_id").alias("control_id"),
-                                                       "ps_control")
+    ranked = reliable_checkpoint(cumulative_sum(both, "_is_ctrl", ["_key", "_tie", "_id"], partition_by=["_spec", "_side"],
+                                                out="_rank", groups_bound=2 * n_specs))
+    ctrl_by_rank = ranked.where("_is_ctrl = 1").select(*place, F.col("_id").alias("control_id"), "ps_control")
     positions = ranked.where("_is_ctrl = 0")
     wanted = positions.select(
-        "_side", F.when(F.col("_side") == 0, F.col("_key")).otherwise(-F.col("_key")).alias("ps_treated"),
+        "_spec", "_side", F.when(F.col("_side") == 0, F.col("_key")).otherwise(-F.col("_key")).alias("ps_treated"),
         F.explode(F.sequence(F.col("_rank"), F.col("_rank") + (k - 1))).alias("_rank"))
     # many probes can ask for the same rank (dense treated scores between sparse controls): a hot
     # position makes its k ranks hot; positions come from the checkpointed ranking, so counting is cheap
-    pos_counts = positions.groupBy("_side", "_rank").agg(F.count(F.lit(1)).alias("_n"))
+    pos_counts = positions.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"))
     total = None if n_probes is None else 2 * n_probes  # every probe has one position per side
-    hot_pos = hot_keys_from_counts(pos_counts, ["_side", "_rank"], "_n", hot_share, hot_min_rows, total)
-    hot = sorted({(side, pos + j) for side, pos in hot_pos for j in range(k)})
-    return hot_key_join(wanted, ctrl_by_rank, ["_side", "_rank"], "inner", hot=hot).drop("_side", "_rank")
+    hot_pos = hot_keys_from_counts(pos_counts, place, "_n", hot_share, hot_min_rows, total)
+    hot = sorted({(spec, side, pos + j) for spec, side, pos in hot_pos for j in range(k)})
+    return hot_key_join(wanted, ctrl_by_rank, place, "inner", hot=hot).drop("_side", "_rank")
 
 
-def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
-               hot_share: float = DEFAULT_SHARE, hot_min_rows: int = 10_000) -> DataFrame:
-    """C5/C6 for several (caliper, ratio) settings in ONE pass; adds ``setting`` (index into ``settings``).
+def match_scores(df: DataFrame, scores: dict[str, str], treatment: str, id_col: str, settings,
+                 hot_share: float = DEFAULT_SHARE, hot_min_rows: int = 10_000) -> DataFrame:
+    """C5/C6 for several scores (spec name -> score column) and several (caliper, ratio) settings in ONE pass.
 
-    Candidates are fetched once for the largest ratio; each setting then keeps
+    Adds ``spec`` and ``setting`` (index into ``settings``).  All scores share one ranking and one rank join, with the
+    spec as part of the key.  Candidates are fetched once for the largest ratio; each setting then keeps
     the candidates within its caliper and its ``ratio`` nearest by
     (distance, control id).  Matching is with replacement; treated rows without
-    a control inside the caliper are dropped.
+    a control inside the caliper are dropped, and rows without a score take no part.
     """
     settings = [(float(c), int(r)) for c, r in settings]
-    if not settings or min(r for _, r in settings) < 1:
-        raise ValueError("every setting needs ratio >= 1")
+    if not scores or not settings or min(r for _, r in settings) < 1:
+        raise ValueError("a score, and every setting with ratio >= 1, is needed")
     k = max(r for _, r in settings)
+    names = list(scores)
+    each = F.array(*[F.struct(F.lit(i).alias("_spec"), F.col(f"`{c}`").cast("double").alias("_ps")) for i, c in enumerate(scores.values())])
     # the narrow (id, arm, score) projection is read by the range sample, the ranking checkpoint and the
     # final join: write it once to the shared checkpoint folder -- the input pipeline runs once, every
     # later plan starts from this small table, and lineage is cut for lost executors
-    base = reliable_checkpoint(df.where(F.col(score).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(treatment).alias("_t"), F.col(score).cast("double").alias("_ps")))
-    treated = base.where(F.col("_t") == 1).select(F.col("_id").alias("treated_id"), F.col("_ps").alias("ps_treated"))
-    controls = base.where(F.col("_t") == 0).select(F.col("_id").alias("control_id"),
-                                                   F.col("_ps").alias("ps_control"))
+    base = reliable_checkpoint(df.select(F.col(id_col).alias("_id"), F.col(treatment).alias("_t"), F.inline(each))
+                               .where(F.col("_ps").isNotNull()))
+    treated = base.where(F.col("_t") == 1).select("_spec", F.col("_id").alias("treated_id"), F.col("_ps").alias("ps_treated"))
+    controls = base.where(F.col("_t") == 0).select("_spec", F.col("_id").alias("control_id"), F.col("_ps").alias("ps_control"))
     # distinct treated scores with their multiplicity (map-side combined), written once: the ranking and the
     # hot-score question both read it
-    score_counts = reliable_checkpoint(treated.groupBy("ps_treated").agg(F.count(F.lit(1)).alias("_n")))
-    probes = score_counts.select("ps_treated")
+    key = ["_spec", "ps_treated"]
+    score_counts = reliable_checkpoint(treated.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")))
+    probes = score_counts.select(*key)
 
     sizes = score_counts.agg(F.count(F.lit(1)).alias("probes"), F.sum("_n").alias("treated")).first()
-    cand = _neighbours(controls, probes, k, hot_share, hot_min_rows, n_probes=sizes["probes"])
+    cand = _neighbours(controls, probes, k, hot_share, hot_min_rows, sizes["probes"], len(names))
     cand = cand.withColumn("distance", F.abs(F.col("ps_control") - F.col("ps_treated")))
     cand = cand.where(F.col("distance") <= F.lit(max(c for c, _ in settings)))
     grid = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(c).alias("_cal"), F.lit(r).alias("_ratio"))
                      for i, (c, r) in enumerate(settings)])
     cand = cand.withColumn("_s", F.explode(grid)).select("*", "_s.*").drop("_s")
     cand = cand.where(F.col("distance") <= F.col("_cal"))
-    # at most 2 * k candidates per (setting, treated score): a bounded window
-    w = Window.partitionBy("setting", "ps_treated").orderBy("distance", "control_id")
+    # at most 2 * k candidates per (spec, setting, treated score): a bounded window
+    w = Window.partitionBy("setting", *key).orderBy("distance", "control_id")
     best = cand.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("_ratio")) \
         .drop("_rn", "_cal", "_ratio")
     # back to every treated row of that score; a score shared by many treated rows is a hot key
-    hot = hot_keys_from_counts(score_counts, ["ps_treated"], "_n", hot_share, hot_min_rows, sizes["treated"] or 0)
-    return hot_key_join(treated, best, ["ps_treated"], "inner", hot=hot).select(
-        "setting", "treated_id", "control_id", "ps_treated", "ps_control", "distance")
+    hot = hot_keys_from_counts(score_counts, key, "_n", hot_share, hot_min_rows, sizes["treated"] or 0)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_spec") + 1)
+    return hot_key_join(treated, best, key, "inner", hot=hot).select(
+        name.alias("spec"), "setting", "treated_id", "control_id", "ps_treated", "ps_control", "distance")
+
+
+def match_grid(df: DataFrame, score: str, treatment: str, id_col: str, settings,
+               hot_share: float = DEFAULT_SHARE, hot_min_rows: int = 10_000) -> DataFrame:
+    """``match_scores`` of one score."""
+    return match_scores(df, {score: score}, treatment, id_col, settings, hot_share, hot_min_rows).drop("spec")
 
 
 def match_nearest(df: DataFrame, score: str, treatment: str, id_col: str,
@@ -141,12 +151,24 @@ def matched_cohort(df: DataFrame, pairs: DataFrame, id_col: str) -> DataFrame:
 def matched_sides(df: DataFrame, pairs: DataFrame, id_col: str, treatment: str) -> DataFrame:
     """Spec-test variant (03a): treated rows among matched treated ids, controls among matched control ids.
 
-    With a ``setting`` column in ``pairs`` the result holds each setting's sides (rows tagged by setting).
+    With ``spec`` or ``setting`` columns in ``pairs`` the result holds each one's sides (rows tagged by them).
     """
-    by = ["setting"] if "setting" in pairs.columns else []
+    by = [c for c in ("spec", "setting") if c in pairs.columns]
     sides = F.array(F.struct(F.col("treated_id").alias(id_col), F.lit(1).alias("_arm")),
                     F.struct(F.col("control_id").alias(id_col), F.lit(0).alias("_arm")))
     ids = pairs.select(*by, F.explode(sides).alias("_s")).select(*by, "_s.*").distinct()
-    # ids are unique per (setting, id, arm) and ``df`` has one row per id: no hot key on either side
-    out = df.join(ids, id_col).where(F.col(treatment) == F.col("_arm")).drop("_arm")
-    return out
+    # ids are unique per (spec, setting, id, arm) and ``df`` has one row per id: no hot key on either side
+    return df.join(ids, id_col).where(F.col(treatment) == F.col("_arm")).drop("_arm")
+
+
+def reuse_weights(df: DataFrame, pairs: DataFrame, id_col: str, out: str = "match_weight") -> DataFrame:
+    """Q12 with reuse: the matched cohort with each row's weight.
+
+    A treated row weighs 1; of its k matches each takes 1 / k of that, so that a control weighs what all treated rows that
+    use it give it and both arms weigh the same.
+    """
+    share = 1.0 / F.col("k")
+    matches = pairs.groupBy("treated_id").agg(F.count(F.lit(1)).alias("k"))
+    controls = pairs.join(matches, "treated_id").groupBy(F.col("control_id").alias(id_col)).agg(F.sum(share).alias(out))
+    treated = matches.select(F.col("treated_id").alias(id_col), F.lit(1.0).alias(out))
+    return df.join(treated.unionByName(controls), id_col)

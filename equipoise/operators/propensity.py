@@ -1,7 +1,7 @@
 """Propensity models and score diagnostics.
 
-Models are Spark ML estimators (distributed fits); scores stay a column of the
-input DataFrame.  AUC is computed without collecting rows: scores are reduced
+The forest is a Spark ML estimator, the logistic model a distributed IRLS fit; scores stay
+a column of the input DataFrame.  AUC is computed without collecting rows: scores are reduced
 to per-distinct-score counts and a distributed running sum.
 """
 
@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from equipoise.operators.logistic import LogisticFit, fit_logistics
 from equipoise.operators.ranking import cumulative_sum
 
 FEATURES = "_features"
@@ -38,34 +39,31 @@ def fit_random_forest(df: DataFrame, features: Sequence[str], treatment: str, nu
     return rf.fit(_label(assemble(df, features), treatment))
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], treatment: str, C: float = 1.0, max_iter: int = 1000,
-                 n_rows: int | None = None):
-    """L2 logistic regression equal to scikit-learn's ``C`` objective (regParam = 1 / (n C))."""
-    n = n_rows if n_rows is not None else df.count()
-    lr = LogisticRegression(featuresCol=FEATURES, labelCol="_label", regParam=1.0 / (n * C), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-10, probabilityCol="_prob",
-                            rawPredictionCol="_raw", predictionCol="_pred")
-    return lr.fit(_label(assemble(df, features), treatment))
+def fit_logistic(df: DataFrame, features: Sequence[str], treatment: str, C: float = 1.0) -> LogisticFit:
+    """L2 logistic regression with scikit-learn's ``C`` objective."""
+    return fit_logistics(df, {"model": features}, treatment, C)["model"]
 
 
 def score(model, df: DataFrame, features: Sequence[str], out: str = "propensity_score") -> DataFrame:
     """Add P(treated) from a fitted model as a double column; helper columns are dropped."""
+    if isinstance(model, LogisticFit):
+        return df.withColumn(out, model.probability())
     scored = model.transform(assemble(df, features))
     return scored.withColumn(out, vector_to_array(F.col("_prob"))[1]).drop(FEATURES, "_prob", "_raw", "_pred", "_label")
 
 
-def auc(df: DataFrame, score_col: str, label: str) -> DataFrame:
-    """Tie-aware ROC AUC (ties count one half), as one row (auc, n_pos, n_neg).
+def auc(df: DataFrame, score_col: str, label: str, by: Sequence[str] = (), groups_bound: int | None = None) -> DataFrame:
+    """Tie-aware ROC AUC (ties count one half), as one row (auc, n_pos, n_neg), or one per group of ``by``.
 
     Per distinct score the positives and negatives are counted (map-side
     combined); a distributed running sum of negatives below each score gives
     AUC = sum_s pos(s) * (neg_below(s) + neg(s) / 2) / (P * N).
     """
     y = F.col(label)
-    per = df.where(F.col(score_col).isNotNull()).groupBy(F.col(score_col).cast("double").alias("_s")).agg(
+    per = df.where(F.col(score_col).isNotNull()).groupBy(*by, F.col(score_col).cast("double").alias("_s")).agg(
         F.count(F.when(y == 1, F.lit(1))).alias("_pos"), F.count(F.when(y == 0, F.lit(1))).alias("_neg"))
-    ranked = cumulative_sum(per, "_neg", ["_s"], out="_below")
-    return ranked.agg(
+    ranked = cumulative_sum(per, "_neg", ["_s"], partition_by=by, out="_below", groups_bound=groups_bound)
+    return ranked.groupBy(*by).agg(
         F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)),
                      (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("auc"),
         F.sum("_pos").alias("n_pos"), F.sum("_neg").alias("n_neg"))

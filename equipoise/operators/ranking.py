@@ -13,6 +13,7 @@ that is cheap to read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,68 +113,109 @@ def row_index(df: DataFrame, order_by: Sequence[str | Column], partition_by: Seq
     return cumulative_sum(df, F.lit(1).cast("long"), order_by, partition_by, out=out, num_partitions=num_partitions)
 
 
-def value_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(variable, value, n): how often each value of each numeric column occurs, written once.
-
-    Counting before anything is sorted makes a value that holds most rows one row.
-    """
-    return reliable_checkpoint(_long_values(df, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")))
+#: Rank error of the pivots as a share of the rows: one part in so many.
+PIVOT_ACCURACY = 10_000
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation (pandas/numpy default) for many columns at once.
+def _pivots(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, dict]:
+    """Per column with a value: count, mean, std, min, max, and a bracket of values around each quantile; one reading.
 
-    Returns one row per (variable, prob) with ``value``.
+    The brackets come from a mergeable sketch of bounded size, some ranks below and above each quantile.
+    """
+    wide = sorted({min(1.0, max(0.0, p + d / PIVOT_ACCURACY)) for p in probs for d in (-2, 2)})
+    aggs = []
+    for i, c in enumerate(columns):
+        x = F.col(f"`{c}`").cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"std{i}"), F.min(x).alias(f"min{i}"),
+                 F.max(x).alias(f"max{i}"), F.percentile_approx(x, wide, PIVOT_ACCURACY).alias(f"at{i}")]
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(columns):
+        if row[f"n{i}"]:
+            at = dict(zip(wide, row[f"at{i}"]))
+            pairs = [(at[min(1.0, max(0.0, p - 2 / PIVOT_ACCURACY))], at[min(1.0, max(0.0, p + 2 / PIVOT_ACCURACY))]) for p in probs]
+            out[c] = {k: row[f"{k}{i}"] for k in ("n", "mean", "std", "min", "max")} | {"brackets": pairs}
+    return out
+
+
+def bracket_counts(df: DataFrame, brackets: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """(variable, value, inside, n): how often each value inside a bracket of its column occurs, and how many values lie before each
+    bracket and behind the one before (value: the bracket's start, inside: 0).
+
+    Values are counted in the tasks that read them: what is shuffled are the distinct values of the brackets.
     """
-    return quantiles_of(value_table(df, columns), probs, len(columns))
+    parts = []
+    for c, pairs in brackets.items():
+        x, number, inside = F.col(f"`{c}`").cast("double"), F.lit(None).cast("double"), F.lit(0)
+        for lo, hi in sorted(set(pairs), reverse=True):
+            here = (x >= lo) & (x <= hi)
+            number = F.when(here, x).otherwise(F.when(x < lo, F.lit(lo)).otherwise(number))
+            inside = F.when(here, 1).otherwise(F.when(x < lo, 0).otherwise(inside))
+        parts.append(F.struct(F.lit(c).alias("variable"), number.alias("value"), inside.alias("inside")))
+    long = df.select(F.inline(F.array(*parts))).where(F.col("value").isNotNull())
+    return long.groupBy("variable", "value", "inside").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _disjoint(pairs: Sequence[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(pairs):
+        if out and lo <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def _select(df: DataFrame, stats: dict[str, dict], probs: Sequence[float]) -> dict[str, dict[float, float]]:
+    """The exact quantiles of each column: the order statistics on both sides of each, interpolated.
+
+    One pass counts the values in the brackets and between them; the counts of the brackets alone are sorted.  A bracket that
+    turns out not to hold its order statistics is replaced by the column's whole range.
+    """
+    at = {c: {p: p * (s["n"] - 1) for p in probs} for c, s in stats.items()}
+    need = {c: sorted({int(math.floor(h)) for h in hs.values()} | {int(math.ceil(h)) for h in hs.values()}) for c, hs in at.items()}
+    found: dict[str, dict[int, float]] = {c: {} for c in stats}
+    left = {c: _disjoint(s["brackets"]) for c, s in stats.items()}
+    while left:
+        counts = reliable_checkpoint(bracket_counts(df, left))
+        placed = cumulative_sum(counts, "n", ["value", "inside"], partition_by=["variable"], out="_before", groups_bound=len(left))
+        wanted = F.lit(False)
+        for c in left:
+            inside = F.lit(False)
+            for p in need[c]:
+                inside = inside | ((F.col("_before") <= p) & (F.col("_before") + F.col("n") > p))
+            wanted = wanted | ((F.col("variable") == c) & inside)
+        # at most two rows a quantile and column
+        for r in placed.where((F.col("inside") == 1) & wanted).collect():
+            for p in need[r["variable"]]:
+                if r["_before"] <= p < r["_before"] + r["n"]:
+                    found[r["variable"]][p] = r["value"]
+        left = {c: [(stats[c]["min"], stats[c]["max"])] for c in left if len(found[c]) < len(need[c])}
+    out: dict[str, dict[float, float]] = {}
+    for c, hs in at.items():
+        low, high = {p: found[c][math.floor(h)] for p, h in hs.items()}, {p: found[c][math.ceil(h)] for p, h in hs.items()}
+        out[c] = {p: low[p] + (high[p] - low[p]) * (h - math.floor(h)) for p, h in hs.items()}
+    return out
+
 
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation (pandas/numpy default) for many columns at once, by selection.
 
-def quantiles_of(values: DataFrame, probs: Sequence[float], variables: int) -> DataFrame:
-    """Quantiles from a ``value_table`` of so many ``variables``: its counts are summed up in value order, and a
-    position is in the value whose range of positions holds it.  Nothing is collected per group.
+    Returns one row per (variable, prob) with ``value``; a column without a value has none.
     """
-    totals = values.groupBy("variable").agg(F.sum("n").alias("_n"))
-    targets = (
-        totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_h", F.col("prob") * (F.col("_n") - 1))
-        .withColumn("_lo", F.floor("_h").cast("long"))
-        .withColumn("_hi", F.ceil("_h").cast("long"))
-        .withColumn("_t", F.col("_h") - F.col("_lo"))
-    )
-    placed = cumulative_sum(values, "n", ["value"], partition_by=["variable"], out="_before", groups_bound=variables)
-    need = targets.select("variable", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos")).distinct()
-    # at most two positions a quantile and variable
-    wanted = join_small(placed, need, "variable", known_rows=2 * len(probs) * variables)
-    picked = wanted.where((F.col("_pos") >= F.col("_before")) & (F.col("_pos") < F.col("_before") + F.col("n")))
-    lo = picked.select("variable", F.col("_pos").alias("_lo"), F.col("value").alias("_vlo"))
-    hi = picked.select("variable", F.col("_pos").alias("_hi"), F.col("value").alias("_vhi"))
-    res = targets.join(lo, ["variable", "_lo"]).join(hi, ["variable", "_hi"])
-    return res.select(
-        "variable", "prob",
-        (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_t")).alias("value"),
-    )
-
-
-def _long_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Unpivot numeric columns to (variable, value), dropping nulls."""
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    return df.selectExpr(f"stack({len(columns)}, {pairs}) AS (variable, value)").where(F.col("value").isNotNull())
+    stats = _pivots(df, columns, probs)
+    chosen = _select(df, stats, probs)
+    rows = [(c, float(p), float(v)) for c, values in chosen.items() for p, v in values.items()]
+    return df.sparkSession.createDataFrame(rows, "variable string, prob double, value double")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, std (n-1), min, exact quartiles, max per column, one row per column.
+    """Count, mean, std (n-1), min, exact quartiles, max per column, one row per column that has a value.
 
-    The input is read once, into the table of its values; all figures come from that.
+    The input is read twice: for the plain figures and the quartiles' brackets, and for the counts in these.
     """
-    values = value_table(df, columns)
-    first = values.groupBy("variable").agg(
-        F.sum("n").alias("count"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    spread = join_small(values, first.select("variable", "mean"), "variable", known_rows=len(columns)).groupBy("variable").agg(
-        F.sum(F.col("n") * (F.col("value") - F.col("mean")) ** 2).alias("_s"))
-    stats = first.join(spread, "variable").withColumn(
-        "std", F.sqrt(F.try_divide(F.col("_s"), F.when(F.col("count") > 1, (F.col("count") - 1).cast("double")))))
-    wide = quantiles_of(values, [0.25, 0.5, 0.75], len(columns)).groupBy("variable").pivot("prob", [0.25, 0.5, 0.75]).agg(F.first("value"))
-    wide = wide.toDF("variable", "q25", "q50", "q75")
-    return stats.join(wide, "variable", "left").select(
-        "variable", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+    stats = _pivots(df, columns, [0.25, 0.5, 0.75])
+    chosen = _select(df, stats, [0.25, 0.5, 0.75])
+    rows = [(c, s["n"], s["mean"], s["std"], s["min"], *chosen[c].values(), s["max"]) for c, s in stats.items()]
+    return df.sparkSession.createDataFrame(
+        rows, "variable string, count long, mean double, std double, min double, q25 double, q50 double, q75 double, max double")

@@ -21,7 +21,7 @@ from equipoise.operators.bins import equal_width_bins, histogram, width_bins
 from equipoise.operators.columns import (
     category_codes, complete_cases, decode_categories, distinct_rows, drop_available, filter_isin,
     interaction_terms, select_available, value_counts)
-from equipoise.operators.matching import match_nearest, matched_cohort
+from equipoise.operators.matching import match_nearest, matched_cohort, reuse_weights
 from equipoise.operators.ranking import describe, row_index
 from equipoise.operators.scaling import minmax_scale, standardize
 from equipoise.plans import fixtures as fx
@@ -32,10 +32,10 @@ from equipoise.plans.preprocess import (
 from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID, TARGET_VARIABLES
 from equipoise.plans.survey_oracle import survey_rows
 from equipoise.plans.weighting import WeightingAnalysis, dose_measures
-from equipoise.session import ensure_checkpoint_dir, join_small, scratch_path
+from equipoise.session import ensure_checkpoint_dir, join_small, reliable_checkpoint, scratch_path
 from equipoise.sources import codebook as CB
-from equipoise.sources.io import clean_values, read_table, write_result
-from equipoise.sources.report import spec_report_lines
+from equipoise.sources.io import clean_values, read_in_file_order, read_table, write_result
+from equipoise.sources.report import spec_report_document, spec_report_lines
 from equipoise.streaming.recode_stream import preprocess_stream
 
 COVS = ["acctbal", "n_orders", "dose", "ps_tied"]
@@ -296,18 +296,16 @@ def q_join_left_labels(spark, d):
 
 
 def q_join_left_labels_unmatched(spark, d):
-    """C1 where two of three pages have no label rows: they stay, without labels."""
+    """C1 where pages have no label rows: each page comes a second time under an id that no label has, and stays without labels."""
     p = fx.pages(spark, d).select("page_id", "url")
-    labels = CB.nested_entries(fx.pages(spark, d)).where(F.col("page_id") % 3 == 0)
-    return p.join(labels, "page_id", "left")
-
-
-def _partial_scores(spark, d):
-    return _scored(spark, d).where(F.col("dose") > 0).select("id", "ps")
+    p = p.unionByName(p.withColumn("page_id", -1 - F.col("page_id")))
+    return p.join(CB.nested_entries(fx.pages(spark, d)), "page_id", "left")
 
 
 def q_join_left_scores(spark, d):
-    return fx.units(spark, d).select("id", "treated").join(_partial_scores(spark, d), "id", "left")
+    """Every customer with the score of its unit; customers without orders have none."""
+    c = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+    return c.join(_scored(spark, d).select("id", "treated", "ps"), "id", "left")
 
 
 def q_balance_compare(spark, d):
@@ -397,7 +395,7 @@ def q_dose_response_bins(spark, d):
 
 
 def _wls_round(df):
-    return _round(df, ["coef", "se", "t_stat", "r_squared"])
+    return _round(df.drop("p_value"), ["coef", "se", "t_stat", "r_squared"])
 
 
 def q_wls_dose(spark, d):
@@ -407,7 +405,7 @@ def q_wls_dose(spark, d):
 def q_wls_offset(spark, d):
     """D10 on a predictor with a large offset: the slope doesn't lose its digits."""
     far = _weighted(spark, d).withColumn("dose_far", F.col("dose") + F.lit(1e8))
-    out = E.wls(far, "y", "dose_far", "ipw_weight").where("term = 'dose_far'").drop("t_stat")
+    out = E.wls(far, "y", "dose_far", "ipw_weight").where("term = 'dose_far'").drop("t_stat", "p_value")
     return _round(_round(out, ["coef", "se"], 4), ["r_squared"])
 
 
@@ -416,9 +414,18 @@ def _subgroup_frame(spark, d):
     return equal_width_bins(w, "y", ["Poor", "Fair", "Good"], "baseline")
 
 
-def q_subgroup_effects(spark, d):
+def _subgroup_tests(spark, d):
     groups = dict(SUBGROUPS, **{"Outcome Baseline": "baseline"})
-    return _round(E.subgroup_effects(_subgroup_frame(spark, d), "y", "treated", "ipw_weight", groups, 50), ["effect"])
+    return E.subgroup_effects(_subgroup_frame(spark, d), "y", "treated", "ipw_weight", groups, 50)
+
+
+def q_subgroup_effects(spark, d):
+    return _round(_subgroup_tests(spark, d).select("subgroup", "category", "effect", "sample_size"), ["effect"])
+
+
+def q_subgroup_pvalues(spark, d):
+    """D11 with D10's errors and p-values, from the same moments."""
+    return _round(_subgroup_tests(spark, d), ["effect", "se", "t_stat", "p_value"])
 
 
 def q_auc(spark, d):
@@ -470,6 +477,22 @@ def q_spec_comparison(spark, d):
     return _round(res, ["auc", "avg_abs_std_diff", "treatment_effect"])
 
 
+def q_spec_balance(spark, d):
+    """The balance of each covariate in every specification and setting."""
+    confounders = {"ps": ["acctbal", "n_orders", "dose"], "ps_tied": ["acctbal", "dose"]}
+    test = SP.spec_test_with_scores(_scored(spark, d), {"ps": "ps", "ps_tied": "ps_tied"}, confounders, "id", "treated", "outcome", SPEC_GRID)
+    return _round(test.balance, ["treated_mean", "control_mean", "smd"])
+
+
+def q_spec_labels(spark, d):
+    """L4: the results under the names of a comparison chart's series."""
+    return SP.with_config_label(q_spec_comparison(spark, d)).select("label", "n_matches", "avg_abs_std_diff", "treatment_effect")
+
+
+def q_spec_report_document(spark, d):
+    return spec_report_document(q_spec_comparison(spark, d))
+
+
 def q_best_spec(spark, d):
     return SP.best_spec(q_spec_comparison(spark, d))
 
@@ -492,16 +515,47 @@ def q_strip_html(spark, d):
 
 
 def q_footer_text(spark, d):
-    """H2 with the full entity table (Arrow pandas UDF) over every page's footer."""
+    """H2 with the full entity table over every page's footer."""
     p = fx.pages(spark, d)
     footer = F.regexp_extract(F.col("html"), r"(?s)<footer>(.*?)</footer>", 1)
     return p.select("page_id", strip_html_full(footer).alias("footer"))
 
 
 def q_wls_dose_pvalues(spark, d):
-    """D10 with p-values from Spark ML's normal-equation WLS (Student-t needs no SQL form)."""
-    return _round(E.wls_pvalues(_weighted(spark, d), "y", "dose", "ipw_weight"),
-                  ["coef", "se", "t_stat", "p_value"])
+    """D10 with two-sided p-values of Student's t."""
+    return _round(E.wls(_weighted(spark, d), "y", "dose", "ipw_weight").drop("r_squared", "n"), ["coef", "se", "t_stat", "p_value"])
+
+
+def q_page_text(spark, d):
+    """H2 with the full entity table over whole pages."""
+    return fx.pages(spark, d).select("page_id", strip_html_full("html").alias("text"))
+
+
+def q_survey_metadata(spark, d):
+    """A2 + A6 + A7 + C1 from raw files: codebooks in ISO-8859-1 written from the pages, read block by block."""
+    p = fx.pages(spark, d)
+    title = F.regexp_extract("html", r"<title>(.*?)</title>", 1)
+    rows = F.transform(F.regexp_extract_all("html", F.lit(CB.LINK_PATTERN), F.lit(1)), lambda v: F.concat(
+        F.lit("<tr>\n<td class='v'>"), v, F.lit("</td><td><i>"), F.lit("Entry &amp; "), v, F.lit("</i></td></tr>")))
+    block = F.concat(F.lit(CB.BLOCK_START), title, F.lit("<br>Section&nbsp;Name:&nbsp;Pages of "), F.regexp_extract("url", "://([^/]*)", 1),
+                     F.lit("<br>SAS&nbsp;Variable&nbsp;Name:&nbsp; PAGE"), F.col("page_id").cast("string"), F.lit(" <br><table>"),
+                     F.array_join(rows, ""), F.lit("</table>"))
+    path = scratch_path(spark, "codebook")
+    p.where(title != "").select(F.encode(F.translate(block, "\u2019\u2026\u2013", "'.-"), "ISO-8859-1").cast("string")).write.text(path)
+    return CB.codebook_metadata(CB.read_blocks(spark, path, "windows-1252"))
+
+
+def q_fallback_read(spark, d):
+    """A3: a delimited file that isn't valid in the first character set is read in the second."""
+    p = fx.pages(spark, d).select("page_id", F.trim(F.regexp_extract("html", r"<title>([A-Za-zÀ-ÿ ]*)", 1)).alias("title"))
+    path = scratch_path(spark, "fallback")
+    p.coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return read_table(spark, path, "csv", schema="page_id long, title string", encoding="UTF-8", fallback_encoding="ISO-8859-1")
+
+
+def q_row_id_file_order(spark, d):
+    """A5: ids in the order of the file."""
+    return read_in_file_order(spark, f"{d}/orders.parquet", "row_id").select("row_id", "o_orderkey")
 
 
 def q_standardize(spark, d):
@@ -511,8 +565,28 @@ def q_standardize(spark, d):
 
 
 def q_ipw_weights(spark, d):
-    u = fx.units(spark, d).select("id", "treated").join(_partial_scores(spark, d), "id", "left")
-    return E.ipw_weights(u, "ps", "treated")
+    return E.ipw_weights(_scored(spark, d).select("id", "treated", "ps"), "ps", "treated")
+
+
+def q_ipw_weights_edges(spark, d):
+    """Scores of 0 and 1 give infinite weights in one arm, which go, and customers without a score have none."""
+    ps = F.when(F.col("ps") < 0.05, 0.0).when(F.col("ps") > 0.95, 1.0).otherwise(F.col("ps"))
+    return E.ipw_weights(q_join_left_scores(spark, d).withColumn("ps", ps), "ps", "treated")
+
+
+def q_balance_reuse_weighted(spark, d):
+    """D1 with Q12's reuse: controls weigh as often as matching used them."""
+    b = B.weighted_balance(_reuse_weighted(spark, d), COVS, "treated", "match_weight")
+    return _round(b, [c for c in b.columns if c != "variable"])
+
+
+def q_effect_reuse_weighted(spark, d):
+    return _round(E.weighted_treatment_effect(_reuse_weighted(spark, d), "outcome", "treated", "match_weight"), ["value"])
+
+
+def _reuse_weighted(spark, d):
+    s = _scored(spark, d)
+    return reliable_checkpoint(reuse_weights(s, match_nearest(s, "ps_tied", "treated", "id", CALIPER, 2), "id"))
 
 
 def q_ipw_effect(spark, d):
@@ -562,7 +636,7 @@ def q_ps_random_forest(spark, d):
 
 def q_ps_logistic(spark, d):
     m = _unit_analysis(spark, d).prepare().fit_scores("logistic")
-    return m.scored.select("id", "treated", "propensity_score")
+    return _round(m.scored.select("id", "treated", "propensity_score"), ["propensity_score"])
 
 
 def q_ps_best_model(spark, d):
@@ -644,7 +718,6 @@ def entry_query(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)}
 
 # model fits and the fitted-score grid have no SQL form: they get the weaker rows-only check
-NON_SQL = {"ps_random_forest", "ps_logistic", "ps_best_model", "feature_importance", "spec_grid", "ipw_analysis",
-           "matching_analysis", "wls_dose_pvalues"}
+NON_SQL = {"ps_random_forest", "ps_best_model", "feature_importance", "spec_grid", "ipw_analysis", "matching_analysis"}
 
 __all__ = ["QUERIES", "NON_SQL", "entry_query"]

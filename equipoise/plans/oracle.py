@@ -213,6 +213,14 @@ WLS_FINAL = ("SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(coe
              "round(r2, 6) AS r_squared, n FROM terms")
 
 
+def t_tail(t, v):
+    """Two-sided tail of Student's t by Simpson's rule over the angle atan(x / sqrt(v))."""
+    angle = f"atan(abs({t}) / sqrt({v}))"
+    integral = (f"(SELECT sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(cos({angle} * i / 2000), {v} - 1)) "
+                f"FROM range(2001) g(i)) * {angle} / 6000")
+    return f"greatest({D(0)}, 1 - 2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt(pi()) * {integral})"
+
+
 def auc_sql(src, score, name="auc_t"):
     return f"""{name}_per AS (SELECT CAST({score} AS DOUBLE) AS s, count(CASE WHEN treated = 1 THEN 1 END) AS pos,
                  count(CASE WHEN treated = 0 THEN 1 END) AS neg FROM {src} WHERE {score} IS NOT NULL GROUP BY 1),
@@ -351,6 +359,61 @@ cnt AS (SELECT treated, i2 AS i, count(*) AS c FROM j2 GROUP BY treated, i2),
 grid AS (SELECT h.*, CAST(g.i AS INTEGER) AS i FROM hs2 h, range({bins}) g(i))"""
 
 
+def _spec_balance_sql():
+    """Per covariate balance of both scores, the second with two confounders."""
+    ctes, selects = [], []
+    for spec, covs in (("ps", ["acctbal", "n_orders", "dose"]), ("ps_tied", ["acctbal", "dose"])):
+        for i, (cal, ratio) in enumerate(SPEC_GRID):
+            tag = f"{spec}_{i}"
+            ctes += [pairs_cte(f"p_{tag}", spec, cal, ratio), sides_cte(f"sd_{tag}", f"p_{tag}"), balance_cte(f"bal_{tag}", f"sd_{tag}", covs)]
+            selects.append(f"SELECT '{spec}' AS spec_name, {D(cal)} AS caliper, {ratio} AS ratio, variable, round(treated_mean, 6) AS treated_mean, "
+                           f"round(control_mean, 6) AS control_mean, round(smd, 6) AS smd FROM bal_{tag}")
+    return ",\n".join(ctes), "\nUNION ALL\n".join(selects)
+
+
+def _reuse_sql():
+    """Matches 1:2 on the tied score; a control's weight is the sum of its shares in treated rows."""
+    parts = [f"""SELECT '{v}' AS variable, treated, sum(w) AS sw, sum(w * w) AS sww, sum(w * {v}) / sum(w) AS m,
+  sum(w * power({v} - (SELECT sum(w * {v}) / sum(w) FROM cw c2 WHERE c2.treated = cw.treated), 2)) AS sxx FROM cw GROUP BY treated"""
+             for v in (*COVS, "outcome")]
+    return pairs_cte("pr", "ps_tied", 0.05, 2) + """,
+k AS (SELECT treated_id, count(*) AS k FROM pr GROUP BY treated_id),
+wt AS (SELECT treated_id AS id, CAST(1 AS DOUBLE) AS w FROM k
+       UNION ALL SELECT control_id, sum(CAST(1 AS DOUBLE) / k) FROM pr JOIN k USING (treated_id) GROUP BY control_id),
+cw AS (SELECT s.*, wt.w FROM scored s JOIN wt USING (id)),
+arms AS (""" + " UNION ALL ".join(parts) + """),
+am AS (SELECT *, sqrt(sxx / NULLIF(sw - sww / sw, 0)) AS sd, sw * sw / sww AS ess FROM arms),
+rb AS (SELECT t.variable, t.m AS treated_mean, c.m AS control_mean, CASE WHEN t.sd > 0 THEN (t.m - c.m) / t.sd ELSE CAST(0 AS DOUBLE) END AS smd,
+              t.sd AS treated_sd, c.sd AS control_sd, t.ess AS treated_ess, c.ess AS control_ess
+       FROM am t JOIN am c ON t.variable = c.variable AND t.treated = 1 AND c.treated = 0)"""
+
+
+def _logistic_sql(steps=4000):
+    """Ridge logistic regression on standardised confounders by plain gradient steps in a recursive CTE."""
+    names = ["acctbal", "n_orders", "dose", "segment_code", "nation_code"]
+    z = ", ".join(f"({c} - (SELECT avg({c}) FROM lc)) / (SELECT stddev_pop({c}) FROM lc)" for c in names)
+    line = " + ".join(["b[1]", *(f"b[{i + 2}] * x[{i + 1}]" for i in range(len(names)))])
+    slope = ["sum(p - treated)", *(f"sum((p - treated) * x[{i + 1}]) + any_value(b[{i + 2}])" for i in range(len(names)))]
+    moved = ", ".join(f"any_value(b[{i + 1}]) - ({g}) / (0.5 * count(*) + 1)" for i, g in enumerate(slope))
+    ctes = f"""lc AS (SELECT id, treated, acctbal, n_orders, dose, CAST(DENSE_RANK() OVER (ORDER BY segment) - 1 AS DOUBLE) AS segment_code,
+             CAST(DENSE_RANK() OVER (ORDER BY nation) - 1 AS DOUBLE) AS nation_code FROM units),
+lz AS MATERIALIZED (SELECT id, treated, [{z}] AS x FROM lc),
+it AS (SELECT 0 AS k, [{', '.join([D(0)] * (len(names) + 1))}] AS b
+       UNION ALL
+       SELECT any_value(k) + 1, [{moved}] FROM (SELECT k, b, treated, x, 1 / (1 + exp(-({line}))) AS p FROM it, lz WHERE k < {steps}) HAVING count(*) > 0)"""
+    return ctes, f"""SELECT id, treated, round(1 / (1 + exp(-({line}))), 6) AS propensity_score
+FROM lz, (SELECT b FROM it WHERE k = {steps}) last"""
+
+
+def _whole_text(expr):
+    """Tags removed, the entities of the pages decoded once, white space at both ends removed."""
+    e = f"replace(regexp_replace({expr}, '<[^\\n]*?>', '', 'g'), chr(160), ' ')"
+    for ent, ch in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"),
+                    ("&nbsp;", "' || chr(160) || '"), ("&amp;", "&")):
+        e = f"replace({e}, '{ent}', '{ch}')"
+    return f"regexp_replace({e}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
 # ---- the oracle table ------------------------------------------------------------------
 
 def oracle_sql() -> dict[str, str]:
@@ -439,8 +502,7 @@ dm2 AS (SELECT *, CASE WHEN sessions > 0 THEN TOTAL_EX_MINUTES / sessions ELSE {
     S["min_group_size"] = q("", "SELECT nation, count(*) AS count FROM units GROUP BY nation HAVING count(*) >= 50")
     S["join_left_labels"] = q(blocks_cte(), "SELECT p.page_id, p.url, v.block_no, v.value, v.value_label "
                                             "FROM pages p LEFT JOIN vals v ON p.page_id = v.page_id")
-    S["join_left_scores"] = q("", "SELECT u.id, u.treated, s.ps FROM units u LEFT JOIN "
-                                  "(SELECT id, ps FROM scored WHERE dose > 0) s ON u.id = s.id")
+    S["join_left_scores"] = q("", "SELECT c.c_custkey AS id, s.treated, s.ps FROM customer c LEFT JOIN scored s ON c.c_custkey = s.id")
     S["balance_compare"] = q(_bal_ba(), """SELECT b.variable, round(abs(b.smd), 6) AS abs_smd_before,
   round(abs(a.smd), 6) AS abs_smd_after, round(abs(b.smd) - abs(a.smd), 6) AS improvement
 FROM bb b JOIN ba a ON b.variable = a.variable""")
@@ -485,6 +547,20 @@ UNION ALL SELECT 'CI Upper', round(ate + 1.96 * se, 6) FROM te2""")
                   "round(ci_lower, 6) AS ci_lower, round(ci_upper, 6) AS ci_upper FROM bins_ci")
     S["dose_response_bins"] = q(weighted_cte() + ",\n" + dose_bins_ctes(), bins_final)
     S["wls_dose"] = q(weighted_cte() + ",\n" + wls_sql("w", "y", "dose", "ipw_weight", "dose"), WLS_FINAL)
+    S["wls_dose_pvalues"] = q(weighted_cte() + ",\n" + wls_sql("w", "y", "dose", "ipw_weight", "dose")
+                              + ",\ntt AS (SELECT *, coef / NULLIF(se, 0) AS t, CAST(n - 2 AS DOUBLE) AS v FROM terms)",
+                              "SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(t, 6) AS t_stat, "
+                              f"round({t_tail('t', 'v')}, 6) AS p_value FROM tt")
+    S["subgroup_pvalues"] = q(_subgroup_sql() + """,
+ok AS (SELECT subgroup, category, y, CAST(treated AS DOUBLE) AS x, ipw_weight AS w FROM lng WHERE category IS NOT NULL),
+mm AS (SELECT subgroup, category, sum(w) AS sw, sum(w * x) / sum(w) AS xm, sum(w * y) / sum(w) AS ym, count(*) AS n FROM ok
+       GROUP BY ALL HAVING count(*) >= 50),
+ss AS (SELECT subgroup, category, any_value(n) AS n, sum(w * (x - xm) * (x - xm)) AS cxx, sum(w * (x - xm) * (y - ym)) AS cxy,
+              sum(w * (y - ym) * (y - ym)) AS cyy FROM ok JOIN mm USING (subgroup, category) GROUP BY subgroup, category),
+bb AS (SELECT subgroup, category, n, cxy / NULLIF(cxx, 0) AS b, sqrt((cyy - cxy * cxy / NULLIF(cxx, 0)) / (n - 2) / NULLIF(cxx, 0)) AS se FROM ss),
+tt AS (SELECT *, b / NULLIF(se, 0) AS t, CAST(n - 2 AS DOUBLE) AS v FROM bb)""",
+                              "SELECT subgroup, category, round(b, 6) AS effect, n AS sample_size, round(se, 6) AS se, round(t, 6) AS t_stat, "
+                              f"CASE WHEN t IS NOT NULL THEN round({t_tail('t', 'v')}, 6) END AS p_value FROM tt")
     S["subgroup_effects"] = q(_subgroup_sql(), "SELECT * FROM effects")
     S["auc"] = q(auc_sql("scored", "ps_tied"), "SELECT round(auc, 6) AS auc, n_pos, n_neg FROM auc_t")
     parts = []
@@ -508,6 +584,31 @@ cmp AS (SELECT abs(b.smd) AS bf, abs(a.smd) AS af FROM bb b JOIN ba a ON b.varia
   round(control_mean, 6) AS control_mean, round(smd, 6) AS smd, round(abs(smd), 6) AS abs_smd FROM bb
 ORDER BY abs(smd) DESC, variable LIMIT 10""")
     S["spec_comparison"] = q(spec_rows_sql(), "SELECT * FROM specs")
+    S["spec_labels"] = q(spec_rows_sql(), "SELECT spec_name || ' + caliper=' || CAST(caliper AS VARCHAR) || ', ratio=' || CAST(ratio AS VARCHAR) "
+                         "AS label, n_matches, avg_abs_std_diff, treatment_effect FROM specs")
+    S["spec_report_document"] = q(spec_rows_sql(), f"""SELECT 0 AS position, 'Enhanced PSM Specification Testing Summary' || chr(10) || repeat('=', 50) || chr(10) AS text
+UNION ALL SELECT CAST(row_number() OVER (ORDER BY spec_name, caliper, ratio) AS INTEGER), {report_expr()} FROM specs""")
+    S["spec_balance"] = q(*_spec_balance_sql())
+    S["ps_logistic"] = q(*_logistic_sql()).replace("WITH ", "WITH RECURSIVE ", 1)
+    S["row_id_file_order"] = "SELECT row_number() OVER () - 1 AS row_id, o_orderkey FROM orders"
+    S["fallback_read"] = """SELECT page_id, NULLIF(trim(regexp_extract(html, '<title>([A-Za-zÀ-ÿ ]*)', 1)), '') AS title FROM pages"""
+    S["page_text"] = f"SELECT page_id, {_whole_text('html')} AS text FROM pages"
+    S["survey_metadata"] = f"""WITH p AS (SELECT page_id, translate(regexp_extract(html, '<title>(.*?)</title>', 1), '’…–', chr(39) || '.-') AS title,
+       regexp_extract(url, '://([^/]*)', 1) AS host, list_distinct(regexp_extract_all(html, '{LINK}', 1)) AS links FROM pages),
+v AS (SELECT page_id, unnest(links) AS link FROM p),
+w AS (SELECT DISTINCT page_id, {_whole_text('link')} AS value, {_whole_text("'Entry &amp; ' || link")} AS label FROM v)
+SELECT 'PAGE' || CAST(p.page_id AS VARCHAR) AS "SAS Variable Name", {_whole_text('title')} AS "Label", 'Pages of ' || host AS "Section Name",
+       w.value AS "Value", w.label AS "Value Label"
+FROM p LEFT JOIN (SELECT * FROM w WHERE value <> '') w ON p.page_id = w.page_id WHERE title <> ''"""
+    S["balance_reuse_weighted"] = q(_reuse_sql(), "SELECT variable, " + ", ".join(
+        f"round({c}, 6) AS {c}" for c in ("treated_mean", "control_mean", "smd", "treated_sd", "control_sd", "treated_ess", "control_ess"))
+        + " FROM rb WHERE variable <> 'outcome'")
+    S["effect_reuse_weighted"] = q(_reuse_sql() + """,
+ef AS (SELECT *, treated_mean - control_mean AS ate, sqrt(treated_sd * treated_sd / treated_ess + control_sd * control_sd / control_ess) AS se
+       FROM rb WHERE variable = 'outcome')""", " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, round({x}, 6) AS value FROM ef" for m, x in (
+            ("Treated Outcome", "treated_mean"), ("Control Outcome", "control_mean"), ("Treatment Effect", "ate"), ("SE", "se"),
+            ("CI Lower", "ate - 1.96 * se"), ("CI Upper", "ate + 1.96 * se"), ("Treated ESS", "treated_ess"), ("Control ESS", "control_ess"))))
     S["best_spec"] = q(spec_rows_sql(), "SELECT * FROM specs ORDER BY avg_abs_std_diff, spec_name, caliper, ratio LIMIT 1")
     S["dose_curve_top20"] = q(weighted_cte() + ",\n" + dose_bins_ctes(),
                               bins_final + " WHERE count > 10 ORDER BY dose_bin_start LIMIT 20")
@@ -519,17 +620,16 @@ ORDER BY abs(smd) DESC, variable LIMIT 10""")
     for c in ("acctbal", "n_orders", "dose"):
         zs.append(f"round(({c} - (SELECT avg({c}) FROM units)) / (SELECT stddev_pop({c}) FROM units), 6) AS {c}_z")
     S["standardize"] = q("", f"SELECT id, {', '.join(zs)} FROM units")
-    S["ipw_weights"] = q("", f"""SELECT * FROM (
-  SELECT u.id, u.treated, s.ps,
-         CASE WHEN u.treated = 1 THEN {D(1)} / NULLIF(s.ps, 0) ELSE {D(1)} / NULLIF(1 - s.ps, 0) END AS ipw_weight
-  FROM units u LEFT JOIN (SELECT id, ps FROM scored WHERE dose > 0) s ON u.id = s.id) x
-WHERE ipw_weight IS NOT NULL AND NOT isnan(ipw_weight)""")
+    weight = f"CASE WHEN treated = 1 THEN {D(1)} / NULLIF(ps, 0) ELSE {D(1)} / NULLIF(1 - ps, 0) END"
+    S["ipw_weights"] = q("", f"SELECT id, treated, ps, {weight} AS ipw_weight FROM scored WHERE ({weight}) IS NOT NULL")
+    S["ipw_weights_edges"] = q(f"""e AS (SELECT id, treated, CASE WHEN ps < 0.05 THEN {D(0)} WHEN ps > 0.95 THEN {D(1)} ELSE ps END AS ps
+      FROM scored)""", f"SELECT id, treated, ps, {weight} AS ipw_weight FROM e WHERE NOT (treated = 1 AND ps = 0 OR treated = 0 AND ps = 1)")
     S["filter_semijoin_regions"] = q("", "SELECT id, nation, treated FROM units WHERE region = 'ASIA'")
     S["category_codes_missing"] = q("", """SELECT id, segment, CASE WHEN segment IS NOT NULL THEN
   CAST(DENSE_RANK() OVER (ORDER BY segment NULLS LAST) - 1 AS INTEGER) END AS segment_code
 FROM (SELECT id, NULLIF(segment, 'BUILDING') AS segment FROM units) z""")
     S["join_left_labels_unmatched"] = q(blocks_cte(), """SELECT p.page_id, p.url, v.block_no, v.value, v.value_label
-FROM pages p LEFT JOIN (SELECT * FROM vals WHERE page_id % 3 = 0) v ON p.page_id = v.page_id""")
+FROM (SELECT page_id, url FROM pages UNION ALL SELECT -1 - page_id, url FROM pages) p LEFT JOIN vals v ON p.page_id = v.page_id""")
     many = " UNION ALL ".join(
         f"SELECT 'cov_{k:02d}' AS variable, (avg(v1) - avg(v0)) / stddev_samp(v1) AS smd FROM (SELECT CASE WHEN treated = 1 THEN "
         f"CAST(id % {k + 3} AS DOUBLE) END AS v1, CASE WHEN treated = 0 THEN CAST(id % {k + 3} AS DOUBLE) END AS v0 FROM scored) z{k}"

@@ -184,6 +184,13 @@ SPEC_ADDITIONS = [
                                "DISABILITY_EMPLOYMENT_INTERACTION"]),
 ]
 AGE_PROXY = 50
+INTERACTION_CATEGORIES = ["SEXVAR", "MARITAL", "EDUCA", "RENTHOM1", "VETERAN3", "EMPLOY1", "CHILDREN", "INCOME3", "PREGNANT",
+                          "METRO_AREA", "URBAN_RURAL_AREA", "ADDEPEV3"]
+INTERACTIONS = {
+    "SEXVAR_AGE_INTERACTION": ("SEXVAR_NUMERIC", AGE_PROXY),
+    "INCOME_EDUCA_INTERACTION": ("INCOME3_NUMERIC", "EDUCA_NUMERIC"),
+    "DISABILITY_EMPLOYMENT_INTERACTION": ("DISABILITY_INDEX_NORMALIZED", "EMPLOY1_NUMERIC"),
+}
 SPEC_GRID = [(0.05, 1), (0.1, 1), (0.1, 2), (0.15, 1)]  # (caliper, ratio), all "nearest"
 MAIN_CALIPER = 0.05
 MAIN_RATIO = 1

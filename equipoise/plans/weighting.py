@@ -51,7 +51,6 @@ class WeightingAnalysis:
         self.required = list(required)
         self.analysis = None
         self.mapping = None
-        self.n_bins = None
 
     def scores(self, rf_params: dict | None = None, score_col: str | None = None) -> DataFrame:
         """J2 on the complete cases of (id, treatment, confounders), joined back by id (C2) -> J5 weights."""
@@ -90,9 +89,7 @@ class WeightingAnalysis:
         """B18 + D9: weighted mean outcome per dose bin."""
         mx = column_extremes(self.analysis, [self.dose])[self.dose][1]
         binned = width_bins(self.analysis, self.dose, width, out="dose_bin", max_value=mx)
-        self.n_bins = int((mx or 0) // width) + 2
-        return E.weighted_bin_stats(binned, "dose_bin", self.outcome, "ipw_weight", n_bins=self.n_bins,
-                                    extra_keys=["dose_bin_start"])
+        return E.weighted_bin_stats(binned, "dose_bin", self.outcome, "ipw_weight", extra_keys=["dose_bin_start"])
 
     def dose_curve(self, min_count: int = S.MIN_BIN_COUNT, top: int = S.TOP_BINS) -> DataFrame:
         """B25 + F4: bins with more than ``min_count`` rows, in dose order, first ``top``."""

@@ -2,7 +2,7 @@
 
 Each page is one row; patterns run as JVM regex functions (``regexp_extract_all``)
 and matches become rows with ``explode`` -- pages are processed in parallel and
-whole (no prefix of the text is taken).  The reference's pattern uses DOTALL,
+whole (no prefix of the text is taken); large codebook files are cut into blocks as they are read.  The reference's pattern uses DOTALL,
 so patterns get ``(?s)``.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from equipoise.functions.recode import strip_html
@@ -24,22 +24,55 @@ VARIABLE_PATTERN = (r"(?s)Label:&nbsp;(.+?)<br>.*?Section&nbsp;Name:&nbsp;(.+?)<
                     r"SAS&nbsp;Variable&nbsp;Name:&nbsp;(.+?)<br>")
 BLOCK_PATTERN = (r"(?s)Label:&nbsp;.+?<br>.*?SAS&nbsp;Variable&nbsp;Name:&nbsp;(.+?)<br>(.*?)"
                  r"(?=<b>|Label:&nbsp;|</body>)")
+BLOCK_FIELDS = {"SAS Variable Name": r"(?s)SAS&nbsp;Variable&nbsp;Name:&nbsp;(.+?)<br>", "Label": r"(?s)^(.+?)<br>",
+                "Section Name": r"(?s)Section&nbsp;Name:&nbsp;(.+?)<br>"}
+BLOCK_BODY = r"(?s)SAS&nbsp;Variable&nbsp;Name:&nbsp;.+?<br>(.*)$"
 VALUE_ROW_PATTERN = r"(?s)<tr>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>"
 
 
-STANDARD_CHARSETS = {"US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32"}
+#: Where a variable's block begins in a codebook.
+BLOCK_START = "Label:&nbsp;"
+
+
+def decode_bytes(content: Column, encoding: str) -> Column:
+    """Bytes as text.  windows-1252 is read as ISO-8859-1 with the bytes 80 to 9F translated; others as Spark knows them."""
+    if encoding.lower() not in ("windows-1252", "cp1252"):
+        return F.decode(content, encoding)
+    controls = bytes(range(0x80, 0xA0))
+    named = [(chr(b), bytes([b]).decode("cp1252", "ignore")) for b in controls]
+    return F.translate(F.decode(content, "ISO-8859-1"), "".join(a for a, c in named if c), "".join(c for _, c in named if c))
 
 
 def read_pages(spark, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A2: raw page files -> (path, html) decoded with ``encoding`` (one row per file).
+    """A2: raw page files -> (path, html) decoded with ``encoding`` (one row per file)."""
+    raw = spark.read.format("binaryFile").load(path)
+    return raw.select(F.col("path"), decode_bytes(F.col("content"), encoding).alias("html"))
 
-    Spark 4 decodes only the standard charsets unless ``spark.sql.legacy.javaCharsets``
-    is on; it is switched on for others (e.g. windows-1252, as the codebook uses).
+
+def read_blocks(spark, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """A2 + A6: codebook files as one row per variable's block (what follows its "Label:"), decoded with ``encoding``.
+
+    The reader itself cuts the files at block starts, so a large file is read by many tasks and no task holds more than a
+    block.
     """
-    if encoding.upper() not in STANDARD_CHARSETS:
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select(F.col("path"), F.decode(F.col("content"), encoding).alias("html"))
+    lines = spark.read.text(path, lineSep=BLOCK_START)
+    block = decode_bytes(F.col("value").cast("binary"), encoding)
+    return lines.select(block.alias("block")).where(F.col("block").contains("SAS&nbsp;Variable&nbsp;Name:&nbsp;"))
+
+
+def codebook_metadata(blocks: DataFrame) -> DataFrame:
+    """A6 + A7 + C1 on ``read_blocks``: (SAS Variable Name, Label, Section Name) left-joined to the values of the variable.
+
+    A block's values are the table rows behind its variable's name, up to a bold heading.  Text is cleaned (tags dropped, entities
+    decoded, stripped); value rows with an empty side go, equal ones count once; a variable without values stays.
+    """
+    fields = F.struct(*[F.regexp_extract("block", p, 1).alias(n) for n, p in BLOCK_FIELDS.items()])
+    named = blocks.select(fields.alias("f"), F.split(F.regexp_extract("block", BLOCK_BODY, 1), "<b>", 2)[0].alias("body"))
+    variables = named.select(*[unescape_strip(F.col("f")[n]).alias(n) for n in BLOCK_FIELDS], "body")
+    rows = extract_groups(variables, "body", VALUE_ROW_PATTERN, ["Value", "Value Label"], keep=["SAS Variable Name"])
+    values = rows.select("SAS Variable Name", strip_html_full("Value").alias("Value"), strip_html_full("Value Label").alias("Value Label"))
+    values = values.where((F.length("Value") > 0) & (F.length("Value Label") > 0)).dropDuplicates()
+    return variables.drop("body").join(values, "SAS Variable Name", "left")
 
 
 def extract_groups(df: DataFrame, text_col: str, pattern: str, names: Sequence[str], keep: Sequence[str] = (),

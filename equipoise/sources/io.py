@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from equipoise.functions.recode import blank_as_null, nan_as_null
-from equipoise.operators.ranking import row_index
+from equipoise.operators.ranking import cumulative_sum, row_index
+from equipoise.session import join_small, reliable_checkpoint
 
 
 def clean_values(df: DataFrame) -> DataFrame:
@@ -28,8 +29,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: Str
     Give ``schema`` in production: inference costs an extra pass over the data.
     ``columns`` prunes to the wanted columns that exist (B1), pushed into the scan.
     ``encoding`` is the character set of a delimited file, Spark's default (UTF-8) unless given.  With
-    ``fallback_encoding`` rows that aren't valid in the first one are found by their replacement
-    characters, in one pass, and the file is then read in the second.
+    ``fallback_encoding`` a file with a line that isn't valid in the first one is read in the second.
     """
     reader = spark.read
     if schema is not None:
@@ -49,7 +49,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: Str
 
 
 def _decodes(spark: SparkSession, path: str, encoding: str) -> bool:
-    """Whether no line of the text at ``path`` has a replacement character when read as ``encoding``."""
+    """Whether the files at ``path`` are valid in ``encoding``: what a line decodes to has the line's bytes.
+
+    Reading stops at the first part of the files that isn't.  A valid file may hold the replacement character itself.
+    """
+    if encoding.upper().replace("_", "-") in ("UTF-8", "UTF8"):
+        # the reader hands on a line's bytes as they are
+        return spark.read.text(path).where(~F.is_valid_utf8(F.col("value"))).isEmpty()
     lines = spark.read.option("encoding", encoding).csv(path, sep="\u0001", quote="", schema="line string")
     return lines.where(F.col("line").contains("\ufffd")).isEmpty()
 
@@ -70,6 +76,23 @@ def with_row_id(df: DataFrame, id_col: str, order_by) -> DataFrame:
     return row_index(df, order_by, out=id_col)
 
 
+def read_in_file_order(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """A5: a Parquet table with ``id_col`` = 0..n-1 in the order of its files (by name) and of the rows in each.
+
+    The reader tells each row's file and place; the rows of the files before are one offset a file, so no row is sorted or
+    shuffled.  A table that has the column keeps it.
+    """
+    df = spark.read.parquet(path)
+    if id_col in df.columns:
+        return df
+    file, at, first = "_eq_file", "_eq_at", "_eq_first"
+    rows = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at))
+    counts = reliable_checkpoint(rows.groupBy(file).agg(F.count(F.lit(1)).alias("n")))
+    offsets = cumulative_sum(counts, "n", [file], out=first).select(file, first)
+    placed = join_small(rows, reliable_checkpoint(offsets), file)
+    return placed.withColumn(id_col, F.col(first) + F.col(at)).select(*df.columns, id_col)
+
+
 def with_unordered_id(df: DataFrame, id_col: str) -> DataFrame:
     """A5 when order does not matter: unique (not consecutive) ids with no shuffle."""
     if id_col in df.columns:

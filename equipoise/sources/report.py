@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# FIXED VALUES: the report's title and the rule between blocks
+TITLE = "Enhanced PSM Specification Testing Summary\n" + "=" * 50 + "\n"
 RULE = "-" * 40
 
 
@@ -20,7 +22,17 @@ def spec_report_lines(results: DataFrame) -> DataFrame:
     return results.select("spec_name", "caliper", "ratio", block.alias("report"))
 
 
+def spec_report_document(results: DataFrame) -> DataFrame:
+    """The whole report: (position, text), the title first and then the blocks in the order of spec, caliper and ratio.
+
+    There is one row per tested setting, so one task orders them.
+    """
+    order = Window.partitionBy(F.lit(0)).orderBy("spec_name", "caliper", "ratio")
+    blocks = spec_report_lines(results).select(F.row_number().over(order).alias("position"), F.col("report").alias("text"))
+    title = results.sparkSession.range(1).select(F.lit(0).alias("position"), F.lit(TITLE).alias("text"))
+    return title.unionByName(blocks)
+
+
 def write_spec_report(results: DataFrame, path: str) -> None:
-    """Write the report blocks as a text file (one block per line group) in spec/config order."""
-    (spec_report_lines(results).orderBy("spec_name", "caliper", "ratio").select("report")
-     .coalesce(1).write.mode("overwrite").text(path))
+    """Write the report as a text file: title, then one block per line group."""
+    spec_report_document(results).orderBy("position").select("text").coalesce(1).write.mode("overwrite").text(path)

@@ -36,7 +36,7 @@ def test_logistic_equals_c1_objective(spark):
     df = spark.createDataFrame(pdf)
     model = P.fit_logistic(df, ["x1", "x2"], "t")
     w = _newton(pdf[["x1", "x2"]].values, pdf.t.values)
-    assert abs(model.intercept - w[0]) < 1e-5 and np.allclose(model.coefficients.toArray(), w[1:], atol=1e-5)
+    assert abs(model.intercept - w[0]) < 1e-5 and np.allclose(model.coefficients, w[1:], atol=1e-8)
 
 
 def test_forest_scores_seeded_and_informative(spark):

@@ -4,8 +4,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from equipoise.operators import ranking as K
 from equipoise.operators.ranking import (
-    _bounds, _bucket, cumulative_sum, describe, exact_quantiles, row_index, value_table)
+    _bounds, _bucket, bracket_counts, cumulative_sum, describe, exact_quantiles, row_index)
 
 
 def test_cumulative_sum_matches_pandas(spark):
@@ -60,12 +61,41 @@ def test_ranking_shuffles_the_data_once_and_splits_a_common_value(spark):
 
 def test_describe_counts_equal_values_first(spark):
     df = spark.range(0, 50_000).selectExpr("IF(id % 10 < 9, 0.0, id * 1.0) AS v")
-    values = value_table(df, ["v"])
-    assert values.count() == 5_001
     row = describe(df, ["v"]).first()
     assert (row["count"], row["q25"], row["q50"], row["q75"], row["max"]) == (50_000, 0.0, 0.0, 0.0, 49_999.0)
 
 
+def test_quantiles_shuffle_brackets_not_values(spark):
+    df = spark.range(0, 200_000, numPartitions=6).selectExpr(
+        "CAST(id * 7919 % 200000 AS DOUBLE) AS distinct_values", "2.5 AS equal_values", "CAST(NULL AS DOUBLE) AS nothing")
+    columns, probs = ["distinct_values", "equal_values", "nothing"], [0.0, 0.25, 0.5, 0.999, 1.0]
+    stats = K._pivots(df, columns, probs)
+    assert sorted(stats) == ["distinct_values", "equal_values"]  # a column without values has no quantiles
+    counts = bracket_counts(df, {c: K._disjoint(s["brackets"]) for c, s in stats.items()})
+    assert counts.count() < 2_000  # of 200,001 distinct values
+    got = {(r.variable, r.prob): r.value for r in exact_quantiles(df, columns, probs).collect()}
+    for p in probs:
+        assert got["equal_values", p] == 2.5 and abs(got["distinct_values", p] - p * 199_999) < 1e-6
+    assert len(got) == 10
+    d = {r.variable: r for r in describe(df, columns).collect()}
+    assert len(d) == 2 and d["distinct_values"].q50 == 99_999.5 and d["equal_values"]["std"] == 0.0
+
+
+def test_a_bracket_that_misses_is_replaced(spark, monkeypatch):
+    vals = np.arange(100.0)
+    df = spark.createDataFrame(pd.DataFrame({"x": vals, "y": vals}))
+    pivots = K._pivots
+
+    def wrong(df, columns, probs):
+        out = pivots(df, columns, probs)
+        out["x"]["brackets"] = [(90.0, 95.0)] * len(probs)
+        return out
+
+    monkeypatch.setattr(K, "_pivots", wrong)
+    got = {(r.variable, r.prob): r.value for r in exact_quantiles(df, ["x", "y"], [0.25, 0.5]).collect()}
+    assert got == {(c, p): np.percentile(vals, 100 * p) for c in "xy" for p in (0.25, 0.5)}
+
+
 def test_no_cache_is_left_behind(spark):
     from equipoise.operators.matching import match_nearest, matched_cohort
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
