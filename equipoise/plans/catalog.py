@@ -26,11 +26,11 @@ from equipoise.operators.ranking import describe, row_index
 from equipoise.operators.scaling import minmax_scale, standardize
 from equipoise.plans import fixtures as fx
 from equipoise.plans import specs as SP
-from equipoise.plans.matching import MatchingAnalysis
+from equipoise.plans.matching import MatchingAnalysis, define_survey_variables, prepare
 from equipoise.plans.preprocess import (
     CODED_RAW, CODED_SCALE5, CODED_WEIGHTS, CODED_YESNO, coded_preprocess, coded_recodes, survey_preprocess)
 from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID, TARGET_VARIABLES
-from equipoise.plans.survey_oracle import survey_rows
+from equipoise.plans.survey_oracle import LABELLED, NUMERIC, survey_rows
 from equipoise.plans.weighting import WeightingAnalysis, dose_measures
 from equipoise.session import ensure_checkpoint_dir, join_small, reliable_checkpoint, scratch_path
 from equipoise.sources import codebook as CB
@@ -619,6 +619,50 @@ def q_preprocess_pipeline(spark, d):
     return _round(out, [f.name for f in out.schema.fields if f.dataType.typeName() == "double"])
 
 
+def _survey(spark, d) -> DataFrame:
+    """The survey stand-in, preprocessed, with its treatment and outcome flags, interaction columns and a supplied score."""
+    # the recodes are a wide projection that several steps read: they are written once
+    done = reliable_checkpoint(survey_preprocess(survey_rows(fx.table(spark, d, "orders"), TARGET_VARIABLES, "_SEQNO"), keep=["_SEQNO"]))
+    score = sum((F.col(c) for c in NUMERIC[1:]), F.col(NUMERIC[0])) / F.lit(4.0)
+    return reliable_checkpoint(SP.with_survey_interactions(define_survey_variables(done)).withColumn("ps", score))
+
+
+def q_survey_interactions(spark, d):
+    """B21 on the survey: the interaction columns of the specification test."""
+    return _survey(spark, d).select("_SEQNO", "SEXVAR_AGE_INTERACTION", "INCOME_EDUCA_INTERACTION", F.round(
+        "DISABILITY_EMPLOYMENT_INTERACTION", 6).alias("DISABILITY_EMPLOYMENT_INTERACTION"))
+
+
+def _survey_matching(spark, d) -> MatchingAnalysis:
+    # the score is none of the confounders: it goes along under a name of its own
+    m = MatchingAnalysis(_survey(spark, d), "_SEQNO", "_EXERCISE_BINARY", "_MENTAL_HEALTH_BINARY", [*NUMERIC, *LABELLED, "ps"], LABELLED)
+    return m.run(score_col="ps")
+
+
+def q_survey_matching_scored(spark, d):
+    """J11 on survey columns with a supplied score: balance after matching."""
+    return _round(_survey_matching(spark, d).balance_after(), ["treated_mean", "control_mean", "smd"])
+
+
+def q_survey_matching_effect(spark, d):
+    return _round(_survey_matching(spark, d).effect(), ["value"])
+
+
+def q_survey_spec_balance(spark, d):
+    """J9 on survey columns with supplied scores: each covariate's balance in every specification and setting."""
+    s = prepare(_survey(spark, d), "_SEQNO", "_EXERCISE_BINARY", "_MENTAL_HEALTH_BINARY", [*NUMERIC, *LABELLED, "ps"], LABELLED)
+    s = reliable_checkpoint(s.withColumn("ps_half", F.col("ps") / F.lit(2.0)))
+    test = SP.spec_test_with_scores(s, {"minimal": "ps", "standard": "ps_half"}, {"minimal": NUMERIC, "standard": [*NUMERIC, *LABELLED]},
+                                    "_SEQNO", "_EXERCISE_BINARY", "_MENTAL_HEALTH_BINARY", SPEC_GRID)
+    return _round(test.balance, ["treated_mean", "control_mean", "smd"])
+
+
+def q_survey_weighting_scored(spark, d):
+    """J12 on survey columns with a supplied score: the weighted effect of the treatment on the share of days in poor mental health."""
+    w = WeightingAnalysis(_survey(spark, d), "_SEQNO", "_EXERCISE_BINARY", "MENTHLTH_MAPPED", "DISABILITY_INDEX", [*NUMERIC, *LABELLED], LABELLED)
+    return _wls_round(w.prepare(score_col="ps").effect())
+
+
 def q_subgroup_filter(spark, d):
     return q_subgroup_effects(spark, d).where(F.col("subgroup") == "Region")
 

@@ -7,7 +7,7 @@ engine itself avoids; the other oracles restate each operator's definition.
 from __future__ import annotations
 
 from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID, TARGET_VARIABLES
-from equipoise.plans.survey_oracle import preprocess_sql
+from equipoise.plans.survey_oracle import LABELLED, NUMERIC, analysis_ctes, preprocess_sql
 
 FIXTURES = """
 o_agg AS (
@@ -359,13 +359,13 @@ cnt AS (SELECT treated, i2 AS i, count(*) AS c FROM j2 GROUP BY treated, i2),
 grid AS (SELECT h.*, CAST(g.i AS INTEGER) AS i FROM hs2 h, range({bins}) g(i))"""
 
 
-def _spec_balance_sql():
-    """Per covariate balance of both scores, the second with two confounders."""
+def _spec_balance_sql(specs=None, src="scored"):
+    """Per covariate balance of two specifications: name -> (score, confounders)."""
     ctes, selects = [], []
-    for spec, covs in (("ps", ["acctbal", "n_orders", "dose"]), ("ps_tied", ["acctbal", "dose"])):
+    for spec, (score, covs) in (specs or {"ps": ("ps", ["acctbal", "n_orders", "dose"]), "ps_tied": ("ps_tied", ["acctbal", "dose"])}).items():
         for i, (cal, ratio) in enumerate(SPEC_GRID):
             tag = f"{spec}_{i}"
-            ctes += [pairs_cte(f"p_{tag}", spec, cal, ratio), sides_cte(f"sd_{tag}", f"p_{tag}"), balance_cte(f"bal_{tag}", f"sd_{tag}", covs)]
+            ctes += [pairs_cte(f"p_{tag}", score, cal, ratio, src), sides_cte(f"sd_{tag}", f"p_{tag}", src), balance_cte(f"bal_{tag}", f"sd_{tag}", covs)]
             selects.append(f"SELECT '{spec}' AS spec_name, {D(cal)} AS caliper, {ratio} AS ratio, variable, round(treated_mean, 6) AS treated_mean, "
                            f"round(control_mean, 6) AS control_mean, round(smd, 6) AS smd FROM bal_{tag}")
     return ",\n".join(ctes), "\nUNION ALL\n".join(selects)
@@ -643,6 +643,20 @@ FROM units, (VALUES ('logistic'), ('random_forest')) m(model) GROUP BY treated,
     S["matching_analysis_scored"] = S["treatment_effect"]
     S["ipw_analysis_scored"] = S["dose_response_bins"]
     S["preprocess_pipeline"] = q(*preprocess_sql(TARGET_VARIABLES))
+    survey = analysis_ctes(TARGET_VARIABLES, 0.5)
+    S["survey_interactions"] = q(survey, """SELECT id AS "_SEQNO", CAST(SEXVAR_AGE_INTERACTION AS INTEGER) AS "SEXVAR_AGE_INTERACTION",
+  CAST(INCOME_EDUCA_INTERACTION AS INTEGER) AS "INCOME_EDUCA_INTERACTION",
+  round(DISABILITY_EMPLOYMENT_INTERACTION, 6) AS "DISABILITY_EMPLOYMENT_INTERACTION" FROM inter""")
+    matched = survey + ",\n" + pairs_cte("pairs", "ps", 0.05, 1, "sa") + ",\n" + cohort_cte("cohort", "pairs", "sa")
+    S["survey_matching_scored"] = q(matched + ",\n" + balance_cte("ba", "cohort", [*NUMERIC, *LABELLED, "ps"]),
+                                    "SELECT variable, round(treated_mean, 6) AS treated_mean, round(control_mean, 6) AS control_mean, "
+                                    "round(smd, 6) AS smd FROM ba")
+    S["survey_matching_effect"] = S["treatment_effect"].replace(_cohort_ctes(), matched)
+    ctes, final = _spec_balance_sql({"minimal": ("ps", NUMERIC), "standard": ("ps_half", [*NUMERIC, *LABELLED])}, "sh")
+    S["survey_spec_balance"] = q(survey + ",\nsh AS (SELECT *, ps / CAST(2 AS DOUBLE) AS ps_half FROM sa),\n" + ctes, final)
+    S["survey_weighting_scored"] = q(survey + ",\nsw AS (SELECT sa.*, r.MENTHLTH_MAPPED AS y FROM sa JOIN r ON r._SEQNO = sa.id "
+                                     "WHERE r.MENTHLTH_MAPPED IS NOT NULL),\n" + weighted_cte("w", "sw") + ",\n"
+                                     + wls_sql("w", "y", "treated", "ipw_weight", "_EXERCISE_BINARY"), WLS_FINAL)
     S["nan_ingest"] = q("""u AS (SELECT id, n_orders, CASE WHEN id % 7 = 0 THEN NULL ELSE dose END AS dose FROM units),
 m AS (SELECT min(dose) AS mn, max(dose) AS mx FROM u)""", """SELECT id, n_orders, dose,
        CASE WHEN dose > 0 THEN 1 ELSE 0 END AS flag, coalesce(dose, 0) + n_orders AS total,

@@ -8,6 +8,7 @@ stage is one scan, one small aggregate job and one projection.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -116,9 +117,12 @@ SURVEY_STEPS = [_ace, _alcohol, _demographics, _disability, _geography, _health,
                 _orientation, _social, _access, _mental, _exercise]
 
 
-def survey_preprocess(raw: DataFrame) -> DataFrame:
-    """The reference's 12 recode groups in order, one aggregate for all scaled indices, raw columns dropped."""
-    df = clean_values(raw.select(*available(raw, S.TARGET_VARIABLES)))
+def survey_preprocess(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The reference's 12 recode groups in order, one aggregate for all scaled indices, raw columns dropped.
+
+    ``keep`` names further columns, as a row id, that go along unchanged.
+    """
+    df = clean_values(raw.select(*available(raw, [*keep, *S.TARGET_VARIABLES])))
     df = reduce(lambda acc, step: step(acc), SURVEY_STEPS, df)
     scale = {"ACE_TOTAL": ("ACE_NORMALIZED", "sklearn"),
              "ALCOHOL_SEVERITY": ("ALCOHOL_SEVERITY_NORMALIZED", "sklearn"),

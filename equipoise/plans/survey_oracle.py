@@ -15,10 +15,10 @@ WIDE = {"ALCDAY4": 320, "AVEDRNK3": 100, "DRNK3GE5": 100, "MAXDRNKS": 100, "MENT
         "EXERHMM2": 1000, "INCOME3": 13, "WEIGHT2": 10000, "HEIGHT3": 10000, "EXRACT12": 100, "EXRACT22": 100}
 
 
-def survey_rows(orders: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of survey codes per order."""
+def survey_rows(orders: DataFrame, columns: list[str], id_col: str | None = None) -> DataFrame:
+    """One row of survey codes per order; ``id_col``: the name of a column with the order's key."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return orders.select(*[
+    return orders.select(*[k.alias(n) for n in ([id_col] if id_col else [])], *[
         F.when((k * (j + 1) + c) % 13 != 0, (k * (2 * j + 3) + c * (j + 5)) % WIDE.get(name, 11)).cast("double").alias(name)
         for j, name in enumerate(columns)])
 
@@ -110,3 +110,27 @@ def preprocess_sql(columns: list[str]) -> tuple[str, str]:
     out = [f'round("{n}", 6) AS "{n}"' if n in doubles else f'"{n}"' for n in new]
     out += [f'round(("{a}" - min("{a}") OVER ()) / (max("{a}") OVER () - min("{a}") OVER ()), 6) AS "{b}"' for a, b in scaled.items()]
     return ctes, "SELECT " + ", ".join(out) + " FROM r"
+
+
+#: Confounders, most of them complete, for the analyses of the stand-in; the labelled ones are coded.
+NUMERIC = ["ACE_NORMALIZED", "DISABILITY_INDEX_NORMALIZED", "MARIJUANA_INDEX_NORMALIZED", "SEXUAL_ORIENTATION_SCORE"]
+LABELLED = ["MARITAL", "EMPLOY1"]
+
+
+def analysis_ctes(columns: list[str], threshold: float) -> str:
+    """CTEs up to ``sa``: id, treated, outcome, NUMERIC and coded LABELLED of complete cases, the interactions, and the score ps."""
+    ctes, _ = preprocess_sql(columns)
+    ctes = ctes.replace("survey AS (SELECT ", 'survey AS (SELECT o_orderkey AS "_SEQNO", ', 1).replace(
+        "r AS (SELECT ", 'r AS (SELECT "_SEQNO", ', 1)
+    codes = ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS {c}" for c in LABELLED)
+    everywhere = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN CAST(dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 AS DOUBLE) END AS {c}_n"
+                           for c in ("SEXVAR", "INCOME3", "EDUCA", "EMPLOY1"))
+    return ctes + f""",
+r2 AS (SELECT *, (ACE_TOTAL - min(ACE_TOTAL) OVER ()) / (max(ACE_TOTAL) OVER () - min(ACE_TOTAL) OVER ()) AS ACE_NORMALIZED FROM r),
+sx AS (SELECT "_SEQNO" AS id, {everywhere}, DISABILITY_INDEX_NORMALIZED AS dis FROM r),
+inter AS (SELECT id, SEXVAR_n * 50 AS SEXVAR_AGE_INTERACTION, INCOME3_n * EDUCA_n AS INCOME_EDUCA_INTERACTION,
+                 dis * EMPLOY1_n AS DISABILITY_EMPLOYMENT_INTERACTION FROM sx),
+sc AS (SELECT "_SEQNO" AS id, CASE WHEN STRENGTH_WEEKLY > 0 OR EXEROFT1_WEEKLY > 0 OR EXEROFT2_WEEKLY > 0 THEN 1 ELSE 0 END AS treated,
+              CASE WHEN MENTHLTH_MAPPED <= {threshold} THEN 1 ELSE 0 END AS outcome, {", ".join(NUMERIC + LABELLED)} FROM r2
+       WHERE {" AND ".join(f"{c} IS NOT NULL" for c in NUMERIC + LABELLED)}),
+sa AS (SELECT id, treated, outcome, {", ".join(NUMERIC)}, {codes}, ({" + ".join(NUMERIC)}) / 4::DOUBLE AS ps FROM sc)"""
