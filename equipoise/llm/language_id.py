@@ -2,8 +2,8 @@
 
 A text's letters and blanks (digits and ASCII marks become one blank, A-Z are lower-cased) give byte n-grams of two
 lengths, hashed to ``DIMENSIONS`` places; its vector is (1 + ln count) * idf, normalised.  Document frequencies are
-counted over all rows to learn from.  For each language the vectors of a bounded sample (at most about
-``SAMPLE_PER_LANGUAGE`` rows, chosen by a hash of the text) are clustered by spherical k-means into
+counted over all rows to learn from.  For each language the vectors of a bounded sample (at most
+``SAMPLE_PER_LANGUAGE`` distinct texts, those with the smallest hashes) are clustered by spherical k-means into
 ``CENTROIDS_PER_LANGUAGE`` centroids.  The prediction is the language of the centroid with the largest cosine.
 Distance-based rejection: each centroid keeps the cosine that all but ``REJECT_SHARE`` of its own sample
 reach, and a text further from its centroid is marked ``rejected``.
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from equipoise.llm.common import fold, free_names, ship_package, table
+from equipoise.llm.common import fold, free_names, materialize, ship_package, table
 from equipoise.llm.words import text_bytes
 from equipoise.session import join_small
 
@@ -98,16 +98,31 @@ def cluster(vectors: np.ndarray, k: int, seed: int = 5, rounds: int = 12) -> np.
     return centroids
 
 
+def sample_of(rows: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text): of each language the distinct texts with the ``per_language`` smallest hashes, each once.
+
+    So no language is left out, and none has more, whatever copies there are.  Hashes are thinned to about twice the number
+    before a language's are ordered.
+    """
+    keyed = rows.withColumn("h", F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 62)))
+    distinct = materialize(keyed.select("lang", "h").distinct(), "sample-hashes")
+    sizes = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # some more than twice, so that fewer than the wanted are left but once in 10**30
+    bound = F.lit(float(1 << 62)) * (2 * per_language + 100) / F.col("n")
+    few = join_small(distinct, sizes, "lang").filter(F.col("h") < bound)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = materialize(few.withColumn("place", place).filter(F.col("place") <= per_language).select("lang", "h"), "sample-chosen")
+    # a task sends one text of a group of copies
+    return join_small(keyed, chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def learn(rows: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict:
     """The model from labelled ``rows`` (text, lang)."""
     ship_package(rows.sparkSession)
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     n, df = document_frequencies(rows.select("text"))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    chance = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) / 1_000_000
-    # each language is thinned to its bound, so that a common one doesn't crowd out a rare one
-    sample = join_small(rows, sizes, "lang").filter(chance < F.lit(float(per_language)) / F.col("n")).select("lang", "text")
+    sample = sample_of(rows, per_language)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
