@@ -1,4 +1,8 @@
+import collections
+import math
+
 import numpy as np
+import pyarrow as pa
 
 from equipoise.llm import language_id as L
 from equipoise.llm import toxicity as T
@@ -80,3 +84,73 @@ def test_pooled_responses_agree_with_the_tabulated_form():
 
 def test_threshold_is_in_the_widest_gap():
     assert T.best_threshold(np.array([0.0, 1.0, 5.0, 6.0]), np.array([0, 0, 1, 1])) == 3.0
+
+
+def plain_toxicity(model, text):
+    """One text's score by loops over its words, windows and filters."""
+    places, _ = T.hashed_words(pa.array([text or ""]))
+    logit = model["shift"]
+    for j, width in enumerate(T.WIDTHS):
+        for f in range(T.FILTERS):
+            best = 0.0
+            for i in range(len(places)):
+                z = float(model["bias"][j][f])
+                for k in range(width):
+                    if i + k < len(places):
+                        x = np.concatenate([model["tables"][t][places[i + k, t]] for t in range(T.TABLES)])
+                        z += float(np.dot(x.astype(float), model["filters"][j][k][:, f].astype(float)))
+                best = max(best, z)
+            logit += best * float(model["out"][j * T.FILTERS + f])
+    logs = model["word_logs"]
+    language = 0
+    if len(places) and len(model["languages"]) > 1:
+        language = int(np.argmax([sum(float(logs[p % T.LANGUAGE_PLACES, i]) for p in places[:, 0]) for i in range(logs.shape[1])]))
+    return 1 / (1 + math.exp(-(logit - model["thresholds"][language])))
+
+
+def test_toxicity_scores_match_a_plain_convolution(spark):
+    rows = toxic_documents(200)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    model = T.learn(docs, spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int"))
+    texts = [r[1] for r in rows[:40]] + ["", None, "one", "foulword", "Never, seen before! " * 3, "日本語 badname"]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in got.select("doc_id", T.score_of(got["text"], model).alias("s")).collect():
+        assert abs(r.s - plain_toxicity(model, texts[r.doc_id])) < 1e-4
+
+
+def plain_language(model, text):
+    """(language, cosine) of one text by a dictionary of n-grams."""
+    folded = bytes(b | 0x20 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 0x20 for b in (text or "").encode())
+    while b"  " in folded:
+        folded = folded.replace(b"  ", b" ")
+    counts = collections.Counter()
+    for size in L.LENGTHS:
+        for i in range(len(folded) - size + 1):
+            code = size
+            for b in folded[i:i + size]:
+                code = (code * 0x01000193 + b) % (1 << 32)
+            code = (code ^ code >> 15) * 0x2C1B3C6D % (1 << 32)
+            counts[code >> 20] += 1
+    vector = {place: (1 + math.log(n)) * float(model["idf"][place]) for place, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in vector.values())) or 1.0
+    cosines = [sum(v * float(c[place]) for place, v in vector.items()) / norm for c in model["centroids"]]
+    best = int(np.argmax(cosines))
+    return model["names"][best], cosines[best]
+
+
+def test_languages_match_a_dictionary_of_ngrams(spark):
+    docs = spark.read.parquet(SF + "/documents.parquet").filter("text IS NOT NULL")
+    model = L.learn(docs.select("text", "lang"))
+    some = docs.filter("length(text) < 600 AND text RLIKE '[a-z]'").limit(60)
+    texts = {r.doc_id: r.text for r in some.collect()}
+    for r in L.predict(some, model, "doc_id").collect():
+        name, cosine = plain_language(model, texts[r.doc_id])
+        assert abs(r.score - max(0.0, cosine)) < 1e-4 and (r.lang_pred == name or cosine - r.score < 1e-4)
+
+
+def test_language_sample_is_of_distinct_texts(spark):
+    rows = [("the same text", "xx")] * 500 + [("two", "yy"), (None, "yy"), ("no language", None)] + [(f"text {i}", "zz") for i in range(3000)]
+    got = collections.Counter((r.lang, r.text) for r in L.sample_of(spark.createDataFrame(rows, "text string, lang string").filter(
+        "lang IS NOT NULL AND text IS NOT NULL"), 40).collect())
+    assert max(got.values()) == 1
+    assert collections.Counter(lang for lang, _ in got) == {"xx": 1, "yy": 1, "zz": 40}
