@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equipoise.llm.common import ship_package, table
+from equipoise.llm.common import free_name, ship_package, table
 
 #: FIXED VALUE: the byte-level pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Merged pieces that a worker keeps at most, and the longest piece it keeps.
-CACHED, CACHED_CHARS = 1_000_000, 64
+CACHED, CACHED_CHARS = 1 << 18, 64
 
 
 def byte_symbols() -> list[str]:
@@ -161,7 +161,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
                                     "decoded": [coder.decode(i) for i in ids]})
 
     own = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
-    return docs.select(*own, code(F.coalesce(F.col(text), F.lit(""))).alias("__coded")).select(*own, "__coded.*")
+    coded = free_name(docs.columns, "coded")
+    return docs.select(*own, code(F.coalesce(F.col(text), F.lit(""))).alias(coded)).select(*own, f"{coded}.*")
 
 
 def little_endian(ids: array) -> bytes:
