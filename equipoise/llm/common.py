@@ -56,7 +56,15 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Empty the folders of tables that ``materialize`` returned and that nothing reads any more."""
+    for t in tables:
+        t.sparkSession.createDataFrame([], t.schema).coalesce(1).write.mode("overwrite").parquet(t.scratch)
 
 
 def fold(doc_id: Column, k: int) -> Column:

@@ -19,6 +19,8 @@ What is counted, and where it lives:
   that these and a map of the other entries' cells leave open are joined to the tables.
 Words and contexts are named by 64-bit hashes (two words of a billion share one with probability 0.03).
 
+Tables of one length are emptied when those of the next are written.
+
 Memory: tasks work on about ``CHUNK`` words at a time (a longer text: on its own words) and count about ``PART`` strings
 at a time; the driver and the tasks hold the frequent words, ``CACHED`` entries and maps of ``CELLS`` cells.
 
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from equipoise.llm.common import fold, materialize, ship_package, table
+from equipoise.llm.common import fold, materialize, release, ship_package, table
 from equipoise.llm.words import mix64, words_of
 
 DEPTH = 2
@@ -287,7 +289,7 @@ def grow(texts: DataFrame, model: dict) -> list[Level]:
 
     # a context occurs as often as its word does, or as the string that it is
     counts = model["words"].filter(F.col("n") >= LEAST).select("word", "n").mapInArrow(name_contexts, "context long, c long")
-    shorter = states = None
+    shorter = states = last = None
     for k in range(1, DEPTH + 1):
         rows = count_strings(texts, k, model, shorter)
         # the probability that the longest retained suffix gives the symbol
@@ -314,6 +316,11 @@ def grow(texts: DataFrame, model: dict) -> list[Level]:
             "context", "symbol", "whole", "name", "n", kept.alias("kept"),
             F.when(kept, F.log10((n - d) / c)).otherwise(F.col("parent") + F.coalesce("weight", F.lit(0.0))).alias("p")), f"placed-{k}")
         levels.append(Level(nodes, placed.filter("kept").select("name", "n", "p")))
+        release(rows, tested)
+        if last is not None:  # of the length before, the tree's own strings stay
+            levels[-2].kept = materialize(levels[-2].kept, f"kept-{k - 1}")
+            release(last)
+        last = placed
         if k < DEPTH:
             states = placed.select(F.col("context").alias("suffix"), "symbol", F.col("p").alias("parent"))
             counts = placed.filter("whole != 0").select(F.col("whole").alias("context"), F.col("n").alias("c"))
