@@ -2,8 +2,9 @@
 
 Writing.  A page becomes three records: a request, a response (or a revisit, if an earlier page has the same payload of at
 least ``LEAST_REVISIT`` bytes) and a metadata record; request and metadata name the capture in WARC-Concurrent-To.  Spark's
-text writer stores the records with CRLF as line end, gzipped, some thousand records a file: a record ends with one CRLF of
-its own and the writer's.  Payload digests are grouped with the smallest page_id before anything is joined; pages that
+text writer stores the records with CRLF as line end, gzipped: a record ends with one CRLF of its own and the writer's.  Pages
+are written by classes of payload size (``SIZES``), each with as many pages a file as make ``FILE_BYTES`` at most, so that a
+file is bounded by bytes (or holds one page) however large the pages are.  Payload digests are grouped with the smallest page_id before anything is joined; pages that
 revisit meet their decision by page_id and digest, so that payloads move only if these pages are too many to broadcast.
 Record ids are hashes of kind, page_id and digest, so a task that runs again writes the same records.
 
@@ -32,7 +33,8 @@ from equipoise.llm.common import materialize, ship_package, table
 from equipoise.session import scratch_path
 
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 9_000
+SIZES = (64 << 10, 1 << 20, 16 << 20)
+FILE_BYTES = 192 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 FEED, BATCH_BYTES = 1 << 20, 4 << 20
@@ -66,9 +68,9 @@ def _record(headers: list[tuple[str, Column | None]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1" + CRLF), *lines, F.lit("Content-Length: "), size, F.lit(CRLF + CRLF), block, F.lit(CRLF))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """(record): the WARC records of ``pages`` (page_id, url, html), three a row."""
-    again = revisits(pages).select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "first")
+def records(pages: DataFrame, again: DataFrame) -> DataFrame:
+    """(record): the WARC records of ``pages`` (page_id, url, html), three a row; ``again``: their ``revisits``."""
+    again = again.select(F.col("page_id").alias("__page"), F.col("digest").alias("__digest"), "first")
     rows = payloads(pages)
     rows = rows.join(again, rows["page_id"].eqNullSafe(again["__page"]) & (rows["digest"] == again["__digest"]), "left")
     seen = F.col("__digest").isNotNull()
@@ -98,10 +100,20 @@ def records(pages: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(asked, response, told)).alias("record"))
 
 
-def write_archives(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the records of ``pages`` as gzipped WARC files in the folder ``path``."""
-    (records(pages).write.option("lineSep", CRLF).option("compression", "gzip")
-     .option("maxRecordsPerFile", per_file).text(path))
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, sizes: tuple[int, ...] = SIZES) -> None:
+    """Write the records of ``pages`` as gzipped WARC files in the folder ``path``, one folder in it a class of sizes.
+
+    A class has the payloads up to its size of ``sizes``, so many a file that they make ``file_bytes`` at most; those beyond the
+    last size are one a file.
+    """
+    again = materialize(revisits(pages), "revisits")
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    kind = sum(((size > bound).cast("int") for bound in sizes), F.lit(0))
+    used = {row[0] for row in pages.select(kind).distinct().collect()} | {0}  # one row a class
+    for i in sorted(used):
+        per_file = max(1, file_bytes // sizes[i]) if i < len(sizes) else 1
+        (records(pages.filter(kind == i), again).write.option("lineSep", CRLF).option("compression", "gzip")
+         .option("maxRecordsPerFile", 3 * per_file).text(f"{path}/size-{i}"))
 
 
 class _Unzipped:
@@ -196,7 +208,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
     # the writer's names: this reader takes zipped files by their first bytes, not by their name
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     return files.mapInArrow(rows_of, schema)
 
 

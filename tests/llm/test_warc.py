@@ -36,6 +36,17 @@ def test_round_trip_of_odd_pages(spark, tmp_path):
     assert sorted(map(tuple, W.op1_warc(spark, str(tmp_path)).collect()), key=repr) == expected(odd_pages())
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    pages = [(i, "http://a.org/", f"{i}" + "x" * n, None, None) for i, n in enumerate([10] * 40 + [700] * 12 + [5_000] * 3 + [90_000] * 2)]
+    W.write_archives(spark.createDataFrame(pages, PAGES).coalesce(1), f"{tmp_path}/w", file_bytes=8_000, sizes=(1_000, 10_000, 50_000))
+    files = list((tmp_path / "w").rglob("part-*"))
+    blocks = [[len(b) for h, b in W.parse_archive(f.read_bytes()) if ("warc-type", "response") in h] for f in files]
+    assert all(sum(x) <= 8_000 + 120 * len(x) or len(x) == 1 for x in blocks)
+    assert {f.parent.name for f in files if f.stat().st_size} >= {"size-0", "size-1", "size-3"} and "size-2" not in {f.parent.name for f in files}
+    found = W.read_archives(spark, f"{tmp_path}/w").filter("type = 'response'").selectExpr("length(payload) AS n").collect()
+    assert sorted(r.n for r in found) == sorted(len(p[2]) for p in pages)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     assert W.op1_warc(spark, str(tmp_path)).count() == 0
