@@ -1,7 +1,9 @@
 """Exact top-k by inner product with MaxScore, in shards.
 
 A vector's terms are its dimensions, a posting of a term is a row with a weight other than 0.  Vectors are dealt into shards of
-about ``SHARD`` rows and queries into blocks of about ``QUERIES``; a task has one of each.  There, for each query:
+about ``SHARD`` rows at most (smaller ones where there would be fewer shards than cores) and queries into blocks of about
+``QUERIES``.  A task reads a shard, builds its postings once, and streams a block of queries past it; of q queries over n rows,
+q n (1 / SHARD + 1 / QUERIES) vectors are shuffled.  There, for each query:
 
 * a term's bound is the largest product of its weight in the query and any weight in its postings (0 if none is positive);
 * the best exact scores of rows that lead the strongest terms' postings give a first threshold;
@@ -11,7 +13,7 @@ about ``SHARD`` rows and queries into blocks of about ``QUERIES``; a task has on
   competitive; for these the non-essential terms are probed, strongest first, while they stay so.
 
 Every shard reports at most k rows a query, and these are merged.  Rows that equal the threshold stay competitive, so ties
-are decided by vec_id alone.  Memory: a task holds one shard and one block of queries.
+are decided by vec_id alone.  Memory: a task holds one shard and one Arrow batch of queries.
 
 Defined results: vectors that are NULL or have a NULL or non-finite component, and rows without a vec_id, take no part.  Shorter
 vectors count as filled up with 0.  Rows that repeat a vec_id are candidates each; they are one query, that of the smallest
@@ -20,6 +22,8 @@ vector, and none of them is its own candidate.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from equipoise.llm.common import materialize, ship_package, table
 
-SHARD, QUERIES, LEADERS = 16_384, 2_048, 4
+SHARD, LEAST_SHARD, QUERIES, LEADERS = 32_768, 4_096, 32_768, 4
 
 
 def weights(vector: Column, scale: int = 1024) -> Column:
@@ -40,14 +44,23 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite
 
 
-def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = [x.values.to_numpy() for x in column]
-    out = np.zeros((len(rows), width), np.int64)
-    for row, values in zip(out, rows):
-        row[:len(values)] = values
+def matrix(column: pa.Array) -> np.ndarray:
+    """The rows of a column of lists, filled up with 0 to the longest."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), sizes.max(initial=0)), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy()
     return out
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` with one shard and block, queries apart from rows."""
+    keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("shard", "block", "query")])
+    edges = np.flatnonzero((np.diff(keys, axis=1) != 0).any(axis=0)) + 1
+    for start, end in zip([0, *edges], [*edges, batch.num_rows]):
+        if end > start:
+            yield batch.slice(start, end - start)
+
+
 class Shard:
     """Postings of one shard's rows, by term."""
 
@@ -58,6 +71,18 @@ class Shard:
         self.high = np.array([max(0, w.max()) if len(w) else 0 for w in self.weights], np.int64)
         self.low = np.array([min(0, w.min()) if len(w) else 0 for w in self.weights], np.int64)
 
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, np.ndarray]]) -> Shard:
+        """The shard of the rows of ``parts`` (ids, weights)."""
+        width = max((x.shape[1] for _, x in parts), default=0)
+        rows = [np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in parts]
+        return cls(np.concatenate([i for i, _ in parts] or [np.zeros(0, np.int64)]), np.concatenate(rows or [np.zeros((0, width), np.int64)]))
+
+    def fitted(self, query: np.ndarray) -> np.ndarray:
+        """``query`` over the shard's terms: others have no postings, missing ones weigh 0."""
+        width = self.rows.shape[1]
+        return np.pad(query[:width], (0, max(0, width - len(query))))
+
     def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and scores of the k best rows but the query's own, best first."""
         bound = np.maximum(query * self.high, query * self.low)
@@ -110,7 +135,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
     # the deal is written, so that a task that runs again finds the same shards
     dealt = materialize(vectors.withColumn("deal", F.xxhash64("vec_id", F.monotonically_increasing_id())), "vectors")
     asked = materialize(queries.groupBy("vec_id").agg(F.min("weights").alias("weights")), "queries")
-    shards = max(1, -(-dealt.count() // shard_rows))
+    n, cores = dealt.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // shard_rows), min(cores, -(-n // LEAST_SHARD)))
     blocks = max(1, -(-asked.count() // query_rows))
     rows = dealt.select(F.pmod("deal", F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
                         F.lit(False).alias("query"), "vec_id", "weights")
@@ -118,18 +144,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHAR
                           F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"),
                           F.lit(True).alias("query"), "vec_id", "weights")
 
-    def search(group: pa.Table) -> pa.Table:
-        is_query = group.column("query").to_numpy()
-        width = max((len(x) for x in group.column("weights")), default=0)
-        ids, all_rows = group.column("vec_id").to_numpy(), matrix(group.column("weights"), width)
-        shard = Shard(ids[~is_query], all_rows[~is_query])
-        out = [(ids[q], *shard.top(ids[q], all_rows[q], k)) for q in np.flatnonzero(is_query)]
-        return pa.table({
-            "query_id": np.repeat([q for q, _, _ in out], [len(r) for _, r, _ in out]).astype(np.int64),
-            "vec_id": np.concatenate([shard.ids[r] for _, r, _ in out] or [np.zeros(0, np.int64)]),
-            "score": np.concatenate([s for _, _, s in out] or [np.zeros(0, np.int64)])})
-
-    found = rows.unionByName(wanted).groupBy("shard", "block").applyInArrow(search, "query_id long, vec_id long, score long")
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a shard's rows come before the queries for it
+        key, held, shard = None, [], None
+        for batch in batches:
+            for group in _runs(batch):
+                own = (group.column("shard")[0].as_py(), group.column("block")[0].as_py())
+                if own != key:
+                    key, held, shard = own, [], None
+                if not group.column("query")[0].as_py():
+                    held.append((group.column("vec_id").to_numpy(), matrix(group.column("weights"))))
+                    continue
+                if shard is None:
+                    shard, held = Shard.of(held), []
+                ids, queries = group.column("vec_id").to_numpy(), matrix(group.column("weights"))
+                out = [(q, *shard.top(q, shard.fitted(query), k)) for q, query in zip(ids, queries)]
+                yield pa.record_batch({
+                    "query_id": np.repeat(ids, [len(r) for _, r, _ in out]).astype(np.int64),
+                    "vec_id": np.concatenate([shard.ids[r] for _, r, _ in out]).astype(np.int64),
+                    "score": np.concatenate([x for _, _, x in out]).astype(np.int64)})
+
+    placed = rows.unionByName(wanted).repartition(shards * blocks, "shard", "block").sortWithinPartitions("shard", "block", "query")
+    found = placed.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows a shard
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
