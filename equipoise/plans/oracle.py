@@ -6,8 +6,8 @@ engine itself avoids; the other oracles restate each operator's definition.
 
 from __future__ import annotations
 
-from equipoise.plans.survey_config import LABEL_MAPS, SPEC_GRID, TARGET_VARIABLES
-from equipoise.plans.survey_oracle import LABELLED, NUMERIC, analysis_ctes, preprocess_sql
+from equipoise.plans.survey_config import TARGET_VARIABLES
+from equipoise.plans.survey_oracle import LABELLED, LABELS, NUMERIC, SETTINGS, analysis_ctes, preprocess_sql
 
 FIXTURES = """
 o_agg AS (
@@ -258,7 +258,7 @@ def spec_rows_sql():
     covs = ["acctbal", "n_orders", "dose"]
     for spec in ("ps", "ps_tied"):
         ctes.append(auc_sql("scored", spec, name=f"auc_{spec}"))
-        for i, (cal, ratio) in enumerate(SPEC_GRID):
+        for i, (cal, ratio) in enumerate(SETTINGS):
             tag = f"{spec}_{i}"
             ctes.append(pairs_cte(f"p_{tag}", spec, cal, ratio))
             ctes.append(sides_cte(f"sd_{tag}", f"p_{tag}"))
@@ -363,7 +363,7 @@ def _spec_balance_sql(specs=None, src="scored"):
     """Per covariate balance of two specifications: name -> (score, confounders)."""
     ctes, selects = [], []
     for spec, (score, covs) in (specs or {"ps": ("ps", ["acctbal", "n_orders", "dose"]), "ps_tied": ("ps_tied", ["acctbal", "dose"])}).items():
-        for i, (cal, ratio) in enumerate(SPEC_GRID):
+        for i, (cal, ratio) in enumerate(SETTINGS):
             tag = f"{spec}_{i}"
             ctes += [pairs_cte(f"p_{tag}", score, cal, ratio, src), sides_cte(f"sd_{tag}", f"p_{tag}", src), balance_cte(f"bal_{tag}", f"sd_{tag}", covs)]
             selects.append(f"SELECT '{spec}' AS spec_name, {D(cal)} AS caliper, {ratio} AS ratio, variable, round(treated_mean, 6) AS treated_mean, "
@@ -438,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
     S["outcome_flag"] = q("", f"SELECT id, CASE WHEN ({day_scale('days30')}) <= 0.5 THEN 1 ELSE 0 END AS outcome_flag "
                               f"FROM coded")
     S["recode_scores"] = q(coded_recoded_cte(), "SELECT id, yesno_score, scale5_score FROM cr")
-    S["recode_labels"] = q("", f"SELECT id, {recode('scale5', LABEL_MAPS['MARITAL'])} AS scale5_label FROM coded")
+    S["recode_labels"] = q("", f"SELECT id, {recode('scale5', LABELS['MARITAL'])} AS scale5_label FROM coded")
     vals = ", ".join(f"({k}, {D(v)})" for k, v in SCALE5.items() if v is not None)
     S["recode_lookup"] = q("", f"SELECT c.id, c.scale5, lk.scale5_value FROM coded c LEFT JOIN "
                                f"(VALUES {vals}) AS lk(scale5, scale5_value) ON c.scale5 = lk.scale5")

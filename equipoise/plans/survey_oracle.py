@@ -30,11 +30,10 @@ def survey_cte(columns: list[str]) -> str:
     return f"survey AS (SELECT {parts} FROM orders)"
 
 
-def _case(col: str, text: str, kind=str) -> str:
-    """CASE from 'code=value;...'."""
-    pairs = [p.split("=", 1) for p in text.split(";")]
+def _case(col: str, values: dict, kind=str) -> str:
+    """CASE from {code: value}."""
     value = (lambda v: f"'{v}'") if kind is str else (lambda v: f"CAST({v} AS DOUBLE)")
-    return f"CASE \"{col}\" " + " ".join(f"WHEN {a} THEN {value(b)}" for a, b in pairs) + " END"
+    return f"CASE \"{col}\" " + " ".join(f"WHEN {code} THEN {value(v)}" for code, v in values.items()) + " END"
 
 
 def _mean(parts: list[str], weights: list[float] | None = None) -> str:
@@ -45,30 +44,64 @@ def _mean(parts: list[str], weights: list[float] | None = None) -> str:
 
 
 # FIXED VALUES: the survey's codes, restated for the SQL
-YES_NO = "1=Yes;2=No"
 LABELS = {
-    "SEXVAR": "1=Male;2=Female", "ADDEPEV3": YES_NO, "VETERAN3": YES_NO, "PREGNANT": YES_NO, "RENTHOM1": "1=Own;2=Rent;3=Other",
-    "MARITAL": "1=Married;2=Divorced;3=Widowed;4=Separated;5=Never married;6=A member of an unmarried couple",
-    "EDUCA": "1=Never attended school or only kindergarten;2=Elementary;3=Some high school;4=High school graduate;"
-             "5=Some college/tech school;6=College graduate",
-    "EMPLOY1": "1=Employed for wages;2=Self-employed;3=Out of work ≥1 year;4=Out of work <1 year;5=Homemaker;6=Student;"
-               "7=Retired;8=Unable to work",
-    "INCOME3": "1=<$10k;2=$10k–15k;3=$15k–20k;4=$20k–25k;5=$25k–35k;6=$35k–50k;7=$50k–75k;8=$75k–100k;9=$100k–150k;"
-               "10=$150k–200k;11=$200k+"}
-ACTIVITY = ("1=walking;2=running_jogging;3=gardening;4=bicycling;5=aerobics_class;6=calisthenics;7=elliptical;"
-            "8=household_activities;9=weight_lifting;10=yoga_pilates_tai_chi;11=other;88=no_other_activity")
-ACE = {**{c: "1=1;2=0" for c in ("ACEDEPRS", "ACEDRINK", "ACEDRUGS", "ACEPRISN", "ACEDIVRC")},
-       **{c: "1=0;2=1;3=1" for c in ("ACEPUNCH", "ACEHURT1", "ACESWEAR", "ACETOUCH", "ACETTHEM", "ACEHVSEX")},
-       **{c: "1=0;2=0;3=0;4=1;5=1" for c in ("ACEADSAF", "ACEADNED")}}
-SMOKING = {"SMOKE100": "1=1;2=0;7=0;9=0", "SMOKDAY2": "1=1;2=0.5;3=0;7=0;9=0", "ECIGNOW2": "2=1;3=0.5;4=0;1=0;7=0;9=0"}
-UP, DOWN = "1=0;2=0.25;3=0.5;4=0.75;5=1", "1=1;2=0.75;3=0.5;4=0.25;5=0"
-ACCESS = {"PRIMINS1": "1=0.8;2=0.7;3=0.6;4=0.5;5=0.4;6=0.4;7=0.6;8=0.5;9=0.5;10=0.4;88=0.0", "PERSDOC3": "1=1;2=1;3=0",
-          "MEDCOST1": "1=0;2=1", "CHECKUP1": "1=1;2=0.8;3=0.5;4=0.2;8=0"}
-SOCIAL = {"FINANCIAL_INSECURITY": [("SDHBILLS", "1=1;2=0", 0.4), ("SDHUTILS", "1=1;2=0", 0.3), ("SDHTRNSP", "1=1;2=0", 0.3)],
-          "FOOD_INSECURITY": [("FOODSTMP", "1=1;2=0", 0.5), ("SDHFOOD1", DOWN, 0.5)],
-          "EMOTIONAL_DISTRESS": [("LSATISFY", "1=0;2=0.33;3=0.67;4=1", 0.25), ("EMTSUPRT", UP, 0.25), ("SDLONELY", DOWN, 0.25),
-                                 ("SDHSTRE1", DOWN, 0.25)],
-          "FACING_UNEMPLOYMENT": [("SDHEMPLY", "1=1;2=0", 1.0)]}
+    "SEXVAR": {1: "Male", 2: "Female"},
+    "ADDEPEV3": {1: "Yes", 2: "No"},
+    "VETERAN3": {1: "Yes", 2: "No"},
+    "PREGNANT": {1: "Yes", 2: "No"},
+    "RENTHOM1": {1: "Own", 2: "Rent", 3: "Other"},
+    "MARITAL": {1: "Married", 2: "Divorced", 3: "Widowed", 4: "Separated", 5: "Never married",
+                6: "A member of an unmarried couple"},
+    "EDUCA": {1: "Never attended school or only kindergarten", 2: "Elementary", 3: "Some high school",
+              4: "High school graduate", 5: "Some college/tech school", 6: "College graduate"},
+    "EMPLOY1": {1: "Employed for wages", 2: "Self-employed", 3: "Out of work ≥1 year", 4: "Out of work <1 year",
+                5: "Homemaker", 6: "Student", 7: "Retired", 8: "Unable to work"},
+    "INCOME3": {1: "<$10k", 2: "$10k–15k", 3: "$15k–20k", 4: "$20k–25k", 5: "$25k–35k", 6: "$35k–50k", 7: "$50k–75k",
+                8: "$75k–100k", 9: "$100k–150k", 10: "$150k–200k", 11: "$200k+"},
+}
+METRO = {1: "Metropolitan", 2: "Nonmetropolitan"}
+URBAN = {1: "Urban", 2: "Rural"}
+ACTIVITY = {1: "walking", 2: "running_jogging", 3: "gardening", 4: "bicycling", 5: "aerobics_class", 6: "calisthenics",
+            7: "elliptical", 8: "household_activities", 9: "weight_lifting", 10: "yoga_pilates_tai_chi", 11: "other",
+            88: "no_other_activity"}
+ACE = {
+    "ACEDEPRS": {1: 1, 2: 0},
+    "ACEDRINK": {1: 1, 2: 0},
+    "ACEDRUGS": {1: 1, 2: 0},
+    "ACEPRISN": {1: 1, 2: 0},
+    "ACEDIVRC": {1: 1, 2: 0},
+    "ACEPUNCH": {1: 0, 2: 1, 3: 1},
+    "ACEHURT1": {1: 0, 2: 1, 3: 1},
+    "ACESWEAR": {1: 0, 2: 1, 3: 1},
+    "ACETOUCH": {1: 0, 2: 1, 3: 1},
+    "ACETTHEM": {1: 0, 2: 1, 3: 1},
+    "ACEHVSEX": {1: 0, 2: 1, 3: 1},
+    "ACEADSAF": {1: 0, 2: 0, 3: 0, 4: 1, 5: 1},
+    "ACEADNED": {1: 0, 2: 0, 3: 0, 4: 1, 5: 1},
+}
+SMOKING = {
+    "SMOKE100": {1: 1, 2: 0, 7: 0, 9: 0},
+    "SMOKDAY2": {1: 1, 2: 0.5, 3: 0, 7: 0, 9: 0},
+    "ECIGNOW2": {2: 1, 3: 0.5, 4: 0, 1: 0, 7: 0, 9: 0},
+}
+ACCESS = {
+    "PRIMINS1": {1: 0.8, 2: 0.7, 3: 0.6, 4: 0.5, 5: 0.4, 6: 0.4, 7: 0.6, 8: 0.5, 9: 0.5, 10: 0.4, 88: 0.0},
+    "PERSDOC3": {1: 1, 2: 1, 3: 0},
+    "MEDCOST1": {1: 0, 2: 1},
+    "CHECKUP1": {1: 1, 2: 0.8, 3: 0.5, 4: 0.2, 8: 0},
+}
+SOCIAL = {
+    "FINANCIAL_INSECURITY": [("SDHBILLS", {1: 1, 2: 0}, 0.4), ("SDHUTILS", {1: 1, 2: 0}, 0.3), ("SDHTRNSP", {1: 1, 2: 0}, 0.3)],
+    "FOOD_INSECURITY": [("FOODSTMP", {1: 1, 2: 0}, 0.5), ("SDHFOOD1", {1: 1, 2: 0.75, 3: 0.5, 4: 0.25, 5: 0}, 0.5)],
+    "EMOTIONAL_DISTRESS": [
+        ("LSATISFY", {1: 0, 2: 0.33, 3: 0.67, 4: 1}, 0.25),
+        ("EMTSUPRT", {1: 0, 2: 0.25, 3: 0.5, 4: 0.75, 5: 1}, 0.25),
+        ("SDLONELY", {1: 1, 2: 0.75, 3: 0.5, 4: 0.25, 5: 0}, 0.25),
+        ("SDHSTRE1", {1: 1, 2: 0.75, 3: 0.5, 4: 0.25, 5: 0}, 0.25)],
+    "FACING_UNEMPLOYMENT": [("SDHEMPLY", {1: 1, 2: 0}, 1.0)],
+}
+#: calipers and ratios of the specification test, in its order
+SETTINGS = [(0.05, 1), (0.1, 1), (0.1, 2), (0.15, 1)]
 # ---- end of fixed values
 
 
@@ -91,7 +124,7 @@ def preprocess_sql(columns: list[str]) -> tuple[str, str]:
     new["ACE_TOTAL"] = " + ".join(f"coalesce({_case(c, m, float)}, 0)" for c, m in ACE.items())
     new["ALCOHOL_SEVERITY"] = _mean(alcohol)
     new |= {"DISABILITY_INDEX": f"({disabled})", "DISABILITY_INDEX_NORMALIZED": f"({disabled}) / 6::DOUBLE"}
-    new |= {"METRO_AREA": _case("_METSTAT", "1=Metropolitan;2=Nonmetropolitan"), "URBAN_RURAL_AREA": _case("_URBSTAT", "1=Urban;2=Rural")}
+    new |= {"METRO_AREA": _case("_METSTAT", METRO), "URBAN_RURAL_AREA": _case("_URBSTAT", URBAN)}
     new["SMOKING_INDEX"] = _mean([_case(c, m, float) for c, m in SMOKING.items()])
     new["MARIJUANA_INDEX_NORMALIZED"] = "CASE WHEN MARIJAN1 BETWEEN 1 AND 30 THEN MARIJAN1 ELSE 0 END / 30::DOUBLE"
     new["SEXUAL_ORIENTATION_SCORE"] = "CASE coalesce(SOMALE, SOFEMALE) WHEN 1 THEN 1::DOUBLE WHEN 3 THEN 0.5::DOUBLE ELSE 0::DOUBLE END"
