@@ -41,6 +41,7 @@ from equipoise.llm.cells import cell_totals
 from equipoise.llm.common import WORD, free_names, materialize, ship_package, table
 from equipoise.llm.components import components
 from equipoise.llm.words import mix64, words_of
+from equipoise.operators.joins import hot_key_join, hot_keys_from_counts
 from equipoise.operators.ranking import cumulative_sum
 from equipoise.session import join_small
 
@@ -51,6 +52,9 @@ CELLS = 1 << 22
 BUCKET, BLOCK, CONTENT, STEP = 32, 512, 1 << 19, 2 << 20
 #: Tables of ids (at most 40 bytes a row) are broadcast if they are counted and have at most so many rows; else both sides are shuffled.
 SMALL = 500_000
+#: Shingles in a share of all rows of the index, and in so many, are hot: at most 1 / HOT of them.  Before the index is counted
+#: one set of ``SAMPLED`` tells which they may be; what is hot changes where rows are joined, never the result.
+HOT, HOT_ROWS, SAMPLED = 0.01, 1_000, 16
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1) for i in range(64)]
 
@@ -140,7 +144,14 @@ def shared_prefixes(documents: DataFrame) -> DataFrame:
         own = own.join(repeated, "set", "left_anti").unionByName(own.join(repeated, "set", "left_semi").dropDuplicates(["set"]))
     entries = own.select(F.posexplode("prefix").alias("pos", "shingle"), "set", "n").select(
         "shingle", "set", (F.col("pos").cast("long") * (1 << 40) + F.col("n")).alias("place"))
-    counted = entries.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("sets > 1")
+    sample = entries.filter(F.pmod(F.xxhash64("set"), F.lit(SAMPLED)) == 0).groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    hot = [key for key, in hot_keys_from_counts(materialize(sample.filter("sets > 1"), "sampled"), ["shingle"], "sets", HOT, HOT_ROWS // SAMPLED)]
+    is_hot = F.col("shingle").isin(hot)
+    counted = entries.filter(~is_hot).withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("sets > 1")
+    if hot:  # few keys: a count for each
+        apart = entries.filter(is_hot)
+        sets = apart.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
+        counted = counted.unionByName(apart.join(F.broadcast(sets), "shingle"))
     return materialize(counted.select(
         "shingle", "set", (F.col("place") % (1 << 40)).alias("n"), F.shiftright("place", 40).alias("pos"), "sets"), "index")
 
@@ -150,7 +161,9 @@ def candidates(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     common = index.groupBy("set").agg(F.sum((F.col("sets") > BUCKET).cast("long")).alias("common"))
     index = materialize(index.join(common, "set"), "index-common")
     a = index.select("shingle", "sets", *[F.col(c).alias(f"{c}_a") for c in ("set", "n", "pos", "common")])
-    b = index.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "pos", "common")])
+    b = index.select("shingle", "sets", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "pos", "common")])
+    rows = index.count()
+    hot = [(key,) for key, in index.filter(F.col("sets") > max(HOT * rows, HOT_ROWS)).select("shingle").distinct().collect()]
     n_a, n_b = F.col("n_a"), F.col("n_b")
     need = at_least(n_a, n_b, percent)
     beyond = F.greatest(beyond_prefix(n_a, percent), beyond_prefix(n_b, percent))
@@ -159,20 +172,20 @@ def candidates(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     in_common = F.least("common_a", "common_b")
     pair = ["set_a", "set_b", "n_a", "n_b"]
 
-    few = a.filter(F.col("sets") <= BUCKET).join(b, "shingle").filter((F.col("set_a") < F.col("set_b")) & length & position)
+    few = a.filter(F.col("sets") <= BUCKET).join(b.drop("sets"), "shingle").filter((F.col("set_a") < F.col("set_b")) & length & position)
     few = few.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.first(in_common).alias("in_common"))
     few = few.filter(F.col("shared") + F.col("in_common") + beyond >= need)
 
     many_a, strong = a.filter(F.col("sets") > BUCKET), F.col("common_b") * 20 >= n_b
     # sets with few common shingles meet others by these alone only where the sizes ask for little overlap in the prefixes
-    weak = many_a.join(b.filter(~strong), "shingle").filter(
+    weak = hot_key_join(many_a, b.filter((F.col("sets") > BUCKET) & ~strong).drop("sets"), ["shingle"], hot=hot).filter(
         ((F.col("common_a") * 20 >= n_a) | (F.col("set_a") < F.col("set_b"))) & (F.col("set_a") != F.col("set_b"))
         & length & position & (in_common + beyond >= need))
     # sets with many are paired with one of each shingle's sets; the others are compared in blocks
-    many_b = b.join(index.filter(F.col("sets") > BUCKET).select("shingle").distinct(), "shingle", "left_semi").filter(strong)
+    many_b = b.filter((F.col("sets") > BUCKET) & strong).drop("sets")
     centres = many_b.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("set_b").alias("h"), "set_b", "n_b")).alias("c"))
     centre = centres.select("shingle", F.col("c.set_b").alias("set_a"), F.col("c.n_b").alias("n_a"))
-    stars = materialize(many_b.join(centre, "shingle").select("shingle", "set_a", "set_b", "n_a", "n_b"), "stars")
+    stars = materialize(hot_key_join(many_b, centre, ["shingle"], hot=hot).select("shingle", "set_a", "set_b", "n_a", "n_b"), "stars")
     whole = []
     for part in (weak, stars.filter((F.col("set_a") != F.col("set_b")) & length)):
         turn = F.col("set_a") > F.col("set_b")

@@ -41,8 +41,10 @@ def near_group(n, seed, length=60, edits=4):
     return out
 
 
-@pytest.mark.parametrize("bucket, block", [(J.BUCKET, J.BLOCK), (2, 8), (5, 4)])
-def test_components_match_brute_force(spark, monkeypatch, bucket, block):
+@pytest.mark.parametrize("bucket, block, hot", [(J.BUCKET, J.BLOCK, J.HOT_ROWS), (2, 8, 10), (5, 4, J.HOT_ROWS)])
+def test_components_match_brute_force(spark, monkeypatch, bucket, block, hot):
+    monkeypatch.setattr(J, "SAMPLED", J.SAMPLED if hot == J.HOT_ROWS else 1)
+    monkeypatch.setattr(J, "HOT_ROWS", hot)
     monkeypatch.setattr(J, "BUCKET", bucket)
     monkeypatch.setattr(J, "BLOCK", block)
     rng = random.Random(7)
