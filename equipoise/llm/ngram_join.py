@@ -6,7 +6,8 @@
    The order is the same for every document, which is what correctness needs; that it is by frequency keeps common
    passages out of the prefixes.
 3. Prefixes.  Two sets of similarity t share one of their first n - ceil(t n) + 1 shingles in that order.  Prefix
-   shingles that two sets have make the index (shingle, set, position, size).
+   shingles that two sets have make the index (shingle, set, position, size).  Hot shingles, of which there are ``HOT`` at
+   most, are counted by tasks first and joined by broadcast or salted, so that none of them is one task's rows.
 4. Candidates.  Shingles in at most ``BUCKET`` sets pair their sets, if the length filter and the positional filter
    let them.  Per pair the shared prefix shingles are counted: what the two can share beyond their prefixes bounds
    the overlap (suffix filter), and pairs below the required overlap go.  Shingles in more sets, as those of a large
@@ -41,6 +42,7 @@ from equipoise.llm.cells import cell_totals
 from equipoise.llm.common import WORD, free_names, materialize, ship_package, table
 from equipoise.llm.components import components
 from equipoise.llm.words import mix64, words_of
+from equipoise.operators.joins import hot_key_join
 from equipoise.operators.ranking import cumulative_sum
 from equipoise.session import join_small
 
@@ -51,6 +53,9 @@ CELLS = 1 << 22
 BUCKET, BLOCK, CONTENT, STEP = 32, 512, 1 << 19, 2 << 20
 #: Tables of ids (at most 40 bytes a row) are broadcast if they are counted and have at most so many rows; else both sides are shuffled.
 SMALL = 500_000
+#: Shingles that one set of SAMPLED tells to be the most frequent of the index, at most HOT of them, of some HOT_ROWS sets or more:
+#: they are counted and joined apart, spread over all tasks.  What is hot changes where rows are joined, never the result.
+HOT, HOT_ROWS, SAMPLED = 100, 1_000, 16
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1) for i in range(64)]
 
@@ -125,8 +130,8 @@ def with_prefixes(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     return materialize(texts.mapInArrow(prefixes, "doc_id long, n long, set long, prefix array<long>"), "prefixes")
 
 
-def shared_prefixes(documents: DataFrame) -> DataFrame:
-    """The index: (shingle, set, n, pos, sets) of the prefix shingles that several sets have."""
+def shared_prefixes(documents: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(the index: shingle, set, n, pos, sets of the prefix shingles that several sets have; its hot shingles)."""
     named = documents.filter("doc_id IS NOT NULL AND n > 0")
     # a set's prefix is taken from the row of its smallest doc_id
     owner = named.groupBy("set", "n").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("rows"))
@@ -140,17 +145,25 @@ def shared_prefixes(documents: DataFrame) -> DataFrame:
         own = own.join(repeated, "set", "left_anti").unionByName(own.join(repeated, "set", "left_semi").dropDuplicates(["set"]))
     entries = own.select(F.posexplode("prefix").alias("pos", "shingle"), "set", "n").select(
         "shingle", "set", (F.col("pos").cast("long") * (1 << 40) + F.col("n")).alias("place"))
-    counted = entries.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("sets > 1")
-    return materialize(counted.select(
-        "shingle", "set", (F.col("place") % (1 << 40)).alias("n"), F.shiftright("place", 40).alias("pos"), "sets"), "index")
-
-
-def candidates(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    sample = entries.filter(F.pmod(F.xxhash64("set"), F.lit(SAMPLED)) == 0).groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    sample = sample.filter(F.col("sets") >= HOT_ROWS // SAMPLED).orderBy(F.desc("sets"), "shingle").limit(HOT)
+    hot = [row["shingle"] for row in sample.collect()]
+    is_hot = F.col("shingle").isin(hot)
+    counted = entries.filter(~is_hot).withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
+    if hot:  # a count for each is broadcast, and their rows stay where they are
+        apart = entries.filter(is_hot)
+        counted = counted.unionByName(apart.join(F.broadcast(apart.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))), "shingle"))
+    return materialize(counted.filter("sets > 1").select(
+        "shingle", "set", (F.col("place") % (1 << 40)).alias("n"), F.shiftright("place", 40).alias("pos"), "sets"), "index"), hot
+
+
+def candidates(index: DataFrame, hot: list[int], percent: int) -> tuple[DataFrame, DataFrame]:
     """(candidate pairs: a, b, n_a, n_b, shared; sets with many common shingles and the groups they may link in: set, n, near)."""
     common = index.groupBy("set").agg(F.sum((F.col("sets") > BUCKET).cast("long")).alias("common"))
     index = materialize(index.join(common, "set"), "index-common")
     a = index.select("shingle", "sets", *[F.col(c).alias(f"{c}_a") for c in ("set", "n", "pos", "common")])
-    b = index.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "pos", "common")])
+    b = index.select("shingle", "sets", *[F.col(c).alias(f"{c}_b") for c in ("set", "n", "pos", "common")])
+    many, is_hot = F.col("sets") > BUCKET, F.col("shingle").isin(hot)
     n_a, n_b = F.col("n_a"), F.col("n_b")
     need = at_least(n_a, n_b, percent)
     beyond = F.greatest(beyond_prefix(n_a, percent), beyond_prefix(n_b, percent))
@@ -159,20 +172,23 @@ def candidates(index: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     in_common = F.least("common_a", "common_b")
     pair = ["set_a", "set_b", "n_a", "n_b"]
 
-    few = a.filter(F.col("sets") <= BUCKET).join(b, "shingle").filter((F.col("set_a") < F.col("set_b")) & length & position)
+    few = a.filter(~many).join(b.filter(~many).drop("sets"), "shingle").filter((F.col("set_a") < F.col("set_b")) & length & position)
     few = few.groupBy(*pair).agg(F.count(F.lit(1)).alias("shared"), F.first(in_common).alias("in_common"))
     few = few.filter(F.col("shared") + F.col("in_common") + beyond >= need)
 
-    many_a, strong = a.filter(F.col("sets") > BUCKET), F.col("common_b") * 20 >= n_b
+    many_a, many_b, strong = a.filter(many), b.filter(many).drop("sets"), F.col("common_b") * 20 >= n_b
     # sets with few common shingles meet others by these alone only where the sizes ask for little overlap in the prefixes
-    weak = many_a.join(b.filter(~strong), "shingle").filter(
+    weak = hot_key_join(many_a, many_b.filter(~strong), ["shingle"], hot=[(x,) for x in hot]).filter(
         ((F.col("common_a") * 20 >= n_a) | (F.col("set_a") < F.col("set_b"))) & (F.col("set_a") != F.col("set_b"))
         & length & position & (in_common + beyond >= need))
     # sets with many are paired with one of each shingle's sets; the others are compared in blocks
-    many_b = b.join(index.filter(F.col("sets") > BUCKET).select("shingle").distinct(), "shingle", "left_semi").filter(strong)
+    many_b = many_b.filter(strong)
     centres = many_b.groupBy("shingle").agg(F.min(F.struct(F.xxhash64("set_b").alias("h"), "set_b", "n_b")).alias("c"))
     centre = centres.select("shingle", F.col("c.set_b").alias("set_a"), F.col("c.n_b").alias("n_a"))
-    stars = materialize(many_b.join(centre, "shingle").select("shingle", "set_a", "set_b", "n_a", "n_b"), "stars")
+    centred = many_b.filter(~is_hot).join(centre.filter(~is_hot), "shingle")
+    if hot:  # a centre for each
+        centred = centred.unionByName(many_b.filter(is_hot).join(F.broadcast(centre.filter(is_hot)), "shingle"))
+    stars = materialize(centred.select("shingle", "set_a", "set_b", "n_a", "n_b"), "stars")
     whole = []
     for part in (weak, stars.filter((F.col("set_a") != F.col("set_b")) & length)):
         turn = F.col("set_a") > F.col("set_b")
@@ -283,7 +299,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
     ship_package(docs.sparkSession)
     documents = with_prefixes(docs, percent, words)
-    pairs, groups = candidates(shared_prefixes(documents), percent)
+    pairs, groups = candidates(*shared_prefixes(documents), percent)
     wanted = pairs.select(F.explode(F.array("set_a", "set_b")).alias("set")).unionByName(groups.select("set")).distinct()
     sets = sets_of(docs, documents, wanted, words)
     # each set's best candidate first: most links of a group follow from these
@@ -294,11 +310,10 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, words: int = WOR
     comps = components(links)
     rest = of_component(of_component(pairs.join(best.select("set_a", "set_b"), ["set_a", "set_b"], "left_anti"),
                                      comps, "set_a", "comp_a"), comps, "set_b", "comp_b").filter("comp_a != comp_b")
-    links = links.unionByName(verified(rest, sets, percent))
-    comps = materialize(components(links), "components")
+    comps = materialize(components(verified(rest, sets, percent), comps), "components")
     more = block_links(groups, comps, sets, percent)
     if not more.isEmpty():
-        comps = materialize(components(links.unionByName(more)), "components")
+        comps = materialize(components(more, comps), "components")
     # documents of a component, of one set, or with one doc_id belong together
     placed = of_component(documents.filter("doc_id IS NOT NULL").select("doc_id", "n", "set"), comps, "set", "comp")
     placed = placed.withColumn("comp", F.when(F.col("n") > 0, F.col("comp")))

@@ -41,8 +41,10 @@ def near_group(n, seed, length=60, edits=4):
     return out
 
 
-@pytest.mark.parametrize("bucket, block", [(J.BUCKET, J.BLOCK), (2, 8), (5, 4)])
-def test_components_match_brute_force(spark, monkeypatch, bucket, block):
+@pytest.mark.parametrize("bucket, block, hot, sampled", [(J.BUCKET, J.BLOCK, J.HOT_ROWS, J.SAMPLED), (2, 8, 10, 1), (5, 4, 20, 2)])
+def test_components_match_brute_force(spark, monkeypatch, bucket, block, hot, sampled):
+    monkeypatch.setattr(J, "HOT_ROWS", hot)
+    monkeypatch.setattr(J, "SAMPLED", sampled)
     monkeypatch.setattr(J, "BUCKET", bucket)
     monkeypatch.setattr(J, "BLOCK", block)
     rng = random.Random(7)
@@ -86,6 +88,14 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_go_on_from_known_ones(spark):
+    known = components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"))
+    got = components(spark.createDataFrame([(8, 3), (20, 21)], "a long, b long"), known)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (20, 20), (21, 20)]
+    again = components(spark.createDataFrame([], "a long, b long"), known)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, known.collect()))
+
+
 def test_repeated_ids_are_one_document(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "k l m n o p"), (3, "k l m n o p"), (4, "other words")]
     got = J.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
