@@ -55,7 +55,7 @@ BUCKET, BLOCK, CONTENT, STEP = 32, 512, 1 << 19, 2 << 20
 SMALL = 500_000
 #: Shingles that one set of SAMPLED tells to be the most frequent of the index, at most HOT of them, of some HOT_ROWS sets or more:
 #: they are counted and joined apart, spread over all tasks.  What is hot changes where rows are joined, never the result.
-HOT, HOT_ROWS, SAMPLED = 100, 1_000, 16
+HOT, HOT_ROWS, SAMPLED, SALTS = 100, 1_000, 16, 64
 
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 3)) % (1 << 64) | 1) for i in range(64)]
 
@@ -134,9 +134,9 @@ def shared_prefixes(documents: DataFrame) -> tuple[DataFrame, list[int]]:
     """(the index: shingle, set, n, pos, sets of the prefix shingles that several sets have; its hot shingles)."""
     named = documents.filter("doc_id IS NOT NULL AND n > 0")
     # a set's prefix is taken from the row of its smallest doc_id
-    owner = named.groupBy("set", "n").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("rows"))
-    others = materialize(named.select("set", "n", "doc_id").join(owner.filter("rows > 1"), ["set", "n"])
-                         .filter("doc_id != owner").select("set", "doc_id").distinct(), "copies")
+    owner = named.groupBy("set").agg(F.min("doc_id").alias("doc_id"))
+    # by both, so that a set of very many copies is not one key
+    others = materialize(named.select("set", "doc_id").join(owner, ["set", "doc_id"], "left_anti").distinct(), "copies")
     own = named.join(others, ["set", "doc_id"], "left_anti").select("set", "n", "prefix")
     # rows that repeat a document and its text
     repeated = materialize(named.groupBy("set", "doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
@@ -145,14 +145,17 @@ def shared_prefixes(documents: DataFrame) -> tuple[DataFrame, list[int]]:
         own = own.join(repeated, "set", "left_anti").unionByName(own.join(repeated, "set", "left_semi").dropDuplicates(["set"]))
     entries = own.select(F.posexplode("prefix").alias("pos", "shingle"), "set", "n").select(
         "shingle", "set", (F.col("pos").cast("long") * (1 << 40) + F.col("n")).alias("place"))
-    sample = entries.filter(F.pmod(F.xxhash64("set"), F.lit(SAMPLED)) == 0).groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
-    sample = sample.filter(F.col("sets") >= HOT_ROWS // SAMPLED).orderBy(F.desc("sets"), "shingle").limit(HOT)
+    sample = own.filter(F.pmod(F.xxhash64("set"), F.lit(SAMPLED)) == 0).select(F.explode("prefix").alias("shingle"))
+    sample = sample.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") >= HOT_ROWS // SAMPLED).orderBy(F.desc("sets"), "shingle").limit(HOT)
     hot = [row["shingle"] for row in sample.collect()]
-    is_hot = F.col("shingle").isin(hot)
-    counted = entries.filter(~is_hot).withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("shingle")))
-    if hot:  # a count for each is broadcast, and their rows stay where they are
-        apart = entries.filter(is_hot)
-        counted = counted.unionByName(apart.join(F.broadcast(apart.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))), "shingle"))
+    sets = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
+    if hot:  # tasks count them, the totals are broadcast, and their rows are dealt by their sets
+        listed = F.lit(hot).cast("array<long>")
+        totals = own.select(F.explode(F.array_intersect("prefix", listed)).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("total"))
+        entries = entries.join(F.broadcast(totals), "shingle", "left").withColumn(
+            "salt", F.when(F.col("total").isNotNull(), F.pmod(F.xxhash64("set"), F.lit(SALTS))).otherwise(0))
+        sets = F.coalesce("total", F.count(F.lit(1)).over(Window.partitionBy("shingle", "salt")))
+    counted = entries.withColumn("sets", sets)
     return materialize(counted.filter("sets > 1").select(
         "shingle", "set", (F.col("place") % (1 << 40)).alias("n"), F.shiftright("place", 40).alias("pos"), "sets"), "index"), hot
 
