@@ -32,11 +32,15 @@ def _label(df: DataFrame, treatment: str) -> DataFrame:
 
 def fit_random_forest(df: DataFrame, features: Sequence[str], treatment: str, num_trees: int = 100,
                       max_depth: int = 5, min_instances_per_node: int = 1, seed: int = 42):
-    """Random-forest propensity model (sqrt feature subsets, bootstrap, seeded)."""
+    """Random-forest propensity model (sqrt feature subsets, bootstrap, seeded).
+
+    The copy leaves out the training summary: it holds the session, which can't be sent to a task any more once
+    something in it was observed, and scoring sends the model with all it holds.
+    """
     rf = RandomForestClassifier(featuresCol=FEATURES, labelCol="_label", numTrees=num_trees, maxDepth=max_depth,
                                 minInstancesPerNode=min_instances_per_node, featureSubsetStrategy="sqrt",
                                 seed=seed, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
-    return rf.fit(_label(assemble(df, features), treatment))
+    return rf.fit(_label(assemble(df, features), treatment)).copy()
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], treatment: str, C: float = 1.0) -> LogisticFit:

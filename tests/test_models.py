@@ -2,10 +2,13 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from equipoise.operators import propensity as P
 from equipoise.plans.matching import MatchingAnalysis
 from equipoise.plans.specs import best_spec, spec_grid
+from equipoise.session import reliable_checkpoint
 
 
 def _confounded(n=600, seed=0):
@@ -53,6 +56,15 @@ def test_forest_scores_seeded_and_informative(spark):
     assert imp[0].confounder == "x1" and abs(sum(r.importance for r in imp) - 1) < 1e-9
 
 
+def test_forest_scores_in_a_session_that_observed_something(spark):
+    seen = Observation()
+    assert spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).count() == 3 and seen.get == {"n": 3}
+    df = reliable_checkpoint(spark.createDataFrame(_confounded(200)))
+    model = P.fit_random_forest(df, ["x1", "x2"], "t", num_trees=5)
+    scored = reliable_checkpoint(P.score(model, df, ["x1", "x2"]))
+    assert scored.where("propensity_score BETWEEN 0 AND 1").count() == 200
+
+
 def test_matching_analysis_end_to_end(spark):
     df = spark.createDataFrame(_confounded())
     m = MatchingAnalysis(df, "id", "t", "y", ["x1", "x2", "seg", "missing"], ["seg"]).run(model="logistic")
