@@ -53,7 +53,12 @@ class WeightingAnalysis:
         self.mapping = None
 
     def scores(self, rf_params: dict | None = None, score_col: str | None = None) -> DataFrame:
-        """J2 on the complete cases of (id, treatment, confounders), joined back by id (C2) -> J5 weights."""
+        """J2 on the complete cases of (id, treatment, confounders), joined back by id (C2) -> J5 weights.
+
+        The table is written once before: the codes, the moments and the forest read it many times, and what builds it
+        may send whole tables to the driver to broadcast them.
+        """
+        self.df = reliable_checkpoint(self.df)
         if score_col is None:
             ps = complete_cases(self.df.select(self.id_col, self.treatment, *self.confounders))
             if self.categorical:
@@ -74,6 +79,7 @@ class WeightingAnalysis:
                   *self.confounders]
         base = complete_cases(weighted, needed)
         if self.categorical:
+            base = reliable_checkpoint(base)  # read once a category, and its join sends the scores
             base, self.mapping = category_codes(base, self.categorical, keep_mapping=True)
         # B16 and the second B4: text that isn't a number leaves its row out
         numeric = [c for c in dict.fromkeys([*self.confounders, self.outcome, self.dose])]

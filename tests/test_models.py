@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from equipoise.operators import propensity as P
 from equipoise.plans.matching import MatchingAnalysis
 from equipoise.plans.specs import best_spec, spec_grid
+from equipoise.plans.weighting import WeightingAnalysis
 from equipoise.session import reliable_checkpoint
 
 
@@ -86,3 +87,30 @@ def test_spec_grid_rows_and_best(spark):
     assert len(rows) == 4 and all(r.n_matches > 0 for r in rows)
     best = best_spec(res).first()
     assert best.avg_abs_std_diff == min(r.avg_abs_std_diff for r in rows)
+
+
+def _counted(spark, df):
+    """``df`` and how many of its rows have been computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(count, df.schema), seen
+
+
+def test_weighting_computes_its_table_once(spark):
+    df, seen = _counted(spark, spark.createDataFrame(_confounded(200)).withColumn("dose", F.col("x1") * 10 + 50))
+    w = WeightingAnalysis(df, "id", "t", "y", "dose", ["x1", "x2", "seg"], ["seg"]).prepare({"num_trees": 3, "max_depth": 2, "seed": 1})
+    assert sum(r["count"] for r in w.dose_response().collect()) == 200
+    assert seen.value == 200
+
+
+def test_spec_grid_computes_its_table_once(spark):
+    df, seen = _counted(spark, spark.createDataFrame(_confounded(200)))
+    res = spec_grid(df, {"one": ["x1"], "two": ["x1", "seg"]}, "id", "t", "y", ["seg"], grid=[(0.1, 1)],
+                    rf_params={"num_trees": 3, "max_depth": 2, "seed": 42})
+    assert res.count() == 2
+    assert seen.value == 200
