@@ -549,7 +549,7 @@ def q_fallback_read(spark, d):
     """A3: a delimited file that isn't valid in the first character set is read in the second."""
     p = fx.pages(spark, d).select("page_id", F.trim(F.regexp_extract("html", r"<title>([A-Za-zÀ-ÿ ]*)", 1)).alias("title"))
     path = scratch_path(spark, "fallback")
-    p.coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    p.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
     return read_table(spark, path, "csv", schema="page_id long, title string", encoding="UTF-8", fallback_encoding="ISO-8859-1")
 
 

@@ -5,6 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from equipoise.plans import catalog
 from equipoise.plans import fixtures as fx
 from equipoise.plans.catalog import UNIT_CATEGORICAL, UNIT_CONFOUNDERS
 from equipoise.plans.matching import MatchingAnalysis
@@ -50,3 +51,12 @@ def test_spec_report_text(spark):
     text = "\n".join(r.value for r in spark.read.text(f"{out}/report").collect())
     assert "Specification: ps" in text and "Configuration: caliper=0.05, ratio=1, algorithm=nearest" in text
     assert F is not None
+
+
+def test_fallback_read_writes_in_as_many_tasks_as_it_reads(spark, tmp_path, monkeypatch):
+    pages = [(i, "u", f"<title> {'Été' if i % 2 else 'Name'} {'abc'[i % 3]} </title>" if i < 7 else None) for i in range(8)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4, "page_id").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(catalog, "scratch_path", lambda s, name: f"{tmp_path}/written")
+    rows = {(r.page_id, r.title) for r in catalog.q_fallback_read(spark, str(tmp_path)).collect()}
+    assert rows == {(i, f"{'Été' if i % 2 else 'Name'} {'abc'[i % 3]}" if i < 7 else None) for i in range(8)}
+    assert len(list((tmp_path / "written").glob("part-*"))) > 1
