@@ -117,6 +117,8 @@ def spec_test(df: DataFrame, specs: Mapping[str, Sequence[str]], id_col: str, tr
     for name, confounders in specs.items():
         if missing := [c for c in confounders if c not in df.columns]:
             raise ValueError(f"specification {name!r} names confounders that the table lacks: {missing}")
+    # what builds the table, its joins too, runs once and not for every reading of every specification
+    df = reliable_checkpoint(df.select(*dict.fromkeys([id_col, treatment, outcome, *(c for v in specs.values() for c in v)])))
     slots, parts = _slots(max(len(v) for v in specs.values())), []
     for name, confounders in specs.items():
         analysis = prepare(df, id_col, treatment, outcome, confounders, categorical)
