@@ -86,6 +86,36 @@ def test_threshold_is_in_the_widest_gap():
     assert T.best_threshold(np.array([0.0, 1.0, 5.0, 6.0]), np.array([0, 0, 1, 1])) == 3.0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # more rows of a class than any bounded sample took
+    rows = [(i, f"clean text{i} number{i % 97}", "en", 0) for i in range(4000)] + [(4000 + i, f"vile text{i}", "en", 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(4, "doc_id")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    kept = T.labelled_rows(docs.union(docs), labels)
+    assert kept.count() == 4040 and 600 < kept.filter("held").count() < 1000
+    languages, counts = T.language_counts(kept)
+    assert languages == ["en"] and counts.sum() == T.LANGUAGE_PLACES + 3 * 4000 + 2 * 40
+    model = T.train([np.zeros((1, T.TABLES), np.int32)] * 2, np.array([0, 1], np.float32))
+    model |= {"languages": languages, "word_logs": np.log(counts).astype(np.float32)}
+    assert T.calibration(kept, model)["n"].sum() == 4040
+
+
+def test_averaged_training_reads_all_tasks(spark):
+    rows = toxic_documents(300)
+    table = spark.createDataFrame([(r[3], r[1]) for r in rows], "toxic int, text string").repartition(3)
+    model = T.train_on_all(table)
+    words, bounds = T.hashed_words(pa.array([r[1] for r in rows]))
+    logit = T.logits(model, T.tabulated(model), words, bounds)
+    assert np.mean((logit > 0) == np.array([r[3] for r in rows])) > 0.95
+    state = T.fresh(np.random.default_rng(1))
+    assert np.array_equal(T.flat(T.unflat(T.flat(state))), T.flat(state))
+
+
+def test_threshold_of_counted_scores():
+    scores, toxic = np.array([0.0, 1.0, 1.0, 5.0, 6.0]), np.array([0, 0, 1, 1, 1])
+    assert T.best_threshold(scores, toxic, np.array([9, 5, 1, 4, 4])) == T.best_threshold(np.repeat(scores, [9, 5, 1, 4, 4]), np.repeat(toxic, [9, 5, 1, 4, 4])) == 3.0
+
+
 def plain_toxicity(model, text):
     """One text's score by loops over its words, windows and filters."""
     places, _ = T.hashed_words(pa.array([text or ""]))
