@@ -15,8 +15,8 @@ What is counted, and where it lives:
   divergence test alone prunes them.  A string is counted only if the two strings that it has one symbol more than
   may occur so often (a map of cells tells, which never misses one).  The tests of a length are joins with the next
   shorter strings: with those that are its contexts, and with those that are its suffixes;
-* the tree: tables of contexts and strings.  Its most frequent ``CACHED`` entries also go to the scoring tasks; places
-  that these and a map of the other entries' cells leave open are joined to the tables.
+* the tree: tables of contexts and strings.  Its most frequent ``CACHED`` entries also go to the scoring tasks; what
+  these and a map of the other entries' cells leave open is joined to the tables, each entry once a text, and added to its score.
 Words and contexts are named by 64-bit hashes (two words of a billion share one with probability 0.03).
 
 Tables of one length are emptied when those of the next are written.
@@ -254,8 +254,9 @@ def heavy_counts(model: dict, symbol: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """The retained nodes of a depth: tables ``nodes`` (context, c, weight) and ``kept`` (name, n, p), logarithms to base 10.
+    """The retained nodes of a depth: tables ``nodes`` (context, c, weight) and ``kept`` (name, n, p, more), logarithms to base 10.
 
+    ``more`` is p less what the symbol would get if the string weren't kept, so that a place's score is a sum of what is met.
     Read as a mapping it gives arrays, collected when asked for: contexts sorted, their weights, strings sorted, their p.
     """
 
@@ -312,10 +313,12 @@ def grow(texts: DataFrame, model: dict) -> list[Level]:
             F.greatest(1 - F.col("taken"), F.lit(1e-12)) / F.greatest(1 - F.col("parent_taken"), F.lit(1e-9))).alias("weight")), f"nodes-{k}")
         placed = tested.join(nodes.select("context", "weight"), "context", "left")
         kept = F.col("own") & F.col("weight").isNotNull()
+        without = F.col("parent") + F.coalesce("weight", F.lit(0.0))
+        own_p = F.log10((n - d) / c)
         placed = materialize(placed.filter(F.lit(k < DEPTH) | kept).select(
-            "context", "symbol", "whole", "name", "n", kept.alias("kept"),
-            F.when(kept, F.log10((n - d) / c)).otherwise(F.col("parent") + F.coalesce("weight", F.lit(0.0))).alias("p")), f"placed-{k}")
-        levels.append(Level(nodes, placed.filter("kept").select("name", "n", "p")))
+            "context", "symbol", "whole", "name", "n", kept.alias("kept"), F.when(kept, own_p).otherwise(without).alias("p"),
+            F.when(kept, own_p - without).alias("more")), f"placed-{k}")
+        levels.append(Level(nodes, placed.filter("kept").select("name", "n", "p", "more")))
         release(rows, tested)
         if last is not None:  # of the length before, the tree's own strings stay
             levels[-2].kept = materialize(levels[-2].kept, f"kept-{k - 1}")
@@ -346,11 +349,11 @@ def frequent(levels: list[Level]) -> tuple[list[dict], np.ndarray | None]:
 
 
 def entries(levels: list[Level]) -> DataFrame:
-    """(key, value) of all contexts and strings of the tree."""
+    """(key, value) of all contexts and strings of the tree; a string's value is what it adds to its context's weight and its suffix."""
     out = None
     for level in levels:
         own = level.nodes.select(F.col("context").alias("key"), F.col("weight").alias("value")).unionByName(
-            level.kept.select(F.col("name").alias("key"), F.col("p").alias("value")))
+            level.kept.select(F.col("name").alias("key"), F.col("more").alias("value")))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -358,30 +361,35 @@ def entries(levels: list[Level]) -> DataFrame:
 def settle(levels: list[dict], cells: np.ndarray, before: list[np.ndarray], place: np.ndarray, symbol: np.ndarray):
     """As ``walk``, where ``levels`` have but the frequent entries of the tree and ``cells`` are those of all.
 
-    Also returns which places remain unsettled, (slot, places, values) of what is known and (slot, places, keys) of what is
-    to be looked up for them.  Slot 2 k - 2 is the context of k words, 2 k - 1 the string after it.
+    Also returns (places, keys) of the entries to be looked up: what they hold in ``entries`` is added to what has been met.
     """
-    met, to_root, unsettled = np.zeros(len(symbol)), np.ones(len(symbol), bool), np.zeros(len(symbol), bool)
-    known, asked = [], []
+    met, to_root, asked = np.zeros(len(symbol)), np.ones(len(symbol), bool), []
     for k in range(len(levels), 0, -1):
+        level = levels[k - 1]
         at = np.flatnonzero(to_root & (place >= k))
         at = at[_marked(cells, before[k][at])]
-        step = np.zeros(len(at))
-        use = np.arange(len(at))
-        for slot, names, values in ((2 * k - 2, "contexts", "weight"), (2 * k - 1, "strings", "p")):
-            keys = before[k][at]
-            if names == "strings":
-                keys = string_hash(keys, symbol[at])
-                use = np.flatnonzero(_marked(cells, keys))
-                keys = keys[use]
-            entry, there = lookup(levels[k - 1][names], keys)
-            step[use[there]] = levels[k - 1][values][entry[there]]
-            known.append((slot, at[use[there]], step[use[there]]))
-            asked.append((slot, at[use[~there]], keys[~there]))
-            unsettled[at[use[~there]]] = True
-        met[at] += step
-        to_root[at[use[there]]] = False  # what is shorter than a string that is there isn't asked
-    return met, to_root, unsettled, known, asked
+        keys = string_hash(before[k][at], symbol[at])
+        string, there = lookup(level["strings"], keys)
+        met[at[there]] += level["p"][string[there]]
+        to_root[at[there]] = False  # what is shorter than a string that is there isn't asked
+        at, keys = at[~there], keys[~there]
+        open_ = _marked(cells, keys)
+        asked.append((at[open_], keys[open_]))
+        node, there = lookup(level["contexts"], before[k][at])
+        met[at[there]] += level["weight"][node[there]]
+        asked.append((at[~there], before[k][at[~there]]))
+    return met, to_root, np.concatenate([x[0] for x in asked]), np.concatenate([x[1] for x in asked])
+
+
+def _once(text: np.ndarray, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of each of ``size`` texts, equal ones once: how many a text, the keys, their times, and which one each of ``keys`` is."""
+    order = np.lexsort((keys, text))
+    new = np.ones(len(keys), bool)
+    new[1:] = (np.diff(text[order]) != 0) | (keys[order][1:] != keys[order][:-1])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return np.bincount(text[first], minlength=size), keys[first], np.bincount(which, minlength=len(first)), which
 
 
 def score_texts(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
@@ -392,7 +400,6 @@ def score_texts(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
     N, V = model["N"], model["V"]
     levels, cells = frequent(model["tree"])
     small = {k: v for k, v in model.items() if k not in ("words", "tree")}
-    root_slot = 2 * len(levels)
 
     def lists(per: np.ndarray, columns: dict) -> pa.Array:
         whole = pa.StructArray.from_arrays([pa.array(v, from_pandas=True) for v in columns.values()], names=list(columns))
@@ -416,58 +423,41 @@ def score_texts(docs: DataFrame, model: dict, *keep: Column | str) -> DataFrame:
                 if cells is None:
                     met, to_root = walk(levels, before, place, symbol)
                 else:
-                    met, to_root, unsettled, known, asked = settle(levels, cells, before, place, symbol)
-                    met[unsettled], to_root[unsettled] = 0, False
-                    at = np.flatnonzero(unsettled)
-                    position = np.cumsum(unsettled) - 1
-                    values = np.full((root_slot + 1, len(at)), np.nan)
-                    for slot, where, value in [*known, (root_slot, at[~rare[at]], at_root[at[~rare[at]]])]:
-                        use = unsettled[where]
-                        values[slot, position[where[use]]] = value[use]
-                    asked.append((root_slot, at[rare[at]], symbol[at[rare[at]]]))
-                    where = np.concatenate([x[1] for x in asked])
-                    order = np.argsort(where, kind="stable")
-                    where = where[order]
-                    extra = [lists(np.bincount(text[where], minlength=size), {
-                        "at": where, "slot": np.repeat([x[0] for x in asked], [len(x[1]) for x in asked])[order].astype(np.int32),
-                        "key": np.concatenate([x[2] for x in asked])[order].view(np.int64)}
-                        | {f"v{i}": values[i][position[where]] for i in range(root_slot + 1)})]
+                    met, to_root, at, keys = settle(levels, cells, before, place, symbol)
+                    per, keys, times, _ = _once(text[at], keys, size)
+                    extra = [lists(per, {"key": keys.view(np.int64), "times": times})]
+                per, words, times, which = _once(text[rare], symbol[rare], size)
+                looked_for = {"word": words.view(np.int64), "times": times,
+                              "to_root": np.bincount(which, to_root[rare], len(words)).astype(np.int64)}
                 full = met + np.where(to_root & ~rare, at_root, 0)
                 yield pa.RecordBatch.from_arrays([
                     *(batch.column(c).slice(done, size) for c in names),
                     pa.array(first + np.arange(size)), pa.array(np.diff(bounds)), pa.array(np.add.reduceat(n > 0, starts).astype(np.int64)),
                     pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(full, starts)),
-                    lists(np.bincount(text[rare], minlength=size), {"word": symbol[rare].view(np.int64), "to_root": to_root[rare]}), *extra],
+                    lists(per, looked_for), *extra],
                     names=[*names, *own])
                 first, done = first + size, done + size
 
     own = ["row", "n_tokens", "known", "base", "full", "rare"] + ["open"] * (cells is not None)
     schema = kept.drop("text").schema
-    places = T.ArrayType(T.StructType.fromDDL("at long, slot int, key long, " + ", ".join(f"v{i} double" for i in range(root_slot + 1))))
-    for name, kind in zip(own, [T.LongType()] * 3 + [T.DoubleType()] * 2 + [T.ArrayType(T.StructType.fromDDL("word long, to_root boolean")), places]):
+    rare, opened = (T.ArrayType(T.StructType.fromDDL(x)) for x in ("word long, times long, to_root long", "key long, times long"))
+    for name, kind in zip(own, [T.LongType()] * 3 + [T.DoubleType()] * 2 + [rare, opened]):
         schema = schema.add(name, kind)
     scored = materialize(kept.mapInArrow(score, schema), "scored")
-    # words that the tasks don't hold: each occurrence is looked up in the table of all words
+    # words that the tasks don't hold are looked up in the table of all words, once a text
     c = F.coalesce(F.col("n"), F.lit(0))
     unknown = model["discount"] * V / N if N else 1.0
     at_root = F.log10(F.when(c > 0, (c - model["discount"]) / max(N, 1)).otherwise(unknown))
     looked_up = (scored.select("row", F.inline("rare")).join(model["words"], "word", "left")
                  .groupBy("row").agg(
-                     F.sum((c > 0).cast("long")).alias("more_known"),
-                     F.sum(F.log10((c + 0.5) / F.lit(N + 0.5 * (V + 1)))).alias("more_base"),
-                     F.sum(F.when(F.col("to_root"), at_root).otherwise(0.0)).alias("more_full")))
+                     F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("more_known"),
+                     F.sum(F.col("times") * F.log10((c + 0.5) / F.lit(N + 0.5 * (V + 1)))).alias("more_base"),
+                     F.sum(F.col("to_root") * at_root).alias("more_full")))
     joined = scored.drop("rare", "open").join(looked_up, "row", "left")
     full = F.col("full") + F.coalesce("more_full", F.lit(0.0))
     if cells is not None:
-        table_of_all = entries(model["tree"]).unionByName(model["words"].select(
-            F.col("word").alias("key"), F.log10((F.col("n") - model["discount"]) / N).alias("value")))
-        opened = scored.select("row", F.inline("open")).join(table_of_all, "key", "left")
-        one = opened.groupBy("row", "at").agg(*[
-            F.max(F.when(F.col("slot") == i, F.col("value")).otherwise(F.col(f"v{i}"))).alias(f"s{i}") for i in range(root_slot + 1)])
-        state = F.coalesce(f"s{root_slot}", F.lit(float(np.log10(unknown))))
-        for k in range(1, len(levels) + 1):
-            state = F.coalesce(F.col(f"s{2 * k - 1}"), state + F.coalesce(f"s{2 * k - 2}", F.lit(0.0)))
-        joined = joined.join(one.groupBy("row").agg(F.sum(state).alias("open_full")), "row", "left")
+        opened = scored.select("row", F.inline("open")).join(entries(model["tree"]), "key")
+        joined = joined.join(opened.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("open_full")), "row", "left")
         full = full + F.coalesce("open_full", F.lit(0.0))
     return joined.select(
         *names, "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),

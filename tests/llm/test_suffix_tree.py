@@ -128,3 +128,19 @@ def test_a_string_is_kept_however_large_the_corpus(spark):
     left, right = S.symbols(pa.array(["left right"]))[0][:2]
     before, _ = S.contexts(np.array([left, right]), np.array([0, 2]))
     assert S.string_hash(before[1], np.array([left, right]))[1] in model["tree"][0]["strings"]
+
+
+def test_what_the_tasks_leave_open_is_asked_once_a_text_and_adds_up(spark, monkeypatch):
+    monkeypatch.setattr(S, "CACHED", 0)
+    kept = {}
+    write = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name, *a: kept.setdefault(name, write(df, name, *a)))
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 40, 8)) for _ in range(6)]
+    texts = [" ".join(lines[rng.integers(6)] for _ in range(12)) for _ in range(60)]
+    model = S.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = S.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, "doc_id").collect()
+    asked = [(r["row"], a) for r in kept["scored"].select("row", "open").collect() for a in r["open"]]
+    assert asked and set(asked[0][1].asDict()) == {"key", "times"}  # no values of a place go along
+    assert len({(row, a["key"]) for row, a in asked}) == len(asked) < sum(a["times"] for _, a in asked)
+    np.testing.assert_allclose([r.score for r in sorted(got)], brute_force(texts, texts, S.DEPTH)[0], atol=1e-6)
