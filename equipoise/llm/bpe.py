@@ -23,8 +23,8 @@ from array import array
 from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,14 +151,15 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     with open(path, encoding="utf-8") as f:
         content = f.read()
 
-    @F.pandas_udf(T.StructType().add("n_tokens", "long").add("ids", "binary").add("decoded", "string"))
-    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(T.StructType().add("n_tokens", "long").add("ids", "binary").add("decoded", "string"))
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = coder_for(path, content)
         for texts in batches:
             for start in range(0, len(texts), 256):  # small results: texts may be long
-                ids = [coder.encode(t or "") for t in texts[start:start + 256]]
-                yield pd.DataFrame({"n_tokens": [len(i) for i in ids], "ids": [little_endian(i) for i in ids],
-                                    "decoded": [coder.decode(i) for i in ids]})
+                ids = [coder.encode(t or "") for t in texts.slice(start, 256).to_pylist()]
+                yield pa.StructArray.from_arrays([
+                    pa.array([len(i) for i in ids], pa.int64()), pa.array([little_endian(i) for i in ids], pa.binary()),
+                    pa.array([coder.decode(i) for i in ids], pa.string())], names=["n_tokens", "ids", "decoded"])
 
     own = [c for c in docs.columns if c not in ("n_tokens", "ids", "decoded")]
     coded = free_name(docs.columns, "coded")

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, BATCH, RATE = 10, 32, 0.15
 #: Rows and words that a task trains on at a time; numbers of a block; width of a step of logits in calibration.
 PASS_ROWS, PASS_WORDS, BLOCK, STEP = 3000, 1_000_000, 1 << 16, 0.005
-HEAD, LANGUAGE_PLACES, GROUP_WORDS = 5, 2048, 200_000
+HEAD, LANGUAGE_PLACES, GROUP_WORDS = 5, 2048, 50_000
 
 #: All ASCII bytes but letters and digits part words.
 _BREAKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -351,22 +352,28 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     return model
 
 
+def scores(model: dict, tabs: list, texts: pa.Array) -> np.ndarray:
+    """The toxicity of each of ``texts``, worked off in groups of about ``GROUP_WORDS`` words, one text at least."""
+    out = np.empty(len(texts))
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // (6 * GROUP_WORDS)
+    edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        places, bounds = hashed_words(texts.slice(lo, hi - lo))
+        own = logits(model, tabs, places, bounds) - model["thresholds"][language_of(model, places, bounds)]
+        out[lo:hi] = 1 / (1 + np.exp(-np.clip(own, -500, 500)))
+    return out
+
+
 def score_of(text: Column, model: dict | None) -> Column:
     """The toxicity of ``text``, 0 to 1; only the text is looked at."""
     if model is None:
         return F.lit(0.0)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tabs = tabulated(model)
         for texts in batches:
-            out = np.empty(len(texts))
-            ends = np.cumsum(texts.str.len()) // (6 * GROUP_WORDS)  # rows of a group: about GROUP_WORDS words, one row at least
-            for rows in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(ends)) + 1):
-                places, bounds = hashed_words(pa.array(texts.iloc[rows], pa.string()))
-                own = logits(model, tabs, places, bounds) - model["thresholds"][language_of(model, places, bounds)]
-                out[rows] = 1 / (1 + np.exp(-np.clip(own, -500, 500)))
-            yield pd.Series(out)
+            yield pa.array(scores(model, tabs, texts))
 
     return score(F.coalesce(text, F.lit("")))
 

@@ -1,5 +1,6 @@
 import collections
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -184,3 +185,19 @@ def test_language_sample_is_of_distinct_texts(spark):
         "lang IS NOT NULL AND text IS NOT NULL"), 40).collect())
     assert max(got.values()) == 1
     assert collections.Counter(lang for lang, _ in got) == {"xx": 1, "yy": 1, "zz": 40}
+
+
+def test_scoring_takes_arrow_slices_and_little_memory():
+    rng = np.random.default_rng(2)
+    model = {k: v for k, v in T.fresh(rng).items() if k != "seen"}
+    model |= {"languages": ["a", "b"], "thresholds": np.array([0.1, -0.1]),
+              "word_logs": rng.normal(size=(T.LANGUAGE_PLACES, 2)).astype(np.float32)}
+    tabs = T.tabulated(model)
+    texts = pa.array(["", "one word", "x"] + [" ".join(f"w{x}" for x in rng.integers(0, 500, 300)) for _ in range(1500)])
+    tracemalloc.start()
+    whole = T.scores(model, tabs, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6, peak
+    np.testing.assert_allclose(T.scores(model, tabs, texts.slice(1, 700)), whole[1:701])
+    assert len(T.scores(model, tabs, texts.slice(0, 0))) == 0
