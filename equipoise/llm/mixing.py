@@ -11,7 +11,8 @@
    each source in turn a hypergeometric count given what is left), so that the quotas of the leaves add up
    to the source's quota and each shard holds what a random deal of all blocks would give it.
 4. Draw: the shards take consecutive, hence disjoint, ranges of each source's permuted blocks, and the
-   documents of a shard are ordered by a hash of their own.
+   documents of a shard are ordered by a hash of their own.  ``mixed_documents`` gives the rows out in this
+   order: a partition (a file, once written) is a run of one shard.
 
 All randomness is a hash of ids, the seed and positions, so reruns agree.  Only blocks, shards and source
 totals are grouped by a window: they are bounded by ``block_words``, by ``shard_words`` and by the number of sources.
@@ -28,10 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from equipoise.llm.common import WORD, free_names, materialize, table
+from equipoise.session import join_small
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE, MOST = 1.5, 2
 BLOCK_WORDS, SHARD_WORDS = 400_000, 10_000_000
+#: ``mixed_documents`` cuts a shard into runs of about so many words, each sorted and written by one task.
+RUN_WORDS = 2_500_000
 #: Standard deviations around the mean that a hypergeometric draw looks at (beyond: below 1e-30).
 SPREAD = 12
 
@@ -157,13 +161,24 @@ def row_keys(seed: int) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(seed), "doc_id", "source", "text"), F.xxhash64(F.lit(seed + 1), "text", "source", "doc_id")
 
 
-def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS,
-        weights=WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """(documents, placements) of the mix.
+def block_of(key: Column, blocks: Column) -> Column:
+    """The block that a row is dealt into, of the ``blocks`` of its source."""
+    return F.pmod(F.xxhash64(F.lit("block"), key), blocks)
 
-    documents: one row per row of ``docs``: row, doc_id, key, check, size, source_size, target, copies.
-    placements: one row per copy taken: row, doc_id, pass, shard, position (in its shard).
-    ``row`` numbers the rows within this call; ``key`` and ``check`` are the two hashes of ``row_keys``.
+
+def shuffled(key: Column, turn: Column) -> Column:
+    """The hash that orders the copies of a shard; ``turn`` is the pass that a copy belongs to."""
+    return F.xxhash64(F.lit("shuffle"), key, turn)
+
+
+def decide(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, weights=WEIGHTS,
+           total_share: float = TOTAL_SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(sources, decided, seated, number of shards): what both forms of the mix are made from.
+
+    sources: one row a source: source, at, source_size, target, blocks, passes, rest.
+    decided: one row per row of ``docs``: row, doc_id, at, block, key, check, size, source_size, target, copies.
+    seated: one row per block and pass that is taken: at, block, pass, partly, shard; ``partly`` says that the
+    target is reached within it, so that only rows with more copies than ``pass`` are in it.
     """
     key, check = row_keys(seed)
     narrow = materialize(docs.select(
@@ -178,7 +193,7 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_w
     # sources may be many, but one row each: the side that Spark may broadcast when it is small
     dealt = narrow.join(sources, narrow["source"].eqNullSafe(sources["source"])).select(
         "row", "doc_id", "at", "size", "key", "check", "source_size", "target", "passes", "rest",
-        F.pmod(F.xxhash64(F.lit("block"), "key"), "blocks").alias("block"))
+        block_of(F.col("key"), F.col("blocks")).alias("block"))
     # blocks in a hashed order, and the words before each
     blocks = dealt.groupBy("at", "block").agg(
         F.sum("size").alias("words"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
@@ -196,46 +211,91 @@ def mix(docs: DataFrame, seed: int = 17, block_words: int = BLOCK_WORDS, shard_w
     decided = materialize(extra.select(
         "row", "doc_id", "at", "block", "key", "check", "size", "source_size", "target",
         F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(0).cast("int").alias("copies")), "mix-decided")
-    documents = decided.select("row", "doc_id", "key", "check", "size", "source_size", "target", "copies")
 
     # block instances: each block once a pass; those of the last pass that the target reaches
     taken = blocks.select("at", "block", "order", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int"))).alias("pass"),
-                          "passes", "before", "rest").filter("pass < passes OR before < rest")
+                          "passes", "before", "words", "rest").filter("pass < passes OR before < rest")
     line = Window.partitionBy("at").orderBy("pass", "order")
-    taken = taken.select("at", "block", "pass", (F.row_number().over(line) - 1).alias("index"))
+    taken = taken.select("at", "block", "pass", F.expr("pass = passes AND before + words > rest").alias("partly"),
+                         (F.row_number().over(line) - 1).alias("index"))
     quotas = taken.groupBy("at").agg(F.count(F.lit(1)).alias("quota"))
     words = sources.agg(F.sum("target")).first()[0] or 0.0
     shards = max(1, math.ceil(words / shard_words))
     seats = split_quotas(quotas, shards, seed).select("at", "shard", F.explode(
         F.sequence("first", F.col("first") + F.col("quota") - 1)).alias("index"))
-    seated = taken.join(seats, ["at", "index"]).select("at", "block", "pass", "shard")
+    seated = taken.join(seats, ["at", "index"]).select("at", "block", "pass", "partly", "shard")
+    return sources, decided, seated, shards
+
+
+def mix(docs: DataFrame, seed: int = 17, **options) -> tuple[DataFrame, DataFrame]:
+    """(documents, placements) of the mix.
+
+    documents: one row per row of ``docs``: row, doc_id, key, check, size, source_size, target, copies.
+    placements: one row per copy taken: row, doc_id, pass, shard, position (in its shard).
+    ``row`` numbers the rows within this call; ``key`` and ``check`` are the two hashes of ``row_keys``.
+    """
+    _, decided, seated, _ = decide(docs, seed, **options)
+    documents = decided.select("row", "doc_id", "key", "check", "size", "source_size", "target", "copies")
     copies = decided.filter("copies > 0").select("row", "doc_id", "at", "block", "key", "copies").join(seated, ["at", "block"])
-    local = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit("shuffle"), "key", "pass"), "row", "pass")
+    local = Window.partitionBy("shard").orderBy(shuffled(F.col("key"), F.col("pass")), "row", "pass")
     placements = copies.filter("pass < copies").select("row", "doc_id", "pass", "shard", "key").withColumn(
         "position", F.row_number().over(local)).drop("key")
     return documents, placements
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 17, shard_words: int = SHARD_WORDS, **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` that are taken, each as often as it is taken, in the columns of ``docs``.
 
-    Decisions meet their rows by ``row_keys``.  Rows that agree in id, source and text share a decision: of them
-    the one with the smallest columns as JSON is given out as often as all of them are taken.
+    The rows come out as the shards of the mix, each in the order of its positions: a partition is a run of one shard, and the
+    partitions are in the order of shards and runs, so that written files are, one after the other, the placements of ``mix``.
+
+    A row finds its block by its own hash, and its shards by its block.  Only where a target is reached within a block
+    do rows meet their decisions, by ``row_keys``.  There, if not all rows that agree in id, source and text are taken,
+    those with the smallest columns as JSON are.
     """
-    documents, _ = mix(docs, seed, **options)
-    own_key, own_check, copies, rows, one, turn = free_names(docs.columns, "key", "check", "copies", "rows", "one", "turn")
-    drawn = materialize(documents.groupBy(F.col("key").alias(own_key), F.col("check").alias(own_check)).agg(
-        F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).filter(F.col(copies) > 0), "mix-drawn")
+    sources, decided, seated, shards = decide(docs, seed, shard_words=shard_words, **options)
+    seated = materialize(seated, "mix-seats")
+    edge = materialize(decided.filter("size > 0").join(seated.filter("partly"), ["at", "block"]).groupBy("at", "key", "check").agg(
+        F.sum((F.col("pass") < F.col("copies")).cast("long")).alias("wanted"), F.count(F.lit(1)).alias("alike")), "mix-edge")
+
+    names = ["source", "blocks", "at", "block", "key", "check", "pass", "partly", "shard", "wanted", "alike", "turn"]
+    own = dict(zip(names, free_names(docs.columns, *names), strict=True))
+
+    def renamed(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(own[c]) for c in columns])
+
     key, check = row_keys(seed)
-    keyed = docs.withColumns({own_key: key, own_check: check})
-    single = keyed.join(drawn.filter(F.col(rows) == 1), [own_key, own_check])
-    repeated = drawn.filter(F.col(rows) > 1)
-    if not repeated.isEmpty():
-        row = F.struct(*[F.col(c) for c in docs.columns])
-        once = keyed.join(repeated, [own_key, own_check]).groupBy(own_key, own_check, copies).agg(
-            F.min_by(row, F.to_json(row)).alias(one))
-        single = single.drop(rows).unionByName(once.select(own_key, own_check, copies, f"{one}.*"))
-    return single.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
+    keyed = docs.filter(F.col("text").rlike(WORD)).withColumns({own["key"]: key, own["check"]: check})
+    placed = join_small(keyed, renamed(sources, "source", "at", "blocks"), F.col("source").eqNullSafe(F.col(own["source"])))
+    placed = placed.withColumn(own["block"], block_of(F.col(own["key"]), F.col(own["blocks"])))
+    placed = join_small(placed, renamed(seated, "at", "block", "pass", "partly", "shard"), [own["at"], own["block"]])
+    placed = join_small(placed, renamed(edge, "at", "key", "check", "wanted", "alike"), [own["at"], own["key"], own["check"]], "left")
+    cut = F.col(own["partly"]) & (F.col(own["wanted"]) < F.col(own["alike"]))
+    held = [own["shard"], own["key"], own["check"], own["pass"]]
+    out = placed.filter(~cut).select(*docs.columns, *held)
+    if not edge.filter("wanted > 0 AND wanted < alike").isEmpty():
+        out = out.unionByName(first_alike(placed.filter(cut & (F.col(own["wanted"]) > 0)), docs.columns, own).select(*docs.columns, *held))
+
+    runs = max(1, math.ceil(shard_words / RUN_WORDS))
+    out = out.withColumn(own["turn"], shuffled(F.col(own["key"]), F.col(own["pass"]))).drop(own["key"], own["pass"])
+    run = F.least(F.floor((F.col(own["turn"]) / F.lit(float(1 << 64)) + 0.5) * runs), F.lit(runs - 1))
+    out = out.repartitionById(shards * runs, (F.col(own["shard"]) * runs + run).cast("int"))
+    return out.sortWithinPartitions(own["shard"], own["turn"], own["check"]).select(*docs.columns)
+
+
+def first_alike(rows: DataFrame, columns: list[str], own: dict[str, str]) -> DataFrame:
+    """Of ``rows`` that agree in id, source and text, the ``wanted`` ones that come first by ``columns`` as JSON.
+
+    Rows that are equal in all columns are counted, not sorted.
+    """
+    group = [own[c] for c in ("at", "key", "check", "pass", "shard", "wanted")]
+    text, one, times, before = free_names([*columns, *own.values()], "json", "one", "times", "before")
+    row = F.struct(*[F.col(c) for c in columns])
+    distinct = rows.withColumn(text, F.to_json(row)).groupBy(*group, text).agg(F.first(row).alias(one), F.count(F.lit(1)).alias(times))
+    line = Window.partitionBy(*group).orderBy(text).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    distinct = distinct.withColumn(before, F.sum(times).over(line) - F.col(times)).filter(F.col(before) < F.col(own["wanted"]))
+    left = F.least(F.col(times), F.col(own["wanted"]) - F.col(before))
+    return distinct.withColumn(times, F.explode(F.sequence(F.lit(1).cast("long"), left))).select(*group, f"{one}.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import collections
+import glob
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,34 @@ def test_mixed_documents_repeat_rows(spark):
     assert collections.Counter(r.doc_id for r in mixed.collect()) == found
 
 
+def test_mixed_documents_come_out_as_shards(spark, tmp_path, monkeypatch):
+    """The written files, one after the other, are the placements by shard and position; no file has two shards."""
+    monkeypatch.setattr(M, "RUN_WORDS", 600, raising=False)
+    options = {"block_words": 200, "shard_words": 1800}
+    docs = spark.createDataFrame(documents()[:-len(odd_documents())], DOCS).repartition(3)
+    want = [(r.shard, r.doc_id) for r in M.mix(docs, **options)[1].orderBy("shard", "position").collect()]
+    M.mixed_documents(docs, **options).write.parquet(f"{tmp_path}/mix")
+    files = [pq.read_table(f, columns=["doc_id"]).column(0).to_pylist() for f in sorted(glob.glob(f"{tmp_path}/mix/part-*"))]
+    assert [i for f in files for i in f] == [i for _, i in want]
+    at, shards = 0, len({s for s, _ in want})
+    assert shards > 3 and sum(map(bool, files)) == 3 * shards
+    for f in files:
+        assert len({s for s, _ in want[at:at + len(f)]}) <= 1
+        at += len(f)
+
+
+def test_rows_alike_in_id_source_and_text_are_all_given_out(spark):
+    """They may differ elsewhere: each is a document of its own, also where the target is reached among them."""
+    rows = [(1, "one two three", f"l{i % 10}", "a", i % 10, 1.0, "r", "k") for i in range(20)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    taken = lambda share: collections.Counter(r.lang for r in M.mixed_documents(docs, total_share=share).collect())
+    assert taken(1.0) == {f"l{i}": 2 for i in range(10)}
+    assert taken(0.5) == {f"l{i}": 2 for i in range(5)}
+    assert taken(1.25) == {f"l{i}": 2 + 2 * (i < 2) + (i == 2) for i in range(10)}
+    sources = spark.createDataFrame([(None, "a", "en", None, 1, 1.0, "r", "k"), (None, None, "fr", "a", 1, 1.0, "r", "k")], DOCS)
+    assert [(r.text, r.source) for r in M.mixed_documents(sources, total_share=1.0).collect()] == [("a", None)]
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert M.op10_mixing(spark, str(tmp_path)).count() == 0
